@@ -18,7 +18,8 @@ from pagewright.llm.hashing import common, mix, shingle_sets
 BANDS, ROWS = 32, 5  # at a similarity of 0.8 a pair shares no band with a chance of 3e-6
 SAMPLES = BANDS * ROWS
 SKETCH_BITS = 512
-SLACK = 0.2  # the sketch drops a candidate pair only if its estimate is this far below the threshold (over five sigma)
+SLACK = 0.14  # the sketch drops a candidate pair only if its estimate is this far below the threshold (over four sigma)
+NEAREST = 2  # closest partners of each member that the second round tries before the last one takes all pairs
 CHUNK = 1024  # members of a bucket that one task compares with as many others
 
 _rng = np.random.default_rng(20240229)
@@ -125,16 +126,24 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
-def close_pairs(x: np.ndarray, y: np.ndarray, cx: np.ndarray, cy: np.ndarray, most: int, same: bool):
-    """Index pairs from different components whose sketches differ in at most so many bits, found block by block."""
-    for i in range(len(x)):
-        from_j = i + 1 if same else 0
-        d = np.bitwise_count(x[i] ^ y[from_j:]).sum(axis=1, dtype=np.int64)
-        for j in np.flatnonzero((d <= most) & (cy[from_j:] != cx[i])):
-            yield i, from_j + j
+def close_pairs(x: tuple, y: tuple, most: int, percent: int, same: bool, nearest: int | None):
+    """Index pairs from different components whose sketches differ in at most so many bits and whose sizes allow a link.
 
-
-def open_pairs(members: DataFrame, sketches: DataFrame, comp: DataFrame, most: int) -> DataFrame:
+    x and y are (sketches, components, set sizes). nearest: only so many closest partners of each row of x.
+    """
+    (sx, cx, nx), (sy, cy, ny) = x, y
+    for i in range(len(sx)):
+        lo = i + 1 if same and nearest is None else 0
+        fit = (cy[lo:] != cx[i]) & (100 * np.minimum(ny[lo:], nx[i]) >= percent * np.maximum(ny[lo:], nx[i]))
+        at = np.flatnonzero(fit) + lo
+        if len(at):
+            d = np.bitwise_count(sx[i] ^ sy[at]).sum(axis=1, dtype=np.int64)
+            at, d = at[d <= most], d[d <= most]
+            for j in at if nearest is None else at[np.argsort(d, kind="stable")[:nearest]]:
+                yield i, j
+
+
+def open_pairs(members: DataFrame, sketches: DataFrame, comp: DataFrame, most: int, percent: int, nearest: int | None = None) -> DataFrame:
     """Candidate pairs of one bucket that lie in different components so far.
 
     A bucket is cut into chunks of about CHUNK members; each pair of chunks is one group, so no task holds a whole bucket.
@@ -145,16 +154,20 @@ def open_pairs(members: DataFrame, sketches: DataFrame, comp: DataFrame, most: i
     m = m.join(mixed, "key").withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
     m = m.join(sketches, "id")
     with_all = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda c: F.struct(F.least(c, F.col("chunk")).alias("i"), F.greatest(c, F.col("chunk")).alias("j")))
-    m = m.withColumn("g", F.explode(with_all)).select("key", "g.i", "g.j", "chunk", "id", "component", "sketch")
+    m = m.withColumn("g", F.explode(with_all)).select("key", "g.i", "g.j", "chunk", "id", "component", "n_shingles", "sketch")
 
     def run(key, t):
         i, j = key[1].as_py(), key[2].as_py()
         chunk = t.column("chunk").to_numpy()
         ids, comps = t.column("id").to_numpy(), t.column("component").to_numpy()
         sk = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint64).reshape(len(t), -1)
-        p, q = chunk == i, chunk == j
-        found = list(close_pairs(sk[p], sk[q], comps[p], comps[q], most, i == j))
-        left, right = ids[p][[x for x, _ in found]], ids[q][[y for _, y in found]]
+        rows = (sk, comps, t.column("n_shingles").to_numpy())
+        p, q = (np.flatnonzero(chunk == c) for c in (i, j))
+        x, y = (tuple(v[r] for v in rows) for r in (p, q))
+        found = [(p[u], q[v]) for u, v in close_pairs(x, y, most, percent, i == j, nearest)]
+        if nearest is not None and i != j:
+            found += [(q[u], p[v]) for u, v in close_pairs(y, x, most, percent, False, nearest)]
+        left, right = ids[[u for u, _ in found]], ids[[v for _, v in found]]
         return pa.table({"a": pa.array(np.minimum(left, right), pa.int64()), "b": pa.array(np.maximum(left, right), pa.int64())})
 
     return m.groupBy("key", "i", "j").applyInArrow(run, "a long, b long").distinct()
@@ -165,8 +178,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Documents link if 100 * |A and B| >= 100 * threshold * |A or B| on their sets of distinct word shingles. Exact copies of a
     set are one class, so a group of copies of any size costs one row. Each bucket first links its members to its least and
-    greatest member; then every pair of a bucket that is still in different components is compared by odd sketch. Whatever
-    passes is confirmed on the full sets, so no link between different components is lost and none below the threshold is made.
+    greatest member, then with its nearest ones by odd sketch; last, every pair of a bucket that is still in different components
+    is compared by odd sketch. Whatever passes is confirmed on the full sets, so no link between different components is lost and
+    none below the threshold is made.
     """
     percent, most = round(100 * threshold), most_flips(threshold)
     sig = materialise(signatures(docs, id_col, text_col, words))
@@ -178,12 +192,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = materialise(keyed.join(buckets, "key").select("key", "id", "lo", "hi"))
     nodes = members.select("id").distinct()
     sets = materialise(full_sets(docs, nodes, id_col, text_col, words).dropDuplicates(["id"]))
-    sketches = reps.select("id", "sketch").join(nodes, "id", "left_semi")
+    sketches = reps.select("id", "n_shingles", "sketch").join(nodes, "id", "left_semi")
     star = members.select(F.col("lo").alias("a"), F.col("id").alias("b")).unionAll(members.select(F.col("id").alias("a"), F.col("hi").alias("b")))
     links = materialise(confirmed(star.where("a <> b").distinct(), sets, percent))
-    comp = components(links)
-    rest = materialise(open_pairs(members.select("key", "id"), sketches, comp, most))
-    links = links.unionAll(confirmed(rest, sets, percent))
+    for nearest in (NEAREST, None):
+        rest = materialise(open_pairs(members.select("key", "id"), sketches, components(links), most, percent, nearest))
+        links = materialise(links.unionAll(confirmed(rest, sets, percent)))
     comp = components(links).select(F.col("node").alias("class_id"), "component")
     out = sig.select("id", "n_shingles", "fp1", "fp2").join(classes, ["fp1", "fp2", "n_shingles"], "left")
     out = out.withColumn("class_id", F.when(F.col("id").isNull(), None).otherwise(F.coalesce("class_id", "id")))
