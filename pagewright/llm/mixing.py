@@ -43,29 +43,40 @@ def targets(rows: DataFrame, share: float = 1.5, most: float = 2.0) -> DataFrame
 
 
 def fold(units: Column) -> Column:
-    """Pair the carried unit with each next one: (at, p, won), the place and probability still open and the places set to 1."""
+    """Pair the carried unit a with each next unit b: (at, p, won), the place and probability still open and the places set to 1.
+
+    A pair exchanges words: p_a rises by x while p_b falls by x * size_a / size_b, or the reverse, until one of them is 0 or 1.
+    The direction is drawn so that both expectations stay; the pair's expected words stay exactly, whatever is drawn.
+    """
 
     def step(acc, x):
-        total = acc["p"] + x["p"]
-        u = draw(acc["id"], x["id"], x["level"], acc["p"])
-        below = total < 1
-        keep = F.when(below, u < acc["p"] / total).otherwise(u >= (1 - x["p"]) / (2 - total))
-        at, other = F.when(keep, acc["at"]).otherwise(x["at"]), F.when(keep, x["at"]).otherwise(acc["at"])
+        ratio = x["size"] / acc["size"]
+        rise = F.least(1 - acc["p"], x["p"] * ratio)
+        fall = F.least(acc["p"], (1 - x["p"]) * ratio)
+        up = draw(acc["id"], x["id"], x["level"], acc["p"]) * (rise + fall) < fall
+        move = F.when(up, rise).otherwise(-fall)
+        pa, pb = acc["p"] + move, x["p"] - move / ratio
+        # Whichever is nearer to 0 or 1 is settled; the other is carried on.
+        settle_a = F.least(F.abs(pa), F.abs(1 - pa)) <= F.least(F.abs(pb), F.abs(1 - pb))
+        settled_at, settled_p = F.when(settle_a, acc["at"]).otherwise(x["at"]), F.when(settle_a, pa).otherwise(pb)
         return F.struct(
-            at.alias("at"),
-            F.when(keep, acc["id"]).otherwise(x["id"]).alias("id"),
-            F.when(below, total).otherwise(total - 1).alias("p"),
-            F.when(below, acc["won"]).otherwise(F.concat(acc["won"], F.array(other))).alias("won"),
+            F.when(settle_a, x["at"]).otherwise(acc["at"]).alias("at"),
+            F.when(settle_a, x["id"]).otherwise(acc["id"]).alias("id"),
+            F.when(settle_a, x["size"]).otherwise(acc["size"]).alias("size"),
+            F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.when(settle_a, pb).otherwise(pa))).alias("p"),
+            F.when(settled_p > 0.5, F.concat(acc["won"], F.array(settled_at))).otherwise(acc["won"]).alias("won"),
         )
 
-    numbered = F.transform(units, lambda x, i: F.struct(x["id"].alias("id"), x["p"].alias("p"), x["level"].alias("level"), i.cast("int").alias("at")))
+    fields = ("id", "size", "p", "level")
+    numbered = F.transform(units, lambda x, i: F.struct(*(x[f].alias(f) for f in fields), i.cast("int").alias("at")))
     first = numbered[0]
-    start = F.struct(first["at"].alias("at"), first["id"].alias("id"), first["p"].alias("p"), F.array().cast("array<int>").alias("won"))
-    return F.aggregate(F.slice(numbered, 2, BLOCK * 64), start, step)
+    start = F.struct(first["at"].alias("at"), first["id"].alias("id"), first["size"].alias("size"), first["p"].alias("p"), F.array().cast("array<int>").alias("won"))
+    return F.aggregate(F.slice(numbered, 2, F.size(numbered)), start, step)
 
 
 def rounded(units: DataFrame) -> DataFrame:
-    """(id, size, sid, base, sel) of units (id, size, sid, base, p) with 0 < p < 1: each p becomes 0 or 1, each source's sum stays.
+    """(id, size, sid, base, sel) of units (id, size, sid, base, p) with 0 < p < 1: each p becomes 0 or 1 and each source's expected
+    words stay, but for the last open unit of a source, a small document.
 
     A reduction tree: a level deals the open units of each source into hashed blocks of about BLOCK, folds each block in order
     of size, and hands the one open unit of each block (a small one, as large sizes come first) to the next level. Every level is written to the shared folder.
@@ -113,8 +124,8 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     each = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     base = F.floor(each + 1e-9)
     both = rows.join(few, rows["source"].eqNullSafe(few["source"])).select("id", "size", "sid", base.cast("int").alias("base"), F.greatest(each - base, F.lit(0.0)).alias("p"))
-    whole = both.where("p < 1e-9").select("id", "size", "sid", "base", F.lit(0).alias("sel"))
-    parts = rounded(both.where("p >= 1e-9"))
+    whole = both.where("p < 1e-9 or size = 0").select("id", "size", "sid", "base", F.lit(0).alias("sel"))
+    parts = rounded(both.where("p >= 1e-9 and size > 0"))
     out = whole.unionAll(parts).join(few, "sid")
     copies = F.col("base") + F.col("sel")
     return out.select(
