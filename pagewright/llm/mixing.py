@@ -74,41 +74,55 @@ def fold(units: Column) -> Column:
     return F.aggregate(F.slice(numbered, 2, F.size(numbered)), start, step)
 
 
+def settle(units: Column) -> Column:
+    """The places set to 1 among a source's last open units, large sizes first: each unit is paired with the pool of all later ones.
+
+    A unit becomes 0 or 1 by a draw; the words that it gives up or gains move to or from the pool, in proportion to size, and so
+    shift the later probabilities. What stays open at the end is at most a part of the smallest unit.
+    """
+
+    def step(acc, x):
+        p = F.greatest(F.lit(0.0), F.least(F.lit(1.0), x["p"] + acc["owed"] / acc["rest"]))
+        hit = draw(x["id"], x["size"], x["level"], x["at"]) < p
+        won = F.when(hit, F.concat(acc["won"], F.array(x["at"]))).otherwise(acc["won"])
+        owed = acc["owed"] + (x["p"] - hit.cast("double")) * x["size"]
+        return F.named_struct(F.lit("rest"), acc["rest"] - x["size"], F.lit("owed"), owed, F.lit("won"), won)
+
+    numbered = F.transform(units, lambda x, i: F.named_struct(*(y for f in ("id", "p", "level", "size") for y in (F.lit(f), x[f])), F.lit("at"), i))
+    rest = F.aggregate(units, F.lit(0.0), lambda acc, x: acc + x["size"])
+    return F.aggregate(numbered, F.named_struct(F.lit("rest"), rest, F.lit("owed"), F.lit(0.0), F.lit("won"), F.array().cast("array<int>")), step)["won"]
+
+
 def rounded(units: DataFrame) -> DataFrame:
-    """(id, size, sid, base, sel) of units (id, size, sid, base, p) with 0 < p < 1: each p becomes 0 or 1 and each source's expected
-    words stay, but for the last open unit of a source, a small document.
+    """(id, size, sid, base, sel) of units (id, size, sid, n, base, p) with 0 < p < 1: each p becomes 0 or 1 and each source's expected words stay. n bounds the units of a source.
 
-    A reduction tree: a level deals the open units of each source into hashed blocks of about BLOCK, folds each block in order
-    of size, and hands the one open unit of each block (a small one, as large sizes come first) to the next level. Every level is written to the shared folder.
+    A reduction tree: a level deals the open units of each source (at first of each size class) into hashed blocks of about
+    BLOCK, folds each block in pairs, and hands the one open unit of each block to the next level. The root settles at most
+    BLOCK open units a source. Every level is written to the shared folder.
     """
-    done = []
-    open_units, level = units, 0
-    while True:
+    few = units.where(F.col("n") <= BLOCK).drop("n")  # sources that fit in one block go straight to the root
+    done, open_units, level = [], units.where(F.col("n") > BLOCK).drop("n"), 0
+    n_left = units.agg(F.max("n")).first()[0] or 0
+    unit = F.struct("size", "id", "base", "p", "level")
+    while n_left > BLOCK:
         stratum = ["sid", "cls"] if level == 0 else ["sid"]
         keyed = open_units.withColumn("cls", F.floor(F.log2(F.col("size") + 1) * 2).cast("int") if level == 0 else F.lit(0)).withColumn("level", F.lit(level))
-        sizes = keyed.groupBy(*stratum).agg(F.count("*").alias("in_stratum"))
-        sizes = materialise(sizes)
+        sizes = materialise(keyed.groupBy(*stratum).agg(F.count("*").alias("in_stratum")))
         keyed = keyed.join(small(sizes, sizes.count()), stratum)
         keyed = keyed.withColumn("block", F.pmod(F.xxhash64("id", "size", "level"), F.ceil(F.col("in_stratum") / BLOCK)).cast("int"))
-        unit = F.struct("size", "id", "base", "p", "level")
-        blocks = keyed.groupBy("sid", "cls", "block").agg(F.sort_array(F.collect_list(unit), asc=False).alias("units"))
+        blocks = keyed.groupBy("sid", "cls", "block").agg(F.sort_array(F.collect_list(unit)).alias("units"))
         blocks = blocks.select("sid", "units", fold(F.col("units")).alias("r"))
         out = blocks.select("sid", "r", F.posexplode("units").alias("at", "x"))
         here = F.col("at") == F.col("r.at")
-        out = materialise(
-            out.select(
-                "sid", "x.id", "x.size", "x.base", here.alias("open"), F.when(here, F.col("r.p")).alias("p"), F.array_contains("r.won", F.col("at")).cast("int").alias("sel"),
-            )
-        )
+        won = F.array_contains("r.won", F.col("at")).cast("int")
+        out = materialise(out.select("sid", "x.id", "x.size", "x.base", here.alias("open"), F.when(here, F.col("r.p")).alias("p"), won.alias("sel")))
         done.append(out.where("not open").select("id", "size", "sid", "base", "sel"))
         open_units, level = out.where("open").select("id", "size", "sid", "base", "p"), level + 1
-        left = open_units.groupBy("sid").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
-        if left <= 1:
-            last = open_units.withColumn("sel", (draw("id", "size", "sid") < F.col("p")).cast("int"))
-            done.append(last.select("id", "size", "sid", "base", "sel"))
-            break
-    out = done[0]
-    for d in done[1:]:
+        n_left = open_units.groupBy("sid").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    root = open_units.unionByName(few).withColumn("level", F.lit(level)).groupBy("sid").agg(F.sort_array(F.collect_list(unit), asc=False).alias("units"))
+    root = root.select("sid", settle(F.col("units")).alias("won"), F.posexplode("units").alias("at", "x"))
+    out = root.select("x.id", "x.size", "sid", "x.base", F.array_contains("won", F.col("at")).cast("int").alias("sel"))
+    for d in done:
         out = out.unionAll(d)
     return out
 
@@ -123,7 +137,7 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     few = small(goal, n_goal)
     each = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     base = F.floor(each + 1e-9)
-    both = rows.join(few, rows["source"].eqNullSafe(few["source"])).select("id", "size", "sid", base.cast("int").alias("base"), F.greatest(each - base, F.lit(0.0)).alias("p"))
+    both = rows.join(few, rows["source"].eqNullSafe(few["source"])).select("id", "size", "sid", "n", base.cast("int").alias("base"), F.greatest(each - base, F.lit(0.0)).alias("p"))
     whole = both.where("p < 1e-9 or size = 0").select("id", "size", "sid", "base", F.lit(0).alias("sel"))
     parts = rounded(both.where("p >= 1e-9 and size > 0"))
     out = whole.unionAll(parts).join(few, "sid")
