@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewright.llm import decontaminate, fixity, mixing, near_dup, secrets, sharding, toxicity
+from pagewright.llm import cover_tree, decontaminate, fixity, html_extract, mixing, near_dup, repeats, secrets, sharding, toxicity
 from pagewright.llm.common import documents
 
 
@@ -14,10 +14,19 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.hits(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = cover_tree.near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), cosine=0.93)
+    return found.select("vec_id", "n_links", "component_id", "kept")
+
+
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"), ["page_id", "url"])
+
+
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -38,6 +47,10 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(documents(spark, sf_dir), length=50)
+
+
 #: The drill of op10: in the second replica one character of every body with such an id is lost to a same-length change.
 DRILL = "page_id % 97 = 13 and length(html) > 0"
 
@@ -53,15 +66,49 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_pigeonhole_decontamination": op1,
+    "op2_cover_tree_near_dup": op2,
     "op3_pivotal_mixing": op3,
+    "op4_tree_html_text": op4,
     "op5_toxicity_trees": op5,
     "op6_markov_secrets": op6,
     "op7_lpt_sharding": op7,
     "op8_odd_sketch_near_dup": op8,
+    "op9_suffix_repeats": op9,
     "op10_merkle_fixity": op10,
 }
 
+#: Components of the links (a, b) between the rows of nodes(id).
+_COMPONENTS = """
+    , both_ways as (select a, b from links union select b, a from links)
+    , reach(id, r) as (select id, id from nodes union select reach.id, both_ways.b from reach join both_ways on both_ways.a = reach.r)
+    , comp as (select id, min(r) as component_id from reach group by id)
+"""
+
 ORACLES: dict[str, str] = {
+    "op2_cover_tree_near_dup": f"""
+        with recursive nodes as (
+            select vec_id as id, label, list_transform(embedding, x -> cast(x as double)) as v,
+                embedding is not null and label is not null and len(list_filter(embedding, x -> x is null or isnan(x) or isinf(x))) = 0
+                and len(list_filter(embedding, x -> x <> 0)) > 0 as fine
+            from embeddings
+        ), links as (
+            select p.id as a, q.id as b from nodes p join nodes q on p.label = q.label and p.id < q.id and p.fine and q.fine and len(p.v) = len(q.v)
+            where list_cosine_similarity(p.v, q.v) >= 0.93
+        ) {_COMPONENTS}
+        select c.id as vec_id, (select count(*) from both_ways where a = c.id) as n_links, component_id, c.id = component_id as kept from comp c
+    """,
+    "op8_odd_sketch_near_dup": f"""
+        with recursive w as (
+            select doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') as w from documents
+        ), s as (
+            select doc_id, unnest(list_distinct(case when len(w) = 1 then w else list_transform(range(1, len(w)), i -> w[i] || ' ' || w[i + 1]) end)) as s from w where len(w) > 0
+        ), sizes as (select doc_id, count(*) as n from s group by doc_id)
+        , both_have as (select p.doc_id as a, q.doc_id as b, count(*) as n from s p join s q on p.s = q.s and p.doc_id < q.doc_id group by all)
+        , links as (
+            select a, b from both_have h join sizes x on x.doc_id = a join sizes y on y.doc_id = b where 100 * h.n >= 80 * (x.n + y.n - h.n)
+        ), nodes as (select doc_id as id from documents) {_COMPONENTS}
+        select c.id as doc_id, coalesce(n, 0) as n_shingles, component_id, c.id = component_id as kept from comp c left join sizes on sizes.doc_id = c.id
+    """,
     "op10_merkle_fixity": f"""
         with r as (
             select page_id, coalesce(html, '') as html,
