@@ -87,9 +87,9 @@ _COMPONENTS = """
 ORACLES: dict[str, str] = {
     "op2_cover_tree_near_dup": f"""
         with recursive nodes as (
-            select vec_id as id, label, list_transform(embedding, x -> cast(x as double)) as v,
-                embedding is not null and label is not null and len(list_filter(embedding, x -> x is null or isnan(x) or isinf(x))) = 0
-                and len(list_filter(embedding, x -> x <> 0)) > 0 as fine
+            select vec_id as id, label, list_transform(embedding, lambda x: cast(x as double)) as v,
+                embedding is not null and label is not null and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0
+                and len(list_filter(embedding, lambda x: x <> 0)) > 0 as fine
             from embeddings
         ), links as (
             select p.id as a, q.id as b from nodes p join nodes q on p.label = q.label and p.id < q.id and p.fine and q.fine and len(p.v) = len(q.v)
@@ -101,7 +101,7 @@ ORACLES: dict[str, str] = {
         with recursive w as (
             select doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') as w from documents
         ), s as (
-            select doc_id, unnest(list_distinct(case when len(w) = 1 then w else list_transform(range(1, len(w)), i -> w[i] || ' ' || w[i + 1]) end)) as s from w where len(w) > 0
+            select doc_id, unnest(list_distinct(case when len(w) = 1 then w else list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) end)) as s from w where len(w) > 0
         ), sizes as (select doc_id, count(*) as n from s group by doc_id)
         , both_have as (select p.doc_id as a, q.doc_id as b, count(*) as n from s p join s q on p.s = q.s and p.doc_id < q.doc_id group by all)
         , links as (
