@@ -18,6 +18,7 @@ from pagewright.llm.hashing import common, mix, shingle_sets
 BANDS, ROWS = 32, 5  # at a similarity of 0.8 a pair shares no band with a chance of 3e-6
 SAMPLES = BANDS * ROWS
 SKETCH_BITS = 512
+SET_BITS = 1024  # parities of a second sketch, of the whole set
 SLACK = 0.14  # the sketch drops a candidate pair only if its estimate is this far below the threshold (over four sigma)
 NEAREST = 2  # closest partners of each member that the second round tries before the last one takes all pairs
 CHUNK = 1024  # members of a bucket that one task compares with as many others
@@ -58,6 +59,14 @@ def odd_sketches(m: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8).reshape(len(m), SKETCH_BITS), axis=1)
 
 
+def set_sketches(sets: list[np.ndarray]) -> np.ndarray:
+    """SET_BITS parities of each whole set. Two of them never differ in more bits than the sets have members apart."""
+    place = np.repeat(np.arange(len(sets)) * SET_BITS, [len(s) for s in sets])
+    bit = (mix(np.concatenate(sets) + np.uint64(13)) % np.uint64(SET_BITS)).astype(np.int64)
+    odd = np.bincount(place + bit, minlength=len(sets) * SET_BITS) & 1
+    return np.packbits(odd.astype(np.uint8).reshape(len(sets), SET_BITS), axis=1)
+
+
 def most_flips(threshold: float) -> int:
     """The XOR population count beyond which a pair's estimated similarity is under threshold - SLACK."""
     n, k = SKETCH_BITS, SAMPLES
@@ -65,7 +74,7 @@ def most_flips(threshold: float) -> int:
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
-    """(id, n_shingles, fp1, fp2, bands, sketch) of each row, streamed over Arrow batches."""
+    """(id, n_shingles, fp1, fp2, bands, sketch) of each row, streamed over Arrow batches; sketch holds both kinds of parities."""
 
     def run(batches):
         for batch in batches:
@@ -77,8 +86,8 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataF
                 bands, sketch = [None] * len(sets), [None] * len(sets)
                 if full:
                     m = minhashes([sets[i] for i in full])
-                    for i, b, s in zip(full, band_keys(m), odd_sketches(m)):
-                        bands[i], sketch[i] = b, s.tobytes()
+                    for i, b, s, t in zip(full, band_keys(m), odd_sketches(m), set_sketches([sets[i] for i in full])):
+                        bands[i], sketch[i] = b, s.tobytes() + t.tobytes()
                 fp = [(s.sum(dtype=np.uint64), np.bitwise_xor.reduce(mix(s + np.uint64(7)))) if len(s) else (0, 0) for s in sets]
                 fp = np.array(fp, np.uint64).reshape(-1, 2).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
@@ -126,8 +135,11 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
+CUT = SKETCH_BITS // 64  # words of the first kind
+
+
 def close_pairs(x: tuple, y: tuple, most: int, percent: int, same: bool, nearest: int | None):
-    """Index pairs from different components whose sketches differ in at most so many bits and whose sizes allow a link.
+    """Index pairs from different components whose sketches differ in at most so many bits and whose sizes and parities allow a link.
 
     x and y are (sketches, components, set sizes). nearest: only so many closest partners of each row of x.
     """
@@ -137,8 +149,12 @@ def close_pairs(x: tuple, y: tuple, most: int, percent: int, same: bool, nearest
         fit = (cy[lo:] != cx[i]) & (100 * np.minimum(ny[lo:], nx[i]) >= percent * np.maximum(ny[lo:], nx[i]))
         at = np.flatnonzero(fit) + lo
         if len(at):
-            d = np.bitwise_count(sx[i] ^ sy[at]).sum(axis=1, dtype=np.int64)
-            at, d = at[d <= most], d[d <= most]
+            flips = np.bitwise_count(sx[i] ^ sy[at])
+            d = flips[:, :CUT].sum(axis=1, dtype=np.int64)
+            # A link of these sizes has at most so many members apart; the whole sets' parities never overstate them.
+            apart = flips[:, CUT:].sum(axis=1, dtype=np.int64)
+            fit = (d <= most) & ((100 + percent) * apart <= (100 - percent) * (nx[i] + ny[at]))
+            at, d = at[fit], d[fit]
             for j in at if nearest is None else at[np.argsort(d, kind="stable")[:nearest]]:
                 yield i, j
 
