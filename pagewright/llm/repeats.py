@@ -30,7 +30,7 @@ from pagewright.llm.hashing import mix, powers
 
 GRAM = 20
 CHUNK_BYTES = 1 << 20
-BUCKET_BYTES = 1 << 23  # corpus bytes a bucket: about half a million anchors
+BUCKET_BYTES = 6 << 20  # corpus bytes a bucket: under half a million anchors
 
 
 def suffix_array(data: bytes) -> np.ndarray:
@@ -255,7 +255,7 @@ def surroundings(packed: DataFrame, shared: DataFrame, length: int, buckets: int
                         size = (hi - lo)[first[p]].astype(np.uint8 if length < 128 else np.uint32)
                         text = b"".join(c.text[lo[first[x]] : hi[first[x]]] for x in p)
                         head = p.astype(np.uint32).tobytes() + least[p].tobytes() + size.tobytes()
-                        rows.append(("ctx", r["chunk"], b, len(p), 0, None, head, text))
+                        rows.append(("ctx", r["chunk"], b, len(p), 0, None, squeeze(head), squeeze(text)))
                     # Of the open documents only their own bytes go on; places are shifted to them.
                     keep = sorted(busy)
                     old = np.array([starts[i] for i in keep])
@@ -279,17 +279,21 @@ def sorted_stretches(text: np.ndarray, starts: np.ndarray, length: int) -> tuple
     """
     words = -(-length // 8)
     padded = np.concatenate((text, np.zeros(8 * words, np.uint8)))
-    keys = []
-    for j in range(words):
-        piece = np.zeros((len(starts), 8), np.uint8)
-        width = min(8, length - 8 * j)
-        piece[:, :width] = padded[starts[:, None] + (8 * j + np.arange(width))]
-        keys.append(piece.view(">u8").ravel().astype(np.uint64))
-    order = np.lexsort(keys[::-1])
+    eights = np.lib.stride_tricks.sliding_window_view(padded, 8)
+
+    def key(j: int, rows: np.ndarray) -> np.ndarray:
+        piece = eights[rows + 8 * j]
+        piece[:, max(0, length - 8 * j) :] = 0
+        return piece.view(">u8").ravel()
+
+    # One key at a time, from the last: a stable sort by each keeps memory at a few words a suffix.
+    order = np.arange(len(starts))
+    for j in range(words - 1, -1, -1):
+        order = order[np.argsort(key(j, starts[order]).astype(np.uint64), kind="stable")]
     same = np.ones(len(starts), bool)
     same[:1] = False
-    for k in keys:
-        k = k[order]
+    for j in range(words):
+        k = key(j, starts[order])
         same[1:] &= k[1:] == k[:-1]
     return order, same
 
@@ -298,7 +302,9 @@ def least_owners(ctx: DataFrame, length: int) -> DataFrame:
     """(chunk, runs): for each surrounding sent, the stretches that a smaller document has, as (group, from, to, least id)."""
 
     def run(t):
+        open_up = zstandard.ZstdDecompressor().decompress
         chunks, heads, texts, counts = (t.column(c).to_pylist() for c in ("chunk", "data", "more", "id"))
+        heads, texts = [open_up(x) for x in heads], [open_up(x) for x in texts]
         group, least, size, owner = [], [], [], []
         kind = np.uint8 if length < 128 else np.uint32
         for i, (h, n) in enumerate(zip(heads, counts)):
@@ -310,7 +316,7 @@ def least_owners(ctx: DataFrame, length: int) -> DataFrame:
         text = np.frombuffer(b"".join(texts), np.uint8)
         begin = np.cumsum(size) - size
         n = size - length + 1  # stretches of each entry
-        entry = np.repeat(np.arange(len(n)), n)
+        entry = np.repeat(np.arange(len(n), dtype=np.int32), n)
         offset = np.arange(len(entry)) - np.repeat(np.cumsum(n) - n, n)
         order, same = sorted_stretches(text, begin[entry] + offset, length)
         first = np.flatnonzero(~same)
