@@ -18,11 +18,12 @@ from pyspark.sql import functions as F
 from pagewright.llm import gbt
 
 SAMPLE_ROWS = 20_000  # labelled rows that the classifier is fitted on, the least by a hash of their id
-LEARNED_TERMS = 200
+LEARNED_TERMS = 400
+STEMS = (4, 5)  # lengths of word beginnings that are learned beside whole words, written with a trailing *
 # Common insults and slurs of contempt in four languages, lower case, without accents.
 LEXICON = frozenset(
     "idiot idiots idiotic moron morons moronic stupid stupidity dumb dumbass imbecile cretin loser losers clown clowns pathetic worthless disgusting "
-    "trash garbage scum vermin filth filthy jerk bastard bitch fool fools foolish ugly hate hateful despicable vile useless brainless braindead "
+    "trash garbage scum vermin filth filthy jerk bastard bitch fool fools foolish ugly hate hateful despicable useless brainless braindead "
     "degenerate parasite coward creep pig swine rat freak retard retarded shit shitty crap asshole ass fuck fucking fucker damn dickhead prick slut whore "
     "idioten idiotin trottel dummkopf blodmann dumm bloed versager abschaum arschloch scheisse mistkerl widerlich ekelhaft wertlos erbarmlich drecksau "
     "imbecil estupido estupida idiota idiotas basura escoria asqueroso patetico inutil mierda cabron gilipollas tonto perdedor payaso "
@@ -56,7 +57,7 @@ def features(text: str | None, learned: frozenset[str]) -> list[float]:
         return [0.0] * len(FEATURES)
     hits = [i for i, w in enumerate(words) if w in LEXICON]
     second = [i for i, w in enumerate(words) if w in SECOND]
-    known = [w for w in words if w in learned] if learned else []
+    known = [w for w in words if w in learned or w[:4] + "*" in learned or w[:5] + "*" in learned] if learned else []
     near = sum(bool(np.searchsorted(second, i + 6) > np.searchsorted(second, i - 5)) for i in hits) if second and hits else 0
     bare = raw.translate(LEET, INNER).split()
     hidden = sum(w.strip(b",;:?()[]").decode(errors="replace") in LEXICON for w in bare) - len(hits) if len(bare) else 0
@@ -98,16 +99,25 @@ def table(docs: DataFrame, learned: frozenset[str], keep: list[str]) -> DataFram
     return docs.select("text", *keep).mapInArrow(run, f"{kinds}, x array<double>")
 
 
+def stem(words: Column, k: int) -> Column:
+    """The first k letters of each longer word, with a *."""
+    return F.transform(F.filter(words, lambda w: F.length(w) > k), lambda w: F.concat(F.left(w, F.lit(k)), F.lit("*")))
+
+
 def learn_terms(sample: DataFrame) -> frozenset[str]:
-    """Words of the labelled sample with a high log-odds of the label 1, at most LEARNED_TERMS."""
-    words = F.array_distinct(F.split(F.lower("text"), r"[^\p{L}0-9]+"))
+    """Words and word beginnings of the labelled sample with a high log-odds of the label 1, at most LEARNED_TERMS.
+
+    Beginnings stand for inflected forms, which whole words miss in languages that inflect.
+    """
+    words = F.filter(F.array_distinct(F.split(F.translate(F.lower("text"), "".join(map(chr, _fold)), "".join(_fold.values())), r"[^\p{L}0-9]+")), lambda w: F.length(w) > 2)
+    words = F.array_distinct(F.concat(words, *(stem(words, k) for k in STEMS)))
     n = sample.agg(F.count("*"), F.sum("y")).first()
     pos, neg = int(n[1] or 0), int((n[0] or 0) - (n[1] or 0))
     if pos < 20 or neg < 20:
         return frozenset()
-    by_word = sample.select("y", F.explode(words).alias("w")).where("length(w) > 2").groupBy("w").agg(F.sum("y").alias("p"), F.count("*").alias("n"))
+    by_word = sample.select("y", F.explode(words).alias("w")).groupBy("w").agg(F.sum("y").alias("p"), F.count("*").alias("n"))
     odds = F.log((F.col("p") + 0.5) / (pos + 1) / ((F.col("n") - F.col("p") + 0.5) / (neg + 1)))
-    top = by_word.where(f"p >= {max(5, pos // 200)}").withColumn("o", odds).where("o > 1.5").orderBy(F.desc("o"), "w").limit(LEARNED_TERMS)
+    top = by_word.where(f"p >= {max(8, pos // 40)}").withColumn("o", odds).where("o > 2.5").orderBy(F.desc("o"), "w").limit(LEARNED_TERMS)
     return frozenset(r.w for r in top.select("w").collect())
 
 
