@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewright.functions import html_text, locate, ranges_text, text
+from pagewright.functions import html_text, locate, ranges_text, replies, text
 from pagewright.operators import digests, layout, participants, search
 from pagewright.plans import registry
 from pagewright.sources.tables import classified_pages, read
@@ -148,3 +148,24 @@ def quote_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "benchmark")
     whole = ranges_text.whole_words_of(F.concat_ws(" ", words[1], words[2]), F.col("text"))
     return rows.select("item_id", whole.alias("whole"), ranges_text.whole_words_of(cut, F.col("text")).alias("part"))
+
+
+@query("""select event_id, case event_type when 'click' then 'report' when 'view' then 'motion' when 'signup' then 'minute order' else null end as page_type,
+    case when event_id % 3 = 0 then 'yes' when event_id % 3 = 1 then 'no' end as first_page, strftime(ts, '%B %-d, %Y') as date,
+    array_to_string(list_filter([case when event_type not in ('click', 'view', 'signup') then 'page_type' end, case when event_id % 3 = 2 then 'first_page' end], lambda x: x is not null), ',') as errors from events""")
+def model_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classifier answers wrapped in talk, found, read and normalised."""
+    kind = F.when(F.col("event_type") == "click", "REPORT").when(F.col("event_type") == "view", " Motion").when(F.col("event_type") == "signup", "minute_order").otherwise("what?")
+    flag = F.element_at(F.array(F.lit("Y"), F.lit("false"), F.lit("maybe")), (F.col("event_id") % 3 + 1).cast("int"))
+    said = F.concat(F.lit("Sure: "), F.to_json(F.struct(kind.alias("Page-Type"), flag.alias("first_page"), F.date_format("ts", "M/d/yyyy").alias("Date"))), F.lit(" ok"))
+    row = F.from_json(replies.json_payload(said), "map<string,string>")
+    answer = replies.normal_answer(text.field(row, "page_type"), text.field(row, "first_page"), text.field(row, "date"), ["report", "motion", "minute order"])
+    found = read(spark, sf_dir, "events").select("event_id", answer.alias("a"))
+    return found.select("event_id", "a.page_type", "a.first_page", "a.date", F.array_join("a.errors", ",").alias("errors"))
+
+
+@query("""select c_custkey, 'Case_' || c_custkey || '_of_' || replace(c_mktsegment, ' ', '_') as case_name, case when c_custkey % 2 = 0 then 'characters' else '' end as issues,
+    upper(left(c_mktsegment, 1)) || lower(substr(c_mktsegment, 2)) as role from customer""")
+def case_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = F.concat(F.lit(" Case  "), F.col("c_custkey").cast("string"), F.when(F.col("c_custkey") % 2 == 0, " / of ").otherwise("  of "), F.col("c_mktsegment"))
+    return read(spark, sf_dir, "customer").select("c_custkey", replies.case_name(raw).alias("case_name"), F.array_join(replies.case_name_issues(raw), ",").alias("issues"), replies.role_label(F.lower("c_mktsegment")).alias("role"))
