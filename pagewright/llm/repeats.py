@@ -7,8 +7,8 @@ scanned into intervals.
 
 How suffixes meet: in every stretch of `length` bytes the leftmost least hash of its GRAM-byte grams is its anchor, so equal
 stretches have equal anchors. Chunks of documents exchange anchor hashes by bucket, then, for anchors that other documents share
-too, the bytes around them. A chunk sends each hash and each surrounding once, so a passage of a third of all documents costs a
-bucket one entry a chunk.
+too, hashes of the bytes around them, and last, where an anchor stands in different surroundings, those bytes. A chunk sends each
+hash and each surrounding once, so a passage of a third of all documents costs a bucket one entry a chunk.
 
 Defined results: a null text counts as empty; texts shorter than the length keep all bytes; rows with a null id keep all bytes and
 aren't a source for others; rows that share an id never remove each other; an empty table gives no row.
@@ -30,7 +30,7 @@ from pagewright.llm.hashing import mix, powers
 
 GRAM = 20
 CHUNK_BYTES = 1 << 20
-BUCKET_BYTES = 6 << 20  # corpus bytes a bucket: under half a million anchors
+BUCKET_BYTES = 4 << 20  # corpus bytes a bucket: about a quarter of a million anchors
 
 
 def suffix_array(data: bytes) -> np.ndarray:
@@ -229,7 +229,7 @@ KIND = "kind string, chunk long, bucket int, id long, n_bytes long, sha string,
 
 
 def surroundings(packed: DataFrame, shared: DataFrame, length: int, buckets: int) -> DataFrame:
-    """Rows of three kinds: finished documents (doc), open documents with their anchors (open), and what each bucket gets (ctx)."""
+    """Rows of three kinds: finished documents (doc), open documents with their anchors (open), and the marks of surroundings that each bucket gets (mark)."""
     asked = shared.groupBy("chunk").agg(F.collect_list("hashes").alias("hashes"))
 
     def run(batches):
@@ -248,23 +248,22 @@ def surroundings(packed: DataFrame, shared: DataFrame, length: int, buckets: int
                 if len(hot):
                     lo, hi = c.lo[hot], c.hi[hot] + length
                     mark = mix((c.total[hi] - c.total[lo]) * c.down[lo] + mix((hi - lo).astype(np.uint64)))
-                    _, first, group = np.unique(mark, return_index=True, return_inverse=True)
+                    mark, first, group = np.unique(mark, return_index=True, return_inverse=True)
                     least = np.full(len(first), np.iinfo(np.int64).max)
                     np.minimum.at(least, group, c.docs(lo))
-                    for b, p in by_bucket(c.hash[hot[first]], buckets):
-                        size = (hi - lo)[first[p]].astype(np.uint8 if length < 128 else np.uint32)
-                        text = b"".join(c.text[lo[first[x]] : hi[first[x]]] for x in p)
-                        head = p.astype(np.uint32).tobytes() + least[p].tobytes() + size.tobytes()
-                        rows.append(("ctx", r["chunk"], b, len(p), 0, None, squeeze(head), squeeze(text)))
+                    anchor = c.hash[hot[first]]
+                    for b, p in by_bucket(anchor, buckets):
+                        head = np.diff(p, prepend=0).astype(np.uint32).tobytes() + least[p].tobytes() + six_bytes(anchor[p]) + six_bytes(mark[p])
+                        rows.append(("mark", r["chunk"], b, len(p), 0, None, squeeze(head), None))
                     # Of the open documents only their own bytes go on; places are shifted to them.
                     keep = sorted(busy)
                     old = np.array([starts[i] for i in keep])
                     sizes = np.array([c.ends[i] - starts[i] for i in keep])
                     shift = np.concatenate(([0], np.cumsum(sizes)[:-1])) - old
-                    doc = np.searchsorted(old, lo, side="right") - 1
+                    move = shift[np.searchsorted(old, lo, side="right") - 1]
                     text = squeeze(b"".join(c.text[starts[i] : c.ends[i]] for i in keep))
-                    head = np.array([len(keep), len(hot)], np.int64).tobytes() + c.ids[keep].tobytes() + sizes.tobytes() + (lo + shift[doc]).tobytes() + group.astype(np.int64).tobytes()
-                    rows.append(("open", r["chunk"], -1, 0, 0, None, head, text))
+                    parts = (np.array([len(keep), len(hot), len(first)]), c.ids[keep], sizes, lo + move, hi + move, group, first, anchor.view(np.int64), least)
+                    rows.append(("open", r["chunk"], -1, 0, 0, None, squeeze(np.concatenate(parts).astype(np.int64).tobytes()), text))
                 cols = list(zip(*rows))
                 kinds = (pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(cols, kinds)], names=["kind", "chunk", "bucket", "id", "n_bytes", "sha", "data", "more"])
@@ -272,6 +271,81 @@ def surroundings(packed: DataFrame, shared: DataFrame, length: int, buckets: int
     return packed.join(asked, "chunk", "left").select("chunk", "ids", "ends", "text", "hashes").mapInArrow(run, KIND)
 
 
+class Open:
+    """The open documents of a chunk: anchors (lo, hi, group) and, by group of equal surroundings, first anchor, hash and least id."""
+
+    def __init__(self, head: bytes, text: bytes):
+        a = np.frombuffer(zstandard.ZstdDecompressor().decompress(head), np.int64)
+        n, m, g = a[:3].tolist()
+        self.ids, self.sizes, self.lo, self.hi, self.group, self.first, anchor, self.least = np.split(a[3:], np.cumsum([n, n, m, m, m, g, g]))
+        self.anchor, self.ends = anchor.view(np.uint64), np.cumsum(self.sizes)
+        self.text = zstandard.ZstdDecompressor().decompress(text)
+
+
+def compared_marks(marks: DataFrame) -> DataFrame:
+    """(chunk, owned, asked): groups that a smaller document has as a whole, with its id, and groups whose bytes must be compared.
+
+    Bytes are needed only where an anchor stands in different surroundings, and then once for each of them over all chunks.
+    """
+
+    def run(t):
+        counts, chunks = t.column("id").to_pylist(), t.column("chunk").to_pylist()
+        group, least, anchor, mark = [], [], [], []
+        for h, n in zip(t.column("data").to_pylist(), counts):
+            h = zstandard.ZstdDecompressor().decompress(h)
+            group.append(np.cumsum(np.frombuffer(h, np.uint32, n).astype(np.int64)))
+            least.append(np.frombuffer(h, np.int64, n, 4 * n))
+            anchor.append(from_six(h[12 * n : 18 * n]))
+            mark.append(from_six(h[18 * n :]))
+        group, least, anchor, mark = map(np.concatenate, (group, least, anchor, mark))
+        order = np.lexsort((least, mark, anchor))
+        a, k = anchor[order], mark[order]
+        new_a = np.concatenate(([True], a[1:] != a[:-1]))
+        new = new_a | np.concatenate(([True], k[1:] != k[:-1]))
+        first = np.flatnonzero(new)
+        head = first[np.cumsum(new) - 1]  # of each entry, the place of the least one with its surroundings
+        kinds = np.add.reduceat(new.astype(np.int64), np.flatnonzero(new_a))[np.cumsum(new_a) - 1]
+        owner = least[order][head]
+        owned = owner < least[order]
+        asked = new & (kinds > 1)
+        owner_of, is_owned, is_asked = np.empty_like(owner), np.empty_like(owned), np.empty_like(asked)
+        owner_of[order], is_owned[order], is_asked[order] = owner, owned, asked
+        out, at = {"chunk": [], "owned": [], "asked": []}, 0
+        for chunk, n in zip(chunks, counts):
+            p = slice(at, at + n)
+            at += n
+            if is_owned[p].any() or is_asked[p].any():
+                out["chunk"].append(chunk)
+                out["owned"].append(np.stack([group[p][is_owned[p]], owner_of[p][is_owned[p]]]).T.tobytes())
+                out["asked"].append(group[p][is_asked[p]].tobytes())
+        return pa.table({"chunk": pa.array(out["chunk"], pa.int64()), "owned": pa.array(out["owned"], pa.binary()), "asked": pa.array(out["asked"], pa.binary())})
+
+    return marks.groupBy("bucket").applyInArrow(run, "chunk long, owned binary, asked binary")
+
+
+def asked_bytes(opened: DataFrame, answers: DataFrame, length: int, buckets: int) -> DataFrame:
+    """(bucket, chunk, id, data, more): the surroundings that answers ask for, by the bucket of their anchors; id is their number."""
+    asked = answers.where("octet_length(asked) > 0").groupBy("chunk").agg(F.collect_list("asked").alias("asked"))
+
+    def run(batches):
+        squeeze = zstandard.ZstdCompressor(3).compress
+        for batch in batches:
+            for data, more, want, chunk in zip(batch.column(0), batch.column(1), batch.column(2), batch.column(3)):
+                c, rows = Open(data.as_py(), more.as_py()), []
+                g = np.concatenate([np.frombuffer(x, np.int64) for x in want.as_py()])
+                lo, hi = c.lo[c.first[g]], c.hi[c.first[g]]
+                for b, p in by_bucket(c.anchor[g], buckets):
+                    head = g[p].astype(np.uint32).tobytes() + c.least[g[p]].tobytes() + (hi - lo)[p].astype(np.uint8 if length < 128 else np.uint32).tobytes()
+                    rows.append((b, len(p), squeeze(head), squeeze(b"".join(c.text[lo[x] : hi[x]] for x in p))))
+                cols = list(zip(*rows))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(cols[0], pa.int32()), pa.array([chunk.as_py()] * len(rows), pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.binary()), pa.array(cols[3], pa.binary())],
+                    names=["bucket", "chunk", "id", "data", "more"],
+                )
+
+    return opened.join(asked, "chunk").select("data", "more", "asked", "chunk").mapInArrow(run, "bucket int, chunk long, id long, data binary, more binary")
+
+
 def sorted_stretches(text: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """The suffixes at starts in order of their first length bytes, and whether each agrees in them with the one before it.
 
@@ -339,20 +413,23 @@ def least_owners(ctx: DataFrame, length: int) -> DataFrame:
     return ctx.groupBy("bucket").applyInArrow(run, "chunk long, runs binary")
 
 
-def cut(open_chunks: DataFrame, owners: DataFrame, length: int) -> DataFrame:
+def cut(open_chunks: DataFrame, answers: DataFrame, owners: DataFrame, length: int) -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, kept, sha) of the open documents."""
-    runs = owners.groupBy("chunk").agg(F.collect_list("runs").alias("runs"))
+    whole = answers.select("chunk", F.col("owned").alias("o"), F.lit(None).cast("binary").alias("r"))
+    runs = whole.unionAll(owners.select("chunk", F.lit(None).cast("binary"), "runs")).groupBy("chunk").agg(F.collect_list("o").alias("owned"), F.collect_list("r").alias("runs"))
 
     def run(batches):
         for batch in batches:
-            for r in batch.to_pylist():
-                head = r["data"]
-                n, m = np.frombuffer(head, np.int64, 2).tolist()
-                ids, sizes = np.frombuffer(head, np.int64, n, 16), np.frombuffer(head, np.int64, n, 16 + 8 * n)
-                lo, group = np.frombuffer(head, np.int64, m, 16 + 16 * n), np.frombuffer(head, np.int64, m, 16 + 16 * n + 8 * m)
-                ends = np.cumsum(sizes)
-                text = zstandard.ZstdDecompressor().decompress(r["more"], max_output_size=max(1, int(ends[-1])))
-                got = np.concatenate([np.frombuffer(x, np.int64).reshape(-1, 4) for x in r["runs"] or []] or [np.empty((0, 4), np.int64)])
+            for data, more, owned, runs in zip(*(batch.column(i) for i in range(4))):
+                c = Open(data.as_py(), more.as_py())
+                ids, lo, group, ends, text = c.ids, c.lo, c.group, c.ends, c.text
+                # The least document of the chunk has each surrounding whole; a smaller one elsewhere may have it whole or in part.
+                last = c.hi[c.first] - lo[c.first] - length
+                all_of = lambda g, who: np.stack([g, np.zeros(len(g), np.int64), last[g], who]).T
+                got = [all_of(np.arange(len(c.first)), c.least)]
+                got += [all_of(x[:, 0], x[:, 1]) for x in (np.frombuffer(y, np.int64).reshape(-1, 2) for y in owned.as_py() or [])]
+                got += [np.frombuffer(x, np.int64).reshape(-1, 4) for x in runs.as_py() or []]
+                got = np.concatenate(got)
                 # Every anchor of a run's group has the run.
                 order = np.argsort(group, kind="stable")
                 a, b = np.searchsorted(group[order], got[:, 0]), np.searchsorted(group[order], got[:, 0], side="right")
@@ -368,7 +445,7 @@ def cut(open_chunks: DataFrame, owners: DataFrame, length: int) -> DataFrame:
                 np.add.at(depth, end[good], -1)
                 gone = np.cumsum(depth)[:-1] > 0
                 raw, rows = np.frombuffer(text, np.uint8), []
-                for doc, hi, k in zip(ids.tolist(), ends.tolist(), sizes.tolist()):
+                for doc, hi, k in zip(ids.tolist(), ends.tolist(), c.sizes.tolist()):
                     g = gone[hi - k : hi]
                     spans = int(g[:1].sum() + (g[1:] & ~g[:-1]).sum())
                     kept = raw[hi - k : hi][~g].tobytes()
@@ -376,7 +453,7 @@ def cut(open_chunks: DataFrame, owners: DataFrame, length: int) -> DataFrame:
                 cols = list(zip(*rows))
                 yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in cols[:4]), pa.array(cols[4], pa.string())], names=["id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return open_chunks.join(runs, "chunk", "left").select("chunk", "data", "more", "runs").mapInArrow(run, "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return open_chunks.join(runs, "chunk", "left").select("data", "more", "owned", "runs").mapInArrow(run, "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50) -> DataFrame:
@@ -395,9 +472,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     buckets = max(16, int(total // BUCKET_BYTES))
     shared = materialise(shared_hashes(sent_hashes(packed, length, buckets)))
     around = materialise(surroundings(packed, shared, length, buckets))
-    owners = least_owners(around.where("kind = 'ctx'").select("bucket", "chunk", "id", "data", "more"), length)
+    opened = around.where("kind = 'open'")
+    answers = materialise(compared_marks(around.where("kind = 'mark'").select("bucket", "chunk", "id", "data")))
+    owners = least_owners(asked_bytes(opened, answers, length, buckets), length)
     whole = around.where("kind = 'doc'").select("id", "n_bytes", F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.col("sha").alias("kept_sha256"))
-    opened = cut(around.where("kind = 'open'"), owners, length)
+    opened = cut(opened, answers, owners, length)
     empty = hashlib.sha256(b"").hexdigest()
     gone = copies.select("id", "n_bytes", F.col("n_bytes").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.lit(empty).alias("kept_sha256"))
     no_id = rows.where("id is null").select("id", size.alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2("text", 256).alias("kept_sha256"))
