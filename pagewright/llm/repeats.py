@@ -101,7 +101,7 @@ def pack(docs: DataFrame) -> DataFrame:
     """(chunk, ids, ends, text): documents (id, text) of a partition in chunks of about CHUNK_BYTES, compressed."""
 
     def run(batches):
-        squeeze, part, n = zstandard.ZstdCompressor(3).compress, TaskContext.get().partitionId(), 0
+        squeeze, part, n = zstandard.ZstdCompressor(LEVEL).compress, TaskContext.get().partitionId(), 0
         ids, texts, size = [], [], 0
 
         def row():
@@ -170,18 +170,20 @@ class Chunk:
         return h[1:][(h[1:] == h[:-1]) & (d[1:] != d[:-1])]
 
 
-def six_bytes(h: np.ndarray) -> bytes:
-    """The low 48 bits of each hash; the bucket holds further bits."""
-    return np.ascontiguousarray(h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+def low_bytes(h: np.ndarray, width: int) -> bytes:
+    """The low bytes of each hash; the bucket holds further bits."""
+    return np.ascontiguousarray(h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
 
 
-def from_six(b: bytes) -> np.ndarray:
-    out = np.zeros((len(b) // 6, 8), np.uint8)
-    out[:, :6] = np.frombuffer(b, np.uint8).reshape(-1, 6)
+def from_low(b: bytes, width: int) -> np.ndarray:
+    out = np.zeros((len(b) // width, 8), np.uint8)
+    out[:, :width] = np.frombuffer(b, np.uint8).reshape(-1, width)
     return out.view("<u8").ravel()
 
 
-LOW = np.uint64((1 << 48) - 1)
+SHORT = 5  # bytes of an anchor hash in the first exchange, which only finds candidates: a clash there costs work, not rows
+LOW = np.uint64((1 << 8 * SHORT) - 1)
+LEVEL = 9  # of compression
 
 
 def by_bucket(h: np.ndarray, buckets: int):
@@ -200,7 +202,7 @@ def sent_hashes(packed: DataFrame, length: int, buckets: int) -> DataFrame:
         for batch in batches:
             for r in batch.to_pylist():
                 h = np.unique(Chunk(r["ids"], r["ends"], r["text"], length).hash)
-                rows = [(b, six_bytes(h[p])) for b, p in by_bucket(h, buckets)]
+                rows = [(b, low_bytes(h[p], SHORT)) for b, p in by_bucket(h, buckets)]
                 yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in rows], pa.int32()), pa.array([r["chunk"]] * len(rows), pa.int64()), pa.array([x for _, x in rows], pa.binary())], names=["bucket", "chunk", "hashes"])
 
     return packed.mapInArrow(run, "bucket int, chunk long, hashes binary")
@@ -210,7 +212,7 @@ def shared_hashes(sent: DataFrame) -> DataFrame:
     """(chunk, hashes): of each chunk's hashes those that another chunk has too."""
 
     def run(t):
-        parts = [from_six(x) for x in t.column("hashes").to_pylist()]
+        parts = [from_low(x, SHORT) for x in t.column("hashes").to_pylist()]
         every = np.concatenate(parts)
         every.sort()
         twice = np.unique(every[1:][every[1:] == every[:-1]])
@@ -219,7 +221,7 @@ def shared_hashes(sent: DataFrame) -> DataFrame:
             at = np.searchsorted(twice, h)
             at[at == len(twice)] = 0
             if len(twice) and len(k := h[twice[at] == h]):
-                out.append((chunk, six_bytes(k)))
+                out.append((chunk, low_bytes(k, SHORT)))
         return pa.table({"chunk": pa.array([c for c, _ in out], pa.int64()), "hashes": pa.array([x for _, x in out], pa.binary())})
 
     return sent.groupBy("bucket").applyInArrow(run, "chunk long, hashes binary")
@@ -233,11 +235,11 @@ def surroundings(packed: DataFrame, shared: DataFrame, length: int, buckets: int
     asked = shared.groupBy("chunk").agg(F.collect_list("hashes").alias("hashes"))
 
     def run(batches):
-        squeeze = zstandard.ZstdCompressor(3).compress
+        squeeze = zstandard.ZstdCompressor(LEVEL).compress
         for batch in batches:
             for r in batch.to_pylist():
                 c = Chunk(r["ids"], r["ends"], r["text"], length)
-                known = np.concatenate([from_six(x) for x in r["hashes"] or []] + [c.own_repeats() & LOW])
+                known = np.concatenate([from_low(x, SHORT) for x in r["hashes"] or []] + [c.own_repeats() & LOW])
                 hot = np.flatnonzero(np.isin(c.hash & LOW, known)) if len(known) else np.empty(0, np.int64)
                 rows = []
                 busy = set(np.searchsorted(c.ends, c.at[hot], side="right").tolist())
@@ -253,7 +255,7 @@ def surroundings(packed: DataFrame, shared: DataFrame, length: int, buckets: int
                     np.minimum.at(least, group, c.docs(lo))
                     anchor = c.hash[hot[first]]
                     for b, p in by_bucket(anchor, buckets):
-                        head = np.diff(p, prepend=0).astype(np.uint32).tobytes() + least[p].tobytes() + six_bytes(anchor[p]) + six_bytes(mark[p])
+                        head = np.diff(p, prepend=0).astype(np.uint32).tobytes() + least[p].tobytes() + low_bytes(anchor[p], 6) + low_bytes(mark[p], 6)
                         rows.append(("mark", r["chunk"], b, len(p), 0, None, squeeze(head), None))
                     # Of the open documents only their own bytes go on; places are shifted to them.
                     keep = sorted(busy)
@@ -295,8 +297,8 @@ def compared_marks(marks: DataFrame) -> DataFrame:
             h = zstandard.ZstdDecompressor().decompress(h)
             group.append(np.cumsum(np.frombuffer(h, np.uint32, n).astype(np.int64)))
             least.append(np.frombuffer(h, np.int64, n, 4 * n))
-            anchor.append(from_six(h[12 * n : 18 * n]))
-            mark.append(from_six(h[18 * n :]))
+            anchor.append(from_low(h[12 * n : 18 * n], 6))
+            mark.append(from_low(h[18 * n :], 6))
         group, least, anchor, mark = map(np.concatenate, (group, least, anchor, mark))
         order = np.lexsort((least, mark, anchor))
         a, k = anchor[order], mark[order]
@@ -328,7 +330,7 @@ def asked_bytes(opened: DataFrame, answers: DataFrame, length: int, buckets: int
     asked = answers.where("octet_length(asked) > 0").groupBy("chunk").agg(F.collect_list("asked").alias("asked"))
 
     def run(batches):
-        squeeze = zstandard.ZstdCompressor(3).compress
+        squeeze = zstandard.ZstdCompressor(LEVEL).compress
         for batch in batches:
             for data, more, want, chunk in zip(batch.column(0), batch.column(1), batch.column(2), batch.column(3)):
                 c, rows = Open(data.as_py(), more.as_py()), []
