@@ -46,6 +46,51 @@ def normal(text: str) -> tuple[str, list[int]]:
     return "".join(out), at
 
 
+class _Mapped(dict):
+    """What each character becomes in normal, as str.translate wants it; filled as characters are met."""
+
+    plain = {"‘": "'", "’": "'", "“": '"', "”": '"', "–": "-", "—": "-"}
+
+    def __missing__(self, code: int) -> str | None:
+        c = chr(code)
+        if c.isspace():
+            self[code] = " "
+        elif unicodedata.category(c) in ("Cc", "Cf"):
+            self[code] = None
+        else:
+            self[code] = "".join(" " if x.isspace() else x for x in unicodedata.normalize("NFKC", self.plain.get(c, c)))
+        return self[code]
+
+
+MAPPED = _Mapped()
+WRAP = re.compile(r"-[\r\n]\s*")
+
+
+def normal_text(text: str) -> str:
+    """The text of normal without its offsets, many times faster."""
+    out, at, last = [], 0, ""
+    for m in WRAP.finditer(text):
+        piece = text[at : m.start()].translate(MAPPED)
+        out.append(piece)
+        last = piece[-1:] or last
+        if not last.isalnum():
+            out.append("- ")
+            last = " "
+        at = m.end()
+    out.append(text[at:].translate(MAPPED))
+    return re.sub(" {2,}", " ", "".join(out)).strip(" ")
+
+
+def normalised(text: Column) -> Column:
+    """Whole texts as normal has them; null stays null."""
+
+    @pandas_udf("string")
+    def run(t: pd.Series) -> pd.Series:
+        return pd.Series([None if x is None else normal_text(x) for x in t], dtype=object)
+
+    return run(text)
+
+
 def place(quote: str | None, text: str | None) -> tuple[int | None, int | None, bool]:
     """(start, end, ambiguous) of the quote in the text; nulls where it isn't there."""
     want, _ = normal(quote or "")
@@ -91,5 +136,3 @@ def gutter_projection(text: Column) -> Column:
         return pd.DataFrame([without_gutter(x) for x in t], columns=["text", "cut"])
 
     return run(text)
-
-

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pagewright.functions import dates, text
+from pagewright.functions import dates, locate, text
 from pagewright.operators import dedupe, intervals, ranges, reconcile, search
 from pagewright.sources.tables import WRITTEN, classified_pages, event_pages, read
 
@@ -306,13 +306,13 @@ def quote_search_phrase(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""with r as (select role, lower(left(text, 20)) as norm, turn from conversations), g as (select role, norm, list_sort(list(distinct turn)) as t from r group by all)
     select role, norm, array_to_string(t, ',') as ordinals from g where len(t) > 1""")
 def recurrence_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = read(spark, sf_dir, "conversations").select("role", F.lower(F.left("text", F.lit(20))).alias("norm"), "turn")
+    rows = read(spark, sf_dir, "conversations").select("role", F.lower(locate.normalised(F.col("text"))).alias("norm"), "turn")
     return reconcile.recurrence(rows, ["role", "norm"], "turn").select("role", "norm", F.array_join(F.transform("ordinals", lambda x: x.cast("string")), ",").alias("ordinals"))
 
 
 @query("""select conv_id, turn, role, left(text, 12) is null or min(turn) over (partition by conv_id, role, left(text, 12)) < turn as carried from conversations""")
 def carry_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.left("text", F.lit(12)).alias("norm"))
+    rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", locate.normalised(F.col("text")).alias("norm"))
     return reconcile.carried_forward(rows, ["conv_id", "role", "norm"], "turn").select("conv_id", "turn", "role", "carried")
 
 
@@ -369,7 +369,7 @@ def block_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def heading_nth_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The n-th heading of a label meets the n-th line of that label, if both sides have as many."""
     w = Window.partitionBy("head")
-    rows = read(spark, sf_dir, "documents").select("doc_id", F.lower(F.left("text", F.lit(30))).alias("head"))
+    rows = read(spark, sf_dir, "documents").select("doc_id", F.lower("text").alias("head"))
     a, b = (rows.where(F.col("doc_id") % 2 == k).withColumn("nth", F.row_number().over(w.orderBy("doc_id"))).withColumn("n", F.count("*").over(w)) for k in (0, 1))
     return a.withColumnRenamed("doc_id", "heading").join(b.withColumnRenamed("doc_id", "line"), ["head", "nth", "n"]).select("heading", "line")
 
