@@ -1,42 +1,57 @@
-"""Quotation search over page texts: an equi-join on rare words first, then exact, relaxed or phrase matching."""
+"""Quotation search over page texts: each page is read once for a block of quotations, in exact, relaxed or phrase matching."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
+from pagewright.functions.contained import Contained
 from pagewright.functions.text import repeated_word_pattern, searchable
 
-MAX_QUOTES = 50_000  # broadcast bound; more quotes are joined by words instead
+BLOCK = 20_000  # quotations that are sent to the pages at once; more go in further blocks
+
+
+def blocks(quotes: DataFrame):
+    """The rows (quote_id, q) in blocks of about BLOCK, each collected by itself."""
+    n = -(-quotes.count() // BLOCK)
+    for b in range(n):
+        yield [tuple(r) for r in quotes.where(F.pmod(F.xxhash64("quote_id", "q"), F.lit(n)) == b).collect()]
 
 
 def quote_hits(quotes: DataFrame, pages: DataFrame, mode: str = "exact") -> DataFrame:
     """(quote_id, page_id) where a page holds a quote: exact (as written), relaxed (searchable text) or phrase (word pattern).
 
-    The quotes are a stated query set. Within MAX_QUOTES they are broadcast and each page is scanned once; beyond, pages and quotes
-    meet on each quote's longest word, so no page is compared with every quote.
+    The quotes are a stated query set. They go to the pages in blocks, by one path at any number of them; each row of quotes that
+    meets a row of pages is one row, so repeated rows stay.
     """
     q = quotes.select("quote_id", F.col("text").alias("q")).where("trim(q) <> ''")
-    p = pages.select("page_id", F.col("text").alias("t"))
-    if mode == "exact":
-        test: Column = F.contains("t", "q")
-    elif mode == "relaxed":
-        q, p = q.withColumn("q", searchable(F.col("q"))), p.withColumn("t", searchable(F.col("t")))
-        test = F.contains("t", "q")
-    else:
+    p = pages.select("page_id", F.col("text").alias("t")).where("t is not null")
+    if mode == "phrase":
         q = q.withColumn("q", repeated_word_pattern(F.translate("q", "‘’“”", "''\"\"")))
         p = p.withColumn("t", F.translate("t", "‘’“”", "''\"\""))
-        test = F.expr("t rlike q")
-    if quotes.count() <= MAX_QUOTES:
-        return p.join(F.broadcast(q), test).select("quote_id", "page_id")
-    words = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit(r"([\p{L}\p{N}]{2,})"), F.lit(1)))
-    inner = quotes.select("quote_id", words(F.col("text")).alias("w"))
-    # A quote's first and last words may be cut on the page, inner ones aren't.
-    inner = inner.withColumn("w", F.when(F.size("w") > 2, F.slice("w", 2, F.size("w") - 2)).otherwise(F.col("w")))
-    longest = F.element_at(F.array_sort(F.transform("w", lambda x: F.struct(-F.length(x), x))), 1)["col2"]
-    q = q.join(inner.select("quote_id", longest.alias("w")), "quote_id")
-    p = p.join(pages.select("page_id", F.explode(words(F.col("text"))).alias("w")), "page_id")
-    return p.join(q, "w").where(test).select("quote_id", "page_id").distinct()
+    elif mode == "relaxed":
+        q, p = q.withColumn("q", searchable(F.col("q"))), p.withColumn("t", searchable(F.col("t")))
+    out = quotes.sparkSession.createDataFrame([], q.select("quote_id").schema).join(p.select("page_id").limit(0))
+    kind = to_arrow_type(q.schema["quote_id"].dataType)
+    for block in blocks(q):
+        if mode == "phrase":
+            part = p.join(F.broadcast(quotes.sparkSession.createDataFrame(block, q.schema)), F.expr("t rlike q")).select("quote_id", "page_id")
+            out = out.unionAll(part)
+            continue
+        shared = quotes.sparkSession.sparkContext.broadcast(block)
+
+        def run(batches, shared=shared):
+            ids = [x for x, _ in shared.value]
+            search = Contained([x.encode() for _, x in shared.value])
+            for batch in batches:
+                found = [search.find(t.encode()) for t in batch.column(1).to_pylist()]
+                page = pa.array([i for i, x in enumerate(found) for _ in x], pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array([ids[k] for x in found for k in x], kind), batch.column(0).take(page)], names=["quote_id", "page_id"])
+
+        out = out.unionAll(p.mapInArrow(run, out.schema))
+    return out
 
 
 def best_page(hits: DataFrame, reported: DataFrame) -> DataFrame:
