@@ -104,9 +104,3 @@ PLAIN = {"‘": "'", "’": "'", "‚": "'", "‛": "'", "“": '"', "”": '"',
 def searchable(x: Column) -> Column:
     """Lower case with plain quotes and dashes and single spaces, for relaxed containment."""
     return collapse(F.lower(F.translate(x, "".join(PLAIN), "".join(PLAIN.values()))))
-
-
-def repeated_word_pattern(x: Column) -> Column:
-    """A pattern that finds the words of x joined by spaces or up to two line breaks, with one bridging number of up to 8 digits."""
-    words = F.transform(F.split(F.trim(x), r"\s+"), lambda w: F.concat(F.lit(r"\Q"), w, F.lit(r"\E")))
-    return F.concat(F.lit(r"(?isu)(?<![\p{L}\p{N}])"), F.array_join(words, r"(?:[ \t]*\n?[ \t]*\n?[ \t]*(?:\d{1,8}[ \t]*\n?[ \t]*)?)"), F.lit(r"(?![\p{L}\p{N}])"))

@@ -7,8 +7,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
+from pagewright.functions import phrases
 from pagewright.functions.contained import Contained
-from pagewright.functions.text import repeated_word_pattern, searchable
+from pagewright.functions.text import searchable
 
 BLOCK = 20_000  # quotations that are sent to the pages at once; more go in further blocks
 
@@ -20,33 +21,43 @@ def blocks(quotes: DataFrame):
         yield [tuple(r) for r in quotes.where(F.pmod(F.xxhash64("quote_id", "q"), F.lit(n)) == b).collect()]
 
 
-def quote_hits(quotes: DataFrame, pages: DataFrame, mode: str = "exact") -> DataFrame:
+def finder(quotes: list[str], mode: str, whole_words: bool):
+    """A function from a page's text to the indexes of the quotes that it holds."""
+    if mode != "phrase":
+        search = Contained([q.encode() for q in quotes])
+        return lambda t: search.find(t.encode())
+    wanted = [phrases.search_phrase(q) for q in quotes]
+    known = [i for i, q in enumerate(wanted) if q.strip()]
+    search = Contained([phrases.skeleton(wanted[i]) for i in known])
+    patterns = [phrases.pattern(wanted[i], whole_words) for i in known]
+
+    def find(t: str) -> list[int]:
+        t = phrases.search_text(t)
+        return [known[k] for k in search.find(phrases.skeleton(t)) if patterns[k].search(t)]
+
+    return find
+
+
+def quote_hits(quotes: DataFrame, pages: DataFrame, mode: str = "exact", whole_words: bool = True) -> DataFrame:
     """(quote_id, page_id) where a page holds a quote: exact (as written), relaxed (searchable text) or phrase (word pattern).
 
     The quotes are a stated query set. They go to the pages in blocks, by one path at any number of them; each row of quotes that
-    meets a row of pages is one row, so repeated rows stay.
+    meets a row of pages is one row, so repeated rows stay. whole_words: a phrase may not begin or end inside a longer word.
     """
     q = quotes.select("quote_id", F.col("text").alias("q")).where("trim(q) <> ''")
     p = pages.select("page_id", F.col("text").alias("t")).where("t is not null")
-    if mode == "phrase":
-        q = q.withColumn("q", repeated_word_pattern(F.translate("q", "‘’“”", "''\"\"")))
-        p = p.withColumn("t", F.translate("t", "‘’“”", "''\"\""))
-    elif mode == "relaxed":
+    if mode == "relaxed":
         q, p = q.withColumn("q", searchable(F.col("q"))), p.withColumn("t", searchable(F.col("t")))
     out = quotes.sparkSession.createDataFrame([], q.select("quote_id").schema).join(p.select("page_id").limit(0))
     kind = to_arrow_type(q.schema["quote_id"].dataType)
     for block in blocks(q):
-        if mode == "phrase":
-            part = p.join(F.broadcast(quotes.sparkSession.createDataFrame(block, q.schema)), F.expr("t rlike q")).select("quote_id", "page_id")
-            out = out.unionAll(part)
-            continue
         shared = quotes.sparkSession.sparkContext.broadcast(block)
 
         def run(batches, shared=shared):
             ids = [x for x, _ in shared.value]
-            search = Contained([x.encode() for _, x in shared.value])
+            find = finder([x for _, x in shared.value], mode, whole_words)
             for batch in batches:
-                found = [search.find(t.encode()) for t in batch.column(1).to_pylist()]
+                found = [find(t) for t in batch.column(1).to_pylist()]
                 page = pa.array([i for i, x in enumerate(found) for _ in x], pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array([ids[k] for x in found for k in x], kind), batch.column(0).take(page)], names=["quote_id", "page_id"])
 

@@ -300,7 +300,7 @@ def quote_search_relaxed(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def quote_search_phrase(spark: SparkSession, sf_dir: str) -> DataFrame:
     quotes = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("quote_id"), "text")
-    return search.quote_hits(quotes, read(spark, sf_dir, "documents").select(F.col("doc_id").alias("page_id"), "text"), "phrase")
+    return search.quote_hits(quotes, read(spark, sf_dir, "documents").select(F.col("doc_id").alias("page_id"), "text"), "phrase", whole_words=False)
 
 
 @query("""with r as (select role, lower(left(text, 20)) as norm, turn from conversations), g as (select role, norm, list_sort(list(distinct turn)) as t from r group by all)

@@ -1,16 +1,20 @@
 """Quotation search against plain comparison."""
 
+import itertools
 import random
+import re
+import unicodedata
 
 import pytest
+from pagewright.functions import phrases
 from pagewright.functions.contained import Contained
 from pagewright.operators import search
 
 
-def hits(spark, quotes, pages, mode):
+def hits(spark, quotes, pages, *mode):
     q = spark.createDataFrame(quotes, "quote_id int, text string")
     p = spark.createDataFrame(pages, "page_id long, text string")
-    return sorted(tuple(r) for r in search.quote_hits(q, p, mode).collect())
+    return sorted(tuple(r) for r in search.quote_hits(q, p, *mode).collect())
 
 
 def test_contained_against_plain_test():
@@ -33,3 +37,71 @@ def test_any_number_of_quotations_gives_the_same_rows(spark, monkeypatch, mode):
         monkeypatch.setattr(search, name, 2, raising=False)
     assert whole == want and hits(spark, quotes, pages, mode) == want
     assert hits(spark, [], pages, mode) == []
+
+
+def plainly_held(phrase, page):
+    """The reference's rules, written out once more: words letter by letter, and all ways of joining them."""
+    plain = {"’": "'", "‘": "'", "“": '"', "”": '"', "–": "-", "—": "-", "\u00a0": " ", "·": " ", "•": " ", "|": " "}
+    norm = lambda x: "".join(plain.get(c, c) for c in unicodedata.normalize("NFKC", x))
+    page = norm(page.replace("\r\n", "\n").replace("\r", "\n"))
+    words = norm(phrase.strip()).split()
+
+    def run(at, chars):
+        while at < len(page) and page[at] in chars:
+            at += 1
+        return at
+
+    def word(w, i, at):
+        """Ends of w[i:] that begins at at."""
+        if i == len(w):
+            return {at}
+        c = page[at : at + 1]
+        if not c or not (c.lower() == w[i].lower() or (c in "'\"" and w[i] in "'\"")):
+            return set()
+        ends = {at + 1}
+        if w[i] == "-":
+            k = run(at + 1, " ")
+            ends |= {j for k in range(at + 1, k + 1) if page[k : k + 1] == "\n" for j in range(k + 1, run(k + 1, " ") + 1)}
+        if w[i].isalnum() and w[i + 1 : i + 2].isalnum():
+            ends |= set(range(at + 1, run(at + 1, " ") + 1))
+        return set().union(*(word(w, i + 1, e) for e in ends))
+
+    def join(at):
+        for q in range(at, run(at, "'\"") + 1):
+            for k in range(q + 1, len(page) + 1):
+                gap = page[q:k]
+                if set(gap) - set(" \t\n") or gap.count("\n") > 2:
+                    break
+                yield from range(k, run(k, "'\"") + 1)
+                for d in range(k + 1, k + 9):
+                    if not page[k:d].isdigit() or d > len(page):
+                        break
+                    for e in range(d, run(d, " \t") + 1):
+                        yield from range(e, run(e, "'\"") + 1)
+
+    ends = set(range(len(page) + 1))
+    for i, w in enumerate(words):
+        ends = set().union(*(word(w, 0, s) for s in ({s for e in ends for s in join(e)} if i else ends)))
+    return bool(words) and bool(ends)
+
+
+GIVEN = [
+    ("plain words", "of plain words here"), ("a rule-bound man", "a rule-\n bound man"), ("ten – twelve", "ten - twelve"), ("office staff", "oﬃce\u00a0staff"), ("two lines", "two |\r\n| lines"), ("it’s \"so\"", "it\"s 'so'"),
+    ("he said no", "he \"said\" no"), ("broken", "bro ken"), ("art of war", "party of art of warfare"), ("one two", "one\n\n 12 'two"), ("one two", "one\n\n\ntwo"), ("one two", "one 123456789 two"), ("one two", "onetwo"), ("Kiſs", "kiss"), ("...", "a . . ."), ("12 x", "1 2 x"), ("«é» ç", "«É» Ç"),
+]
+
+
+def test_phrases_by_the_rules(spark):
+    r = random.Random(4)
+    made = [("".join(r.choices("ab- '1", k=r.randint(1, 6))), "".join(r.choices("abAB--  ''1\n\t", k=r.randint(1, 16)))) for _ in range(4000)]
+    held = 0
+    for q, t in GIVEN + made:
+        find = search.finder([q], "phrase", False)
+        want = plainly_held(q, t)
+        held += want
+        assert find(t) == ([0] if want else []), (q, t)
+    assert held > 300
+    got = hits(spark, [(i, q) for i, (q, _) in enumerate(GIVEN)], [(i, t) for i, (_, t) in enumerate(GIVEN)], "phrase", False)
+    assert got == sorted((i, k) for (i, (q, _)), (k, (_, t)) in itertools.product(enumerate(GIVEN), repeat=2) if plainly_held(q, t))
+    assert {(i, i) for i in (0, 1, 2, 3, 4, 5, 6, 7, 8, 9)} <= set(got) and not {(i, i) for i in (10, 11, 12)} & set(got)
+    assert re.fullmatch(phrases.pattern("a", False), "A")
