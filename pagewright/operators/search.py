@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from pagewright.functions import phrases
+from pagewright.functions import locate, phrases
 from pagewright.functions.contained import Contained
 from pagewright.functions.text import searchable
 
@@ -23,6 +23,11 @@ def blocks(quotes: DataFrame):
 
 def finder(quotes: list[str], mode: str, whole_words: bool):
     """A function from a page's text to the indexes of the quotes that it holds."""
+    if mode == "placed":
+        wanted = [locate.normal_text(q) for q in quotes]
+        known = [i for i, q in enumerate(wanted) if q]
+        search = Contained([wanted[i].encode() for i in known])
+        return lambda t: [known[k] for k in search.find(locate.normal_text(t).encode())]
     if mode != "phrase":
         search = Contained([q.encode() for q in quotes])
         return lambda t: search.find(t.encode())
@@ -39,7 +44,8 @@ def finder(quotes: list[str], mode: str, whole_words: bool):
 
 
 def quote_hits(quotes: DataFrame, pages: DataFrame, mode: str = "exact", whole_words: bool = True) -> DataFrame:
-    """(quote_id, page_id) where a page holds a quote: exact (as written), relaxed (searchable text) or phrase (word pattern).
+    """(quote_id, page_id) where a page holds a quote: exact (as written), relaxed (searchable text), phrase (word pattern)
+    or placed (wherever locate.place has a place for it; then with its columns start, end, ambiguous).
 
     The quotes are a stated query set. They go to the pages in blocks, by one path at any number of them; each row of quotes that
     meets a row of pages is one row, so repeated rows stay. whole_words: a phrase may not begin or end inside a longer word.
@@ -49,17 +55,24 @@ def quote_hits(quotes: DataFrame, pages: DataFrame, mode: str = "exact", whole_w
     if mode == "relaxed":
         q, p = q.withColumn("q", searchable(F.col("q"))), p.withColumn("t", searchable(F.col("t")))
     out = quotes.sparkSession.createDataFrame([], q.select("quote_id").schema).join(p.select("page_id").limit(0))
+    if mode == "placed":
+        out = out.selectExpr("quote_id", "page_id", "int(null) as start", "int(null) as `end`", "boolean(null) as ambiguous")
     kind = to_arrow_type(q.schema["quote_id"].dataType)
     for block in blocks(q):
         shared = quotes.sparkSession.sparkContext.broadcast(block)
 
         def run(batches, shared=shared):
-            ids = [x for x, _ in shared.value]
-            find = finder([x for _, x in shared.value], mode, whole_words)
+            ids, wanted = [x for x, _ in shared.value], [x for _, x in shared.value]
+            find = finder(wanted, mode, whole_words)
             for batch in batches:
-                found = [find(t) for t in batch.column(1).to_pylist()]
-                page = pa.array([i for i, x in enumerate(found) for _ in x], pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array([ids[k] for x in found for k in x], kind), batch.column(0).take(page)], names=["quote_id", "page_id"])
+                texts = batch.column(1).to_pylist()
+                found = [(i, k) for i, t in enumerate(texts) for k in find(t)]
+                cols = {"quote_id": pa.array([ids[k] for _, k in found], kind), "page_id": batch.column(0).take(pa.array([i for i, _ in found], pa.int64()))}
+                if mode == "placed":
+                    places = [locate.place(wanted[k], texts[i]) for i, k in found]
+                    for name, c, x in zip(("start", "end", "ambiguous"), range(3), (pa.int32(), pa.int32(), pa.bool_())):
+                        cols[name] = pa.array([p[c] for p in places], x)
+                yield pa.RecordBatch.from_pydict(cols)
 
         out = out.unionAll(p.mapInArrow(run, out.schema))
     return out

@@ -40,8 +40,7 @@ def quote_locate_span(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where each quotation stands on the pages that hold it."""
     quotes = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("quote_id"), "text")
     pages = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("page_id"), "text")
-    hits = search.quote_hits(quotes, pages).join(quotes.withColumnRenamed("text", "q"), "quote_id").join(pages, "page_id")
-    return hits.select("quote_id", "page_id", locate.quote_place(F.col("q"), F.col("text")).alias("p")).select("quote_id", "page_id", "p.start", "p.end", "p.ambiguous")
+    return search.quote_hits(quotes, pages, "placed")
 
 
 @query("""with h as (select item_id, doc_id from benchmark b join documents d on contains(d.text, b.text))
@@ -49,7 +48,7 @@ def quote_locate_span(spark: SparkSession, sf_dir: str) -> DataFrame:
 def quote_best_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The reported page of each quotation if it holds it, else the first that does."""
     quotes = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("quote_id"), "text")
-    hits = search.quote_hits(quotes, read(spark, sf_dir, "documents").select(F.col("doc_id").alias("page_id"), "text"))
+    hits = search.quote_hits(quotes, read(spark, sf_dir, "documents").select(F.col("doc_id").alias("page_id"), "text"), "placed")
     return search.best_page(hits, quotes.select("quote_id", F.col("quote_id").alias("page_id")))
 
 

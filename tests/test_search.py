@@ -6,9 +6,10 @@ import re
 import unicodedata
 
 import pytest
-from pagewright.functions import phrases
+from pagewright.functions import locate, phrases
 from pagewright.functions.contained import Contained
 from pagewright.operators import search
+from pagewright.plans import records
 
 
 def hits(spark, quotes, pages, *mode):
@@ -105,3 +106,15 @@ def test_phrases_by_the_rules(spark):
     assert got == sorted((i, k) for (i, (q, _)), (k, (_, t)) in itertools.product(enumerate(GIVEN), repeat=2) if plainly_held(q, t))
     assert {(i, i) for i in (0, 1, 2, 3, 4, 5, 6, 7, 8, 9)} <= set(got) and not {(i, i) for i in (10, 11, 12)} & set(got)
     assert re.fullmatch(phrases.pattern("a", False), "A")
+
+
+def test_quotations_are_placed_where_normal_text_holds_them(spark, tmp_path):
+    quotes = [(0, "wrapped over lines"), (1, "interrupted speech"), (2, "“fine” words"), (3, "nowhere at all"), (4, "\x00"), (5, " twice "), (6, None)]
+    pages = [(0, "x wrapped\n  over lines"), (1, "it was inter-\nrupted\nspeech"), (2, 'a "ﬁne" wo\u00adrds'), (3, "wrapped over\nlines"), (4, "twice or twice"), (5, "twice"), (6, None)]
+    spark.createDataFrame(quotes, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame(pages, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    want = [(i, k, *locate.place(q, t)) for i, q in quotes for k, t in pages if locate.place(q, t)[0] is not None]
+    assert sorted(tuple(r) for r in records.quote_locate_span(spark, str(tmp_path)).collect()) == sorted(want)
+    assert [x[:2] for x in want] == [(0, 0), (0, 3), (1, 1), (2, 2), (5, 4), (5, 5)]
+    best = sorted(tuple(r) for r in records.quote_best_page(spark, str(tmp_path)).collect())
+    assert best == [(0, 0, True), (1, 1, True), (2, 2, True), (3, None, False), (4, None, False), (5, 5, True), (6, None, False)]
