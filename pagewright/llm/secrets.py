@@ -7,6 +7,7 @@ has counts of 0, an empty list of spans and the hash of the empty string; repeat
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
 
@@ -25,8 +26,8 @@ SYMBOLS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 CODE = np.zeros(256, np.uint8)  # 0: not part of a candidate
 for _i, _c in enumerate(SYMBOLS):
     CODE[ord(_c)] = _i + 1
-MIN_LENGTH = 20  # of a candidate run
 MIN_MEAN = 0.35  # nats a character by which the random model must win
+MIN_GAIN = 20.0  # nats beyond that, over a whole stretch: about one in as many places as half a gigabyte has
 # Common parts of identifiers, from which ordinary samples are composed.
 PARTS = (
     "user name file path index count value table column row query text page order item list map set get put add remove update delete create read write "
@@ -52,23 +53,19 @@ def labelled_samples(n: int = 4000, seed: int = 7) -> list[tuple[str, int]]:
 
 
 def train(samples: list[tuple[str, int]], smooth: float = 0.5) -> np.ndarray:
-    """Log ratios of first-order transitions, random over ordinary; row 0 holds the first character's."""
+    """Log ratios of first-order transitions, random over ordinary; row 0 holds the first character's.
+
+    A character that repeats the one before is no evidence for a random string.
+    """
     k = len(SYMBOLS) + 1
     counts = np.full((2, k, k), smooth)
     for text, label in samples:
         c = CODE[np.frombuffer(text.encode(), np.uint8)]
         np.add.at(counts[label], (np.concatenate(([0], c[:-1])), c), 1)
     p = np.log(counts / counts.sum(axis=2, keepdims=True))
-    return p[1] - p[0]
-
-
-def runs(raw: bytes, least: int) -> list[tuple[int, int]]:
-    """Byte ranges of the maximal runs of SYMBOLS of at least so many characters."""
-    a = np.frombuffer(raw, np.uint8)
-    edge = np.flatnonzero(np.diff(np.concatenate(([0], CODE[a] != 0, [0])).astype(np.int8)))
-    start, end = edge[::2], edge[1::2]
-    keep = end - start >= least
-    return list(zip(start[keep].tolist(), end[keep].tolist()))
+    out = p[1] - p[0]
+    np.fill_diagonal(out, np.minimum(out.diagonal(), 0))
+    return out
 
 
 def base_spans(text: str, raw: bytes) -> list[tuple[int, int, int]]:
@@ -84,20 +81,43 @@ def base_spans(text: str, raw: bytes) -> list[tuple[int, int, int]]:
     return sorted(out, key=lambda x: (x[0], x[2]))
 
 
+def stretches(gains: list[float]):
+    """(first, end) of each stretch whose sum is the greatest around it and at least MIN_GAIN, in one scan.
+
+    A stretch begins where the sum before it has fallen to zero, and ends before the sum falls by MIN_GAIN under its height.
+    """
+    total = best = 0.0
+    first = end = 0
+    for i, x in enumerate([*gains, -math.inf]):
+        if total <= 0:
+            total, best, first = 0.0, 0.0, i
+        total += x
+        if total > best:
+            best, end = total, i + 1
+        elif best >= MIN_GAIN and best - total >= MIN_GAIN:
+            yield first, end
+            total = best = 0.0
+
+
 def markov_spans(raw: bytes, ascii_only: bool, ratios: np.ndarray, taken: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """Runs that the random model explains better and that overlap no base span."""
+    """Stretches of SYMBOLS that the random model explains better, at any length; base spans are cut out of what is scored."""
     out = []
-    for lo, hi in runs(raw, MIN_LENGTH):
-        token = raw[lo:hi]
-        if not re.search(rb"[0-9]", token) or not re.search(rb"[A-Za-z]", token):
-            continue
-        c = CODE[np.frombuffer(token, np.uint8)]
-        if ratios[0, c[0]] + ratios[c[:-1], c[1:]].sum() < MIN_MEAN * len(c):
-            continue
-        start = lo if ascii_only else len(raw[:lo].decode())
-        end = start + hi - lo
-        if not any(s < end and start < e for s, e, _ in taken):
-            out.append((start, end, 3))
+    c = np.concatenate(([0], CODE[np.frombuffer(raw, np.uint8)], [0]))
+    text = None if ascii_only or not taken else raw.decode()
+    for s, e, _ in taken:
+        lo, hi = (s, e) if text is None else (len(text[:s].encode()), len(text[:e].encode()))
+        c[lo + 1 : hi + 1] = 0
+    gains = ratios[c[:-1], c[1:]] - MIN_MEAN
+    edge = np.flatnonzero(np.diff((c != 0).astype(np.int8)))
+    if not len(edge):
+        return out
+    # No stretch of a run sums to more than the run's gains above zero.
+    most = np.add.reduceat(np.maximum(gains, 0), edge)[::2]
+    for k in np.flatnonzero(most >= MIN_GAIN).tolist():
+        lo, hi = int(edge[2 * k]), int(edge[2 * k + 1])
+        for first, end in stretches(gains[lo:hi].tolist()):
+            start = lo + first if ascii_only else len(raw[: lo + first].decode())
+            out.append((start, start + end - first, 3))
     return out
 
 
