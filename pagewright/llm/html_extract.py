@@ -60,6 +60,7 @@ def featured(root: Node) -> tuple[list[Node], np.ndarray]:
                 a[j] += a[i]
     total, seen = max(1.0, chars[0]), 0.0
     rows, own = [], {}
+    nth = {id(kid): k for x in order for k, kid in enumerate(x.kids)}
     for i, node in enumerate(order):
         kind = KIND.get(node.tag, "")
         up = own.get(id(node.up)) if node.up is not None else None
@@ -77,7 +78,7 @@ def featured(root: Node) -> tuple[list[Node], np.ndarray]:
             [
                 *(float(kind == t) for t in TAGS), *hits, *above, good, inside, float(node.hidden), float(max(hits) > 0), float(max(above) > 0),
                 node.depth, math.log1p(c), links[i] / max(1.0, c), ends[i] / max(1.0, words[i]), math.log1p(words[i]), c / count[i], c / total, seen / total,
-                math.log1p(size), siblings.index(node) / size if size < 400 else 0.5, math.log1p(chars[place[id(node.up)]] if node.up is not None else c), count[i],
+                math.log1p(size), nth.get(id(node), 0) / size, math.log1p(chars[place[id(node.up)]] if node.up is not None else c), count[i],
             ]
         )
         if node.text:
