@@ -1,4 +1,4 @@
-"""MinHash near-duplicate documents: banded candidates, odd-sketch filtering, links confirmed on full shingle sets.
+"""MinHash near-duplicate documents: banded candidates, nearest first by odd sketch, links confirmed on full shingle sets.
 
 Defined results: null, empty or all-white-space texts have an empty shingle set and link with nothing; equal sets form one
 class and stay together; rows with a null id are never linked, have a null component and are kept; repeated rows with one id
@@ -19,7 +19,7 @@ BANDS, ROWS = 32, 5  # at a similarity of 0.8 a pair shares no band with a chanc
 SAMPLES = BANDS * ROWS
 SKETCH_BITS = 512
 SET_BITS = 1024  # parities of a second sketch, of the whole set
-SLACK = 0.14  # the sketch drops a candidate pair only if its estimate is this far below the threshold (over four sigma)
+SLACK = 0.14  # of most_flips; 1.4e-4 of pairs at exactly 0.8 lie beyond it in a simulation (3.7 sigma), so no pair is dropped by it
 NEAREST = 2  # closest partners of each member that the second round tries before the last one takes all pairs
 CHUNK = 1024  # members of a bucket that one task compares with as many others
 
@@ -138,10 +138,11 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 CUT = SKETCH_BITS // 64  # words of the first kind
 
 
-def close_pairs(x: tuple, y: tuple, most: int, percent: int, same: bool, nearest: int | None):
-    """Index pairs from different components whose sketches differ in at most so many bits and whose sizes and parities allow a link.
+def close_pairs(x: tuple, y: tuple, percent: int, same: bool, nearest: int | None):
+    """Index pairs from different components whose sizes and parities allow a link.
 
-    x and y are (sketches, components, set sizes). nearest: only so many closest partners of each row of x.
+    x and y are (sketches, components, set sizes). nearest: only so many closest partners of each row of x by odd sketch; the
+    sketch orders them and drops none for good.
     """
     (sx, cx, nx), (sy, cy, ny) = x, y
     for i in range(len(sx)):
@@ -153,13 +154,13 @@ def close_pairs(x: tuple, y: tuple, most: int, percent: int, same: bool, nearest
             d = flips[:, :CUT].sum(axis=1, dtype=np.int64)
             # A link of these sizes has at most so many members apart; the whole sets' parities never overstate them.
             apart = flips[:, CUT:].sum(axis=1, dtype=np.int64)
-            fit = (d <= most) & ((100 + percent) * apart <= (100 - percent) * (nx[i] + ny[at]))
+            fit = (100 + percent) * apart <= (100 - percent) * (nx[i] + ny[at])
             at, d = at[fit], d[fit]
             for j in at if nearest is None else at[np.argsort(d, kind="stable")[:nearest]]:
                 yield i, j
 
 
-def open_pairs(members: DataFrame, sketches: DataFrame, comp: DataFrame, most: int, percent: int, nearest: int | None = None) -> DataFrame:
+def open_pairs(members: DataFrame, sketches: DataFrame, comp: DataFrame, percent: int, nearest: int | None = None) -> DataFrame:
     """Candidate pairs of one bucket that lie in different components so far.
 
     A bucket is cut into chunks of about CHUNK members; each pair of chunks is one group, so no task holds a whole bucket.
@@ -180,9 +181,9 @@ def open_pairs(members: DataFrame, sketches: DataFrame, comp: DataFrame, most: i
         rows = (sk, comps, t.column("n_shingles").to_numpy())
         p, q = (np.flatnonzero(chunk == c) for c in (i, j))
         x, y = (tuple(v[r] for v in rows) for r in (p, q))
-        found = [(p[u], q[v]) for u, v in close_pairs(x, y, most, percent, i == j, nearest)]
+        found = [(p[u], q[v]) for u, v in close_pairs(x, y, percent, i == j, nearest)]
         if nearest is not None and i != j:
-            found += [(q[u], p[v]) for u, v in close_pairs(y, x, most, percent, False, nearest)]
+            found += [(q[u], p[v]) for u, v in close_pairs(y, x, percent, False, nearest)]
         left, right = ids[[u for u, _ in found]], ids[[v for _, v in found]]
         return pa.table({"a": pa.array(np.minimum(left, right), pa.int64()), "b": pa.array(np.maximum(left, right), pa.int64())})
 
@@ -195,10 +196,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Documents link if 100 * |A and B| >= 100 * threshold * |A or B| on their sets of distinct word shingles. Exact copies of a
     set are one class, so a group of copies of any size costs one row. Each bucket first links its members to its least and
     greatest member, then with its nearest ones by odd sketch; last, every pair of a bucket that is still in different components
-    is compared by odd sketch. Whatever passes is confirmed on the full sets, so no link between different components is lost and
-    none below the threshold is made.
+    and whose set sizes and parities allow a link is taken. All are confirmed on the full sets, so no link of a bucket between
+    different components is lost and none below the threshold is made.
     """
-    percent, most = round(100 * threshold), most_flips(threshold)
+    percent = round(100 * threshold)
     sig = materialise(signatures(docs, id_col, text_col, words))
     filled = sig.where("n_shingles > 0 and id is not null")
     classes = materialise(filled.groupBy("fp1", "fp2", "n_shingles").agg(F.min("id").alias("class_id")))
@@ -212,7 +213,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     star = members.select(F.col("lo").alias("a"), F.col("id").alias("b")).unionAll(members.select(F.col("id").alias("a"), F.col("hi").alias("b")))
     links = materialise(confirmed(star.where("a <> b").distinct(), sets, percent))
     for nearest in (NEAREST, None):
-        rest = materialise(open_pairs(members.select("key", "id"), sketches, components(links), most, percent, nearest))
+        rest = materialise(open_pairs(members.select("key", "id"), sketches, components(links), percent, nearest))
         links = materialise(links.unionAll(confirmed(rest, sets, percent)))
     comp = components(links).select(F.col("node").alias("class_id"), "component")
     out = sig.select("id", "n_shingles", "fp1", "fp2").join(classes, ["fp1", "fp2", "n_shingles"], "left")
