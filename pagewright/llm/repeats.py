@@ -1,9 +1,9 @@
 """Suffix-array deduplication: repeated byte strings of at least a given length, across all documents.
 
 maximal_repeats() stack-scans an enhanced suffix array of one buffer into the tree of common-prefix intervals and keeps those whose
-occurrences differ on the left. remove_repeats() applies it to a corpus: only suffixes that can share a prefix of the length with a
-suffix of another document are brought together, and each bucket's suffixes are sorted, given their common-prefix lengths and
-scanned into intervals.
+occurrences differ on the left. remove_repeats() doesn't use it: for a corpus it finds the stretches of exactly `length` bytes that
+another document has too, by hashed anchors, hashes of their surroundings and a sort of fixed windows. Maximal repeats of a corpus
+and their groups are not built.
 
 How suffixes meet: in every stretch of `length` bytes the leftmost least hash of its GRAM-byte grams is its anchor, so equal
 stretches have equal anchors. Chunks of documents exchange anchor hashes by bucket, then, for anchors that other documents share
