@@ -1,31 +1,39 @@
 """Embedding near-duplicates: exact threshold links by dual traversal of cover trees.
 
-Unit vectors have a cosine of at least c just if their distance is at most sqrt(2 - 2c). A bounded sample gives the top net: pivots
-of each label. Every vector goes to its nearest pivot's cell, and to another cell only if that cell's covering radius allows a link.
-Cells are cut into chunks, so a task holds two chunks whatever a cell's size. In a task both chunks get a cover tree (levels of
-shrinking covering radii); node pairs too far apart are pruned, node pairs close as a whole are linked at once, leaves are compared.
+Unit vectors have a cosine of at least c just if their distance is at most sqrt(2 - 2c). The vectors of a label are cut into cells,
+level by level: where a bounded sample of an oversized cell has a net of few centres at half the cell's radius, each member within that
+radius of its nearest centre goes to that centre's cell and the rest stay together. Cells without such a net are cut by a hash. So each
+chunk is bounded, and each gets a cover tree of nested levels with halving radii. Pairs of cells, then of chunks, then of tree nodes are
+dropped where their covering radii leave no room for a link; node pairs close as a whole are linked at once; what remains is compared.
+
+Vectors without neighbours at any scale (random ones of many dimensions) can't be pruned above their chunks: then all pairs of chunks of
+a label are visited, as blocks of vectors, one row a block.
 
 Defined results: a null label links with nothing, and so do vectors that are null, zero, or hold null or non-finite components;
-vectors of different lengths never link; equal vectors of a label are one class; an empty table gives no row.
+vectors of different lengths never link; equal vectors of a label are one class; rows with a null id link with nothing, have a null
+component and are kept; different vectors that share an id share its links and component; an empty table gives no row; other columns are
+ignored.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from pagewright.llm.common import components, materialise
+from pagewright.llm.common import components, materialise, settle_links
 
-SAMPLE = 4096  # vectors from which pivots are chosen
-CELL = 2048  # vectors of a label for each pivot, as far as the sample goes
-CHUNK = 4096
-LEAF = 64
-FAN = 16
-SAFE = 1e-9  # distances are compared with this slack before a node pair is pruned or linked as a whole
+CHUNK_BYTES = 2 << 20  # of a chunk's vectors as doubles: 4,096 of 64 dimensions
+SAMPLE = 1024  # about so many members of an oversized cell are tried for a net
+FAN = 256  # centres that a cell's net may have
+LEVELS = 6  # of cells, each of half the radius before
+LEAF = 16
+BLOCK = 512
+SAFE = 1e-6  # distances near zero are off by up to 2e-7; bounds are taken with this slack
+TINY = 1e-5  # nodes of this radius aren't divided
+EDGES = 1 << 20  # links that a task holds before it settles them
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -39,174 +47,317 @@ def distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(0, 2 - 2 * (x @ y.T)))
 
 
-def spread(x: np.ndarray, k: int) -> list[int]:
-    """At most k rows, each the farthest from those before; fewer if all rows are covered exactly."""
-    out, d = [0], distances(x, x[:1])[:, 0]
-    while len(out) < k and d.max() > 1e-7:
-        out.append(int(d.argmax()))
-        d = np.minimum(d, distances(x, x[out[-1:]])[:, 0])
-    return out
-
-
-class Node:
-    __slots__ = ("rows", "centre", "radius", "kids")
-
-    def __init__(self, x: np.ndarray, rows: np.ndarray, centre: int):
-        """A level's net: members spread until the radius is halved or FAN of them are chosen, nested level by level."""
-        self.rows, self.centre = rows, centre
-        self.radius = float(distances(x[rows], x[centre : centre + 1]).max())
-        self.kids: list[Node] = []
-        if len(rows) > LEAF and self.radius > 1e-6:
-            part = x[rows]
-            net, d = [int(np.flatnonzero(rows == centre)[0])], None
-            d = distances(part, part[net])
-            near, low = np.zeros(len(rows), np.int64), d[:, 0]
-            while len(net) < FAN and low.max() > self.radius / 2:
-                net.append(int(low.argmax()))
-                new = distances(part, part[net[-1:]])[:, 0]
-                near[new < low] = len(net) - 1
-                low = np.minimum(low, new)
-            if len(net) > 1:
-                self.kids = [Node(x, rows[near == i], int(rows[c])) for i, c in enumerate(net)]
+def net(x: np.ndarray, radius: float, most: int | None = None) -> np.ndarray | None:
+    """Rows of x from the first on, each farther than radius from those taken before; None if they are more than most."""
+    taken = [0]
+    for lo in range(0, len(x), BLOCK):
+        block = x[lo : lo + BLOCK]
+        open_rows = np.flatnonzero(distances(block, x[taken]).min(axis=1) > radius)
+        far = distances(block[open_rows], block[open_rows]) > radius
+        alive = np.ones(len(open_rows), bool)
+        for i in range(len(open_rows)):
+            if alive[i]:
+                taken.append(lo + int(open_rows[i]))
+                alive &= far[i]
+        if most is not None and len(taken) > most:
+            return None
+    return np.array(taken)
+
+
+def nearest(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nearest centre of each row, and its distance."""
+    at, low = np.zeros(len(x), np.int64), np.zeros(len(x))
+    for lo in range(0, len(x), BLOCK):
+        d = distances(x[lo : lo + BLOCK], centres)
+        at[lo : lo + BLOCK], low[lo : lo + BLOCK] = d.argmin(axis=1), d.min(axis=1)
+    return at, low
+
+
+def grow(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, nodes) of a cover tree over the rows of x; nodes holds lo, hi, radius, kid, end and level of each.
+
+    Node k has the rows order[lo:hi], all within radius of the first, its centre; its kids are the nodes kid:end. A kid of level l lies
+    within 2 ** (1 - l) of its centre as a whole, centres of one parent's kids are farther apart than that, and the first kid keeps the
+    parent's centre. Levels that would only repeat a node are left out.
+    """
+    order = np.arange(len(x))
+    lo, hi, radius, level, kid, end = [0], [len(x)], [float(distances(x, x[:1]).max())], [0], [0], [0]
+    i = 0
+    while i < len(lo):
+        a, b = lo[i], hi[i]
+        if b - a > LEAF and radius[i] > TINY:
+            part, depth = x[order[a:b]], level[i] + 1
+            while 2.0 ** (1 - depth) >= radius[i]:
+                depth += 1
+            centres = net(part, 2.0 ** (1 - depth))
+            at, d = nearest(part, part[centres])
+            other = np.ones(b - a, bool)
+            other[centres], d[centres] = False, 0
+            by = np.lexsort((other, at))
+            order[a:b] = order[a:b][by]
+            n = np.bincount(at, minlength=len(centres))
+            stop = np.cumsum(n)
+            kid[i], end[i] = len(lo), len(lo) + len(n)
+            lo += (a + stop - n).tolist()
+            hi += (a + stop).tolist()
+            radius += np.maximum.reduceat(d[by], stop - n).tolist()
+            level += [depth] * len(n)
+            kid += [0] * len(n)
+            end += [0] * len(n)
+        i += 1
+    return order, np.array([lo, hi, radius, kid, end, level], np.float64)
+
+
+class Tree:
+    def __init__(self, x: np.ndarray, nodes: np.ndarray):
+        """x: unit vectors in the tree's order."""
+        self.x, self.radius = x, nodes[2]
+        self.lo, self.hi, self.kid, self.end = (nodes[k].astype(np.int64) for k in (0, 1, 3, 4))
+        self.size = self.hi - self.lo
+
+    def leaf(self, k: int) -> bool:
+        return self.end[k] == 0
+
+    def kids(self, k: int) -> np.ndarray:
+        return np.array([k]) if self.leaf(k) else np.arange(self.kid[k], self.end[k])
 
 
 class Links:
-    """Link counts (weighted by class sizes) and components of two chunks' rows."""
+    """Link counts (weighted by class sizes) and linked classes of two trees' rows; a tree may be paired with itself."""
 
-    def __init__(self, x: np.ndarray, weight: np.ndarray, cosine: float):
-        self.x, self.weight, self.cosine = x, weight, cosine
+    def __init__(self, s: Tree, t: Tree, ws: np.ndarray, wt: np.ndarray, cosine: float):
+        self.s, self.t, self.ws, self.wt, self.cosine, self.same = s, t, ws, wt, cosine, s is t
         self.most = float(np.sqrt(2 - 2 * cosine))
-        self.count, self.top = np.zeros(len(x), np.int64), np.arange(len(x))
-
-    def join(self, rows: np.ndarray) -> None:
-        tops = np.unique(self.top[rows])
-        if len(tops) > 1:
-            self.top[np.isin(self.top, tops)] = tops[0]
-
-    def visit(self, a: Node, b: Node) -> None:
-        stack = [(a, b)]
+        self.of_s = np.zeros(len(s.x), np.int64)
+        self.of_t = self.of_s if self.same else np.zeros(len(t.x), np.int64)
+        self.base = 0 if self.same else len(s.x)
+        self.u, self.v, self.n = [], [], 0
+
+    def edge(self, u: np.ndarray, v: np.ndarray) -> None:
+        self.u.append(u)
+        self.v.append(v)
+        self.n += len(u)
+        if self.n > EDGES:
+            self.settle()
+
+    def settle(self) -> tuple[np.ndarray, np.ndarray]:
+        """(rows with a link, the least row of each one's component); rows of t are numbered after those of s."""
+        none = np.empty(0, np.int64)
+        node, top = settle_links(np.concatenate([none, *self.u]), np.concatenate([none, *self.v]))
+        self.u, self.v, self.n = [node], [top], 0
+        return node, top
+
+    def visit(self) -> None:
+        s, t, stack = self.s, self.t, [(0, 0)]
         while stack:
             a, b = stack.pop()
-            d = float(distances(self.x[a.centre : a.centre + 1], self.x[b.centre : b.centre + 1])[0, 0])
-            if a is not b and d - a.radius - b.radius > self.most + SAFE:
-                continue
-            if d + a.radius + b.radius < self.most - SAFE:
-                self.whole(a, b)
-            elif not a.kids and not b.kids:
+            if s.leaf(a) and t.leaf(b):
                 self.compare(a, b)
-            elif a is b:
-                stack += [(p, q) for i, p in enumerate(a.kids) for q in a.kids[i:]]
-            elif a.kids and (a.radius >= b.radius or not b.kids):
-                stack += [(p, b) for p in a.kids]
-            else:
-                stack += [(a, q) for q in b.kids]
-
-    def whole(self, a: Node, b: Node) -> None:
-        w = self.weight
-        if a is b:
-            self.count[a.rows] += w[a.rows].sum() - w[a.rows]
+                continue
+            every, q = s.kids(a), t.kids(b)
+            for k in range(0, len(every), BLOCK):
+                p = every[k : k + BLOCK]
+                d = distances(s.x[s.lo[p]], t.x[t.lo[q]])
+                near = d <= self.most + SAFE + s.radius[p][:, None] + t.radius[q]
+                if self.same and a == b:
+                    near &= p[:, None] <= q
+                i, j = np.nonzero(near)
+                one = (s.size[p[i]] == 1) & (t.size[q[j]] == 1)
+                self.pairs(s.lo[p[i[one]]], t.lo[q[j[one]]])
+                for x, y, between in zip(p[i[~one]].tolist(), q[j[~one]].tolist(), d[i[~one], j[~one]].tolist()):
+                    if between + s.radius[x] + t.radius[y] < self.most - SAFE:
+                        self.whole(x, y)
+                    else:
+                        stack.append((x, y))
+
+    def pairs(self, i: np.ndarray, j: np.ndarray) -> None:
+        """Rows i of s against rows j of t, one by one."""
+        for lo in range(0, len(i), 1 << 14):
+            x, y = i[lo : lo + (1 << 14)], j[lo : lo + (1 << 14)]
+            hit = (self.s.x[x] * self.t.x[y]).sum(axis=1) >= self.cosine
+            if self.same:
+                hit &= x != y
+            x, y = x[hit], y[hit]
+            np.add.at(self.of_s, x, self.wt[y])
+            np.add.at(self.of_t, y, self.ws[x])
+            self.edge(x, y + self.base)
+
+    def whole(self, a: int, b: int) -> None:
+        p, q = slice(self.s.lo[a], self.s.hi[a]), slice(self.t.lo[b], self.t.hi[b])
+        if self.same and a == b:
+            self.of_s[p] += self.ws[p].sum() - self.ws[p]
         else:
-            self.count[a.rows] += w[b.rows].sum()
-            self.count[b.rows] += w[a.rows].sum()
-        self.join(np.concatenate((a.rows, b.rows)))
-
-    def compare(self, a: Node, b: Node) -> None:
-        near = self.x[a.rows] @ self.x[b.rows].T >= self.cosine
-        if a is b:
-            np.fill_diagonal(near, False)
-        if near.any():
-            self.count[a.rows] += near @ self.weight[b.rows]
-            if a is not b:
-                self.count[b.rows] += near.T @ self.weight[a.rows]
-            for i in np.flatnonzero(near.any(axis=1)):
-                self.join(np.append(b.rows[near[i]], a.rows[i]))
+            self.of_s[p] += self.wt[q].sum()
+            self.of_t[q] += self.ws[p].sum()
+        rows = np.concatenate((np.arange(p.start, p.stop), np.arange(q.start, q.stop) + self.base))
+        self.edge(np.full(len(rows), p.start), rows)
+
+    def compare(self, a: int, b: int) -> None:
+        own = self.same and a == b
+        for lo in range(int(self.s.lo[a]), int(self.s.hi[a]), BLOCK):
+            p, q = slice(lo, min(lo + BLOCK, int(self.s.hi[a]))), slice(self.t.lo[b], self.t.hi[b])
+            near = self.s.x[p] @ self.t.x[q].T >= self.cosine
+            if own:
+                near &= np.arange(p.start, p.stop)[:, None] < np.arange(q.start, q.stop)
+            i, j = np.nonzero(near)
+            np.add.at(self.of_s, i + p.start, self.wt[q][j])
+            np.add.at(self.of_t, j + q.start, self.ws[p][i])
+            self.edge(i + p.start, j + q.start + self.base)
+
+
+def as_matrix(vectors: pa.ChunkedArray, kind: str) -> np.ndarray:
+    """Vectors of one length as rows."""
+    flat = pa.concat_arrays([c.flatten() for c in vectors.chunks]) if isinstance(vectors, pa.ChunkedArray) else vectors.flatten()
+    return flat.to_numpy(zero_copy_only=False).astype(kind).reshape(len(vectors), -1)
+
+
+CELL = ["label", "dim", "cell"]
+
+
+def chunk_rows(dim: Column) -> Column:
+    return F.greatest(F.lit(LEAF), F.floor(F.lit(CHUNK_BYTES / 8) / dim))
+
+
+def chooser(radius: float, kind: str):
+    """The net of a sample of a cell, one row a centre; none if FAN centres don't cover it."""
+
+    def choose(key, t):
+        key = dict(zip(CELL, (x.as_py() for x in key)))
+        x = unit(as_matrix(t.column("v"), kind))
+        rows = net(x, radius, FAN)
+        centres = [] if rows is None else x[rows].tolist()
+        return pa.table({
+            **{c: pa.array([key[c]] * len(centres), t.schema.field(c).type) for c in CELL}, "child": pa.array([f"{key['cell']}/{k}" for k in range(len(centres))], pa.string()),
+            "centre": pa.array(centres, pa.list_(pa.float64())),
+        })
+
+    return choose
+
+
+def assigner(radius: float, kind: str):
+    """The next cell of each class of a cell: that of the nearest centre within radius, else the rest; the rows with a child are the net."""
+
+    def assign(t):
+        is_net = np.array(t.column("child").is_valid())
+        centres, names = t.filter(pa.array(is_net)), None
+        rows = t.filter(pa.array(~is_net))
+        out = pa.array([], pa.string())
+        if len(rows):
+            names = centres.column("child").to_pylist()
+            at, d = nearest(unit(as_matrix(rows.column("v"), kind)), np.array(centres.column("centre").to_pylist()))
+            own = rows.column("cell")[0].as_py() + "/rest"
+            out = pa.array([names[k] if near else own for k, near in zip(at.tolist(), (d <= radius).tolist())], pa.string())
+        return pa.table({**{c: rows.column(c) for c in ("label", "dim", "v", "cid", "n")}, "cell": out})
+
+    return assign
+
+
+def cells(classes: DataFrame, kind: str, vec: str) -> tuple[DataFrame, list[DataFrame]]:
+    """(classes with their cell, the cells made at each level as (label, dim, parent, cell, centre, radius))."""
+    now, made = classes.withColumn("cell", F.lit("c")), []
+    fixed = None  # members of cells that aren't divided any more
+    for level in range(1, LEVELS + 1):
+        sizes = now.groupBy(*CELL).agg(F.count("*").alias("size")).where(F.col("size") > chunk_rows(F.col("dim")))
+        sizes = materialise(sizes.withColumn("salts", F.ceil(F.col("size") / chunk_rows(F.col("dim"))).cast("int")))
+        if sizes.isEmpty():
+            break
+        radius = 2.0 ** (1 - level)
+        sample = now.join(sizes, CELL).where(F.pmod(F.xxhash64("cid"), F.ceil(F.col("size") / SAMPLE)) == 0).select(*CELL, "v")
+        nets = materialise(sample.groupBy(*CELL).applyInArrow(chooser(radius, kind), "label string, dim int, cell string, child string, centre array<double>"))
+        cut = nets.select(*CELL).distinct()
+        if cut.isEmpty():
+            break
+        rest = now.join(cut, CELL, "left_anti")
+        fixed = rest if fixed is None else fixed.unionByName(rest)
+        # A cell goes to as many tasks as it has chunks; each of them gets the cell's net besides.
+        salted = now.join(sizes, CELL).join(cut, CELL, "left_semi")
+        a = salted.select(*CELL, F.pmod(F.xxhash64("cid"), F.col("salts")).cast("int").alias("salt"), "v", "cid", "n", F.lit(None).cast("string").alias("child"), F.lit(None).cast("array<double>").alias("centre"))
+        b = nets.join(sizes, CELL).select(*CELL, F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(None).cast(vec).alias("v"), F.lit(None).cast("long").alias("cid"), F.lit(None).cast("long").alias("n"), "child", "centre")
+        now = materialise(a.unionAll(b).groupBy(*CELL, "salt").applyInArrow(assigner(radius, kind), f"label string, dim int, v {vec}, cid long, n long, cell string")).select(*classes.columns, "cell")
+        rest = cut.select(*CELL, F.concat("cell", F.lit("/rest")).alias("child"), F.lit(None).cast("array<double>").alias("centre"))
+        made.append(nets.unionAll(rest).select("label", "dim", F.col("cell").alias("parent"), F.col("child").alias("cell"), "centre", F.lit(radius).alias("radius")))
+    return (now if fixed is None else now.unionByName(fixed)), made
+
+
+def reachable(most: float) -> Column:
+    """Whether covering radii leave room for a link between sides a and b; a side without a centre has no bound."""
+    dot = F.aggregate(F.zip_with("a_centre", "b_centre", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    far = F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * dot)) - F.col("a_radius") - F.col("b_radius") > most + SAFE
+    return F.coalesce(~far, F.lit(True))
+
+
+def cell_pairs(roots: DataFrame, made: list[DataFrame], most: float) -> DataFrame:
+    """(label, dim, a, b) of the cells that may hold linked vectors, a <= b: both sides go down level by level."""
+    nothing = (F.lit(None).cast("array<double>"), F.lit(2.0))
+    now = roots.select("label", "dim", *(c.alias(f"{s}{n}") for s in "ab" for n, c in zip(("", "_centre", "_radius"), (F.lit("c"), *nothing))))
+    for kids in made:
+        was = now.select("label", "dim", *(F.col(f"{s}{n}").alias(f"{s}{n}0") for s in "ab" for n in ("", "_centre", "_radius")))
+        for s in "ab":
+            own = kids.select("label", "dim", F.col("parent").alias(f"{s}0"), F.col("cell").alias(f"{s}1"), F.col("centre").alias(f"{s}_centre1"), F.col("radius").alias(f"{s}_radius1"))
+            was = was.join(own, ["label", "dim", f"{s}0"], "left")
+        new = {f"{s}{n}": F.when(F.col(f"{s}1").isNull(), F.col(f"{s}{n}0")).otherwise(F.col(f"{s}{n}1")) for s in "ab" for n in ("", "_centre", "_radius")}
+        was = was.select("label", "dim", "a0", "b0", *(c.alias(k) for k, c in new.items()))
+        now = materialise(was.where((F.col("a0") != F.col("b0")) | (F.col("a") <= F.col("b"))).where(reachable(most)).drop("a0", "b0"))
+    # The halves of a pair may have changed places on the way down.
+    return now.select("label", "dim", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", cosine: float = 0.93) -> DataFrame:
     """(id, n_links, class_id, component_id, kept) of each row."""
-    most = float(np.sqrt(2 - 2 * cosine)) + SAFE
-    v = F.col(vec_col).cast("array<float>")
+    most = float(np.sqrt(2 - 2 * cosine))
+    given = vectors.schema[vec_col].dataType
+    exact = isinstance(given, T.ArrayType) and isinstance(given.elementType, T.FloatType)
+    vec, kind = ("array<float>", "f4") if exact else ("array<double>", "f8")
+    v = F.col(vec_col).cast(vec)
     fine = F.col(label_col).isNotNull() & v.isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("string").alias("label"), v.alias("v"), F.coalesce(fine, F.lit(False)).alias("fine"))
     rows = rows.withColumn("fine", F.col("fine") & F.col("id").isNotNull())
-    classes = materialise(rows.where("fine").groupBy("label", "v").agg(F.min("id").alias("cid"), F.count("*").alias("n")))
-    sizes = {(r.label, r.dim): r.n for r in classes.groupBy("label", F.size("v").alias("dim")).agg(F.count("*").alias("n")).orderBy(F.desc("n")).limit(SAMPLE).collect()}
-    sample = defaultdict(list)
-    for r in classes.select("label", "v").orderBy(F.xxhash64("cid"), "cid").limit(SAMPLE).collect():
-        sample[r.label, len(r.v)].append(r.v)
-    pivots = {}
-    for key, x in sample.items():
-        x = unit(np.array(x, np.float32))
-        pivots[key] = x[spread(x, max(1, -(-sizes.get(key, 0) // CELL)))]
-    spark = vectors.sparkSession
-    shared = spark.sparkContext.broadcast(pivots)  # at most SAMPLE vectors
-
-    def columns(batch):
-        """Rows of a batch by label and vector length: (label, dim, places, unit vectors, distances to the pivots)."""
-        by = defaultdict(list)
-        vecs = batch.column(1).to_pylist()
-        for i, (label, x) in enumerate(zip(batch.column(0).to_pylist(), vecs)):
-            by[label, len(x)].append(i)
-        for (label, dim), at in by.items():
-            x = unit(np.array([vecs[i] for i in at], np.float32))
-            p = shared.value.get((label, dim))
-            yield label, dim, np.array(at), x, distances(x, p) if p is not None else np.full((len(at), 1), 2.0)
-
-    def assign(batches):
-        for batch in batches:
-            cell, far = np.zeros(len(batch), np.int32), np.zeros(len(batch))
-            for _, _, at, _, d in columns(batch):
-                cell[at], far[at] = d.argmin(axis=1), d.min(axis=1)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell), pa.array(far)], names=["label", "v", "cid", "n", "cell", "far"])
-
-    placed = materialise(classes.select("label", "v", "cid", "n").mapInArrow(assign, "label string, v array<float>, cid long, n long, cell int, far double"))
-    known = [list(k) for k in pivots]
-    cells = placed.groupBy("label", F.size("v").alias("dim"), "cell").agg(F.max("far").alias("radius"), F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
-    keys = F.broadcast(spark.createDataFrame(known or [["", 0]], "label string, dim int"))  # at most SAMPLE pairs
-    radii = defaultdict(dict)
-    for r in cells.join(keys, ["label", "dim"]).collect():  # at most one a pivot
-        radii[r.label, r.dim][r.cell] = (r.radius, r.chunks)
-    bounds = spark.sparkContext.broadcast(dict(radii))
-    # A label that the sample misses is one cell; its chunk count comes with its rows.
-    alone = cells.join(keys, ["label", "dim"], "left_anti").select("label", "dim", F.col("chunks").alias("own_chunks"))
-    placed = placed.withColumn("dim", F.size("v")).join(alone, ["label", "dim"], "left").select("label", "v", "cid", "n", "cell", "own_chunks")
-
-    def send(batches):
-        for batch in batches:
-            cell, own = batch.column(4).to_numpy(), batch.column(5).to_pylist()
-            cid = batch.column(2).to_numpy()
-            take, g = [], []
-            for label, dim, at, _, d in columns(batch):
-                cell_bounds = bounds.value.get((label, dim))
-                for j, i in enumerate(at.tolist()):
-                    a = int(cell[i])
-                    here = cell_bounds or {0: (2.0, own[i] or 1)}
-                    ca = (int(cid[i]) * 0x9E3779B97F4A7C15 % (1 << 64) >> 40) % here[a][1]
-                    for b, (radius, chunks) in here.items():
-                        if b == a or d[j, b] <= radius + most:
-                            for cb in range(chunks):
-                                x, y = ((a, ca), (b, cb)) if (a, ca) <= (b, cb) else ((b, cb), (a, ca))
-                                take.append(i)
-                                g.append((*x, *y, int((a, ca) == x)))
-            cols = np.array(g, np.int32).reshape(-1, 5)
-            part = batch.take(pa.array(take, pa.int64()))
-            yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(4)), *(pa.array(cols[:, k]) for k in range(5))], names=["label", "v", "cid", "n", "a", "ca", "b", "cb", "side"])
-
-    sent = placed.mapInArrow(send, "label string, v array<float>, cid long, n long, a int, ca int, b int, cb int, side int")
-
-    def compare(key, t):
-        x = unit(np.array(t.column("v").to_pylist(), np.float32))
-        cid, side = t.column("cid").to_numpy(), t.column("side").to_numpy()
-        links = Links(x, t.column("n").to_numpy(), cosine)
-        left, right = np.flatnonzero(side == 1), np.flatnonzero(side == 0)
-        same = key[2].as_py() == key[4].as_py() and key[3].as_py() == key[5].as_py()
-        if len(left) and (same or len(right)):
-            tree = Node(x, left, int(left[0]))
-            links.visit(tree, tree if same else Node(x, right, int(right[0])))
-        hit = np.flatnonzero(links.count)
-        return pa.table({"cid": cid[hit], "n": links.count[hit], "top": cid[links.top[hit]]})
-
-    found = materialise(sent.groupBy("label", F.size("v").alias("dim"), "a", "ca", "b", "cb").applyInArrow(compare, "cid long, n long, top long"))
+    classes = materialise(rows.where("fine").groupBy("label", "v").agg(F.min("id").alias("cid"), F.count("*").alias("n")).withColumn("dim", F.size("v")))
+    placed, made = cells(classes, kind, vec)
+
+    def pack(t):
+        """A chunk's classes in the order of their cover tree, as one row."""
+        x = as_matrix(t.column("v"), kind)
+        order, nodes = grow(unit(x))
+        cols = {c: t.column(c)[:1] for c in (*CELL, "chunk")}
+        data = [x[order], t.column("cid").to_numpy()[order], t.column("n").to_numpy()[order], nodes]
+        return pa.table({
+            **cols, "centre": pa.array(unit(x[order[:1]]).tolist(), pa.list_(pa.float64())), "radius": pa.array([float(nodes[2, 0])]),
+            **{k: pa.array([np.ascontiguousarray(d).tobytes()], pa.binary()) for k, d in zip(("vs", "cids", "ns", "nodes"), data)},
+        })
+
+    sizes = placed.groupBy(*CELL).agg(F.ceil(F.count("*") / chunk_rows(F.col("dim"))).cast("int").alias("chunks"))
+    dealt = placed.join(sizes, CELL).select(*CELL, F.pmod(F.xxhash64("cid"), F.col("chunks")).cast("int").alias("chunk"), "v", "cid", "n")
+    packed = "label string, dim int, cell string, chunk int, centre array<double>, radius double, vs binary, cids binary, ns binary, nodes binary"
+    chunks = materialise(dealt.groupBy(*CELL, "chunk").applyInArrow(pack, packed))
+    known = chunks.select(*CELL, "chunk", "centre", "radius")
+    pairs = cell_pairs(known.select("label", "dim").distinct(), made, most)
+    for s in "ab":
+        side = known.select("label", "dim", F.col("cell").alias(s), F.col("chunk").alias(f"{s}_chunk"), F.col("centre").alias(f"{s}_centre"), F.col("radius").alias(f"{s}_radius"))
+        pairs = pairs.join(side, ["label", "dim", s])
+    pair = ["label", "dim", "a", "a_chunk", "b", "b_chunk"]
+    pairs = materialise(pairs.where((F.col("a") < F.col("b")) | (F.col("a_chunk") <= F.col("b_chunk"))).where(reachable(most)).select(*pair))
+    data = ("vs", "cids", "ns", "nodes")
+
+    def sent(s: str) -> DataFrame:
+        blobs = chunks.select("label", "dim", F.col("cell").alias(s), F.col("chunk").alias(f"{s}_chunk"), *data)
+        which = pairs if s == "a" else pairs.where("a <> b or a_chunk <> b_chunk")
+        return which.join(blobs, ["label", "dim", s, f"{s}_chunk"]).select(*pair, F.lit(s).alias("side"), *data)
+
+    def compare(t):
+        dim, trees, cids, weights = t.column("dim")[0].as_py(), [], [], []
+        for r in sorted(t.select(["side", *data]).to_pylist(), key=lambda r: r["side"]):
+            trees.append(Tree(unit(np.frombuffer(r["vs"], kind).reshape(-1, dim)), np.frombuffer(r["nodes"]).reshape(6, -1)))
+            cids.append(np.frombuffer(r["cids"], np.int64))
+            weights.append(np.frombuffer(r["ns"], np.int64))
+        links = Links(trees[0], trees[-1], weights[0], weights[-1], cosine)
+        links.visit()
+        node, top = links.settle()
+        cid = np.concatenate(cids)
+        count = links.of_s if links.same else np.concatenate((links.of_s, links.of_t))
+        return pa.table({"cid": cid[node], "n": count[node], "top": cid[top]})
+
+    found = materialise(sent("a").unionAll(sent("b")).groupBy(*pair).applyInArrow(compare, "cid long, n long, top long"))
     counts = found.groupBy("cid").agg(F.sum("n").alias("linked"))
     comp = components(found.select(F.col("cid").alias("a"), F.col("top").alias("b"))).select(F.col("node").alias("cid"), "component")
     info = classes.join(counts, "cid", "left").join(comp, "cid", "left")
