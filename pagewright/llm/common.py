@@ -12,26 +12,57 @@ from pyspark.sql import functions as F
 
 #: Graphs of at most this many counted links (16 bytes each) are settled in one task; larger ones in distributed rounds.
 TASK_LINKS = 1_000_000
+#: Of one Arrow batch that goes to a Python worker.
+BATCH_BYTES, BATCH_ROWS = 4 << 20, 2000
+FILES_PER_CORE = 8
 #: Sides of at most this many narrow rows (a few longs each) may be broadcast; larger ones go through a shuffle join.
 BROADCAST_ROWS = 200_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor sees: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
+    """The folder every executor sees: spark.checkpoint.dir. Where that is unset, a temporary one if all tasks run in this process, else an error."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if found:
         return found
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="pagewright-"))
     return spark.sparkContext.getCheckpointDir()
 
 
 def materialise(df: DataFrame) -> DataFrame:
-    """Write df as Parquet into the shared folder and read it back: lineage ends there and lost executors cost nothing."""
+    """Write df as Parquet into the shared folder and read it back: lineage ends there and lost executors cost nothing.
+
+    At most FILES_PER_CORE files a core are written, whatever the number of partitions.
+    """
     spark = df.sparkSession
+    df = df.coalesce(FILES_PER_CORE * spark.sparkContext.defaultParallelism)
     path = f"{shared_dir(spark)}/pagewright-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete what materialise wrote for these frames. Only for frames that nothing unwritten is still derived from."""
+    for df in frames:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._written)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """df, in a session whose Arrow batches hold at most BATCH_BYTES, so that what a Python worker holds doesn't grow with the texts.
+
+    Both are limits of the session: they hold for every later query of it, and lower ones that are set already stay.
+    """
+    conf = df.sparkSession.conf
+    for key, most in (("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES), ("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)):
+        now = int(conf.get(key).rstrip("b"))
+        if now <= 0 or now > most:
+            conf.set(key, str(most))
+    return df
 
 
 def small(df: DataFrame, n_rows: int) -> DataFrame:

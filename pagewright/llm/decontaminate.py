@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pagewright.llm.common import bounded_batches
+
 RATE = 0.1
 BLOCK_ITEMS = 20_000  # items in one automaton; more items are matched block by block
 GRAM = 3
@@ -177,7 +179,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
                 cols = list(zip(*found)) if found else [[]] * 4
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(cols[0], pa.int64()), *(pa.array(c, pa.int32()) for c in cols[1:])], names=["id", "item_id", "edits", "start", "end"])
 
-        part = rows.mapInArrow(run, "id long, item_id long, edits int, start int, end int")
+        part = bounded_batches(rows).mapInArrow(run, "id long, item_id long, edits int, start int, end int")
         out = part if out is None else out.unionAll(part)
     if out is None:
         out = spark.createDataFrame([], "id long, item_id long, edits int, start int, end int")
@@ -195,5 +197,5 @@ def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_co
             for batch in batches:
                 yield batch.filter(pa.array([not m.match(t.as_py()) for t in batch.column(at)], pa.bool_()))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = bounded_batches(docs).mapInArrow(run, docs.schema)
     return docs

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagewright.llm import gbt
+from pagewright.llm.common import bounded_batches
 from pagewright.llm.html_pages import Node, parse, training_tree
 
 TRAINING_PAGES, SEED = 900, 11
@@ -137,17 +138,18 @@ def texts_of(pages: list[str | None], trees: gbt.Trees) -> list[str]:
 
 
 def extract(pages: DataFrame, keep: list[str], html_col: str = "html") -> DataFrame:
-    """The kept columns, text and n_chars of each page; one pass, nothing is shuffled."""
+    """The kept columns, text and n_chars of each page (kept columns of those names give way); one pass, nothing is shuffled."""
     trees = model()
+    keep = [c for c in keep if c not in ("text", "n_chars")]
 
     def run(batches):
         for batch in batches:
             for lo in range(0, len(batch), 128):
                 part = batch.slice(lo, 128)
                 texts = texts_of(part.column(0).to_pylist(), trees)
-                yield pa.RecordBatch.from_arrays(
-                    [*(part.column(i + 1) for i in range(len(keep))), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=[*keep, "text", "n_chars"]
-                )
+                out = [*part.columns[1:], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())]
+                yield pa.RecordBatch.from_arrays(out, names=[*(f"c{i}" for i in range(len(keep))), "text", "n_chars"])
 
-    kinds = ", ".join(f"{c} {pages.schema[c].dataType.simpleString()}" for c in keep)
-    return pages.select(F.col(html_col).cast("string").alias("_html"), *keep).mapInArrow(run, f"{kinds}, text string, n_chars long")
+    kinds = "".join(f"c{i} {pages.schema[c].dataType.simpleString()}, " for i, c in enumerate(keep))
+    sent = pages.select(F.col(f"`{html_col}`").cast("string").alias("html"), *(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep)))
+    return bounded_batches(sent).mapInArrow(run, f"{kinds}text string, n_chars long").toDF(*keep, "text", "n_chars")

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagewright.llm.common import components, materialise
+from pagewright.llm.common import bounded_batches, components, materialise
 from pagewright.llm.hashing import common, mix, shingle_sets
 
 BANDS, ROWS = 32, 5  # at a similarity of 0.8 a pair shares no band with a chance of 3e-6
@@ -95,7 +95,8 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataF
                     names=["id", "n_shingles", "fp1", "fp2", "bands", "sketch"],
                 )
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    return bounded_batches(rows).mapInArrow(
         run, "id long, n_shingles long, fp1 long, fp2 long, bands array<long>, sketch binary"
     )
 

@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pagewright.llm.common import bounded_batches
+
 KINDS = ("assign", "access", "hex", "markov")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -145,5 +147,5 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample
                 )
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    out = rows.mapInArrow(run, "id long, n_assign long, n_access long, n_hex long, n_markov long, base_sha256 string, spans string")
+    out = bounded_batches(rows).mapInArrow(run, "id long, n_assign long, n_access long, n_hex long, n_markov long, base_sha256 string, spans string")
     return out.withColumnRenamed("id", id_col)

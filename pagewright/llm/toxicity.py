@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagewright.llm import gbt
+from pagewright.llm.common import bounded_batches
 
 SAMPLE_ROWS = 20_000  # labelled rows that the classifier is fitted on, the least by a hash of their id
 LEARNED_TERMS = 400
@@ -96,7 +97,7 @@ def table(docs: DataFrame, learned: frozenset[str], keep: list[str]) -> DataFram
                 yield pa.RecordBatch.from_arrays([*(part.column(i + 1) for i in range(len(keep))), pa.array(x, pa.list_(pa.float64()))], names=[*keep, "x"])
 
     kinds = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return docs.select("text", *keep).mapInArrow(run, f"{kinds}, x array<double>")
+    return bounded_batches(docs.select("text", *keep)).mapInArrow(run, f"{kinds}, x array<double>")
 
 
 def stem(words: Column, k: int) -> Column:
@@ -163,20 +164,25 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7) -> DataFrame:
-    """All columns of docs, with score and predicted beside them (replacing columns of those names)."""
+    """All columns of docs, with score and predicted beside them (replacing columns of those names).
+
+    Columns pass through in the same bounded batches as the texts, so nothing is shuffled or joined back and no text is sent twice.
+    """
     keep = [c for c in docs.columns if c not in ("score", "predicted")]
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    sent = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep)]
+    at = keep.index(text_col) if text_col in keep and docs.schema[text_col].dataType.simpleString() == "string" else len(keep)
+    if at == len(keep):
+        sent.append(F.col(f"`{text_col}`").cast("string").alias("text"))
 
     def run(batches):
         for batch in batches:
             for lo in range(0, len(batch), 512):
                 part = batch.slice(lo, 512)
-                x = np.array([features(t, shared.value.learned) for t in part.column(0).to_pylist()], float)
+                x = np.array([features(t, shared.value.learned) for t in part.column(at).to_pylist()], float)
                 s = np.clip(shared.value.score(x), 0, 1)
-                yield pa.RecordBatch.from_arrays(
-                    [*(part.column(i + 1) for i in range(len(keep))), pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=[*(f"c{i}" for i in range(len(keep))), "score", "predicted"]
-                )
+                out = [*part.columns[: len(keep)], pa.array(s), pa.array((s >= threshold).astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(out, names=[*(f"c{i}" for i in range(len(keep))), "score", "predicted"])
 
     kinds = ", ".join(f"c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(keep))
-    out = docs.select(F.col(text_col).cast("string").alias("_text"), *(F.col(c).alias(f"c{i}") for i, c in enumerate(keep))).mapInArrow(run, f"{kinds}, score double, predicted int")
-    return out.toDF(*keep, "score", "predicted")
+    return bounded_batches(docs.select(*sent)).mapInArrow(run, f"{kinds}{', ' if keep else ''}score double, predicted int").toDF(*keep, "score", "predicted")
