@@ -50,3 +50,62 @@ def test_maximal_repeats(data, least):
             if len(at) > 1 and (len(left) > 1 or -1 in left) and (len(right) > 1 or -1 in right):
                 want.append((n, at))
     assert repeats.maximal_repeats(data, least) == sorted(want, key=lambda x: (x[1], x[0]))
+
+
+def test_groups_have_all_occurrences(spark, monkeypatch):
+    monkeypatch.setattr(repeats, "CHUNK_BYTES", 3000)
+    r = random.Random(8)
+    passages = ["".join(r.choices("abcd é", k=r.randint(45, 160))) for _ in range(5)]
+    rows = []
+    for i in range(40):
+        p = r.choice(passages)
+        a, b = sorted((r.randrange(len(p)), r.randrange(len(p))))
+        rows.append((i, "".join(r.choices("xyz", k=r.randint(0, 30))) + p[a:b] + r.choice(("", "q", p)) + "".join(r.choices("xyz", k=9)), "", "", 0, 1, "", 1, "", 1))
+    rows += [(90, None, "", "", 0, 1, "", 1, "", 1), (91, "a" * 70, "", "", 0, 1, "", 1, "", 1), (92, rows[0][1], "", "", 0, 1, "", 1, "", 1), (None, rows[0][1], "", "", 0, 1, "", 1, "", 1)]
+    raw = {x[0]: (x[1] or "").encode() for x in rows if x[0] is not None}
+    groups = {}
+    for g in repeats.repeat_groups(frame(spark, rows)).collect():
+        groups.setdefault((g.group_id, g.n_bytes), set()).add((g.doc_id, g.start))
+    everywhere = {}
+    for doc, t in raw.items():
+        for i in range(len(t) - 49):
+            everywhere.setdefault(t[i : i + 50], set()).add((doc, i))
+    covered = {doc: np.zeros(len(t), bool) for doc, t in raw.items()}
+    assert any(k[0].startswith("node") for k in groups)
+    for (_, n), at in groups.items():
+        doc, i = next(iter(at))
+        s = raw[doc][i : i + n]
+        assert n >= 50 and len(at) > 1 and at == {(d, i) for d, i in everywhere[s[:50]] if raw[d][i : i + n] == s}
+        for d, i in at:
+            covered[d][i : i + n] = True
+    for doc, t in raw.items():
+        want = np.zeros(len(t), bool)
+        for i in range(len(t) - 49):
+            if len({d for d, _ in everywhere[t[i : i + 50]]}) > 1:
+                want[i : i + 50] = True
+        assert (covered[doc] >= want).all()
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.tuples(st.text("ab", min_size=3, max_size=12).map(str.encode), st.integers(0, 5)), min_size=1, max_size=8))
+def test_reach_against_brute_force(entries):
+    """Every byte of a 3-byte string that a smaller document has too, and no other, is reached."""
+    text = np.frombuffer(b"".join(t for t, _ in entries), np.uint8)
+    size = np.array([len(t) for t, _ in entries])
+    begin = np.cumsum(size) - size
+    entry = np.repeat(np.arange(len(size)), size - 2)
+    offset = np.concatenate([np.arange(k - 2) for k in size])
+    starts, doc = begin[entry] + offset, np.array([d for _, d in entries])
+    left = np.where(offset > 0, text[starts - 1].astype(np.int16), np.int16(-1))
+    order, lcp = repeats.enhanced(text, starts, (begin + size)[entry], left, 3)
+    depth, owner = repeats.reach(lcp, left[order], doc[entry[order]], 3)
+    gone = np.zeros(len(text), bool)
+    for s, d, o, e in zip(starts[order], depth, owner, entry[order]):
+        gone[s : s + d] = gone[s : s + d] | (d > 0)
+        assert d == 0 or o < doc[e]
+    want = np.zeros(len(text), bool)
+    for t, d, at in ((t, d, b) for (t, d), b in zip(entries, begin)):
+        for i in range(len(t) - 2):
+            if any(t[i : i + 3] in u and f < d for u, f in entries):
+                want[at + i : at + i + 3] = True
+    assert (gone == want).all()
