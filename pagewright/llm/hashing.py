@@ -1,18 +1,35 @@
-"""Vectorised word and shingle hashing over UTF-8 bytes; no Python loop over words."""
+"""Hashes of words and shingles, and polynomial hashes of byte strings.
+
+Words are hashed by 64 bits of BLAKE2, so different words of any length are told apart; each shingle chains its words' hashes through a
+finaliser that isn't linear. The polynomial hashes (powers) are only used to find candidates.
+"""
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 
-SPACE = np.zeros(256, bool)
-SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
-BLOCK = 1 << 19
+SPACES = b" \t\n\v\f\r"
+BLOCK = 1 << 19  # bytes of a long text that are cut into words at once
+KNOWN_WORDS = 1 << 18  # words whose hashes a process keeps
 BASE = 0x9E3779B97F4A7C15 | 1
 M1, M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _powers: list[np.ndarray] = []
 
 
+class _Words(dict):
+    def __missing__(self, word: bytes) -> int:
+        value = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
+        if len(self) < KNOWN_WORDS and len(word) < 64:
+            self[word] = value
+        return value
+
+
+_words = _Words()
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: every input bit reaches every output bit."""
     x = (x ^ (x >> np.uint64(30))) * M1
@@ -32,73 +49,43 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0], _powers[1]
 
 
-def words_of(buf: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """(start offset, hash) of each maximal run of bytes that aren't white space."""
-    a = np.frombuffer(buf, np.uint8)
-    if not len(a):
-        return np.empty(0, np.int64), np.empty(0, np.uint64)
-    inside = np.zeros(len(a) + 2, np.int8)
-    inside[1:-1] = ~SPACE[a]
-    edge = np.diff(inside)
-    start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    up, down = powers(len(a))
-    total = np.zeros(len(a) + 1, np.uint64)
-    np.cumsum(up[: len(a)] * (a.astype(np.uint64) + np.uint64(1)), out=total[1:])
-    return start, mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
-
-
-def blocks(texts: list[bytes]):
-    """Runs of whole texts of about BLOCK bytes, as (first, last + 1)."""
-    first, size = 0, 0
-    for i, t in enumerate(texts):
-        if i > first and size + len(t) > BLOCK:
-            yield first, i
-            first, size = i, 0
-        size += len(t) + 1
-    if first < len(texts):
-        yield first, len(texts)
-
-
-def long_words(text: bytes) -> np.ndarray:
-    """Word hashes of one long text, cut at white space into blocks so that memory stays bounded."""
+def words_of(text: bytes) -> np.ndarray:
+    """The hash of each maximal run of bytes that aren't white space; a long text is cut at white space, so that memory stays bounded."""
+    if len(text) <= BLOCK:
+        found = text.split()
+        return np.fromiter(map(_words.__getitem__, found), np.uint64, len(found))
     out, at = [], 0
     while at < len(text):
-        end = min(len(text), at + BLOCK)
-        while end < len(text) and not SPACE[text[end]]:
-            end += 1
-        out.append(words_of(text[at:end])[1])
+        end = at + BLOCK
+        if end < len(text):
+            end = min((p for p in (text.find(c, end) for c in (SPACES[i : i + 1] for i in range(len(SPACES)))) if p >= 0), default=len(text))
+        out.append(np.fromiter(map(_words.__getitem__, text[at:end].split()), np.uint64))
         at = end
-    return np.concatenate(out) if out else np.empty(0, np.uint64)
+    return np.concatenate(out)
 
 
 def shingle_sets(texts: list[bytes], n: int) -> list[np.ndarray]:
     """Sorted distinct hashes of the n-word shingles of each lower-cased text; fewer words give one shingle, none give none."""
+    words = [words_of(t.translate(LOWER)) for t in texts]
+    ends = np.cumsum([0, *map(len, words)])
+    w = np.concatenate(words) if words else np.empty(0, np.uint64)
+    h = np.full(len(w), n, np.uint64)
+    for j in range(n):
+        part = h[: max(0, len(w) - j)]
+        part[:] = mix(part * np.uint64(BASE) + w[j:])
     sets: list[np.ndarray] = []
-    for first, last in blocks(texts):
-        part = texts[first:last]
-        if len(part) == 1 and len(part[0]) > BLOCK:
-            w = long_words(part[0].translate(LOWER))
-            cuts = np.array([0, len(w)])
+    for lo, hi in zip(ends[:-1], ends[1:]):
+        k = hi - lo
+        if k >= n:
+            s = np.sort(h[lo : hi - n + 1])
+            sets.append(s[np.concatenate(([True], s[1:] != s[:-1]))])
+        elif k:
+            whole = np.array([k], np.uint64)
+            for x in w[lo:hi]:
+                whole = mix(whole * np.uint64(BASE) + x)
+            sets.append(whole)
         else:
-            start, w = words_of(b" ".join(part).translate(LOWER))
-            cuts = np.searchsorted(start, np.cumsum([0, *(len(t) + 1 for t in part)]))
-        h = np.zeros(len(w), np.uint64)
-        for j in range(n):
-            h[: max(0, len(w) - j)] += w[j:] * np.uint64(pow(BASE, 2 * j + 3, 1 << 64))
-        h = mix(h)
-        for lo, hi in zip(cuts[:-1], cuts[1:]):
-            k = hi - lo
-            if k >= n:
-                s = h[lo : hi - n + 1].copy()
-                s.sort()
-                sets.append(s[np.concatenate(([True], s[1:] != s[:-1]))])
-            elif k:
-                whole = np.array([k], np.uint64)
-                for x in w[lo:hi]:
-                    whole = mix(whole * np.uint64(BASE) + x)
-                sets.append(whole)
-            else:
-                sets.append(np.empty(0, np.uint64))
+            sets.append(np.empty(0, np.uint64))
     return sets
 
 

@@ -7,6 +7,8 @@ share its component; extra columns of the input pass through or are ignored, wha
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -74,7 +76,10 @@ def most_flips(threshold: float) -> int:
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
-    """(id, n_shingles, fp1, fp2, bands, sketch) of each row, streamed over Arrow batches; sketch holds both kinds of parities."""
+    """(id, n_shingles, fp1, fp2, bands, sketch) of each row, streamed over Arrow batches; sketch holds both kinds of parities.
+
+    fp1 and fp2 are a BLAKE2 digest of the whole sorted set: rows with one digest have one set.
+    """
 
     def run(batches):
         for batch in batches:
@@ -88,8 +93,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataF
                     m = minhashes([sets[i] for i in full])
                     for i, b, s, t in zip(full, band_keys(m), odd_sketches(m), set_sketches([sets[i] for i in full])):
                         bands[i], sketch[i] = b, s.tobytes() + t.tobytes()
-                fp = [(s.sum(dtype=np.uint64), np.bitwise_xor.reduce(mix(s + np.uint64(7)))) if len(s) else (0, 0) for s in sets]
-                fp = np.array(fp, np.uint64).reshape(-1, 2).view(np.int64)
+                fp = np.frombuffer(b"".join(hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets), np.int64).reshape(-1, 2)
                 yield pa.RecordBatch.from_arrays(
                     [ids.slice(lo, 256), pa.array([len(s) for s in sets], pa.int64()), pa.array(fp[:, 0]), pa.array(fp[:, 1]), pa.array(bands, pa.list_(pa.int64())), pa.array(sketch, pa.binary())],
                     names=["id", "n_shingles", "fp1", "fp2", "bands", "sketch"],

@@ -6,7 +6,7 @@ import pytest
 from fixtures import documents, frame, words
 from pagewright.llm import near_dup
 from pagewright.llm.common import components, star_rounds
-from pagewright.llm.hashing import BLOCK, long_words, shingle_sets, words_of
+from pagewright.llm.hashing import BLOCK, shingle_sets, words_of
 from pyspark.sql import functions as F
 
 
@@ -81,7 +81,7 @@ def test_components_in_one_task_and_in_rounds(spark):
 def test_hashes_do_not_depend_on_the_place(spark):
     text = words(random.Random(2), BLOCK // 4).encode()
     assert len(text) > BLOCK
-    assert (long_words(text) == words_of(text)[1]).all()
+    assert (words_of(text) == np.concatenate([words_of(w) for w in text.split()])).all()
     a = shingle_sets([b"x", text, b"", b" a  B\tc "], 2)
     assert (a[1] == shingle_sets([text], 2)[0]).all() and not len(a[2]) and (a[3] == shingle_sets([b"A b C"], 2)[0]).all()
 
@@ -94,3 +94,26 @@ def test_sketches_estimate_high_similarities():
         a, b = np.sort(both), np.sort(np.concatenate((both[: 800 - k], r.integers(0, 1 << 63, k, dtype=np.uint64))))
         s = near_dup.odd_sketches(near_dup.minhashes([a, b])).view(np.uint64)
         assert np.bitwise_count(s[0] ^ s[1]).sum() <= near_dup.most_flips(0.8)
+
+
+def test_long_words_that_polynomials_confuse(spark):
+    """A Thue-Morse string and its complement: equal under every polynomial hash modulo 2 ** 64."""
+    a = "".join("ab"[bin(i).count("1") % 2] for i in range(2048))
+    b = a.translate(str.maketrans("ab", "ba"))
+    rows = [(1, a, "en", "s", 0, 1, "", 1, "", 1), (2, b, "en", "s", 0, 1, "", 1, "", 1), (3, f"{a} x", "en", "s", 0, 1, "", 1, "", 1), (4, f"{b} x", "en", "s", 0, 1, "", 1, "", 1)]
+    assert {r.doc_id: r.component_id for r in near_dup.near_duplicates(frame(spark, rows), words=2).collect()} == {1: 1, 2: 2, 3: 3, 4: 4}
+
+
+def test_no_pair_at_the_threshold_is_missed(spark):
+    """Pairs of 40 to 400 words at a similarity from 0.8 up, one by one: all are linked, and none below."""
+    r, rows, want = random.Random(12), [], 0
+    for i in range(250):
+        a = [f"w{r.randrange(10**6)}" for _ in range(r.randint(40, 400))]
+        b = list(a)
+        for _ in range(max(1, round(len(a) * r.uniform(0.01, 0.1)))):
+            b[r.randrange(len(b))] = f"v{r.randrange(10**6)}"
+        rows += [(2 * i, " ".join(a), "en", "s", 0, 1, "", 1, "", 1), (2 * i + 1, " ".join(b), "en", "s", 0, 1, "", 1, "", 1)]
+    sets = plain_sets(rows, 2)
+    close = {i for i in range(250) if 100 * len(sets[2 * i] & sets[2 * i + 1]) >= 80 * len(sets[2 * i] | sets[2 * i + 1])}
+    got = {x.doc_id: x.component_id for x in near_dup.near_duplicates(frame(spark, rows), words=2).collect()}
+    assert 60 < len(close) < 240 and {i for i in range(250) if got[2 * i + 1] == 2 * i} == close
