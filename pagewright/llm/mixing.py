@@ -1,11 +1,19 @@
 """Mixing sources to target weights by pivotal dependent rounding, with DataFrame functions only.
 
+Each document has a fractional copy probability. A reduction tree makes them whole: a level deals the open units of each source into
+hashed blocks; in a block two units exchange words at random until one of them is whole, the other meets the next unit, and so on, until
+at most one is open, which the next level takes. Every exchange keeps the words of its pair. The last open unit of a source goes to the
+nearer whole number; what that misses is combined with the settled units of its last block, of which one and, largest first, those after
+it that help change sides. So a source misses its target by half of one unit at most, and by nothing else.
+
 Defined results: a null text has no words; a null source is a source of its own, ordered last; a source without words gets a
-target of 0; repeated rows are mixed one by one; an empty table gives no row; extra columns are ignored.
+target of 0; rows with equal or null ids are mixed one by one; an empty table gives no row; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,134 +21,166 @@ from pagewright.llm.common import materialise, small
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (3, 1, 2)
-BLOCK = 128  # units that one fold pairs up; a level leaves one open unit a block
+BLOCK = 64  # open units of a block, about; a level leaves one of them at most
+UNITS_PER_TASK = 20_000
+RUN = 1000  # rows that are made from one counted row at once
 SEED = 20240301
+WHOLE = 1e-9  # probabilities this near to 0 or 1 are whole
 
 
-def draw(*cols) -> Column:
+def draw(*cols: Column) -> Column:
     """A uniform number in [0, 1) that depends on nothing but its arguments."""
     return F.shiftrightunsigned(F.xxhash64(*cols, F.lit(SEED)), 11) / F.lit(float(1 << 53))
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once."""
+    return F.transform(F.array(value), use)[0]
+
+
+def ranked(sources: DataFrame) -> DataFrame:
+    """sources (distinct in source) with place: 0, 1, ... by code point, null last; sorted in ranges, no task holds all of them."""
+    parts = int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = sources.repartitionByRange(parts, F.asc_nulls_last("source")).sortWithinPartitions(F.asc_nulls_last("source"))
+    dealt = materialise(dealt.withColumn("part", F.spark_partition_id()).withColumn("row", F.monotonically_increasing_id()))
+    # The id of a row holds its partition's number in the upper bits and its place in the lower 33.
+    at = F.col("row").bitwiseAND(F.lit((1 << 33) - 1))
+    counts = dealt.groupBy("part").agg(F.count("*").alias("rows"))  # one row a partition
+    before = counts.select("part", (F.sum("rows").over(Window.orderBy("part")) - F.col("rows")).alias("before"))
+    return dealt.join(F.broadcast(before), "part").withColumn("place", F.col("before") + at).drop("part", "row", "before")
+
+
 def targets(rows: DataFrame, share: float = 1.5, most: float = 2.0) -> DataFrame:
-    """(source, source_size, target, n): share * all sizes dealt by weight, no source above most times its own size.
+    """(source, sid, source_size, target): share * all sizes dealt by weight, no source above most times its own size.
 
-    Sources sorted by cap per weight: a source is capped if what is left for it and the later ones, dealt by weight, exceeds
-    its cap. That is the fixed point of resharing the excess.
+    The excess of capped sources goes to the others by weight: a level of words for each weight that rises until no further source is
+    above its cap. Each step is one sum over the sources, and a step that caps no further source is the last.
     """
-    s = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
-    place = F.row_number().over(Window.orderBy(F.asc_nulls_last("source"))) - 1
-    s = s.withColumn("w", F.element_at(F.array(*map(F.lit, WEIGHTS)), (place % len(WEIGHTS) + 1).cast("int")).cast("double"))
-    s = s.withColumn("cap", most * F.col("source_size")).withColumn("ratio", F.col("cap") / F.col("w"))
-    by_ratio = Window.orderBy("ratio", F.asc_nulls_last("source"))
-    all_rows = Window.partitionBy()
-    s = s.withColumn("cap_before", F.sum("cap").over(by_ratio.rowsBetween(Window.unboundedPreceding, 0)) - F.col("cap"))
-    s = s.withColumn("w_left", F.sum("w").over(by_ratio.rowsBetween(0, Window.unboundedFollowing)))
-    s = s.withColumn("level", (share * F.sum("source_size").over(all_rows) - F.col("cap_before")) / F.col("w_left"))
-    s = s.withColumn("level", F.min(F.when(F.col("level") <= F.col("ratio"), F.struct("ratio", "level"))).over(all_rows)["level"])
-    target = F.when(F.col("level").isNull() | (F.col("ratio") <= F.col("level")), F.col("cap")).otherwise(F.col("w") * F.col("level"))
-    return s.select("source", "source_size", "n", target.cast("double").alias("target"))
-
-
-def fold(units: Column) -> Column:
-    """Pair the carried unit a with each next unit b: (at, p, won), the place and probability still open and the places set to 1.
-
-    A pair exchanges words: p_a rises by x while p_b falls by x * size_a / size_b, or the reverse, until one of them is 0 or 1.
-    The direction is drawn so that both expectations stay; the pair's expected words stay exactly, whatever is drawn.
+    s = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
+    s = ranked(s).withColumn("w", F.element_at(F.array(*map(F.lit, WEIGHTS)), (F.col("place") % len(WEIGHTS) + 1).cast("int")))
+    s = materialise(s)
+    cap = most * F.col("source_size")
+    total = share * (s.agg(F.sum("source_size")).first()[0] or 0)
+    level, n_capped = 0.0, -1
+    while True:
+        over = cap <= F.col("w") * F.lit(level) if n_capped >= 0 else F.lit(False)
+        n, size, weight = s.agg(F.count_if(over), F.sum(F.when(over, F.col("source_size")).otherwise(0)), F.sum(F.when(over, 0).otherwise(F.col("w")))).first()
+        if n == n_capped or not weight:
+            break
+        n_capped, level = n, (total - most * (size or 0)) / weight
+    target = F.least(cap, F.col("w") * F.lit(level)) if weight else cap
+    return s.select("source", F.col("place").alias("sid"), "source_size", target.cast("double").alias("target"))
+
+
+def exchange(a: Column, b: Column, level: Column) -> Column:
+    """(a, b): the probabilities of two units after a random exchange of words that makes one of them 0 or 1.
+
+    Either a rises and b falls by as many words, or the reverse, as far as it goes; the direction is drawn so that both expectations
+    stay. The words of the pair, size times p, stay whatever is drawn.
     """
+    ratio = b["size"] / a["size"]
+    limits = F.struct(F.least(1 - a["p"], b["p"] * ratio).alias("rise"), F.least(a["p"], (1 - b["p"]) * ratio).alias("fall"), ratio.alias("ratio"))
+
+    def moved(x: Column) -> Column:
+        up = draw(a["id"], a["size"], a["k"], a["p"], b["id"], b["size"], b["k"], level) * (x["rise"] + x["fall"]) < x["fall"]
+        return let(F.when(up, x["rise"]).otherwise(-x["fall"]), lambda by: F.struct((a["p"] + by).alias("a"), (b["p"] - by / x["ratio"]).alias("b")))
+
+    return let(limits, moved)
+
+
+def fold(units: Column, level: Column) -> Column:
+    """(open, won) of a block's units (size, id, k, p): the one still open, and the places of those that became 1."""
+    fields = ("size", "id", "k", "p")
+    numbered = F.transform(units, lambda u, i: F.struct(*(u[f].alias(f) for f in fields), i.cast("int").alias("at")))
+    start = F.struct(F.get(numbered, F.lit(0)).alias("open"), F.array().cast("array<int>").alias("won"))
+
+    def step(acc: Column, u: Column) -> Column:
+        a = acc["open"]
+
+        def settled(p: Column) -> Column:
+            off = lambda x: F.least(F.abs(x), F.abs(1 - x))
+            first = off(p["a"]) <= off(p["b"])  # whichever is whole leaves
+            left = F.when(first, F.struct(a["at"].alias("at"), p["a"].alias("p"))).otherwise(F.struct(u["at"].alias("at"), p["b"].alias("p")))
+            kept, value = F.when(first, u).otherwise(a), F.when(first, p["b"]).otherwise(p["a"])
+            still = F.struct(*(kept[f].alias(f) for f in fields[:3]), value.alias("p"), kept["at"].alias("at"))
+            return F.struct(still.alias("open"), F.when(left["p"] > 0.5, F.concat(acc["won"], F.array(left["at"]))).otherwise(acc["won"]).alias("won"))
+
+        return let(exchange(a, u, level), settled)
 
-    def step(acc, x):
-        ratio = x["size"] / acc["size"]
-        rise = F.least(1 - acc["p"], x["p"] * ratio)
-        fall = F.least(acc["p"], (1 - x["p"]) * ratio)
-        up = draw(acc["id"], x["id"], x["level"], acc["p"]) * (rise + fall) < fall
-        move = F.when(up, rise).otherwise(-fall)
-        pa, pb = acc["p"] + move, x["p"] - move / ratio
-        # Whichever is nearer to 0 or 1 is settled; the other is carried on.
-        settle_a = F.least(F.abs(pa), F.abs(1 - pa)) <= F.least(F.abs(pb), F.abs(1 - pb))
-        settled_at, settled_p = F.when(settle_a, acc["at"]).otherwise(x["at"]), F.when(settle_a, pa).otherwise(pb)
-        return F.struct(
-            F.when(settle_a, x["at"]).otherwise(acc["at"]).alias("at"),
-            F.when(settle_a, x["id"]).otherwise(acc["id"]).alias("id"),
-            F.when(settle_a, x["size"]).otherwise(acc["size"]).alias("size"),
-            F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.when(settle_a, pb).otherwise(pa))).alias("p"),
-            F.when(settled_p > 0.5, F.concat(acc["won"], F.array(settled_at))).otherwise(acc["won"]).alias("won"),
-        )
-
-    fields = ("id", "size", "p", "level")
-    numbered = F.transform(units, lambda x, i: F.struct(*(x[f].alias(f) for f in fields), i.cast("int").alias("at")))
-    first = numbered[0]
-    start = F.struct(first["at"].alias("at"), first["id"].alias("id"), first["size"].alias("size"), first["p"].alias("p"), F.array().cast("array<int>").alias("won"))
     return F.aggregate(F.slice(numbered, 2, F.size(numbered)), start, step)
 
 
-def settle(units: Column) -> Column:
-    """The places set to 1 among a source's last open units, large sizes first: each unit is paired with the pool of all later ones.
+def chosen(units: Column, r: Column, is_last: Column) -> Column:
+    """For each place of a folded block 0 or 1; null for a unit that stays open. The last block of a source leaves none open."""
+    last = r["open"]
+    near = (last["p"] >= 0.5).cast("int")
+    first = F.transform(units, lambda u, i: F.when(last["at"].eqNullSafe(i), F.when(is_last, near)).otherwise(F.array_contains(r["won"], i.cast("int")).cast("int")))
+    owed = F.when(is_last, F.coalesce((last["p"] - near) * last["size"], F.lit(0.0))).otherwise(0.0)  # words that the source lacks
 
-    A unit becomes 0 or 1 by a draw; the words that it gives up or gains move to or from the pool, in proportion to size, and so
-    shift the later probabilities. What stays open at the end is at most a part of the smallest unit.
-    """
+    def settle(first: Column) -> Column:
+        rows = F.zip_with(units, first, lambda u, s: F.struct(s.alias("sel"), (u["size"] * (1 - 2 * s)).cast("double").alias("change")))
+
+        def tried(turned: Column) -> Column:
+            """What is owed and who is in if one unit (none for -1) changes sides first and then, largest first, all that help."""
+
+            def step(acc: Column, u: Column) -> Column:
+                left = acc["owed"] - u["change"]
+                turn = (F.size(acc["sel"]) == turned) | ((F.abs(left) < F.abs(acc["owed"])) & (turned <= F.size(acc["sel"])))
+                return F.struct(F.when(turn, left).otherwise(acc["owed"]).alias("owed"), F.concat(acc["sel"], F.array(F.when(turn, 1 - u["sel"]).otherwise(u["sel"]))).alias("sel"))
+
+            end = F.aggregate(rows, F.struct(owed.alias("owed"), F.array().cast("array<int>").alias("sel")), step)
+            return F.struct(F.abs(end["owed"]).alias("miss"), turned.alias("turned"), end["sel"].alias("sel"))
 
-    def step(acc, x):
-        p = F.greatest(F.lit(0.0), F.least(F.lit(1.0), x["p"] + acc["owed"] / acc["rest"]))
-        hit = draw(x["id"], x["size"], x["level"], x["at"]) < p
-        won = F.when(hit, F.concat(acc["won"], F.array(x["at"]))).otherwise(acc["won"])
-        owed = acc["owed"] + (x["p"] - hit.cast("double")) * x["size"]
-        return F.named_struct(F.lit("rest"), acc["rest"] - x["size"], F.lit("owed"), owed, F.lit("won"), won)
+        return F.when(is_last, F.array_min(F.transform(F.sequence(F.lit(-1), F.size(units) - 1), tried))["sel"]).otherwise(first)
 
-    numbered = F.transform(units, lambda x, i: F.named_struct(*(y for f in ("id", "p", "level", "size") for y in (F.lit(f), x[f])), F.lit("at"), i))
-    rest = F.aggregate(units, F.lit(0.0), lambda acc, x: acc + x["size"])
-    return F.aggregate(numbered, F.named_struct(F.lit("rest"), rest, F.lit("owed"), F.lit(0.0), F.lit("won"), F.array().cast("array<int>")), step)["won"]
+    return let(first, settle)
 
 
 def rounded(units: DataFrame) -> DataFrame:
-    """(id, size, sid, base, sel) of units (id, size, sid, n, base, p) with 0 < p < 1: each p becomes 0 or 1 and each source's expected words stay. n bounds the units of a source.
+    """(id, size, sid, base, sel) of units (id, k, size, sid, base, p) with 0 < p < 1: each p becomes 0 or 1 and each source's words stay.
 
-    A reduction tree: a level deals the open units of each source (at first of each size class) into hashed blocks of about
-    BLOCK, folds each block in pairs, and hands the one open unit of each block to the next level. The root settles at most
-    BLOCK open units a source. Every level is written to the shared folder.
+    Every level is written to the shared folder. A source is done after the level at which it had one block.
     """
-    few = units.where(F.col("n") <= BLOCK).drop("n")  # sources that fit in one block go straight to the root
-    done, open_units, level = [], units.where(F.col("n") > BLOCK).drop("n"), 0
-    n_left = units.agg(F.max("n")).first()[0] or 0
-    unit = F.struct("size", "id", "base", "p", "level")
-    while n_left > BLOCK:
-        stratum = ["sid", "cls"] if level == 0 else ["sid"]
-        keyed = open_units.withColumn("cls", F.floor(F.log2(F.col("size") + 1) * 2).cast("int") if level == 0 else F.lit(0)).withColumn("level", F.lit(level))
-        sizes = materialise(keyed.groupBy(*stratum).agg(F.count("*").alias("in_stratum")))
-        keyed = keyed.join(small(sizes, sizes.count()), stratum)
-        keyed = keyed.withColumn("block", F.pmod(F.xxhash64("id", "size", "level"), F.ceil(F.col("in_stratum") / BLOCK)).cast("int"))
-        blocks = keyed.groupBy("sid", "cls", "block").agg(F.sort_array(F.collect_list(unit)).alias("units"))
-        blocks = blocks.select("sid", "units", fold(F.col("units")).alias("r"))
-        out = blocks.select("sid", "r", F.posexplode("units").alias("at", "x"))
-        here = F.col("at") == F.col("r.at")
-        won = F.array_contains("r.won", F.col("at")).cast("int")
-        out = materialise(out.select("sid", "x.id", "x.size", "x.base", here.alias("open"), F.when(here, F.col("r.p")).alias("p"), won.alias("sel")))
+    done, now, level = [], units, 0
+    unit = F.struct(F.col("size"), F.col("id"), F.col("k"), F.col("p"), F.col("base"))
+    while True:
+        blocks = materialise(now.groupBy("sid").agg(F.ceil(F.count("*") / BLOCK).alias("blocks")))
+        n_sources, most, n_blocks = blocks.agg(F.count("*"), F.max("blocks"), F.sum("blocks")).first()
+        tasks = max(now.sparkSession.sparkContext.defaultParallelism, (n_blocks or 0) * BLOCK // UNITS_PER_TASK)
+        dealt = now.join(small(blocks, n_sources), "sid")
+        dealt = dealt.withColumn("block", F.pmod(F.xxhash64("id", "size", "k", F.lit(level)), F.col("blocks")))
+        # Blocks are few bytes but much work: as many tasks as cores at least.
+        folded = dealt.repartition(tasks, "sid", "block").groupBy("sid", "blocks", "block").agg(F.sort_array(F.collect_list(unit), asc=False).alias("units"))
+        folded = folded.select("sid", "units", (F.col("blocks") == 1).alias("is_last"), fold(F.col("units"), F.lit(level)).alias("r"))
+        folded = folded.select("sid", F.col("r.open.p").alias("p"), F.arrays_zip("units", chosen(F.col("units"), F.col("r"), F.col("is_last")).alias("sel")).alias("x"))
+        out = folded.select("sid", F.col("p").alias("open_p"), F.explode("x").alias("x"))
+        out = materialise(out.select("sid", "x.units.id", "x.units.k", "x.units.size", "x.units.base", "x.sel", F.col("x.sel").isNull().alias("open"), F.when(F.col("x.sel").isNull(), F.col("open_p")).alias("p")))
         done.append(out.where("not open").select("id", "size", "sid", "base", "sel"))
-        open_units, level = out.where("open").select("id", "size", "sid", "base", "p"), level + 1
-        n_left = open_units.groupBy("sid").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
-    root = open_units.unionByName(few).withColumn("level", F.lit(level)).groupBy("sid").agg(F.sort_array(F.collect_list(unit), asc=False).alias("units"))
-    root = root.select("sid", settle(F.col("units")).alias("won"), F.posexplode("units").alias("at", "x"))
-    out = root.select("x.id", "x.size", "sid", "x.base", F.array_contains("won", F.col("at")).cast("int").alias("sel"))
-    for d in done:
-        out = out.unionAll(d)
-    return out
+        now, level = out.where("open").select("id", "k", "size", "sid", "base", "p"), level + 1
+        if (most or 0) <= 1:
+            break
+    for d in done[1:]:
+        done[0] = done[0].unionAll(d)
+    return done[0]
 
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", share: float = 1.5, most: float = 2.0) -> DataFrame:
     """(id, source, size, source_size, target, copies, taken) of each row: how often the mix takes it."""
     size = F.coalesce(F.regexp_count(F.col(text_col).cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
-    rows = materialise(docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), size.alias("size")))
-    goal = targets(rows, share, most).withColumn("sid", F.row_number().over(Window.orderBy(F.asc_nulls_last("source"))))
-    goal = materialise(goal)
-    n_goal = goal.count()
-    few = small(goal, n_goal)
-    each = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    base = F.floor(each + 1e-9)
-    both = rows.join(few, rows["source"].eqNullSafe(few["source"])).select("id", "size", "sid", "n", base.cast("int").alias("base"), F.greatest(each - base, F.lit(0.0)).alias("p"))
-    whole = both.where("p < 1e-9 or size = 0").select("id", "size", "sid", "base", F.lit(0).alias("sel"))
-    parts = rounded(both.where("p >= 1e-9 and size > 0"))
-    out = whole.unionAll(parts).join(few, "sid")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(source_col).cast("string").alias("source"), size.alias("size"))
+    # Rows alike in all three are counted and numbered (k), so that no block gets more of them than its share.
+    counted = materialise(rows.groupBy("id", "source", "size").agg(F.count("*").alias("n")))
+    each = counted.withColumn("run", F.explode(F.sequence(F.lit(0), F.ceil(F.col("n") / RUN) - 1)))
+    each = each.withColumn("j", F.explode(F.sequence(F.lit(0), F.least(F.lit(RUN), F.col("n") - F.col("run") * RUN) - 1)))
+    each = each.select("id", "source", "size", (F.col("run") * RUN + F.col("j")).cast("long").alias("k"))
+    goal = materialise(targets(counted.select("source", (F.col("size") * F.col("n")).alias("size")), share, most))
+    few = small(goal, goal.count())
+    times = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
+    base = F.floor(times + WHOLE)
+    both = each.join(few, each["source"].eqNullSafe(few["source"])).select("id", "k", "size", "sid", base.cast("int").alias("base"), F.greatest(times - base, F.lit(0.0)).alias("p"))
+    is_whole = (F.col("p") <= WHOLE) | (F.col("size") == 0)
+    whole = both.where(is_whole).select("id", "size", "sid", "base", F.lit(0).alias("sel"))
+    out = whole.unionAll(rounded(both.where(~is_whole))).join(few, "sid")
     copies = F.col("base") + F.col("sel")
     return out.select(
         F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).cast("long").alias("taken")
