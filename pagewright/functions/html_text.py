@@ -87,3 +87,13 @@ def html_to_text(page: Column) -> Column:
         return x.map(to_text, na_action=None)
 
     return run(page)
+
+
+def strip_tables(page: Column) -> Column:
+    """Texts with table mark-up as to_text has them, others as they are."""
+
+    @pandas_udf("string")
+    def run(x: pd.Series) -> pd.Series:
+        return x.map(lambda t: to_text(t) if "<table" in t.lower() else t, na_action="ignore")
+
+    return run(page)

@@ -9,76 +9,60 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql.functions import pandas_udf
 
-PAGE_CAP = 256 * 1024  # longer pages are left as they are
+#: Fixed value: bytes; longer pages are left as they are.
+PAGE_CAP = 256 * 1024
 NUMBERED = re.compile(r"^[ \t]*(\d{1,2})(?:[ \t]*\|[ \t]?|[ \t]+|$)")
 
 
-def normal(text: str) -> tuple[str, list[int]]:
-    """Text for matching and, for each of its characters, the offset it comes from.
+def normal(text: str) -> tuple[str, list[int], list[int]]:
+    """Text for matching and, for each of its characters, where what it comes from begins and ends.
 
-    NFKC by character, quotes and dashes plain, white space runs as one space, a hyphen at a line break joined, control and format
-    characters dropped.
+    NFKC by character, white space runs as one space, a hyphen before white space joined to what follows, control and format characters
+    dropped, no space at either end.
     """
-    out: list[str] = []
-    at: list[int] = []
-    i, n = 0, len(text)
-    plain = {"‘": "'", "’": "'", "“": '"', "”": '"', "–": "-", "—": "-"}
-    while i < n:
-        c = text[i]
-        if c == "-" and i + 1 < n and text[i + 1] in "\r\n" and out and out[-1].isalnum():
-            i += 1
-            while i < n and text[i].isspace():
-                i += 1
-            continue
+    out: list[tuple[str, int, int]] = []
+    gap = True  # white space now adds nothing
+    for i, c in enumerate(text):
         if c.isspace():
-            if out and out[-1] != " ":
-                out.append(" ")
-                at.append(i)
+            if not gap:
+                if out[-1][0] == "-":
+                    out.pop()
+                else:
+                    out.append((" ", i, i))
+            gap = True
         elif unicodedata.category(c) not in ("Cc", "Cf"):
-            for x in unicodedata.normalize("NFKC", plain.get(c, c)):
-                if not x.isspace() or (out and out[-1] != " "):
-                    out.append(" " if x.isspace() else x)
-                    at.append(i)
-        i += 1
-    while out and out[-1] == " ":
-        out.pop()
-        at.pop()
-    return "".join(out), at
+            out += [(x, i, i + 1) for x in unicodedata.normalize("NFKC", c)]
+            gap = False
+    first, last = 0, len(out)
+    while first < last and out[first][0] == " ":
+        first += 1
+    while last > first and out[last - 1][0] == " ":
+        last -= 1
+    chars, begins, ends = zip(*out[first:last]) if last > first else ((), (), ())
+    return "".join(chars), list(begins), list(ends)
 
 
 class _Mapped(dict):
-    """What each character becomes in normal, as str.translate wants it; filled as characters are met."""
-
-    plain = {"‘": "'", "’": "'", "“": '"', "”": '"', "–": "-", "—": "-"}
+    """What each character becomes in normal, as str.translate wants it, white space as a line end; filled as characters are met."""
 
     def __missing__(self, code: int) -> str | None:
         c = chr(code)
         if c.isspace():
-            self[code] = " "
+            self[code] = "\n"
         elif unicodedata.category(c) in ("Cc", "Cf"):
             self[code] = None
         else:
-            self[code] = "".join(" " if x.isspace() else x for x in unicodedata.normalize("NFKC", self.plain.get(c, c)))
+            self[code] = unicodedata.normalize("NFKC", c)
         return self[code]
 
 
 MAPPED = _Mapped()
-WRAP = re.compile(r"-[\r\n]\s*")
+GAP = re.compile(r"-?\n+")
 
 
 def normal_text(text: str) -> str:
     """The text of normal without its offsets, many times faster."""
-    out, at, last = [], 0, ""
-    for m in WRAP.finditer(text):
-        piece = text[at : m.start()].translate(MAPPED)
-        out.append(piece)
-        last = piece[-1:] or last
-        if not last.isalnum():
-            out.append("- ")
-            last = " "
-        at = m.end()
-    out.append(text[at:].translate(MAPPED))
-    return re.sub(" {2,}", " ", "".join(out)).strip(" ")
+    return GAP.sub(lambda m: "" if m[0][0] == "-" else " ", text.translate(MAPPED)).strip(" ")
 
 
 def normalised(text: Column) -> Column:
@@ -93,12 +77,12 @@ def normalised(text: Column) -> Column:
 
 def place(quote: str | None, text: str | None) -> tuple[int | None, int | None, bool]:
     """(start, end, ambiguous) of the quote in the text; nulls where it isn't there."""
-    want, _ = normal(quote or "")
-    have, at = normal(text or "")
+    want = normal_text(quote or "")
+    have, begins, ends = normal(text or "")
     first = have.find(want) if want else -1
     if first < 0:
         return None, None, False
-    return at[first], at[first + len(want) - 1] + 1, have.find(want, first + 1) >= 0
+    return begins[first], ends[first + len(want) - 1], have.find(want, first + 1) >= 0
 
 
 def quote_place(quote: Column, text: Column) -> Column:

@@ -23,7 +23,8 @@ def range_text(ranges: Column) -> Column:
 
 def whole_words_of(selection: Column, quote: Column) -> Column:
     """Whether the selection stands in the quote, whole words only; regular-expression characters count as themselves."""
-    pattern = F.concat(F.lit(r"(?s)(?<![\p{L}\p{N}\p{M}])\Q"), selection, F.lit(r"\E(?![\p{L}\p{N}\p{M}])"))
+    itself = F.regexp_replace(selection, r"([^\p{L}\p{N}\p{M}\s])", r"\\$1")
+    pattern = F.concat(F.lit(r"(?s)(?<![\p{L}\p{N}\p{M}])"), itself, F.lit(r"(?![\p{L}\p{N}\p{M}])"))
     return F.coalesce((F.trim(selection) != "") & F.regexp_like(quote, pattern), F.lit(False))
 
 

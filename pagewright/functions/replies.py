@@ -72,17 +72,34 @@ def starts_with_date(label: Column, date: Column) -> Column:
     return F.coalesce((plain(date) != "") & F.startswith(plain(label), plain(date)), F.lit(False))
 
 
+#: The length of a case name and of its display, and answers that name nothing.
+NAME_LENGTH, SHOWN_LENGTH = 120, 80
+NO_NAME = ("unknown", "unclear", "none", "null", "undetermined")
+REFUSALS = ("unable to", "case name is", "the case name", "first three pages", "cannot determine")
+
+
 def case_name(x: Column) -> Column:
-    """Safe for file names: other characters and spaces become single underscores, trimmed, at most 120 characters."""
-    return F.left(F.regexp_replace(F.regexp_replace(F.coalesce(x, F.lit("")), r"[^\p{L}\p{N}.\-]+", "_"), r"^_+|_+$", ""), F.lit(120))
+    """White space and underscores as single underscores, none at the ends, at most NAME_LENGTH characters."""
+    plain = F.regexp_replace(F.regexp_replace(F.coalesce(x, F.lit("")), r"(?U)[\s_]+", "_"), "^_|_$", "")
+    return F.regexp_replace(F.left(plain, F.lit(NAME_LENGTH)), "_+$", "")
+
+
+def shown_case_name(x: Column) -> Column:
+    """The name with spaces for underscores; longer ones than SHOWN_LENGTH end in three dots at that length."""
+    name = F.replace(case_name(x), F.lit("_"), F.lit(" "))
+    return F.when(F.length(name) > SHOWN_LENGTH, F.concat(F.left(name, F.lit(SHOWN_LENGTH - 3)), F.lit("..."))).otherwise(name)
 
 
 def case_name_issues(x: Column) -> Column:
-    """Why a proposed case name can't be used: empty, too long, forbidden characters, or a refusal."""
-    v = F.trim(F.coalesce(x, F.lit("")))
+    """Why a proposed case name can't be used: empty, too long, forbidden or unprintable characters, no letter, a leading dot, or a refusal."""
+    v = F.regexp_replace(F.coalesce(x, F.lit("")), r"(?U)^\s+|\s+$", "")
+    said = F.replace(F.lower(v), F.lit("_"), F.lit(" "))
+    refused = said.isin(*NO_NAME)
+    for start in REFUSALS:
+        refused = refused | said.startswith(start)
     rules = F.array(
-        F.when(v == "", F.lit("empty")), F.when(F.length(v) > 120, F.lit("length")), F.when(v.rlike(r'[<>:"/\\|?*\p{Cc}]'), F.lit("characters")),
-        F.when(v.rlike(r"(?i)\b(?:unknown|not available|cannot|unable)\b"), F.lit("refusal")),
+        F.when(v == "", F.lit("empty")), F.when(F.length(v) > NAME_LENGTH, F.lit("length")), F.when(v.rlike(r'[\n\r/\\:*?"<>|`]|[\p{C}\p{Z}&&[^ ]]'), F.lit("characters")),
+        F.when((v != "") & ~v.rlike(r"\p{L}"), F.lit("letters")), F.when(v.startswith("."), F.lit("leading_dot")), F.when(refused, F.lit("refusal")),
     )
     return F.filter(rules, lambda r: r.isNotNull())
 

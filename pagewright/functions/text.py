@@ -26,9 +26,29 @@ def page_number(name: Column) -> Column:
 
 
 def natural_key(x: Column) -> Column:
-    """A string that sorts digit runs by value: runs are padded to 12 digits, letters are lower case."""
+    """A string that sorts digit runs by value, at any length: each run is led by its number of digits; letters are lower case."""
     parts = F.regexp_extract_all(F.lower(x), F.lit(r"(\d+|\D+)"), F.lit(1))
-    return F.array_join(F.transform(parts, lambda p: F.when(p.rlike(r"^\d"), F.lpad(F.regexp_replace(p, "^0+(?=.)", ""), 12, "0")).otherwise(p)), "")
+    digits = lambda p: F.regexp_replace(p, "^0+(?=.)", "")
+    led = lambda p: F.concat(F.lit("\x00"), F.lpad(F.length(digits(p)).cast("string"), 9, "0"), digits(p))
+    return F.array_join(F.transform(parts, lambda p: F.when(p.rlike(r"^\d"), led(p)).otherwise(p)), "")
+
+
+def without_images(x: Column) -> Column:
+    """Markdown without the lines that are nothing but an image."""
+    return F.regexp_replace(x, r"(?m)^[ \t]*!\[[^\]]*\]\([^)\s]+\)[ \t]*\n?", "")
+
+
+def positive_page(x: Column) -> Column:
+    """A whole number from 1 up written in ASCII digits; anything else is null."""
+    v = F.trim(x.cast("string"))
+    n = F.when(v.rlike(r"^[0-9]{1,9}$"), v.cast("int"))
+    return F.when(n > 0, n)
+
+
+def bounded_text(x: Column, most: int = 1024, otherwise: str = "") -> Column:
+    """The trimmed text if it is printable, not blank and, untrimmed, no longer than most characters; else the fallback."""
+    v = F.regexp_replace(F.coalesce(x, F.lit("")), r"(?U)^\s+|\s+$", "")
+    return F.when((v != "") & (F.length(x) <= most) & ~x.rlike(r"[\p{C}\p{Z}&&[^ ]]"), v).otherwise(otherwise)
 
 
 def truthy(x: Column) -> Column:
@@ -79,28 +99,46 @@ def token_range(x: Column) -> tuple[Column, Column]:
     return F.floor(n / 4), F.floor(n / 3)
 
 
+#: Characters that draw table borders; the first three also stand between columns.
+BORDERS = "│┃║╎╏┆┇┊┋─━═┄┅┈┉┌┐└┘├┤┬┴┼╭╮╰╯+"
+LINE_ENDS = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x85\x{2028}\x{2029}]"
+#: What goes from a line, in this order, and what comes in its place.
+MARGINS = (
+    (r"^[│┃║]\s*\d+\s*[│┃║]\s*", ""),
+    (r"^\d+\s*[│┃║]\s*", ""),
+    (r"^\s*\d{1,3}\s{2,}", ""),
+    (r"""^\s*\d{1,2}\s+(?=[A-Za-z("'])""", ""),
+    (r"^\s*[│┃║]\s*", ""),
+    (r"\s*[│┃║]\s*$", ""),
+    (r"\s*[│┃║]\s*", "    "),
+    (r" {5,}", "    "),
+)
+
+
 def strip_margins(x: Column) -> Column:
-    """Line by line: box rules and table bars go, a leading line number of up to two digits goes, wide gaps become one space."""
-    lines = F.split(x, "\n")
-    clean = F.transform(
-        lines, lambda s: F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(s, r"[─-╿|+]", " "), r"^ *\d{1,2} +", ""), " {2,}", " "))
-    )
-    return F.array_join(F.filter(clean, lambda s: ~s.rlike("^[-=_ ]+$")), "\n")
+    """Line by line: rules drawn with border characters go, numbers in the left margin go, column bars and wide gaps become four spaces.
 
+    Mark-up of tables is for html_text.strip_tables, which comes before. Blank lines stay as empty ones; a last line end goes.
+    """
+    stripped = lambda s: F.regexp_replace(s, r"(?U)^\s+|\s+$", "")
+    lines = F.transform(F.split(F.regexp_replace(x, f"(?:{LINE_ENDS})\\z", ""), LINE_ENDS), stripped)
+    lines = F.filter(lines, lambda s: ~s.rlike(f"(?U)^[{BORDERS}\\s]*[{BORDERS}][{BORDERS}\\s]*$"))
 
-def quote_flags(x: Column) -> Column:
-    """Flags of a quotation that isn't 6 to 12 words, has an ellipsis or ends in punctuation."""
-    n = F.size(F.split(F.trim(x), r"\s+"))
-    flags = F.array(
-        F.when((n < 6) | (n > 12), F.lit("length")), F.when(x.contains("...") | x.contains("…"), F.lit("ellipsis")), F.when(F.trim(x).rlike(r"[.,;:!?]$"), F.lit("terminal"))
-    )
-    return F.filter(flags, lambda f: f.isNotNull())
+    def clean(s: Column) -> Column:
+        for pattern, by in MARGINS:
+            s = F.regexp_replace(s, f"(?U){pattern}", by)
+        return stripped(s)
 
+    return F.array_join(F.transform(lines, clean), "\n")
 
-#: Typographic characters and what they are searched as.
-PLAIN = {"‘": "'", "’": "'", "‚": "'", "‛": "'", "“": '"', "”": '"', "„": '"', "‟": '"', "–": "-", "—": "-", "‐": "-", "‑": "-", "−": "-", " ": " ", "|": " ", "•": " "}
 
+def quote_flags(x: Column, normal: Column) -> Column:
+    """Flags of a quotation that isn't 6 to 12 words, has an ellipsis or ends in a full stop, "!" or "?", with or without a closing mark.
 
-def searchable(x: Column) -> Column:
-    """Lower case with plain quotes and dashes and single spaces, for relaxed containment."""
-    return collapse(F.lower(F.translate(x, "".join(PLAIN), "".join(PLAIN.values()))))
+    normal: the quotation as locate.normalised has it, whose words are counted.
+    """
+    n = F.size(F.filter(F.split(normal, " "), lambda w: w != ""))
+    flags = F.array(
+        F.when((n < 6) | (n > 12), F.lit("length")), F.when(x.rlike(r"(?U)\.\s*\.\s*\.|…"), F.lit("ellipsis")), F.when(x.rlike(r"(?U)[.!?][”\"]?\s*\z"), F.lit("terminal"))
+    )
+    return F.filter(flags, lambda f: f.isNotNull())

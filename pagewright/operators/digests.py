@@ -37,3 +37,44 @@ def with_quotes(sections: DataFrame, quotes: DataFrame) -> DataFrame:
     rows = sections.join(each, "item_id", "left").withColumn("_ids", F.filter(found, lambda i: F.coalesce(F.array_contains(F.map_keys("_q"), i), F.lit(False))))
     text = F.aggregate("_ids", F.col("text"), lambda t, i: F.replace(t, F.concat(F.lit("{{quote:"), i, F.lit("}}")), F.element_at(F.col("_q"), i)))
     return rows.select("item_id", text.alias("text"), F.size("_ids").alias("n_used"))
+
+
+#: Marks of stored digests that must not show in narrative text.
+METADATA = (
+    ("digest_marker", r"<!-- none -->"),
+    ("null_marker", r"No material content\."),
+    ("empty_quotes_marker", r"No direct quotes\."),
+    ("page_link", r"\]\(page:\d{4}\)"),
+    ("sentinel", r"NO_SUMMARIZABLE_REPORT_CONTENT"),
+    ("hash_label", r"\b(?:generation|input|source)_sha256\b"),
+    ("placeholder", r"\{\{quote:[^}]+\}\}"),
+)
+
+
+def metadata_flags(x: Column) -> Column:
+    """The names of technical marks that a narrative text shows."""
+    return F.filter(F.array(*(F.when(x.rlike(p), F.lit(name)) for name, p in METADATA)), lambda f: f.isNotNull())
+
+
+def row_issues(rows: DataFrame, catalog: list[str], kinds: tuple[str, ...] = ("hearing", "report", "motion")) -> DataFrame:
+    """(item_id, rule) for each rule that a digest row breaks.
+
+    rows: item_id, kind, start_page, end_page, categories ARRAY<STRUCT<id, text, evidence ARRAY<STRUCT<quote_id, text, file_page>>>>.
+    Rules: kind, pages (1 <= start <= end), categories (each of the catalog once, in its order), silent_evidence (quotations without a
+    digest), blank_quote, quote_id (repeated within the row), quote_page (outside the row's pages).
+    """
+    cats = F.coalesce("categories", F.array().cast(rows.schema["categories"].dataType))
+    quotes = F.flatten(F.transform(cats, lambda c: F.coalesce(c["evidence"], F.filter(c["evidence"], lambda e: F.lit(False)))))
+    quotes = F.coalesce(F.filter(quotes, lambda q: q.isNotNull()), F.array().cast(rows.schema["categories"].dataType.elementType["evidence"].dataType))
+    blank = lambda c: F.trim(F.coalesce(c, F.lit(""))) == ""
+    pages = (F.col("start_page") >= 1) & (F.col("end_page") >= F.col("start_page"))
+    ids = F.transform(cats, lambda c: c["id"])
+    rules = F.array(
+        F.when(~F.coalesce(F.col("kind").isin(*kinds), F.lit(False)), F.lit("kind")), F.when(~F.coalesce(pages, F.lit(False)), F.lit("pages")),
+        F.when(~F.coalesce(ids == F.array(*map(F.lit, catalog)), F.lit(False)), F.lit("categories")),
+        F.when(F.exists(cats, lambda c: blank(c["text"]) & (F.coalesce(F.size(c["evidence"]), F.lit(0)) > 0)), F.lit("silent_evidence")),
+        F.when(F.exists(quotes, lambda q: blank(q["text"])), F.lit("blank_quote")),
+        F.when(F.size(F.array_distinct(F.transform(quotes, lambda q: q["quote_id"]))) < F.size(quotes), F.lit("quote_id")),
+        F.when(F.exists(quotes, lambda q: ~F.coalesce(q["file_page"].between(F.col("start_page"), F.col("end_page")), F.lit(False))), F.lit("quote_page")),
+    )
+    return rows.select("item_id", F.explode(F.filter(rules, lambda r: r.isNotNull())).alias("rule"))

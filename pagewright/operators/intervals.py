@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 
 def expand(intervals: DataFrame) -> DataFrame:
-    """One row per page of each interval (start_page, end_page)."""
-    return intervals.withColumn("page", F.explode(F.sequence("start_page", "end_page")))
+    """One row per page of each interval (start_page, end_page); an interval that ends before it starts has no page."""
+    return intervals.withColumn("page", F.explode(F.when(F.col("start_page") <= F.col("end_page"), F.sequence("start_page", "end_page"))))
 
 
 def containing(points: DataFrame, intervals: DataFrame) -> DataFrame:

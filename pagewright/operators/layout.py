@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pagewright.operators.reconcile import ordered_hash
+
 
 def layout_issues(layouts: DataFrame) -> DataFrame:
     """(case_id, rule) for layouts (case_id, mode, rt_end, ct_start, n_pages): known mode, bounds, and adjacent sides of a split."""
@@ -25,6 +27,6 @@ def sides(pages: DataFrame, layouts: DataFrame) -> DataFrame:
 
 
 def layout_signature(pages: DataFrame) -> DataFrame:
-    """(case_id, layout_signature) over page names and lengths: an edit that keeps a page's length isn't seen."""
-    row = F.concat_ws(":", "file_name", F.coalesce("n_bytes", F.lit(0)))
-    return pages.groupBy("case_id").agg(F.sha2(F.array_join(F.array_sort(F.collect_list(row)), "\n"), 256).alias("layout_signature"))
+    """(case_id, layout_signature) over page names and lengths in page order: an edit that keeps a page's length isn't seen."""
+    rows = pages.select("case_id", "page", F.concat_ws(":", "file_name", F.coalesce("n_bytes", F.lit(0))).alias("row"))
+    return ordered_hash(rows, ["case_id"], "page", "row").withColumnRenamed("content_sha256", "layout_signature")

@@ -10,16 +10,18 @@ def by_page():
     return Window.partitionBy("case_id").orderBy("page")
 
 
-def report_ranges(pages: DataFrame, first: str = "report_first", body: str = "report", split: int = 0) -> DataFrame:
+def report_ranges(pages: DataFrame, first: str = "report_first", body: str = "report", split: int = 0, modern: bool = True) -> DataFrame:
     """(case_id, start_page, end_page, n_pages, start_detected): a range opens at a type break, a page gap or a first page.
 
-    A fragment without its first page stays, with start_detected false. Pages up to split are ignored.
+    A fragment without its first page stays, with start_detected false. Pages up to split are ignored. Historical pages (not modern) were
+    never checked for first pages: there these open no range, and every range counts as detected.
     """
     rows = pages.where(F.col("page_type").isin(first, body) & (F.col("page") > split))
-    opens = F.lag("page").over(by_page()).isNull() | (F.col("page") != F.lag("page").over(by_page()) + 1) | (F.col("page_type") == first)
+    opens = F.lag("page").over(by_page()).isNull() | (F.col("page") != F.lag("page").over(by_page()) + 1)
+    opens = opens | (F.col("page_type") == first) if modern else opens
     rows = rows.withColumn("r", F.sum(opens.cast("int")).over(by_page()))
     spans = rows.groupBy("case_id", "r").agg(
-        F.min("page").alias("start_page"), F.max("page").alias("end_page"), F.count("*").alias("n_pages"), (F.min_by("page_type", "page") == first).alias("start_detected")
+        F.min("page").alias("start_page"), F.max("page").alias("end_page"), F.count("*").alias("n_pages"), (F.min_by("page_type", "page") == first if modern else F.lit(True)).alias("start_detected")
     )
     return spans.drop("r")
 
@@ -65,3 +67,35 @@ def selected_documents(pages: DataFrame) -> DataFrame:
     reports = report_ranges(pages).where("start_detected").select("case_id", F.lit("report").alias("kind"), "start_page", "end_page")
     packets = motion_packets(pages).groupBy("case_id", "packet_page").agg(F.max("end_page").alias("end_page"))
     return reports.unionByName(packets.select("case_id", F.lit("motion").alias("kind"), F.col("packet_page").alias("start_page"), "end_page"))
+
+
+def motion_boundaries(pages: DataFrame) -> DataFrame:
+    """(case_id, start_page, end_page, n_pages) of named motions alone: ranges cut at every first page, kept if their first page is named."""
+    found = report_ranges(pages, "motion_first", "motion").where("start_detected").drop("start_detected")
+    named = pages.where("named").select("case_id", F.col("page").alias("start_page"))
+    return found.join(named, ["case_id", "start_page"], "left_semi")
+
+
+def all_documents(pages: DataFrame) -> DataFrame:
+    """(case_id, kind, start_page, end_page) of pages (case_id, page, page_type, named): named reports and motions, all minute orders and
+    hearings, named forms. An unnamed first page still ends the range before it."""
+    named = pages.where("named").select("case_id", F.col("page").alias("start_page"))
+    forms = pages.where("page_type = 'form_first'").select("case_id", F.col("page").alias("start_page"), F.col("page").alias("end_page"))
+    kinds = {
+        "report": report_ranges(pages).where("start_detected").join(named, ["case_id", "start_page"], "left_semi"), "motion": motion_boundaries(pages),
+        "minute_order": started_ranges(pages), "hearing": started_ranges(pages, "hearing_start", "hearing_body"), "form": forms.join(named, ["case_id", "start_page"], "left_semi"),
+    }
+    out = None
+    for kind, found in kinds.items():
+        part = found.select("case_id", F.lit(kind).alias("kind"), "start_page", "end_page")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def same_date_starts(starts: DataFrame) -> DataFrame:
+    """starts (case_id, kind, start_page, date) of hearings and minute orders with same_date_as_previous: the start before it in page order
+    is of its kind and has its date; an empty date equals none."""
+    w = Window.partitionBy("case_id").orderBy("start_page", "kind")
+    dated = F.coalesce(F.col("date") != "", F.lit(False))
+    same = (F.lag("kind").over(w) == F.col("kind")) & (F.lag("date").over(w) == F.col("date")) & dated
+    return starts.withColumn("same_date_as_previous", F.coalesce(same, F.lit(False)))

@@ -21,12 +21,39 @@ def freshness(items: DataFrame, stored: DataFrame, key: str = "item_id", mark: s
     return a.join(b, key, "full").select(key, status.alias("status"))
 
 
+HASHED_AT_ONCE = 1000
+
+
 def ordered_hash(rows: DataFrame, group: Sequence[str], order: str, text: str) -> DataFrame:
-    """(group, content_sha256): a hash over the hashes of a group's texts in order; texts themselves aren't gathered."""
-    each = rows.select(*group, order, F.sha2(F.coalesce(F.col(text), F.lit("")), 256).alias("_h"))
-    seq = F.sort_array(F.collect_list(F.struct(order, "_h")))
-    joined = F.array_join(F.transform(seq, lambda r: F.concat(r[order].cast("string"), F.lit(":"), r["_h"])), ",")
-    return each.groupBy(*group).agg(F.sha2(joined, 256).alias("content_sha256"))
+    """(group, content_sha256): a hash over the hashes of a group's texts by a whole-number order, in two levels of blocks below the top.
+
+    A block is the hashes of HASHED_AT_ONCE successive numbers, so no task gathers a hot group; texts themselves aren't gathered.
+    """
+    now = rows.select(*group, F.col(order).alias("_k"), F.sha2(F.coalesce(F.col(text), F.lit("")), 256).alias("_h"))
+    seq = F.sort_array(F.collect_list(F.struct("_k", "_h")))
+    joined = F.sha2(F.array_join(F.transform(seq, lambda r: F.concat(r["_k"].cast("string"), F.lit(":"), r["_h"])), ","), 256)
+    for _ in range(2):
+        now = now.groupBy(*group, F.floor(F.col("_k") / HASHED_AT_ONCE).alias("_b")).agg(joined.alias("_h")).withColumnRenamed("_b", "_k")
+    return now.groupBy(*group).agg(joined.alias("content_sha256"))
+
+
+NUMBERED_AT_ONCE = 100_000
+
+
+def numbered(rows: DataFrame, group: Sequence[str], order: str) -> DataFrame:
+    """rows with number: their place in their group by a whole-number order, from 1.
+
+    Ranges of the order are numbered by themselves and shifted by the counts of those before, so no task sorts a hot group.
+    """
+    dealt = rows.withColumn("_b", F.floor(F.col(order) / NUMBERED_AT_ONCE))
+    before = dealt.groupBy(*group, "_b").agg(F.count("*").alias("_n"))
+    before = before.select(*group, "_b", (F.sum("_n").over(Window.partitionBy(*group).orderBy("_b")) - F.col("_n")).alias("_before"))
+    dealt = dealt.withColumn("_at", F.row_number().over(Window.partitionBy(*group, "_b").orderBy(order)))
+    same = [dealt[c].eqNullSafe(before[c]) for c in (*group, "_b")]
+    on = same[0]
+    for c in same[1:]:
+        on = on & c
+    return dealt.join(before, on).select(*(dealt[c] for c in rows.columns), (F.col("_before") + F.col("_at")).alias("number"))
 
 
 def resolve_categories(candidates: DataFrame, key: Sequence[str]) -> DataFrame:

@@ -9,7 +9,6 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from pagewright.functions import locate, phrases
 from pagewright.functions.contained import Contained
-from pagewright.functions.text import searchable
 
 BLOCK = 20_000  # quotations that are sent to the pages at once; more go in further blocks
 
@@ -28,6 +27,11 @@ def finder(quotes: list[str], mode: str, whole_words: bool):
         known = [i for i, q in enumerate(wanted) if q]
         search = Contained([wanted[i].encode() for i in known])
         return lambda t: [known[k] for k in search.find(locate.normal_text(t).encode())]
+    if mode == "relaxed":
+        wanted = [phrases.relaxed(q).strip() for q in quotes]
+        known = [i for i, q in enumerate(wanted) if q]
+        search = Contained([wanted[i].encode() for i in known])
+        return lambda t: [known[k] for k in search.find(phrases.relaxed(t).encode())]
     if mode != "phrase":
         search = Contained([q.encode() for q in quotes])
         return lambda t: search.find(t.encode())
@@ -44,7 +48,7 @@ def finder(quotes: list[str], mode: str, whole_words: bool):
 
 
 def quote_hits(quotes: DataFrame, pages: DataFrame, mode: str = "exact", whole_words: bool = True) -> DataFrame:
-    """(quote_id, page_id) where a page holds a quote: exact (as written), relaxed (searchable text), phrase (word pattern)
+    """(quote_id, page_id) where a page holds a quote: exact (as written), relaxed (phrases.relaxed), phrase (word pattern)
     or placed (wherever locate.place has a place for it; then with its columns start, end, ambiguous).
 
     The quotes are a stated query set. They go to the pages in blocks, by one path at any number of them; each row of quotes that
@@ -52,8 +56,6 @@ def quote_hits(quotes: DataFrame, pages: DataFrame, mode: str = "exact", whole_w
     """
     q = quotes.select("quote_id", F.col("text").alias("q")).where("trim(q) <> ''")
     p = pages.select("page_id", F.col("text").alias("t")).where("t is not null")
-    if mode == "relaxed":
-        q, p = q.withColumn("q", searchable(F.col("q"))), p.withColumn("t", searchable(F.col("t")))
     out = quotes.sparkSession.createDataFrame([], q.select("quote_id").schema).join(p.select("page_id").limit(0))
     if mode == "placed":
         out = out.selectExpr("quote_id", "page_id", "int(null) as start", "int(null) as `end`", "boolean(null) as ambiguous")
@@ -86,9 +88,16 @@ def best_page(hits: DataFrame, reported: DataFrame) -> DataFrame:
 
 
 def repeated_shingles(rows: DataFrame, item: str, ordinal: str, text: str, words: int = 15) -> DataFrame:
-    """(item, n_repeated): words-word shingles of an item that an earlier item (by ordinal) already has; own repeats don't count."""
+    """(item, n_repeated): words-word shingles of an item that an earlier item (by ordinal) already has; own repeats don't count.
+
+    A shingle is told apart by two 64-bit hashes of its words. Each item sends each of them once; what comes back to an item is a count.
+    Hot shingles combine map-side; they never come together as rows.
+    """
     w = F.filter(F.split(F.lower(F.col(text)), r"[^\p{L}\p{N}]+"), lambda x: x != "")
     lists = rows.select(item, ordinal, w.alias("w")).where(F.size("w") >= words)
-    each = lists.select(item, ordinal, F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - words + 1), lambda i: F.xxhash64(F.array_join(F.slice("w", i, words), " "))))).alias("s"))
-    owner = each.groupBy("s").agg(F.min(ordinal).alias("first"), F.count("*").alias("n")).where("n > 1")
-    return each.join(owner, "s").where(F.col("first") < F.col(ordinal)).groupBy(item).agg(F.count("*").alias("n_repeated"))
+    shingle = lambda i: F.array_join(F.slice("w", i, words), " ")
+    each = lists.select(item, ordinal, F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - words + 1), lambda i: F.struct(F.xxhash64(shingle(i)).alias("s"), F.xxhash64(shingle(i), F.lit(words)).alias("s2")))).alias("k"))
+    each = each.select(item, ordinal, "k.s", "k.s2").distinct()
+    # The first owner of a shingle has no repeat of it, every other one has: shared shingles less those that an item owns.
+    owner = each.groupBy("s", "s2").agg(F.min(ordinal).alias("first"), F.max(ordinal).alias("last")).where("first < last")
+    return each.join(owner, ["s", "s2"]).where(F.col("first") < F.col(ordinal)).groupBy(item).agg(F.count("*").alias("n_repeated"))

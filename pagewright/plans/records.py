@@ -29,7 +29,17 @@ def html_to_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "pages").select("page_id", html_text.html_to_text(F.col("html")).alias("text")).select("page_id", F.length("text").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"))
 
 
-@query()
+BARS, EDGE = "│┃║", text.BORDERS
+MARGIN_SQL = "trim(l, chr(32) || chr(9) || chr(12) || chr(13))"
+for _pattern, _by in text.MARGINS:
+    if "(?=" not in _pattern:
+        MARGIN_SQL = f"regexp_replace({MARGIN_SQL}, '{_pattern}', '{_by}', 'g')"
+    else:  # the pattern looks ahead, which this dialect can't: the letter is kept instead
+        MARGIN_SQL = f"""regexp_replace({MARGIN_SQL}, '^\\s*\\d{{1,2}}\\s+([A-Za-z("''])', '\\1')"""
+
+
+@query(f"""with l as (select doc_id, list_filter(list_transform(regexp_split_to_array(regexp_replace(text, '(\\r\\n|\\n)$', ''), '\\r\\n|\\n'), lambda l: trim(l, chr(32) || chr(9) || chr(12) || chr(13))), lambda l: not regexp_matches(l, '^[{EDGE}\\s]*[{EDGE}][{EDGE}\\s]*$')) as l from documents)
+    select doc_id, sha256(array_to_string(list_transform(l, lambda l: trim({MARGIN_SQL})), chr(10))) as text_sha256 from l""")
 def margin_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents").select("doc_id", F.sha2(text.strip_margins(F.col("text")), 256).alias("text_sha256"))
 
@@ -70,7 +80,11 @@ def hearings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turns.select(F.col("conv_id").alias("case_id"), F.lit(1).alias("hearing_id"), F.lit(None).cast("string").alias("status"), F.col("t.p").alias("participants"))
 
 
-@query()
+@query("""with k as (select conv_id, turn, role, row_number() over (partition by conv_id order by turn) as i from conversations where turn % 4 <> 3),
+    f as (select *, row_number() over (partition by conv_id, role order by turn) as nth from k), g as (select conv_id, count(*) as n, string_agg(case when nth = 1 then role else 'p' || i end, ',' order by i) as ids, bool_or(nth > 1) as bad from f group by 1),
+    c as (select conv_id, bool_or(turn % 4 = 3) as dropped from conversations group by 1)
+    select c.conv_id as case_id, 1 as hearing_id, case when coalesce(n, 0) = 0 then 'none' else 'identified' end as status, cast(coalesce(n, 0) as int) as n_participants, coalesce(ids, '') as ids,
+    array_to_string(list_filter(['defaulted_status', case when dropped then 'dropped_participant' end, case when bad then 'repaired_id' end], lambda x: x is not null), ',') as codes from c left join g using (conv_id)""")
 def participant_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     fixed = participants.repair(hearings(spark, sf_dir))
     return fixed.select("case_id", "hearing_id", "status", F.size("participants").alias("n_participants"), F.array_join("participants.id", ",").alias("ids"), F.array_join("codes", ",").alias("codes"))
@@ -126,9 +140,11 @@ def layout_sides(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.sides(classified_pages(spark, sf_dir).select("case_id", "page"), order_layouts(spark, sf_dir))
 
 
-@query("""select source as case_id, sha256(string_agg(r, chr(10) order by r)) as layout_signature from (select source, printf('%06d.txt', doc_id) || ':' || octet_length(encode(text)) as r from documents) group by source""")
+@query("""with h as (select source, doc_id, sha256(printf('%06d.txt', doc_id) || ':' || octet_length(encode(text))) as h from documents),
+    a as (select source, doc_id // 1000 as k, sha256(string_agg(doc_id || ':' || h, ',' order by doc_id)) as h from h group by all), b as (select source, k // 1000 as k, sha256(string_agg(k || ':' || h, ',' order by k)) as h from a group by 1, 2)
+    select source as case_id, sha256(string_agg(k || ':' || h, ',' order by k)) as layout_signature from b group by source""")
 def layout_signature(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = read(spark, sf_dir, "documents").select(F.col("source").alias("case_id"), F.format_string("%06d.txt", "doc_id").alias("file_name"), F.octet_length("text").alias("n_bytes"))
+    pages = read(spark, sf_dir, "documents").select(F.col("source").alias("case_id"), F.col("doc_id").alias("page"), F.format_string("%06d.txt", "doc_id").alias("file_name"), F.octet_length("text").alias("n_bytes"))
     return layout.layout_signature(pages)
 
 
@@ -163,7 +179,7 @@ def model_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("event_id", "a.page_type", "a.first_page", "a.date", F.array_join("a.errors", ",").alias("errors"))
 
 
-@query("""select c_custkey, 'Case_' || c_custkey || '_of_' || replace(c_mktsegment, ' ', '_') as case_name, case when c_custkey % 2 = 0 then 'characters' else '' end as issues,
+@query("""select c_custkey, 'Case_' || c_custkey || case when c_custkey % 2 = 0 then '_/_of_' else '_of_' end || replace(c_mktsegment, ' ', '_') as case_name, case when c_custkey % 2 = 0 then 'characters' else '' end as issues,
     upper(left(c_mktsegment, 1)) || lower(substr(c_mktsegment, 2)) as role from customer""")
 def case_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = F.concat(F.lit(" Case  "), F.col("c_custkey").cast("string"), F.when(F.col("c_custkey") % 2 == 0, " / of ").otherwise("  of "), F.col("c_mktsegment"))

@@ -291,7 +291,7 @@ def quote_search_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""select item_id as quote_id, doc_id as page_id from benchmark b join documents d
-    on contains(trim(regexp_replace(lower(translate(d.text, '|', ' ')), '\\s+', ' ', 'g')), trim(regexp_replace(lower(translate(b.text, '|', ' ')), '\\s+', ' ', 'g')))""")
+    on contains(regexp_replace(lower(translate(d.text, '’‘“”–—‑', '''''""---')), '\\s+', ' ', 'g'), trim(regexp_replace(lower(translate(b.text, '’‘“”–—‑', '''''""---')), '\\s+', ' ', 'g')))""")
 def quote_search_relaxed(spark: SparkSession, sf_dir: str) -> DataFrame:
     quotes = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("quote_id"), "text")
     return search.quote_hits(quotes, read(spark, sf_dir, "documents").select(F.col("doc_id").alias("page_id"), "text"), "relaxed")
@@ -303,14 +303,18 @@ def quote_search_phrase(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.quote_hits(quotes, read(spark, sf_dir, "documents").select(F.col("doc_id").alias("page_id"), "text"), "phrase", whole_words=False)
 
 
-@query("""with r as (select role, lower(left(text, 20)) as norm, turn from conversations), g as (select role, norm, list_sort(list(distinct turn)) as t from r group by all)
+#: Texts as locate.normalised has them, where no character needs NFKC and white space is ASCII.
+NORMAL = "trim(regexp_replace(regexp_replace(text, '-\\s+', '', 'g'), '\\s+', ' ', 'g'))"
+
+
+@query(f"""with r as (select role, {NORMAL} as norm, turn from conversations), g as (select role, norm, list_sort(list(distinct turn)) as t from r group by all)
     select role, norm, array_to_string(t, ',') as ordinals from g where len(t) > 1""")
 def recurrence_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = read(spark, sf_dir, "conversations").select("role", F.lower(locate.normalised(F.col("text"))).alias("norm"), "turn")
+    rows = read(spark, sf_dir, "conversations").select("role", locate.normalised(F.col("text")).alias("norm"), "turn")
     return reconcile.recurrence(rows, ["role", "norm"], "turn").select("role", "norm", F.array_join(F.transform("ordinals", lambda x: x.cast("string")), ",").alias("ordinals"))
 
 
-@query("""select conv_id, turn, role, left(text, 12) is null or min(turn) over (partition by conv_id, role, left(text, 12)) < turn as carried from conversations""")
+@query(f"""select conv_id, turn, role, text is null or min(turn) over (partition by conv_id, role, {NORMAL}) < turn as carried from conversations""")
 def carry_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", locate.normalised(F.col("text")).alias("norm"))
     return reconcile.carried_forward(rows, ["conv_id", "role", "norm"], "turn").select("conv_id", "turn", "role", "carried")
@@ -324,14 +328,16 @@ def shingle_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.repeated_shingles(docs, "doc_id", "seq", "text", 15)
 
 
-@query("""select item_id, array_to_string(list_filter([case when len(regexp_split_to_array(trim(text), '\\s+')) not between 6 and 12 then 'length' end,
-    case when contains(text, '...') or contains(text, '…') then 'ellipsis' end, case when regexp_matches(trim(text), '[.,;:!?]$') then 'terminal' end], lambda x: x is not null), ',') as flags from benchmark""")
+@query(f"""select item_id, array_to_string(list_filter([case when len(string_split({NORMAL}, ' ')) not between 6 and 12 then 'length' end,
+    case when regexp_matches(text, '\\.\\s*\\.\\s*\\.|…') then 'ellipsis' end, case when regexp_matches(text, '[.!?][”"]?\\s*$') then 'terminal' end], lambda x: x is not null), ',') as flags from benchmark""")
 def quote_convention_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "benchmark").select("item_id", F.array_join(text.quote_flags(F.col("text")), ",").alias("flags"))
+    flags = text.quote_flags(F.col("text"), locate.normalised(F.col("text")))
+    return read(spark, sf_dir, "benchmark").select("item_id", F.array_join(flags, ",").alias("flags"))
 
 
-@query("""with h as (select source, doc_id, sha256(coalesce(text, '')) as h from documents)
-    select source, sha256(string_agg(doc_id || ':' || h, ',' order by doc_id)) as content_sha256 from h group by source""")
+@query("""with h as (select source, doc_id, sha256(coalesce(text, '')) as h from documents),
+    a as (select source, doc_id // 1000 as k, sha256(string_agg(doc_id || ':' || h, ',' order by doc_id)) as h from h group by all), b as (select source, k // 1000 as k, sha256(string_agg(k || ':' || h, ',' order by k)) as h from a group by 1, 2)
+    select source, sha256(string_agg(k || ':' || h, ',' order by k)) as content_sha256 from b group by source""")
 def content_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reconcile.ordered_hash(read(spark, sf_dir, "documents"), ["source"], "doc_id", "text")
 
@@ -358,12 +364,12 @@ def role_multiplicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     select source, block, min(doc_id) as first_doc, max(doc_id) as last_doc, count(*) as n_rows from n group by all""")
 def block_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Blocks of 80 rows of each source."""
-    rn = F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))
-    rows = read(spark, sf_dir, "documents").select("source", "doc_id", F.floor((rn - 1) / 80).alias("block"))
+    rows = reconcile.numbered(read(spark, sf_dir, "documents").select("source", "doc_id"), ["source"], "doc_id")
+    rows = rows.select("source", "doc_id", F.floor((F.col("number") - 1) / 80).alias("block"))
     return rows.groupBy("source", "block").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"), F.count("*").alias("n_rows"))
 
 
-@query("""with h as (select doc_id, lower(left(text, 30)) as head from documents), a as (select *, row_number() over (partition by head order by doc_id) as nth, count(*) over (partition by head) as n from h where doc_id % 2 = 0),
+@query("""with h as (select doc_id, lower(text) as head from documents), a as (select *, row_number() over (partition by head order by doc_id) as nth, count(*) over (partition by head) as n from h where doc_id % 2 = 0),
     b as (select *, row_number() over (partition by head order by doc_id) as nth, count(*) over (partition by head) as n from h where doc_id % 2 = 1)
     select a.doc_id as heading, b.doc_id as line from a join b on a.head = b.head and a.nth = b.nth and a.n = b.n""")
 def heading_nth_match(spark: SparkSession, sf_dir: str) -> DataFrame:

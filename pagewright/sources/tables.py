@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pagewright.functions.text import field, natural_key
 from pagewright.operators.dedupe import last_wins
 
 
@@ -19,6 +20,21 @@ def read_jsonl(spark: SparkSession, path: str) -> DataFrame:
     return lines.select("source", F.from_json("line", "map<string,string>").alias("row")).where("row is not null")
 
 
+def read_jsonl_sorted(spark: SparkSession, paths: list[str], key: str = "file_name") -> DataFrame:
+    """The rows of several JSONL files together, in natural order of their file names; rows without one come last."""
+    rows = None
+    for path in paths:
+        rows = read_jsonl(spark, path) if rows is None else rows.unionAll(read_jsonl(spark, path))
+    name = F.nullif(F.trim(field(F.col("row"), key)), F.lit(""))
+    return rows.orderBy(natural_key(name).asc_nulls_last(), "source")
+
+
+def names_in(rows: DataFrame, key: str = "file_name") -> DataFrame:
+    """(file_name): the distinct names that are not blank."""
+    name = F.trim(field(F.col("row"), key))
+    return rows.select(name.alias("file_name")).where("file_name <> ''").distinct()
+
+
 def read_json_rows(spark: SparkSession, path: str) -> DataFrame:
     """(row MAP<STRING,STRING>) of a file that holds one JSON array of objects; anything else gives no row."""
     text = spark.read.text(path, wholetext=True).where(F.expr("try_parse_json(value)").isNotNull() & F.ltrim("value").startswith("["))
@@ -33,17 +49,12 @@ def read_page_texts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def expected_pages(counts: DataFrame) -> DataFrame:
-    """(case_id, page, file_name): every page number of inputs (case_id, n_pages), as four-digit names."""
-    pages = counts.select("case_id", F.explode(F.sequence(F.lit(1), F.sum("n_pages").over(_case()).cast("int"))).alias("page")).distinct()
+    """(case_id, page, file_name): every page number of a case's inputs (case_id, n_pages) together, as names of four digits or more."""
+    totals = counts.groupBy("case_id").agg(F.sum("n_pages").cast("int").alias("n")).where("n > 0")
+    pages = totals.select("case_id", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("page"))
     return pages.withColumn("file_name", F.format_string("%04d.txt", "page"))
 
 
-def _case():
-    from pyspark.sql import Window
-
-    return Window.partitionBy("case_id")
-
-
 #: Total order of rows that repeat a page: the greatest is the last written.
 WRITTEN = ("l_shipdate", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus")
 

@@ -18,11 +18,16 @@ def activity(stream: DataFrame, time_col: str = "ts", late: str = "1 hour", widt
 
 
 def upsert_batches(stream: DataFrame, path: str, key: list[str]):
-    """A writer that appends to path only the rows of each micro-batch whose key isn't there yet; a retried batch adds nothing."""
+    """A writer of the rows of each micro-batch whose key no earlier batch has, one folder batch=N below path for each batch.
+
+    A batch that is tried again replaces its own folder and looks only at earlier ones, so it adds nothing twice.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        done = spark.read.schema(batch.schema).parquet(path)
-        batch.dropDuplicates(key).join(done.select(*key), key, "left_anti").write.mode("append").parquet(path)
+        rows = batch.dropDuplicates(key)
+        if batch_id > 0:
+            done = batch.sparkSession.read.schema(batch.select(*key).schema.add("batch", "long")).parquet(path)
+            rows = rows.join(done.where(F.col("batch") < batch_id).select(*key), key, "left_anti")
+        rows.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
     return stream.writeStream.foreachBatch(write)

@@ -10,7 +10,10 @@ from pagewright.streaming import live
 def test_places_of_quotations():
     assert locate.place("two words", "one two\n  words two words") == (4, 15, True)
     assert locate.place("interrupted", "it was inter-\n rupted there") == (7, 21, False)
-    assert locate.place("“quoted” ﬁne", 'a "quoted"  fine b') == (2, 16, False)
+    assert locate.place("interrupted", "it was inter-  rupted there") == (7, 21, False)
+    assert locate.place("ﬁne  print", "a fine\u200b\nprint b") == (2, 13, False)
+    # Quotation marks and dashes are compared as they are.
+    assert locate.place("“quoted”", 'a "quoted" b') == locate.place("a-b", "a–b") == (None, None, False)
     assert locate.place("absent", "text") == locate.place("", "text") == locate.place(None, None) == (None, None, False)
 
 

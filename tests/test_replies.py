@@ -22,8 +22,11 @@ def test_values(spark):
     assert values(spark, lambda c: replies.enum_value(c, ["minute order", "report"]), "Minute_Order", "x") == ["minute order", None]
     assert values(spark, replies.strict_date, "March  5, 2026", "march 5, 2026", "March 35, 2026", "3/5/2026") == ["March 5, 2026", None, None, None]
     assert values(spark, lambda c: replies.starts_with_date(c, F.lit("March 5, 2026")), "march 5 2026 - x", "x") == [True, False]
-    assert values(spark, replies.case_name, "  A v. B / C ", None) == ["A_v._B_C", ""]
-    assert values(spark, replies.case_name_issues, "Fine", "", "a/b unknown") == [[], ["empty"], ["characters", "refusal"]]
+    assert values(spark, replies.case_name, "  A v. B / C ", None, "__a _ b\tc_", "x" * 119 + "_yz") == ["A_v._B_/_C", "", "a_b_c", "x" * 119]
+    assert values(spark, replies.shown_case_name, "A_v_B", "x" * 81, "x" * 80) == ["A v B", "x" * 77 + "...", "x" * 80]
+    assert values(spark, replies.case_name_issues, "Fine", "", "a/b", "In re Unknown Heirs", "Unknown", "cannot_determine it", ".a", "12 34", "a`b", "a\u200bb", "x" * 121) == [
+        [], ["empty"], ["characters"], [], ["refusal"], ["refusal"], ["leading_dot"], ["letters"], ["characters"], ["characters"], ["length"]
+    ]
     assert values(spark, replies.paragraphs, "a\nb\n\n  \nc", None) == [["a b", "c"], []]
     assert values(spark, lambda c: replies.elapsed(c.cast("int")), "3723", "63") == ["1:02:03", "1:03"]
     assert values(spark, lambda c: replies.counted(c.cast("int"), "page"), "1", "2") == ["1 page", "2 pages"]

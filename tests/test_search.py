@@ -109,7 +109,7 @@ def test_phrases_by_the_rules(spark):
 
 
 def test_quotations_are_placed_where_normal_text_holds_them(spark, tmp_path):
-    quotes = [(0, "wrapped over lines"), (1, "interrupted speech"), (2, "“fine” words"), (3, "nowhere at all"), (4, "\x00"), (5, " twice "), (6, None)]
+    quotes = [(0, "wrapped over lines"), (1, "interrupted speech"), (2, "\"fine\" words"), (3, "nowhere at all"), (4, "\x00"), (5, " twice "), (6, None)]
     pages = [(0, "x wrapped\n  over lines"), (1, "it was inter-\nrupted\nspeech"), (2, 'a "ﬁne" wo\u00adrds'), (3, "wrapped over\nlines"), (4, "twice or twice"), (5, "twice"), (6, None)]
     spark.createDataFrame(quotes, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     spark.createDataFrame(pages, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
