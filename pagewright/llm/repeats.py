@@ -31,6 +31,7 @@ from pagewright.llm.hashing import mix, powers
 
 GRAM = 20
 CHUNK_BYTES = 1 << 20
+LEAST_BUCKETS = 64
 BUCKET_BYTES = 4 << 20  # corpus bytes a bucket: about a quarter of a million anchors
 
 
@@ -51,7 +52,7 @@ def maximal_repeats(data: bytes, least: int) -> list[tuple[int, list[int]]]:
     """(length, all starts) of each string of at least so many bytes that repeats in one buffer and that no byte on either side extends in all places."""
     text, starts = np.frombuffer(data, np.uint8), np.arange(max(0, len(data) - least + 1))
     left = np.concatenate(([-1], text[:-1].astype(np.int16)))[: len(starts)] if len(starts) else np.empty(0, np.int16)
-    order, lcp = enhanced(text, starts, np.full(len(starts), len(data)), left, least)
+    order, lcp = enhanced(text, starts, np.array([len(data)]), np.zeros(len(starts), np.int64), left, least)
     return sorted(((depth, sorted(order[a : b + 1].tolist())) for depth, a, b in maximal_groups(lcp, left[order], least)), key=lambda x: (x[1], x[0]))
 
 
@@ -339,7 +340,7 @@ def sorted_stretches(text: np.ndarray, starts: np.ndarray, length: int) -> tuple
         return piece.view(">u8").ravel()
 
     # One key at a time, from the last: a stable sort by each keeps memory at a few words a suffix.
-    order = np.arange(len(starts))
+    order = np.arange(len(starts), dtype=starts.dtype)
     for j in range(words - 1, -1, -1):
         order = order[np.argsort(key(j, starts[order]).astype(np.uint64), kind="stable")]
     same = np.ones(len(starts), bool)
@@ -359,8 +360,8 @@ def spreads(values: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return (np.minimum.reduceat(values, first), np.maximum.reduceat(values, first)) if len(first) else (values, values)
 
 
-def enhanced(text: np.ndarray, starts: np.ndarray, ends: np.ndarray, left: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """(order, lcp): the suffixes text[starts:ends] sorted to their ends, and the common prefix of each with the one before it.
+def enhanced(text: np.ndarray, starts: np.ndarray, ends: np.ndarray, entry: np.ndarray, left: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """(order, lcp): the suffixes text[starts:ends[entry]] sorted to their ends, and the common prefix of each with the one before it.
 
     left: the byte before each suffix, -1 at the front of its text. Only suffixes that share length bytes with another are there, and of
     those none whose whole class has one byte on the left, as such a class is a repeat of the suffixes one place further left. An lcp of
@@ -373,7 +374,7 @@ def enhanced(text: np.ndarray, starts: np.ndarray, ends: np.ndarray, left: np.nd
     keep = fine[run]
     order, run = order[keep], run[keep]
     # Now by what follows, eight bytes at a time; a text that ends comes before those that go on.
-    more = ends[order] - starts[order] - length
+    more = ends[entry[order]].astype(np.int64) - starts[order] - length
     words = -(-int(more.max()) // 8) if len(more) else 0
     padded = np.concatenate((text, np.zeros(8 * words + length + 8, np.uint8)))
     tails = np.lib.stride_tricks.sliding_window_view(padded, max(8, 8 * words))[starts[order] + length].copy() if words else np.zeros((len(order), 8), np.uint8)
@@ -445,13 +446,15 @@ def bucket_groups(ctx: DataFrame, length: int, groups: bool = False) -> DataFram
             owner.append(np.full(n, i))
         group, doc, size, owner = map(np.concatenate, (group, doc, size, owner))
         text = np.frombuffer(b"".join(texts), np.uint8)
+        del texts, heads
+        place = np.int32 if len(text) < 1 << 31 else np.int64  # a bucket has tens of suffixes for each surrounding: half the width, half the memory
         begin = np.cumsum(size) - size
         n = size - length + 1  # suffixes of each surrounding
         entry = np.repeat(np.arange(len(n), dtype=np.int32), n)
-        offset = np.arange(len(entry)) - np.repeat(np.cumsum(n) - n, n)
-        starts = begin[entry] + offset
+        offset = np.arange(len(entry), dtype=place) - np.repeat((np.cumsum(n) - n).astype(place), n)
+        starts = begin.astype(place)[entry] + offset
         left = np.where(offset > 0, text[starts - 1].astype(np.int16), np.int16(-1))
-        order, lcp = enhanced(text, starts, (begin + size)[entry], left, length)
+        order, lcp = enhanced(text, starts, begin + size, entry, left, length)
         left, e, offset = left[order], entry[order], offset[order]
         depth, least = reach(lcp, left, doc[e], length)
         out = {"chunk": [], "runs": [], "groups": []}
@@ -524,7 +527,7 @@ def met(rows: DataFrame, length: int, leaves: bool = False) -> tuple[DataFrame,
     """For documents (id, text): all rows of surroundings(), the open ones of them, what compared_marks() says, and the bytes that go to each bucket."""
     packed = materialise(pack(rows))
     total = packed.agg(F.sum(F.expr("octet_length(text)")) * 3).first()[0] or 0
-    buckets = max(16, int(total // BUCKET_BYTES))
+    buckets = max(LEAST_BUCKETS, int(total // BUCKET_BYTES))
     shared = materialise(shared_hashes(sent_hashes(packed, length, buckets)))
     around = materialise(surroundings(packed, shared, length, buckets))
     discard(packed, shared)

@@ -97,7 +97,7 @@ def test_reach_against_brute_force(entries):
     offset = np.concatenate([np.arange(k - 2) for k in size])
     starts, doc = begin[entry] + offset, np.array([d for _, d in entries])
     left = np.where(offset > 0, text[starts - 1].astype(np.int16), np.int16(-1))
-    order, lcp = repeats.enhanced(text, starts, (begin + size)[entry], left, 3)
+    order, lcp = repeats.enhanced(text, starts, begin + size, entry, left, 3)
     depth, owner = repeats.reach(lcp, left[order], doc[entry[order]], 3)
     gone = np.zeros(len(text), bool)
     for s, d, o, e in zip(starts[order], depth, owner, entry[order]):
