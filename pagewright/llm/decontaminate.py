@@ -60,6 +60,29 @@ def myers(masks: dict[str, int], m: int, text: str) -> tuple[int, int]:
     return best, at
 
 
+def first_end(masks: dict[str, int], m: int, text: str, edits: int) -> int:
+    """The least length of a beginning of text within so many edits of the whole pattern."""
+    # Myers' recurrence with a fixed beginning: the horizontal difference of the top row is 1 instead of 0.
+    full, top = (1 << m) - 1, 1 << (m - 1)
+    pv, mv, score = full, 0, m
+    for i, c in enumerate(text):
+        eq = masks.get(c, 0)
+        xv = eq | mv
+        xh = (((eq & pv) + pv) ^ pv) | eq
+        ph = mv | ~(xh | pv)
+        mh = pv & xh
+        if ph & top:
+            score += 1
+        elif mh & top:
+            score -= 1
+        if score <= edits:
+            return i + 1
+        ph = (ph << 1) | 1
+        pv = ((mh << 1) | ~(xv | ph)) & full
+        mv = ph & xv & full
+    return len(text)
+
+
 class Matcher:
     """The automaton and the verifier for one block of items."""
 
@@ -78,7 +101,10 @@ class Matcher:
             # An edit spoils at most GRAM of the item's grams.
             need = sum(grams.values()) - GRAM * k
             self.tree(text, pieces(text, k), len(self.items), (), found)
-            self.items.append((item_id, text, k, dict(masks), frozenset(grams), len(grams) - (sum(grams.values()) - need)))
+            back: dict[str, int] = defaultdict(int)
+            for i, c in enumerate(reversed(text)):
+                back[c] |= 1 << i
+            self.items.append((item_id, text, k, dict(masks), frozenset(grams), len(grams) - (sum(grams.values()) - need), dict(back)))
         self.automaton = ahocorasick.Automaton()
         for piece, where in found.items():
             self.automaton.add_word(piece, (len(piece), where))
@@ -99,7 +125,7 @@ class Matcher:
                     starts.setdefault(item, []).append(start)
         out = []
         for item, diagonals in starts.items():
-            item_id, pattern, k, masks, grams, need = self.items[item]
+            item_id, pattern, k, masks, grams, need, back = self.items[item]
             m, best = len(pattern), None
             for lo, hi in self.windows(diagonals, m, k):
                 lo, hi = max(0, lo), min(len(text), hi)
@@ -108,7 +134,9 @@ class Matcher:
                     continue
                 edits, end = myers(masks, m, part)
                 if edits <= k and (best is None or edits < best[0]):
-                    best = (edits, max(0, lo + end - m), lo + end)
+                    # The match ends there; read backwards from its end, it begins where the reversed item reaches that distance.
+                    stretch = text[max(0, lo + end - m - k) : lo + end]
+                    best = (edits, lo + end - first_end(back, m, stretch[::-1], edits), lo + end)
             if best:
                 out.append((item_id, *best))
         return out
@@ -155,7 +183,7 @@ class Matcher:
 
 def blocks(benchmark: DataFrame, item_col: str, text_col: str) -> list[list[tuple[int, str]]]:
     """The items in blocks of about BLOCK_ITEMS, each collected by itself."""
-    rows = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(text_col).cast("string").alias("text")).where("item_id is not null and text is not null")
+    rows = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(text_col).cast("string").alias("text")).where("item_id is not null and text is not null").distinct()
     n = -(-rows.count() // BLOCK_ITEMS)
     for b in range(n):
         yield sorted(tuple(r) for r in rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == b).collect())
