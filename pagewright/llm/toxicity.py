@@ -20,7 +20,8 @@ from pagewright.llm.common import bounded_batches
 
 SAMPLE_ROWS = 20_000  # labelled rows that the classifier is fitted on, the least by a hash of their id
 LEARNED_TERMS = 400
-STEMS = (4, 5)  # lengths of word beginnings that are learned beside whole words, written with a trailing *
+STEMS = (3, 4, 5, 6, 7)  # lengths of word beginnings that are learned beside whole words, written with a trailing *
+LEAST_ODDS, STRONG_ODDS = 1.2, 3.5  # log odds of the label that a learned term has at least, and that of strong ones
 # Common insults and slurs of contempt in four languages, lower case, without accents.
 LEXICON = frozenset(
     "idiot idiots idiotic moron morons moronic stupid stupidity dumb dumbass imbecile cretin loser losers clown clowns pathetic worthless disgusting "
@@ -38,17 +39,35 @@ INNER = b"*.-_'~^`\"#%&"
 LETTERS_APART = re.compile(r"(?:(?<=\s)|^)(?:[^\W\d_][ .\-*_]){3,}[^\W\d_](?=\s|$|[.,!?])")
 STRETCHED = re.compile(r"([a-z])\1{2,}")
 FEATURES = (
-    "log_words hits hit_rate distinct_hits near_second second_rate learned_hits learned_rate learned_distinct hidden_hits hidden_rate apart_hits stretched_hits "
+    "log_words hits hit_rate distinct_hits near_second second_rate learned_hits learned_rate learned_distinct learned_weight learned_weight_rate learned_strong hidden_hits hidden_rate apart_hits stretched_hits "
     "upper_rate shouted_rate bang_rate question_rate punctuation_rate symbol_rate digit_rate mixed_rate non_ascii_rate mean_word max_hit_cluster"
 ).split()
 
 
+class Terms(dict):
+    """Log odds of learned words, and of learned word beginnings (with a trailing *)."""
+
+    def __init__(self, odds: dict[str, float]):
+        super().__init__(odds)
+        self.starts = frozenset(t[: STEMS[0]] for t in odds)
+
+    def found(self, words: list[str]) -> list[tuple[str, float]]:
+        """(word, the greatest log odds of it or its beginnings) of each word that has any."""
+        out, starts, get = [], self.starts, self.get
+        for w in words:
+            if w[: STEMS[0]] in starts:
+                best = max(get(w, 0.0), *(get(w[:k] + "*", 0.0) for k in STEMS if k < len(w)), 0.0)
+                if best:
+                    out.append((w, best))
+        return out
+
+
 def plain(text: str) -> str:
     low = text.lower()
     return low if low.isascii() else low.translate(_fold)
 
 
-def features(text: str | None, learned: frozenset[str]) -> list[float]:
+def features(text: str | None, learned: Terms | None = None) -> list[float]:
     text = text or ""
     low = plain(text)
     raw = low.encode()
@@ -58,8 +77,12 @@ def features(text: str | None, learned: frozenset[str]) -> list[float]:
         return [0.0] * len(FEATURES)
     hits = [i for i, w in enumerate(words) if w in LEXICON]
     second = [i for i, w in enumerate(words) if w in SECOND]
-    known = [w for w in words if w in learned or w[:4] + "*" in learned or w[:5] + "*" in learned] if learned else []
-    near = sum(bool(np.searchsorted(second, i + 6) > np.searchsorted(second, i - 5)) for i in hits) if second and hits else 0
+    known = learned.found(words) if learned else []
+    weight = sum(x for _, x in known)
+    near = 0
+    if second and hits:
+        h, at = np.array(hits), np.array(second)
+        near = int((np.searchsorted(at, h + 6) > np.searchsorted(at, h - 5)).sum())
     bare = raw.translate(LEET, INNER).split()
     hidden = sum(w.strip(b",;:?()[]").decode(errors="replace") in LEXICON for w in bare) - len(hits) if len(bare) else 0
     apart = sum("".join(c for c in m.group() if c.isalpha()) in LEXICON for m in LETTERS_APART.finditer(low))
@@ -81,12 +104,13 @@ def features(text: str | None, learned: frozenset[str]) -> list[float]:
     per = 1 / max(1, n)
     return [
         float(np.log1p(n)), len(hits), len(hits) * per, len({words[i] for i in hits}), near, len(second) * per, len(known), len(known) * per, len(set(known)),
+        weight, weight * per, sum(x >= STRONG_ODDS for _, x in known),
         max(0, hidden), max(0, hidden) * per, apart, stretched, upper / letters, shouted * per, counts[33] / size, counts[63] / size, punctuation / size,
         symbols / size, digits / size, mixed * per, counts[128:].sum() / size, size * per, cluster,
     ]
 
 
-def table(docs: DataFrame, learned: frozenset[str], keep: list[str]) -> DataFrame:
+def table(docs: DataFrame, learned: Terms, keep: list[str]) -> DataFrame:
     """The kept columns and the features of each text, batch by batch."""
 
     def run(batches):
@@ -105,27 +129,29 @@ def stem(words: Column, k: int) -> Column:
     return F.transform(F.filter(words, lambda w: F.length(w) > k), lambda w: F.concat(F.left(w, F.lit(k)), F.lit("*")))
 
 
-def learn_terms(sample: DataFrame) -> frozenset[str]:
-    """Words and word beginnings of the labelled sample with a high log-odds of the label 1, at most LEARNED_TERMS.
+def learn_terms(sample: DataFrame) -> Terms:
+    """Words and word beginnings of the labelled sample with raised log odds of the label 1, the LEARNED_TERMS surest of them.
 
-    Beginnings stand for inflected forms, which whole words miss in languages that inflect.
+    Beginnings stand for inflected forms, which whole words miss in languages that inflect. Weaker terms are kept with their odds: a stem
+    that clean texts hold now and then still tells by how often it comes.
     """
     words = F.filter(F.array_distinct(F.split(F.translate(F.lower("text"), "".join(map(chr, _fold)), "".join(_fold.values())), r"[^\p{L}0-9]+")), lambda w: F.length(w) > 2)
     words = F.array_distinct(F.concat(words, *(stem(words, k) for k in STEMS)))
     n = sample.agg(F.count("*"), F.sum("y")).first()
     pos, neg = int(n[1] or 0), int((n[0] or 0) - (n[1] or 0))
     if pos < 20 or neg < 20:
-        return frozenset()
+        return Terms({})
     by_word = sample.select("y", F.explode(words).alias("w")).groupBy("w").agg(F.sum("y").alias("p"), F.count("*").alias("n"))
     odds = F.log((F.col("p") + 0.5) / (pos + 1) / ((F.col("n") - F.col("p") + 0.5) / (neg + 1)))
-    top = by_word.where(f"p >= {max(8, pos // 40)}").withColumn("o", odds).where("o > 2.5").orderBy(F.desc("o"), "w").limit(LEARNED_TERMS)
-    return frozenset(r.w for r in top.select("w").collect())
+    top = by_word.where(f"p >= {max(8, pos // 40)}").withColumn("o", odds).where(F.col("o") > LEAST_ODDS)
+    top = top.orderBy(F.desc(F.col("o") * F.sqrt("p")), "w").limit(LEARNED_TERMS)
+    return Terms({r.w: r.o for r in top.select("w", "o").collect()})
 
 
 class Model:
     """Fitted trees with isotonic knots, or the fixed logistic where labels were too few."""
 
-    def __init__(self, x: np.ndarray | None, y: np.ndarray | None, learned: frozenset[str]):
+    def __init__(self, x: np.ndarray | None, y: np.ndarray | None, learned: Terms):
         self.learned, self.trees = learned, None
         if x is None or min(y.sum(), len(y) - y.sum()) < 20:
             return
@@ -138,7 +164,7 @@ class Model:
 
     def score(self, x: np.ndarray) -> np.ndarray:
         if self.trees is None:
-            return 1 / (1 + np.exp(4 - 3 * np.minimum(x[:, 1] + x[:, 9], 5)))
+            return 1 / (1 + np.exp(4 - 3 * np.minimum(x[:, FEATURES.index("hits")] + x[:, FEATURES.index("hidden_hits")], 5)))
         m = self.trees.margin(x)
         # Isotonic steps tie; a thousandth of the raw probability keeps the order within a step.
         return 0.999 * np.interp(m, *self.knots) + 0.001 / (1 + np.exp(-m))
