@@ -1,7 +1,11 @@
 """The corpus pipeline: toxicity filter, near-dedup, decontamination, mixing, sharding.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read again as the next one's docs. All but
-the last return the columns of documents; the last returns one row per document copy with its shard and slot.
+the last return the columns of documents, whatever others they have; the last returns one row per document copy with its shard and slot.
+
+Defined results: a null or empty text isn't toxic, has no near-duplicate, holds no benchmark item and no words, so mixing takes it as
+often as the whole part of its source's share says; a null source is a source of its own; rows with a null id are never linked; rows
+that share an id go or stay together; without labels a fixed score filters; an empty table gives no row.
 """
 
 from __future__ import annotations
@@ -33,9 +37,11 @@ def not_in_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it: not at all, once or twice. Rows that share an id get the least of their draws."""
-    copies = mixing.mixed(docs).groupBy("doc_id").agg(F.min("copies").alias("_copies")).where("_copies > 0").withColumnRenamed("doc_id", "_id")
-    taken = docs.join(copies, docs["doc_id"].eqNullSafe(copies["_id"]))
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    copies = mixing.mixed(docs).groupBy("doc_id").agg(F.min("copies").alias("n")).where("n > 0").select(F.struct("doc_id", "n").alias("mix"))
+    # The rows travel as one struct, so that no column of theirs can clash.
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"))
+    taken = rows.join(copies, F.col("doc.doc_id").cast("long").eqNullSafe(F.col("mix.doc_id")))
+    return taken.select("doc", F.explode(F.sequence(F.lit(1), F.col("mix.n")))).select("doc.*")
 
 
 def into_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
