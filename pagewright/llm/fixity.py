@@ -1,6 +1,9 @@
 """Merkle fixity audit of WARC replicas: record hashes and ordered offset ranges in trees, descended only where they differ.
 
-Defined results: null urls or bodies count as empty; records are ordered by id (nulls first), then by hash, and repeated rows are
+Offsets are those of each replica: a record that is lost or longer shifts all later ones, whose ranges then differ too; they are reported
+as moved, and the descent visits their whole side of the tree.
+
+Defined results: null urls or bodies count as empty; a null record is a record without bytes and without a hash, equal to another null one; records are ordered by id (nulls first), then by hash, and repeated rows are
 records of their own; an empty replica has no records, so all of the other's are missing or extra; extra columns are ignored.
 """
 
@@ -27,7 +30,7 @@ def record(id_col: Column, url: Column, body: Column) -> Column:
 
 def manifest(records: DataFrame, partitions: int | None = None) -> DataFrame:
     """(id, sha, n_bytes, ordinal, offset) of records (id, record), in order; only hashes and lengths are shuffled."""
-    hashed = records.select("id", F.sha2("record", 256).alias("sha"), F.octet_length("record").cast("long").alias("n_bytes"))
+    hashed = records.select("id", F.coalesce(F.sha2("record", 256), F.lit("")).alias("sha"), F.coalesce(F.octet_length("record"), F.lit(0)).cast("long").alias("n_bytes"))
     parts = partitions or int(records.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = hashed.repartitionByRange(parts, F.asc("id"), F.asc("sha")).sortWithinPartitions("id", "sha")
     dealt = materialise(dealt.select("*", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("row")))

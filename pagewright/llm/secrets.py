@@ -123,8 +123,16 @@ def markov_spans(raw: bytes, ascii_only: bool, ratios: np.ndarray, taken: list[t
     return out
 
 
+def random_bases(text: str, spans: list[tuple[int, int, int]], ratios: np.ndarray) -> int:
+    """How many base spans hold a stretch that the random model explains better; the others look like ordinary words or one repeated symbol."""
+    return sum(bool(markov_spans(text[s:e].encode(), False, ratios, [])) for s, e, _ in spans)
+
+
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", samples: list[tuple[str, int]] | None = None) -> DataFrame:
-    """(id, n_assign, n_access, n_hex, n_markov, base_sha256, spans) of each row; one pass over the texts, nothing is shuffled."""
+    """(id, n_assign, n_access, n_hex, n_markov, n_random_base, base_sha256, spans) of each row; one pass over the texts, nothing is shuffled.
+
+    n_random_base: base spans that the Markov models take for random too.
+    """
     ratios = train(samples or labelled_samples())
     shown = lambda spans: ",".join(f"{KINDS[k]}:{s}:{e}" for s, e, k in spans)
 
@@ -139,13 +147,13 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample
                     base = base_spans(text, raw)
                     more = markov_spans(raw, len(raw) == len(text), ratios, base)
                     n = [sum(x[2] == k for x in base) for k in range(3)]
-                    rows.append((*n, len(more), hashlib.sha256(shown(base).encode()).hexdigest(), shown(sorted(base + more, key=lambda x: (x[0], x[2])))))
+                    rows.append((*n, len(more), random_bases(text, base, ratios), hashlib.sha256(shown(base).encode()).hexdigest(), shown(sorted(base + more, key=lambda x: (x[0], x[2])))))
                 cols = list(zip(*rows))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), *(pa.array(c, pa.int64()) for c in cols[:4]), *(pa.array(c, pa.string()) for c in cols[4:])],
-                    names=["id", "n_assign", "n_access", "n_hex", "n_markov", "base_sha256", "spans"],
+                    [part.column(0), *(pa.array(c, pa.int64()) for c in cols[:5]), *(pa.array(c, pa.string()) for c in cols[5:])],
+                    names=["id", "n_assign", "n_access", "n_hex", "n_markov", "n_random_base", "base_sha256", "spans"],
                 )
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    out = bounded_batches(rows).mapInArrow(run, "id long, n_assign long, n_access long, n_hex long, n_markov long, base_sha256 string, spans string")
+    out = bounded_batches(rows).mapInArrow(run, "id long, n_assign long, n_access long, n_hex long, n_markov long, n_random_base long, base_sha256 string, spans string")
     return out.withColumnRenamed("id", id_col)
