@@ -297,7 +297,16 @@ def quote_search_relaxed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.quote_hits(quotes, read(spark, sf_dir, "documents").select(F.col("doc_id").alias("page_id"), "text"), "relaxed")
 
 
-@query()
+#: For the SQL of phrase search, over texts without characters that NFKC changes: what characters are searched as, and what parts two words.
+SEARCHED_SQL = "translate(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), '’‘“”–—' || chr(160) || '·•|', '''''\"\"--    ')"
+JOINED_SQL = r"'[''\"]*(?:[ \t]+|[ \t]*\n[ \t]*|[ \t]*\n[ \t]*\n[ \t]*)(?:\d{1,8}[ \t]*)?[''\"]*'".replace(r"\"", '"')
+LETTER_SQL = """case when x[i] = '-' then '-(?:[ ]*\\n[ ]*)?' when x[i] in ('''', '"') then '[''"]' else regexp_escape(x[i]) end
+    || case when regexp_matches(x[i], '[\\pL\\pN]') and regexp_matches(x[i + 1], '[\\pL\\pN]') then '[ ]*' else '' end"""
+
+
+@query(f"""with w as (select item_id, list_filter(string_split_regex(trim({SEARCHED_SQL}), '\\s+'), lambda x: x <> '') as w from benchmark where trim(text) <> ''),
+    p as (select item_id, '(?is)' || array_to_string(list_transform(w, lambda x: array_to_string(list_transform(range(1, length(x) + 1), lambda i: {LETTER_SQL}), '')), {JOINED_SQL}) as p from w),
+    d as (select doc_id, {SEARCHED_SQL} as t from documents) select item_id as quote_id, doc_id as page_id from p join d on regexp_matches(d.t, p.p)""")
 def quote_search_phrase(spark: SparkSession, sf_dir: str) -> DataFrame:
     quotes = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("quote_id"), "text")
     return search.quote_hits(quotes, read(spark, sf_dir, "documents").select(F.col("doc_id").alias("page_id"), "text"), "phrase", whole_words=False)
