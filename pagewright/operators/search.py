@@ -90,14 +90,13 @@ def best_page(hits: DataFrame, reported: DataFrame) -> DataFrame:
 def repeated_shingles(rows: DataFrame, item: str, ordinal: str, text: str, words: int = 15) -> DataFrame:
     """(item, n_repeated): words-word shingles of an item that an earlier item (by ordinal) already has; own repeats don't count.
 
-    A shingle is told apart by two 64-bit hashes of its words. Each item sends each of them once; what comes back to an item is a count.
-    Hot shingles combine map-side; they never come together as rows.
+    A shingle is told apart by two 64-bit hashes over the hashes of its words, which are hashed once; no shingle is written out. Each item
+    sends each of its shingles once; what comes back to an item is a count. Hot shingles combine map-side and are joined as skewed keys.
     """
     w = F.filter(F.split(F.lower(F.col(text)), r"[^\p{L}\p{N}]+"), lambda x: x != "")
-    lists = rows.select(item, ordinal, w.alias("w")).where(F.size("w") >= words)
-    shingle = lambda i: F.array_join(F.slice("w", i, words), " ")
+    lists = rows.select(item, ordinal, F.transform(w, lambda x: F.xxhash64(x)).alias("w")).where(F.size("w") >= words)
+    shingle = lambda i: F.slice("w", i, words)
     each = lists.select(item, ordinal, F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - words + 1), lambda i: F.struct(F.xxhash64(shingle(i)).alias("s"), F.xxhash64(shingle(i), F.lit(words)).alias("s2")))).alias("k"))
     each = each.select(item, ordinal, "k.s", "k.s2").distinct()
-    # The first owner of a shingle has no repeat of it, every other one has: shared shingles less those that an item owns.
     owner = each.groupBy("s", "s2").agg(F.min(ordinal).alias("first"), F.max(ordinal).alias("last")).where("first < last")
     return each.join(owner, ["s", "s2"]).where(F.col("first") < F.col(ordinal)).groupBy(item).agg(F.count("*").alias("n_repeated"))
