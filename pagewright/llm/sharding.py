@@ -58,10 +58,15 @@ def shards(docs: DataFrame, n_shards: int = 8, id_col: str = "doc_id", text_col:
     out = out.join(F.broadcast(null_own), "g", "left").join(table, "item", "left")
     out = out.withColumn("shard", F.coalesce("own_shard", "null_shard", "shard")).select("id", "size", "crc", "shard")
     ranges = max(1, rows.count() // (n_shards * ROWS_PER_SLOT_RANGE))
-    out = out.withColumn("r", F.pmod(F.xxhash64("id"), F.lit(ranges)).cast("int"))
+    # Rows alike in all of this are counted and numbered (k), so that no range gets all rows of one id.
+    out = out.groupBy("id", "size", "crc", "shard").agg(F.count("*").alias("n"))
+    out = out.withColumn("run", F.explode(F.sequence(F.lit(0), F.ceil(F.col("n") / ROWS_PER_SLOT_RANGE) - 1)))
+    out = out.withColumn("j", F.explode(F.sequence(F.lit(0), F.least(F.lit(ROWS_PER_SLOT_RANGE), F.col("n") - F.col("run") * ROWS_PER_SLOT_RANGE) - 1)))
+    out = out.select("id", "size", "crc", "shard", (F.col("run") * ROWS_PER_SLOT_RANGE + F.col("j")).alias("k"))
+    out = materialise(out.withColumn("r", F.pmod(F.xxhash64("id", "crc", "k"), F.lit(ranges)).cast("int")))
     counts = out.groupBy("shard", "r").agg(F.count("*").alias("n"))
     before = counts.select("shard", "r", (F.sum("n").over(Window.partitionBy("shard").orderBy("r")) - F.col("n")).alias("before"))
-    at = F.row_number().over(Window.partitionBy("shard", "r").orderBy("id", "crc"))
+    at = F.row_number().over(Window.partitionBy("shard", "r").orderBy("id", "crc", "size", "k"))
     out = out.withColumn("at", at).join(small(before, n_shards * ranges), ["shard", "r"])
     return out.select(
         F.col("id").alias(id_col), "size", F.col("crc").alias("text_crc32"), F.lit("bytes").alias("law"), "shard",
