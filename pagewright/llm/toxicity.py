@@ -180,12 +180,13 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     ids = known.groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.max("toxic").cast("int").alias("y"))
     ids = ids.orderBy(F.xxhash64("id"), "id").limit(sample_rows)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    sample = texts.join(F.broadcast(ids), "id")  # at most sample_rows ids
+    # At most sample_rows ids, and one text of each: repeated ids combine before anything is gathered.
+    sample = texts.join(F.broadcast(ids), "id").groupBy("id").agg(F.min("text").alias("text"), F.max("y").alias("y"))
     learned = learn_terms(sample)
     got: pd.DataFrame = table(sample, learned, ["id", "y"]).toPandas()
     if got.empty:
         return Model(None, None, learned)
-    got = got.sort_values("id", kind="stable").drop_duplicates("id")
+    got = got.sort_values("id", kind="stable")
     return Model(np.array(got["x"].tolist(), float), got["y"].to_numpy(float), learned)
 
 
