@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewright.llm import cover_tree, decontaminate, fixity, html_extract, mixing, near_dup, repeats, secrets, sharding, toxicity
+import public_tokenizers
+
+from pagewright.llm import cover_tree, decontaminate, fill_middle, fixity, html_extract, mixing, near_dup, piece_codec, prefix_trie, repeats, secrets, sharding, toxicity
 from pagewright.llm.common import documents
 
 
@@ -64,6 +66,23 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("page_id"), "ordinal", "offset", "n_bytes", F.col("sha").alias("record_sha256"), "status")
 
 
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text encoded, and decoded again from its ids alone."""
+    model = piece_codec.model_bytes(public_tokenizers.path("piece_bpe_32k.model"))
+    ids = piece_codec.encoded(documents(spark, sf_dir), model)
+    ids = ids.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), "ids")
+    out = piece_codec.decoded(ids, model, keep=("doc_id", "n_tokens", "ids_sha256"))
+    return out.select("doc_id", "n_tokens", "ids_sha256", F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
+
+
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.digests(documents(spark, sf_dir))
+
+
 QUERIES = {
     "op1_pigeonhole_decontamination": op1,
     "op2_cover_tree_near_dup": op2,
@@ -75,6 +94,9 @@ QUERIES = {
     "op8_odd_sketch_near_dup": op8,
     "op9_suffix_repeats": op9,
     "op10_merkle_fixity": op10,
+    "op11_sentencepiece_codec": op11,
+    "op12_conversation_trie": op12,
+    "op13_fill_in_middle": op13,
 }
 
 #: Components of the links (a, b) between the rows of nodes(id).
@@ -123,4 +145,71 @@ ORACLES: dict[str, str] = {
             case when {DRILL} then 'corrupt' else 'intact' end as status
         from h window w as (order by page_id nulls first, record_sha256 rows unbounded preceding)
     """,
+    "op12_conversation_trie": """
+        with recursive own as (
+            select conv_id as c, row_number() over (partition by conv_id order by turn nulls first, d) as k, d, w from (
+                select conv_id, turn, substr(sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')), 1, 32) as d,
+                    len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) as w
+                from conversations where conv_id is not null
+            )
+        ), bits(i, v) as (
+            select x, x from range(256) t(x)
+        ), crc_table as (
+            select i, list_reduce(list_prepend(v, list_transform(range(8), lambda j: 0::bigint)), lambda a, j: xor(a >> 1, case when a % 2 = 1 then 3988292384 else 0 end)) as v from bits
+        ), ids as (
+            select distinct conv_id as c, cast(conv_id as varchar) as s from conversations where conv_id is not null
+        ), crc(c, s, pos, v) as (
+            select c, s, 1, 4294967295::bigint from ids
+            union all
+            select c, s, pos + 1, xor(crc.v >> 8, t.v) from crc join crc_table t on t.i = xor(crc.v & 255, ascii(substr(s, pos, 1))) where pos <= length(s)
+        ), heads as (
+            select c, xor(v, 4294967295) % 4 as h from crc where pos = length(s) + 1
+        ), rebuilt as (
+            select heads.c, own.k as place, 0 as part, d, w from heads join own on own.c = heads.c - heads.c % 20 and k <= h
+            union all
+            select heads.c, own.k, 1, d, w from heads join own on own.c = heads.c and k > h
+        ), seqs as (
+            select c, list(d order by part, place) as ds, list(w order by part, place) as ws from rebuilt group by c
+        ), all_seqs as (
+            select c, coalesce(ds, []) as ds, coalesce(ws, []) as ws from heads left join seqs using (c)
+        ), steps as (
+            select c, unnest(range(len(ds) + 1)) as depth, ds, ws from all_seqs
+        ), members as (
+            select c, depth, array_to_string(ds[1:depth], '') as key, array_to_string(ds[1:depth - 1], '') as above, if(depth = 0, 0, ws[depth]) as w, depth = len(ds) as ended from steps
+        ), nodes as (
+            select key, depth, if(depth = 0, null, min(above)) as above, min(c) as conv_id, count(*) as n, max(w) as w,
+                sha256(coalesce(string_agg(cast(c as varchar), ',' order by c) filter (ended), '')) as ends_sha256
+            from members group by key, depth
+        ), kids as (
+            select above as key, count(*) as n_children from nodes where above is not null group by above
+        ), full_nodes as (
+            select nodes.*, coalesce(n_children, 0) as n_children from nodes left join kids using (key)
+        ), subtree as (
+            select substr(f.key, 1, 32 * d) as key, count(*) filter (n_children = 0) as n_leaves, sum((n - 1) * w) as saved_tokens
+            from (select *, unnest(range(depth + 1)) as d from full_nodes) f group by 1
+        )
+        select f.conv_id, cast(f.depth as bigint) as depth, p.conv_id as parent_conv_id, f.n as n_convs, f.n_children, s.n_leaves, cast(s.saved_tokens as bigint) as saved_tokens, f.ends_sha256
+        from full_nodes f join subtree s using (key) left join nodes p on p.key = f.above
+    """,
+    "op13_fill_in_middle": """
+        with t as (
+            select doc_id, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[\\x20\\x09-\\x0D]*[^\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+') as parts,
+                sha256('42:' || coalesce(cast(doc_id as varchar), '')) as h
+            from documents
+        ), d as (
+            select *, len(parts) as n, cast('0x' || h[1:8] as bigint) % (len(parts) + 1) as a, cast('0x' || h[9:16] as bigint) % (len(parts) + 1) as b,
+                cast('0x' || h[17:24] as bigint) % 100 as p, cast('0x' || h[25:32] as bigint) % 100 as q
+            from t
+        ), e as (
+            select *, text = '' or regexp_matches(text, '<[PSM]>') or p >= 50 as plain, length(array_to_string(parts[:least(a, b)], '')) as x,
+                length(array_to_string(parts[:greatest(a, b)], '')) as y
+            from d
+        )
+        select doc_id, n, case when plain then 'plain' when q < 80 then 'spm' else 'psm' end as form, case when not plain then x end as prefix_chars,
+            case when not plain then y - x end as middle_chars, sha256(case when plain then text
+                when q < 80 then '<S>' || substr(text, y + 1) || '<P>' || substr(text, 1, x) || '<M>' || substr(text, x + 1, y - x)
+                else '<P>' || substr(text, 1, x) || '<S>' || substr(text, y + 1) || '<M>' || substr(text, x + 1, y - x) end) as output_sha256,
+            sha256(text) as restored_sha256
+        from e
+    """,
 }
