@@ -1,8 +1,9 @@
 """MinHash near-duplicate documents: banded candidates, nearest first by odd sketch, links confirmed on full shingle sets.
 
 Defined results: null, empty or all-white-space texts have an empty shingle set and link with nothing; equal sets form one
-class and stay together; rows with a null id are never linked, have a null component and are kept; repeated rows with one id
-share its component; extra columns of the input pass through or are ignored, whatever their names.
+class and stay together; rows with a null id are never linked, have a null component and are kept; rows that share an id share its
+component, whatever their texts: each of the texts keeps its own links, and the id joins them (a row without words keeps to its id alone);
+extra columns of the input are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -93,7 +94,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataF
                     m = minhashes([sets[i] for i in full])
                     for i, b, s, t in zip(full, band_keys(m), odd_sketches(m), set_sketches([sets[i] for i in full])):
                         bands[i], sketch[i] = b, s.tobytes() + t.tobytes()
-                fp = np.frombuffer(b"".join(hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets), np.int64).reshape(-1, 2)
+                fp = digests([s.tobytes() for s in sets])
                 yield pa.RecordBatch.from_arrays(
                     [ids.slice(lo, 256), pa.array([len(s) for s in sets], pa.int64()), pa.array(fp[:, 0]), pa.array(fp[:, 1]), pa.array(bands, pa.list_(pa.int64())), pa.array(sketch, pa.binary())],
                     names=["id", "n_shingles", "fp1", "fp2", "bands", "sketch"],
@@ -106,17 +107,26 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataF
 
 
 def full_sets(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
-    """(id, set): the shingle sets of the given ids, as sorted 64-bit hashes."""
+    """(id, set) of the given nodes (id, fp1, fp2, class_id): the shingle sets as sorted 64-bit hashes, one a node."""
 
     def run(batches):
         for batch in batches:
             for lo in range(0, len(batch), 256):
                 part = batch.slice(lo, 256)
-                sets = shingle_sets([(t or "").encode() for t in part.column(1).to_pylist()], words)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s.tobytes() for s in sets], pa.binary())], names=["id", "set"])
+                sets = [s.tobytes() for s in shingle_sets([(t or "").encode() for t in part.column(1).to_pylist()], words)]
+                fp = digests(sets)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fp[:, 0]), pa.array(fp[:, 1]), pa.array(sets, pa.binary())], names=["doc", "fp1", "fp2", "set"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.join(nodes.select("id"), "id", "left_semi").mapInArrow(run, "id long, set binary")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
+    rows = rows.join(nodes.select(F.col("class_id").alias("doc")), "doc", "left_semi").mapInArrow(run, "doc long, fp1 long, fp2 long, set binary")
+    # An id may stand for several texts; the digest says whose set this is.
+    known = nodes.select("id", F.col("class_id").alias("doc"), "fp1", "fp2")
+    return rows.join(known, ["doc", "fp1", "fp2"]).select("id", "set").dropDuplicates(["id"])
+
+
+def digests(sets: list[bytes]) -> np.ndarray:
+    """Two longs for each set, of the BLAKE2 digest of its sorted hashes."""
+    return np.frombuffer(b"".join(hashlib.blake2b(s, digest_size=16).digest() for s in sets), np.int64).reshape(-1, 2)
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -202,28 +212,39 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     set are one class, so a group of copies of any size costs one row. Each bucket first links its members to its least and
     greatest member, then with its nearest ones by odd sketch; last, every pair of a bucket that is still in different components
     and whose set sizes and parities allow a link is taken. All are confirmed on the full sets, so no link of a bucket between
-    different components is lost and none below the threshold is made.
+    different components is lost and none below the threshold is made. Different texts of one id are nodes of their own that the id joins.
     """
     percent = round(100 * threshold)
     sig = materialise(signatures(docs, id_col, text_col, words))
     filled = sig.where("n_shingles > 0 and id is not null")
-    classes = materialise(filled.groupBy("fp1", "fp2", "n_shingles").agg(F.min("id").alias("class_id")))
-    reps = filled.join(classes.select(F.col("class_id").alias("id")), "id", "left_semi").dropDuplicates(["id"])
+    # Each class has a number of its own, as different texts may share an id.
+    fp = ["fp1", "fp2", "n_shingles"]
+    classes = materialise(filled.groupBy(*fp).agg(F.min("id").alias("class_id")).withColumn("node", F.monotonically_increasing_id()))
+    # By the id too, so that a class of many copies isn't one key.
+    reps = filled.join(classes.withColumnRenamed("class_id", "id"), [*fp, "id"]).dropDuplicates(fp).drop("id").withColumnRenamed("node", "id")
     keyed = reps.select("id", F.explode("bands").alias("key"))
     buckets = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("lo"), F.max("id").alias("hi")).where("n > 1").select("key", "lo", "hi")
     members = materialise(keyed.join(buckets, "key").select("key", "id", "lo", "hi"))
-    nodes = members.select("id").distinct()
-    sets = materialise(full_sets(docs, nodes, id_col, text_col, words).dropDuplicates(["id"]))
-    sketches = reps.select("id", "n_shingles", "sketch").join(nodes, "id", "left_semi")
+    nodes = materialise(classes.withColumnRenamed("node", "id").join(members.select("id").distinct(), "id", "left_semi"))
+    sets = materialise(full_sets(docs, nodes, id_col, text_col, words))
+    sketches = reps.select("id", "n_shingles", "sketch").join(nodes.select("id"), "id", "left_semi")
     star = members.select(F.col("lo").alias("a"), F.col("id").alias("b")).unionAll(members.select(F.col("id").alias("a"), F.col("hi").alias("b")))
     links = materialise(confirmed(star.where("a <> b").distinct(), sets, percent))
     for nearest in (NEAREST, None):
         rest = materialise(open_pairs(members.select("key", "id"), sketches, components(links), percent, nearest))
         links = materialise(links.unionAll(confirmed(rest, sets, percent)))
-    comp = components(links).select(F.col("node").alias("class_id"), "component")
-    out = sig.select("id", "n_shingles", "fp1", "fp2").join(classes, ["fp1", "fp2", "n_shingles"], "left")
-    out = out.withColumn("class_id", F.when(F.col("id").isNull(), None).otherwise(F.coalesce("class_id", "id")))
-    out = out.join(comp, "class_id", "left").withColumn("component_id", F.coalesce("component", "class_id"))
+    # The classes of one id belong together too.
+    key = F.struct(*fp)
+    several = materialise(filled.groupBy("id").agg(F.min(key).alias("lo"), F.max(key).alias("hi")).where("lo <> hi").select("id", "lo"))
+    of_id = filled.select("id", *fp).distinct().join(several, "id").join(classes.select(*fp, F.col("node").alias("a")), fp)
+    of_id = of_id.join(classes.select(key.alias("lo"), F.col("node").alias("b")), "lo").select("a", "b").where("a <> b")
+    comp = components(links.select("a", "b").unionAll(of_id)).join(classes.select("node", "class_id"), "node")
+    least = comp.groupBy("component").agg(F.min("class_id").alias("component_id"))
+    comp = comp.join(least, "component").select("node", "component_id")
+    known = classes.join(comp, "node", "left").select(*fp, "class_id", F.coalesce("component_id", "class_id").alias("component_id"))
+    out = sig.select("id", *fp).join(known, fp, "left").withColumn("filled", (F.col("n_shingles") > 0) & F.col("id").isNotNull())
+    out = out.withColumn("class_id", F.when(F.col("filled"), F.col("class_id")).otherwise(F.col("id")))
+    out = out.withColumn("component_id", F.when(F.col("filled"), F.col("component_id")).otherwise(F.col("id")))
     return out.select(
         F.col("id").alias(id_col), "n_shingles", "class_id", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept")
     )

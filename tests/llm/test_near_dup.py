@@ -117,3 +117,13 @@ def test_no_pair_at_the_threshold_is_missed(spark):
     close = {i for i in range(250) if 100 * len(sets[2 * i] & sets[2 * i + 1]) >= 80 * len(sets[2 * i] | sets[2 * i + 1])}
     got = {x.doc_id: x.component_id for x in near_dup.near_duplicates(frame(spark, rows), words=2).collect()}
     assert 60 < len(close) < 240 and {i for i in range(250) if got[2 * i + 1] == 2 * i} == close
+
+
+def test_one_id_with_several_texts(spark):
+    """Each text of an id keeps its links, and the id joins them; a row without words keeps to its id."""
+    a, b = (" ".join(f"{w}{i}" for i in range(30)) for w in "ab")
+    rows = [(1, a), (1, b), (2, b + " more"), (3, a + " more"), (4, "something else here at all"), (1, ""), (5, a), (5, a), (None, a)]
+    found = near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), words=5, threshold=0.8)
+    got = {(x.doc_id, x.n_shingles > 0): x.component_id for x in found.collect()}
+    assert got == {(1, True): 1, (2, True): 1, (3, True): 1, (4, True): 4, (1, False): 1, (5, True): 1, (None, True): None}
+    assert found.count() == len(rows)
