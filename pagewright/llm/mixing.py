@@ -2,9 +2,10 @@
 
 Each document has a fractional copy probability. A reduction tree makes them whole: a level deals the open units of each source into
 hashed blocks; in a block two units exchange words at random until one of them is whole, the other meets the next unit, and so on, until
-at most one is open, which the next level takes. Every exchange keeps the words of its pair. The last open unit of a source goes to the
-nearer whole number; what that misses is combined with the settled units of its last block, of which one and, largest first, those after
-it that help change sides. So a source misses its target by half of one unit at most, and by nothing else.
+at most one is open, which the next level takes. Every exchange keeps the words of its pair. In a source's last block, which also gets about
+HELD units of it that no level folds, each unit exchanges words with the pool of all smaller ones until none but the smallest is open, and
+that is rounded by its probability. So every document's expected copies are its source's target over its source's size, and a source misses
+its target by less than one unit, most often the smallest of its last block; by more only where one unit outweighs all smaller ones.
 
 Defined results: a null text has no words; a null source is a source of its own, ordered last; a source without words gets a
 target of 0; rows with equal or null ids are mixed one by one; an empty table gives no row; extra columns are ignored.
@@ -21,6 +22,7 @@ from pagewright.llm.common import materialise, small
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (3, 1, 2)
+HELD = 16  # units of a source, about, that wait for its last block, so that it has small ones
 BLOCK = 64  # open units of a block, about; a level leaves one of them at most
 UNITS_PER_TASK = 20_000
 RUN = 1000  # rows that are made from one counted row at once
@@ -110,30 +112,49 @@ def fold(units: Column, level: Column) -> Column:
     return F.aggregate(F.slice(numbered, 2, F.size(numbered)), start, step)
 
 
-def chosen(units: Column, r: Column, is_last: Column) -> Column:
-    """For each place of a folded block 0 or 1; null for a unit that stays open. The last block of a source leaves none open."""
-    last = r["open"]
-    near = (last["p"] >= 0.5).cast("int")
-    first = F.transform(units, lambda u, i: F.when(last["at"].eqNullSafe(i), F.when(is_last, near)).otherwise(F.array_contains(r["won"], i.cast("int")).cast("int")))
-    owed = F.when(is_last, F.coalesce((last["p"] - near) * last["size"], F.lit(0.0))).otherwise(0.0)  # words that the source lacks
+def root(units: Column, level: Column) -> Column:
+    """0 or 1 for each place of a source's last block, whose units come largest first.
+
+    Each unit exchanges words with the pool of all smaller ones: it rises to 1 while they fall in proportion, or falls to 0 while they rise in
+    proportion to what they lack, drawn so that every expectation stays. What is open at the end is the smallest unit, or one larger
+    than all smaller ones could fill; it is rounded by its probability. The pool's probabilities are scale * p + shift, so a step is a few sums.
+    """
+    sums = F.struct(F.aggregate(units, F.lit(0.0), lambda s, u: s + u["size"]).alias("size"), F.aggregate(units, F.lit(0.0), lambda s, u: s + u["size"] * u["p"]).alias("held"))
+    start = F.struct(sums["size"].alias("size"), sums["held"].alias("held"), F.lit(1.0).alias("scale"), F.lit(0.0).alias("shift"), F.array().cast("array<int>").alias("sel"))
 
-    def settle(first: Column) -> Column:
-        rows = F.zip_with(units, first, lambda u, s: F.struct(s.alias("sel"), (u["size"] * (1 - 2 * s)).cast("double").alias("change")))
+    def step(acc: Column, u: Column) -> Column:
+        size, held = acc["size"] - u["size"], acc["held"] - u["size"] * u["p"]  # of the smaller ones, as they began
+        p = F.greatest(F.lit(0.0), F.least(F.lit(1.0), acc["scale"] * u["p"] + acc["shift"]))
+        full = F.greatest(F.lit(0.0), F.least(size, acc["scale"] * held + acc["shift"] * size))
+        state = F.struct(p.alias("p"), full.alias("full"), (size - full).alias("room"), size.alias("size"), held.alias("held"))
 
-        def tried(turned: Column) -> Column:
-            """What is owed and who is in if one unit (none for -1) changes sides first and then, largest first, all that help."""
+        def limits(x: Column) -> Column:
+            return F.struct(*(x[c].alias(c) for c in ("p", "full", "room", "size", "held")), F.least(u["size"] * (1 - x["p"]), x["full"]).alias("rise"), F.least(u["size"] * x["p"], x["room"]).alias("fall"))
 
-            def step(acc: Column, u: Column) -> Column:
-                left = acc["owed"] - u["change"]
-                turn = (F.size(acc["sel"]) == turned) | ((F.abs(left) < F.abs(acc["owed"])) & (turned <= F.size(acc["sel"])))
-                return F.struct(F.when(turn, left).otherwise(acc["owed"]).alias("owed"), F.concat(acc["sel"], F.array(F.when(turn, 1 - u["sel"]).otherwise(u["sel"]))).alias("sel"))
+        def moved(x: Column) -> Column:
+            up = draw(u["id"], u["size"], u["k"], level, F.lit("root")) * (x["rise"] + x["fall"]) < x["fall"]
+            # The words that the pool gives, as a part of what it holds or lacks.
+            keeps = F.when(up, 1 - F.coalesce(x["rise"] / F.nullif(x["full"], F.lit(0.0)), F.lit(0.0))).otherwise(1 - F.coalesce(x["fall"] / F.nullif(x["room"], F.lit(0.0)), F.lit(0.0)))
+            now = x["p"] + F.when(up, x["rise"]).otherwise(-x["fall"]) / u["size"]
+            return F.struct(*(x[c].alias(c) for c in ("size", "held")), now.alias("now"), up.alias("up"), keeps.alias("keeps"))
 
-            end = F.aggregate(rows, F.struct(owed.alias("owed"), F.array().cast("array<int>").alias("sel")), step)
-            return F.struct(F.abs(end["owed"]).alias("miss"), turned.alias("turned"), end["sel"].alias("sel"))
+        def ended(x: Column) -> Column:
+            own = draw(u["id"], u["size"], u["k"], level, F.lit("last"))
+            sel = F.when(x["now"] <= WHOLE, 0).when(x["now"] >= 1 - WHOLE, 1).otherwise((own < x["now"]).cast("int"))
+            return F.struct(
+                x["size"].alias("size"), x["held"].alias("held"), (acc["scale"] * x["keeps"]).alias("scale"),
+                F.when(x["up"], acc["shift"] * x["keeps"]).otherwise(1 - (1 - acc["shift"]) * x["keeps"]).alias("shift"), F.concat(acc["sel"], F.array(sel)).alias("sel"),
+            )
 
-        return F.when(is_last, F.array_min(F.transform(F.sequence(F.lit(-1), F.size(units) - 1), tried))["sel"]).otherwise(first)
+        return let(let(let(state, limits), moved), ended)
 
-    return let(first, settle)
+    return F.aggregate(units, start, step)["sel"]
+
+
+def chosen(units: Column, r: Column, is_last: Column, level: Column) -> Column:
+    """For each place of a folded block 0 or 1; null for a unit that stays open. The last block of a source leaves none open."""
+    first = F.transform(units, lambda u, i: F.when(~r["open"]["at"].eqNullSafe(i.cast("int")), F.array_contains(r["won"], i.cast("int")).cast("int")))
+    return F.when(is_last, root(units, level)).otherwise(first)
 
 
 def rounded(units: DataFrame) -> DataFrame:
@@ -141,22 +162,27 @@ def rounded(units: DataFrame) -> DataFrame:
 
     Every level is written to the shared folder. A source is done after the level at which it had one block.
     """
-    done, now, level = [], units, 0
+    done, now, level = [], units.withColumn("held", F.lit(False)), 0
     unit = F.struct(F.col("size"), F.col("id"), F.col("k"), F.col("p"), F.col("base"))
+    keys = ["id", "k", "size", "sid", "base", "p", "held"]
     while True:
-        blocks = materialise(now.groupBy("sid").agg(F.ceil(F.count("*") / BLOCK).alias("blocks")))
+        blocks = materialise(now.groupBy("sid").agg(F.ceil(F.count_if(~F.col("held")) / BLOCK).alias("blocks")).withColumn("blocks", F.greatest("blocks", F.lit(1))))
         n_sources, most, n_blocks = blocks.agg(F.count("*"), F.max("blocks"), F.sum("blocks")).first()
         tasks = max(now.sparkSession.sparkContext.defaultParallelism, (n_blocks or 0) * BLOCK // UNITS_PER_TASK)
         dealt = now.join(small(blocks, n_sources), "sid")
-        dealt = dealt.withColumn("block", F.pmod(F.xxhash64("id", "size", "k", F.lit(level)), F.col("blocks")))
+        if not level:
+            waits = (F.col("blocks") > 1) & (F.pmod(F.xxhash64("id", "size", "k", F.lit("held")), F.col("blocks") * (BLOCK // HELD)) == 0)
+            dealt = materialise(dealt.withColumn("held", waits))
+        waiting = dealt.where("held and blocks > 1").select(*keys)
+        dealt = dealt.where("not (held and blocks > 1)").withColumn("block", F.pmod(F.xxhash64("id", "size", "k", F.lit(level)), F.col("blocks")))
         # Blocks are few bytes but much work: as many tasks as cores at least.
         folded = dealt.repartition(tasks, "sid", "block").groupBy("sid", "blocks", "block").agg(F.sort_array(F.collect_list(unit), asc=False).alias("units"))
         folded = folded.select("sid", "units", (F.col("blocks") == 1).alias("is_last"), fold(F.col("units"), F.lit(level)).alias("r"))
-        folded = folded.select("sid", F.col("r.open.p").alias("p"), F.arrays_zip("units", chosen(F.col("units"), F.col("r"), F.col("is_last")).alias("sel")).alias("x"))
+        folded = folded.select("sid", F.col("r.open.p").alias("p"), F.arrays_zip("units", chosen(F.col("units"), F.col("r"), F.col("is_last"), F.lit(level)).alias("sel")).alias("x"))
         out = folded.select("sid", F.col("p").alias("open_p"), F.explode("x").alias("x"))
         out = materialise(out.select("sid", "x.units.id", "x.units.k", "x.units.size", "x.units.base", "x.sel", F.col("x.sel").isNull().alias("open"), F.when(F.col("x.sel").isNull(), F.col("open_p")).alias("p")))
         done.append(out.where("not open").select("id", "size", "sid", "base", "sel"))
-        now, level = out.where("open").select("id", "k", "size", "sid", "base", "p"), level + 1
+        now, level = out.where("open").withColumn("held", F.lit(False)).select(*keys).unionAll(waiting), level + 1
         if (most or 0) <= 1:
             break
     for d in done[1:]:
