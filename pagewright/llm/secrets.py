@@ -28,6 +28,8 @@ SYMBOLS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 CODE = np.zeros(256, np.uint8)  # 0: not part of a candidate
 for _i, _c in enumerate(SYMBOLS):
     CODE[ord(_c)] = _i + 1
+CODE[128:] = len(SYMBOLS) + 1  # the bytes of letters beyond ASCII: part of words, never of a random string
+SMOOTH = 40.0  # transitions that a character's own frequencies count as, beside those seen
 MIN_MEAN = 0.35  # nats a character by which the random model must win
 MIN_GAIN = 20.0  # nats beyond that, over a whole stretch: about one in as many places as half a gigabyte has
 # Common parts of identifiers, from which ordinary samples are composed.
@@ -41,32 +43,62 @@ PARTS = (
 ).split()
 
 
+# Common words of four languages, from which ordinary words are composed.
+WORDS = (
+    "the of and to in is that for it was on are as with his they at be this from have or by one had not but what all were when we there can an your which their said if do will each about how up out them "
+    "der die und in den von zu das mit sich des auf für ist im dem nicht ein eine als auch es an werden aus er hat dass sie nach wird bei einer um am sind noch wie einem über einen so zum war haben nur oder "
+    "de la le et les des en un du une que est pour qui dans a par plus pas au sur ne se avec tout être ce mais comme il sont cette aux été ont même fait où très après peut déjà français élève "
+    "el que los se del las por con para una su al lo como más pero sus le ya o este sí porque esta entre cuando muy sin sobre también me hasta hay donde quien desde todo nos durante año español información"
+).split()
+VOWELS = set("aeiouyäöüéèêáíóúAEIOUY")
+
+
+def syllables(word: str) -> list[str]:
+    """A word cut before each consonant that a vowel follows."""
+    cuts = [0] + [i for i in range(1, len(word) - 1) if word[i] not in VOWELS and word[i + 1] in VOWELS] + [len(word)]
+    return [word[a:b] for a, b in zip(cuts, cuts[1:])]
+
+
 def labelled_samples(n: int = 4000, seed: int = 7) -> list[tuple[str, int]]:
-    """n random strings (1) and n ordinary identifiers (0), made from a seed."""
+    """n random strings (1), n ordinary identifiers and 3 n words of several languages (0), made from a seed."""
     r, out = random.Random(seed), []
-    pools = (SYMBOLS[:62], SYMBOLS[:62] + "+/", SYMBOLS[:26] + SYMBOLS[52:62], SYMBOLS[26:62], "0123456789abcdef", SYMBOLS[:62] + "_-")
+    pools = (SYMBOLS[:62], SYMBOLS[:62] + "+/", SYMBOLS[:26] + SYMBOLS[52:62], SYMBOLS[26:62], "0123456789abcdef", SYMBOLS[:62] + "_-", SYMBOLS[:52])
+    parts_of = [p for w in WORDS for p in syllables(w)]
     for _ in range(n):
         out.append(("".join(r.choices(r.choice(pools), k=r.randint(20, 64))), 1))
         parts = [r.choice(PARTS) for _ in range(r.randint(2, 7))]
-        style = r.randrange(6)
-        word = ("_".join(parts), "-".join(parts), "/".join(parts), "".join(p.title() for p in parts), "".join(parts), "_".join(parts).upper())[style]
+        style = r.randrange(7)
+        word = ("_".join(parts), "-".join(parts), "/".join(parts), "".join(p.title() for p in parts), "".join(parts), "_".join(parts).upper(), "=".join(parts[:2]))[style]
         out.append((word + (str(r.randint(0, 2030)) if r.random() < 0.3 else ""), 0))
+        for _ in range(3):
+            # Words of words and syllables, as in languages and texts that the lists don't hold.
+            word = "".join(r.choice(parts_of if r.random() < 0.7 else WORDS) for _ in range(r.choice((1, 2, 2, 3, 4))))
+            word = r.choice((word, word, word, word.title(), word.upper()))
+            tail = r.random()
+            out.append((word + ("-" + r.choice(WORDS) if tail < 0.03 else str(r.randint(0, 2030)) if tail < 0.06 else "---" if tail < 0.08 else ""), 0))
+        if r.random() < 0.1:
+            out.append((f"{r.randint(1900, 2030)}-{r.randint(1, 12):02}-{r.randint(1, 28):02}" if r.random() < 0.5 else str(r.randint(0, 10 ** r.randint(1, 12))), 0))
     return out
 
 
-def train(samples: list[tuple[str, int]], smooth: float = 0.5) -> np.ndarray:
+def train(samples: list[tuple[str, int]], smooth: float = SMOOTH) -> np.ndarray:
     """Log ratios of first-order transitions, random over ordinary; row 0 holds the first character's.
 
-    A character that repeats the one before is no evidence for a random string.
+    A transition that samples lack has its characters' own frequencies, of a weight of smooth transitions, so that a rare pair of common letters
+    is little evidence. A character that repeats the one before is no evidence for a random string.
     """
-    k = len(SYMBOLS) + 1
-    counts = np.full((2, k, k), smooth)
+    k = len(SYMBOLS) + 2
+    counts = np.zeros((2, k, k))
     for text, label in samples:
         c = CODE[np.frombuffer(text.encode(), np.uint8)]
         np.add.at(counts[label], (np.concatenate(([0], c[:-1])), c), 1)
-    p = np.log(counts / counts.sum(axis=2, keepdims=True))
+    alone = counts.sum(axis=1, keepdims=True) + 1
+    alone /= alone.sum(axis=2, keepdims=True)
+    p = np.log((counts + smooth * alone) / (counts.sum(axis=2, keepdims=True) + smooth))
     out = p[1] - p[0]
     np.fill_diagonal(out, np.minimum(out.diagonal(), 0))
+    out[:, -1] = np.minimum(out[:, -1], -4)  # a letter beyond ASCII
+    out[-1] = np.minimum(out[-1], 0)
     return out
 
 
@@ -119,7 +151,7 @@ def markov_spans(raw: bytes, ascii_only: bool, ratios: np.ndarray, taken: list[t
         lo, hi = int(edge[2 * k]), int(edge[2 * k + 1])
         for first, end in stretches(gains[lo:hi].tolist()):
             start = lo + first if ascii_only else len(raw[: lo + first].decode())
-            out.append((start, start + end - first, 3))
+            out.append((start, start + (end - first if ascii_only else len(raw[lo + first : lo + end].decode())), 3))
     return out
 
 
