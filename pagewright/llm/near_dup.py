@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagewright.llm.common import bounded_batches, components, materialise
+from pagewright.llm.common import bounded_batches, components, materialise, small
 from pagewright.llm.hashing import common, mix, shingle_sets
 
 BANDS, ROWS = 32, 5  # at a similarity of 0.8 a pair shares no band with a chance of 3e-6
@@ -121,7 +121,8 @@ def full_sets(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, wor
     rows = rows.join(nodes.select(F.col("class_id").alias("doc")), "doc", "left_semi").mapInArrow(run, "doc long, fp1 long, fp2 long, set binary")
     # An id may stand for several texts; the digest says whose set this is.
     known = nodes.select("id", F.col("class_id").alias("doc"), "fp1", "fp2")
-    return rows.join(known, ["doc", "fp1", "fp2"]).select("id", "set").dropDuplicates(["id"])
+    keys = ["doc", "fp1", "fp2"]
+    return rows.join(known, keys).dropDuplicates(keys).select("id", "set")
 
 
 def digests(sets: list[bytes]) -> np.ndarray:
@@ -221,7 +222,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     fp = ["fp1", "fp2", "n_shingles"]
     classes = materialise(filled.groupBy(*fp).agg(F.min("id").alias("class_id")).withColumn("node", F.monotonically_increasing_id()))
     # By the id too, so that a class of many copies isn't one key.
-    reps = filled.join(classes.withColumnRenamed("class_id", "id"), [*fp, "id"]).dropDuplicates(fp).drop("id").withColumnRenamed("node", "id")
+    reps = filled.join(classes.withColumnRenamed("class_id", "id"), [*fp, "id"]).dropDuplicates([*fp, "id"]).drop("id").withColumnRenamed("node", "id")
     keyed = reps.select("id", F.explode("bands").alias("key"))
     buckets = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("lo"), F.max("id").alias("hi")).where("n > 1").select("key", "lo", "hi")
     members = materialise(keyed.join(buckets, "key").select("key", "id", "lo", "hi"))
@@ -239,8 +240,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     of_id = filled.select("id", *fp).distinct().join(several, "id").join(classes.select(*fp, F.col("node").alias("a")), fp)
     of_id = of_id.join(classes.select(key.alias("lo"), F.col("node").alias("b")), "lo").select("a", "b").where("a <> b")
     comp = components(links.select("a", "b").unionAll(of_id)).join(classes.select("node", "class_id"), "node")
-    least = comp.groupBy("component").agg(F.min("class_id").alias("component_id"))
-    comp = comp.join(least, "component").select("node", "component_id")
+    least = materialise(comp.groupBy("component").agg(F.min("class_id").alias("component_id")))
+    comp = comp.join(small(least, least.count()), "component").select("node", "component_id")
     known = classes.join(comp, "node", "left").select(*fp, "class_id", F.coalesce("component_id", "class_id").alias("component_id"))
     out = sig.select("id", *fp).join(known, fp, "left").withColumn("filled", (F.col("n_shingles") > 0) & F.col("id").isNotNull())
     out = out.withColumn("class_id", F.when(F.col("filled"), F.col("class_id")).otherwise(F.col("id")))
