@@ -1,4 +1,4 @@
-"""Where a quotation stands on a page, and page text without a printed line-number gutter: Arrow batches, one page at a time."""
+"""Where a quotation stands on a page: Arrow batches, one page at a time."""
 
 from __future__ import annotations
 
@@ -9,11 +9,6 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql.functions import pandas_udf
 
-#: Fixed value: bytes; longer pages are left as they are.
-PAGE_CAP = 256 * 1024
-NUMBERED = re.compile(r"^[ \t]*(\d{1,2})(?:[ \t]*\|[ \t]?|[ \t]+|$)")
-
-
 def normal(text: str) -> tuple[str, list[int], list[int]]:
     """Text for matching and, for each of its characters, where what it comes from begins and ends.
 
@@ -92,31 +87,3 @@ def quote_place(quote: Column, text: Column) -> Column:
         return rows.astype({"start": "Int32", "end": "Int32"})
 
     return run(quote, text)
-
-
-def without_gutter(text: str | None) -> tuple[str, list[int]]:
-    """Text without line numbers and, for each line, the number of characters cut from its front.
-
-    A gutter is there if at least three lines in four begin with a number of up to two digits and those numbers rise by one from
-    line to line in at least nine steps of ten. Lists of other numbers and tables don't rise that way and are left alone.
-    """
-    text = text or ""
-    lines = text.split("\n")
-    if len(text.encode()) > PAGE_CAP or len(lines) < 4:
-        return text, [0] * len(lines)
-    found = [NUMBERED.match(x) for x in lines]
-    filled = sum(bool(x.strip()) for x in lines)
-    numbers = [int(m[1]) for m in found if m]
-    steps = sum(b == a + 1 for a, b in zip(numbers, numbers[1:]))
-    if len(numbers) < 4 or 4 * len(numbers) < 3 * filled or 10 * steps < 9 * (len(numbers) - 1):
-        return text, [0] * len(lines)
-    cut = [m.end() if m else 0 for m in found]
-    return "\n".join(x[k:] for x, k in zip(lines, cut)), cut
-
-
-def gutter_projection(text: Column) -> Column:
-    @pandas_udf("text string, cut array<int>")
-    def run(t: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([without_gutter(x) for x in t], columns=["text", "cut"])
-
-    return run(text)

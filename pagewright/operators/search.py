@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from pagewright.functions import locate, phrases
+from pagewright.functions import gutters, locate, phrases
 from pagewright.functions.contained import Contained
 
 BLOCK = 20_000  # quotations that are sent to the pages at once; more go in further blocks
@@ -47,15 +47,18 @@ def finder(quotes: list[str], mode: str, whole_words: bool):
     return find
 
 
-def quote_hits(quotes: DataFrame, pages: DataFrame, mode: str = "exact", whole_words: bool = True) -> DataFrame:
+def quote_hits(quotes: DataFrame, pages: DataFrame, mode: str = "exact", whole_words: bool = True, transcripts: bool = False) -> DataFrame:
     """(quote_id, page_id) where a page holds a quote: exact (as written), relaxed (phrases.relaxed), phrase (word pattern)
     or placed (wherever locate.place has a place for it; then with its columns start, end, ambiguous).
 
     The quotes are a stated query set. They go to the pages in blocks, by one path at any number of them; each row of quotes that
     meets a row of pages is one row, so repeated rows stay. whole_words: a phrase may not begin or end inside a longer word.
+    transcripts: the pages are hearing transcripts; printed line numbers are taken out before the search, and places count from the text without them.
     """
     q = quotes.select("quote_id", F.col("text").alias("q")).where("trim(q) <> ''")
     p = pages.select("page_id", F.col("text").alias("t")).where("t is not null")
+    if transcripts:
+        p = p.select("page_id", gutters.projection(F.col("t"))["text"].alias("t"))
     out = quotes.sparkSession.createDataFrame([], q.select("quote_id").schema).join(p.select("page_id").limit(0))
     if mode == "placed":
         out = out.selectExpr("quote_id", "page_id", "int(null) as start", "int(null) as `end`", "boolean(null) as ambiguous")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewright.functions import html_text, locate, ranges_text, replies, text
+from pagewright.functions import gutters, html_text, ranges_text, replies, text
 from pagewright.operators import digests, layout, participants, search
 from pagewright.plans import registry
 from pagewright.sources.tables import classified_pages, read
@@ -62,14 +62,53 @@ def quote_best_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.best_page(hits, quotes.select("quote_id", F.col("quote_id").alias("page_id")))
 
 
-@query("""with l as (select doc_id, text, string_split(text, chr(10)) as l from documents)
-    select doc_id, case when len(l) < 4 then len(l) else 0 end as n_left, sha256(text) as text_sha256 from l where len(l) >= 4""")
+#: Every text's letters in rows of 60, 28 rows a page, the last page filled up.
+ROWS_SQL = r"""
+    w as (select doc_id, regexp_replace(coalesce(text, ''), '[^\p{L}]+', ' ', 'g') as t from documents),
+    r as (select doc_id, regexp_extract_all(t || repeat('and so on and so forth ', 74), '.{60}') as rows, greatest(1, (length(t) + 1679) // 1680) as n from w),
+    pages as (select doc_id, p + 1 as page_no, list_transform(rows[p * 28 + 1:p * 28 + 28], lambda x: ltrim(x, ' ')) as rows from (select *, unnest(range(n)) as p from r))
+"""
+
+
+def numbered_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, page_no, page): the texts as transcript pages with one of four kinds of printed line numbers."""
+    letters = F.regexp_replace(F.coalesce("text", F.lit("")), r"[^\p{L}]+", " ")
+    n = F.greatest(F.lit(1), F.ceil(F.length("t") / 1680)).cast("int")
+    docs = read(spark, sf_dir, "documents").select("doc_id", letters.alias("t"))
+    docs = docs.select("doc_id", F.regexp_extract_all(F.concat("t", F.repeat(F.lit("and so on and so forth "), 74)), F.lit(".{60}"), F.lit(0)).alias("rows"), n.alias("n"))
+    pages = docs.withColumn("p", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).select("doc_id", (F.col("p") + 1).alias("page_no"), F.slice("rows", F.col("p") * 28 + 1, 28).alias("rows"))
+    no = lambda i: F.lpad((i + 1).cast("string"), 2, " ")
+    lines = lambda f: F.array_join(F.transform("rows", f), "\n")
+    kinds = [
+        lines(lambda x, i: F.concat(no(i), F.lit(" | "), x)), lines(lambda x, i: F.concat(no(i), F.lit("  "), x)), lines(lambda x, i: F.concat(no(i), F.lit("\n"), x)),
+        F.concat(F.lit("page "), F.array_join(F.transform("rows", lambda x, i: F.concat(no(i), F.lit(" "), x)), " ")),
+    ]
+    kind = F.pmod("doc_id", F.lit(4))
+    return pages.select("doc_id", "page_no", F.when(kind == 0, kinds[0]).when(kind == 1, kinds[1]).when(kind == 2, kinds[2]).otherwise(kinds[3]).alias("page"))
+
+
+@query(rf"""with {ROWS_SQL}
+    select doc_id, cast(page_no as int) as page_no, case doc_id % 4 when 0 then 'barred' when 1 then 'bare' when 2 then 'detached' else 'flattened' end as form,
+        sha256(case when doc_id % 4 = 3 then 'page ' || case when len(rows) > 0 then ' ' else '' end || array_to_string(list_transform(rows, lambda x, i: if(i > 1 and i < 10, ' ', '') || x), ' ') else array_to_string(rows, chr(10)) end) as text_sha256,
+        true as same_place
+    from pages""")
 def gutter_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts of four lines or more with a printed line number before each line, and read back without it."""
-    docs = read(spark, sf_dir, "documents").where("size(split(text, '\\n')) >= 4")
-    numbered = F.array_join(F.transform(F.split("text", "\n"), lambda x, i: F.concat(F.lpad((i % 28 + 1).cast("string"), 2, " "), F.lit(" | "), x)), "\n")
-    out = docs.select("doc_id", locate.gutter_projection(numbered).alias("g"))
-    return out.select("doc_id", F.size(F.filter("g.cut", lambda c: c == 0)).alias("n_left"), F.sha2("g.text", 256).alias("text_sha256"))
+    """Transcript pages read back without their line numbers, and whether a place of each leads to the same character on the page."""
+    out = numbered_pages(spark, sf_dir).withColumn("g", gutters.projection(F.col("page")))
+    place = F.least(F.lit(1000), F.length("g.text") - 1)
+    same = F.substring("g.text", place + 1, F.lit(1)) == F.substring("page", gutters.source_offset(place, F.col("g.removed")) + 1, F.lit(1))
+    return out.select("doc_id", "page_no", "g.form", F.sha2("g.text", 256).alias("text_sha256"), same.alias("same_place"))
+
+
+@query(rf"""with {ROWS_SQL}, q as (select doc_id, page_no, rows, rows[5] || ' ' || rows[6] as phrase from pages where page_no = 1 and doc_id % 100 = 0)
+    select distinct q.doc_id as quote_id, p.doc_id * 100000 + p.page_no as page_id from q join pages p on contains(regexp_replace(array_to_string(p.rows, ' '), '\s+', ' ', 'g'), regexp_replace(trim(q.phrase), '\s+', ' ', 'g'))""")
+def quote_search_transcript(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Phrases that run over a line of every hundredth text's first page, found on transcript pages whose numbers stand between their words."""
+    pages = numbered_pages(spark, sf_dir).select((F.col("doc_id") * 100_000 + F.col("page_no")).alias("page_id"), F.col("page").alias("text"))
+    letters = F.regexp_replace(F.coalesce("text", F.lit("")), r"[^\p{L}]+", " ")
+    rows = F.regexp_extract_all(F.concat(letters, F.repeat(F.lit("and so on and so forth "), 74)), F.lit(".{60}"), F.lit(0))
+    quotes = read(spark, sf_dir, "documents").where("doc_id % 100 = 0").select(F.col("doc_id").alias("quote_id"), F.concat_ws(" ", F.get(rows, F.lit(4)), F.get(rows, F.lit(5))).alias("text"))
+    return search.quote_hits(quotes, pages.select("page_id", "text"), "phrase", whole_words=False, transcripts=True).distinct()
 
 
 def hearings(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,14 +17,6 @@ def test_places_of_quotations():
     assert locate.place("absent", "text") == locate.place("", "text") == locate.place(None, None) == (None, None, False)
 
 
-def test_gutter_is_read_only_where_numbers_rise():
-    lines = [f"{i:2} | line {i}" for i in range(1, 26)]
-    text, cut = locate.without_gutter("\n".join(lines))
-    assert text.split("\n")[4] == "line 5" and set(cut) == {5}
-    for kept in ("\n".join(f"{x} apples" for x in (4, 9, 2, 7, 7)), "a\nb\nc\nd\ne", "1 a\n2 b", "", None):
-        assert locate.without_gutter(kept)[0] == (kept or "")
-
-
 def test_tables_become_grids():
     page = "<p>before</p><table><tr><th>a<th>long head</tr><tr><td>1<td>2</tr></table><script>x</script><p>after &amp;"
     assert html_text.to_text(page) == "before\n\na | long head\n1 | 2\n\nafter &"
