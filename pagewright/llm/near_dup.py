@@ -118,9 +118,10 @@ def full_sets(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, wor
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fp[:, 0]), pa.array(fp[:, 1]), pa.array(sets, pa.binary())], names=["doc", "fp1", "fp2", "set"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
-    rows = rows.join(nodes.select(F.col("class_id").alias("doc")), "doc", "left_semi").mapInArrow(run, "doc long, fp1 long, fp2 long, set binary")
+    n = nodes.count()
+    rows = rows.join(small(nodes.select(F.col("class_id").alias("doc")), n), "doc", "left_semi").mapInArrow(run, "doc long, fp1 long, fp2 long, set binary")
     # An id may stand for several texts; the digest says whose set this is.
-    known = nodes.select("id", F.col("class_id").alias("doc"), "fp1", "fp2")
+    known = small(nodes.select("id", F.col("class_id").alias("doc"), "fp1", "fp2"), n)
     keys = ["doc", "fp1", "fp2"]
     return rows.join(known, keys).dropDuplicates(keys).select("id", "set")
 
