@@ -56,14 +56,14 @@ def retained(entries: DataFrame) -> DataFrame:
 def work_items(boundaries: DataFrame, participants: DataFrame) -> DataFrame:
     """(case_id, ordinal, start_page, end_page, n_people, issue) of the boundaries of each case in page order.
 
-    A record of participants (case_id, start_page, end_page, n_people) belongs to the item of just those pages. issue: unmatched (no such
+    A record of participants (case_id, start_page, end_page, n_people) belongs to the item of just those pages; of repeated records the least count is taken. issue: unmatched (no such
     record), repeated (several), overlap (the item before reaches into it), orphan (a record without an item; it has no ordinal).
     """
     key = ["case_id", "start_page", "end_page"]
     w = Window.partitionBy("case_id").orderBy("start_page", "end_page")
     items = boundaries.select(*key).withColumn("ordinal", F.row_number().over(w))
     items = items.withColumn("_before", F.max("end_page").over(w.rowsBetween(Window.unboundedPreceding, -1)))
-    people = participants.groupBy(*key).agg(F.count("*").alias("_n"), F.first("n_people").alias("n_people"))
+    people = participants.groupBy(*key).agg(F.count("*").alias("_n"), F.min("n_people").alias("n_people"))
     issue = (
         F.when(F.col("ordinal").isNull(), "orphan").when(F.col("start_page") <= F.col("_before"), "overlap").when(F.col("_n").isNull(), "unmatched").when(F.col("_n") > 1, "repeated")
     )

@@ -99,10 +99,13 @@ def inside_root(path: Column) -> Column:
 def count_flags(payload: Column, codes: dict[str, str]) -> Column:
     """code:count for each key of a JSON object whose value is a whole number above 0; booleans, texts and fractions don't count."""
 
+    parsed = F.try_parse_json(payload)
+
     def flag(key: str, code: str) -> Column:
-        n = F.regexp_extract(F.get_json_object(payload, f"$.{key}"), r"^(\d{1,9})$", 1)
-        quoted = F.coalesce(payload.rlike(rf'"{key}"\s*:\s*"'), F.lit(False))
-        return F.when((n != "") & (n.try_cast("int") > 0) & ~quoted, F.concat(F.lit(f"{code}:"), n.cast("int").cast("string")))
+        # The type of this one value decides, whatever else the object holds.
+        whole = F.schema_of_variant(F.try_variant_get(parsed, f"$.{key}", "variant")) == "BIGINT"
+        n = F.try_variant_get(parsed, f"$.{key}", "bigint")
+        return F.when(whole & (n > 0), F.concat(F.lit(f"{code}:"), n.cast("string")))
 
     return F.filter(F.array(*(flag(k, c) for k, c in codes.items())), lambda f: f.isNotNull())
 

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewright.operators import alignment
-from pagewright.sources.tables import read
+from pagewright.operators import alignment, contents
+from pagewright.sources.tables import classified_pages, read
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -98,3 +98,33 @@ def edition_quote_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     extra = spans.where((F.col("nth") == 0) & (kind == 2)).select("doc_id", "page_no", F.lit(0).alias("start"), F.lit(1).alias("end"), F.lit("?").alias("label"), F.lit("not there").alias("phrase"))
     found = alignment.span_issues(spans, declared.unionAll(extra))
     return found.withColumn("phrase_sha256", F.sha2("phrase", 256)).drop("phrase")
+
+
+@query("""with l as (
+        select o_custkey as toc, o_orderkey as line, case o_orderpriority when '1-URGENT' then 'MINUTE ORDERS' when '5-LOW' then 'HEARINGS' when '4-NOT SPECIFIED' then '' end as head,
+            case when o_orderkey % 9 = 8 then 'Date unresolved' else strftime(date_trunc('year', o_orderdate), '%B %-d, %Y') end as said, o_orderstatus = 'P' as flat, date_trunc('year', o_orderdate) as day from orders
+    ), s as (
+        select *, last_value(nullif(head, '') ignore nulls) over w as heading, cast(count(*) filter (head = 'MINUTE ORDERS') over w as bigint) as nth
+        from l window w as (partition by toc order by line rows unbounded preceding)
+    ), e as (select *, head is null and not flat and heading = 'MINUTE ORDERS' and said <> 'Date unresolved' as counted from s)
+    select toc, line, heading, nth, case when counted then row_number() over (partition by toc, nth, counted, day order by line) > 1 else false end as removed from (select toc, line, heading, nth, coalesce(counted, false) as counted, day from e)""")
+def toc_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The orders of each customer as lines of a table of contents with headings, blank lines and entries: sections and repeated dates."""
+    o = read(spark, sf_dir, "orders")
+    date = F.when(F.col("o_orderkey") % 9 == 8, "Date unresolved").otherwise(F.date_format(F.date_trunc("year", "o_orderdate"), "MMMM d, yyyy"))
+    entry = F.concat(F.when(F.col("o_orderstatus") == "P", "").otherwise("\t"), date, F.lit(" "), F.format_string("%04d", F.col("o_orderkey") % 10_000))
+    priority = F.col("o_orderpriority")
+    line = F.when(priority == "1-URGENT", "MINUTE ORDERS").when(priority == "5-LOW", " HEARINGS ").when(priority == "4-NOT SPECIFIED", "").otherwise(entry)
+    lines = o.select(F.col("o_custkey").alias("toc"), F.col("o_orderkey").alias("line"), line.alias("text"))
+    return contents.corrected(lines, "toc", "line", "text").select("toc", "line", "heading", "nth", "removed")
+
+
+@query("""with last as (
+        select * from lineitem qualify row_number() over (partition by l_orderkey, l_linenumber order by l_shipdate desc, l_partkey desc, l_suppkey desc, l_quantity desc, l_extendedprice desc, l_discount desc, l_tax desc, l_returnflag desc, l_linestatus desc) = 1
+    ), p as (
+        select l_orderkey as case_id, l_linenumber as page, l_returnflag = 'R' as report, l_returnflag = 'R' and l_linestatus = 'F' as first, l_partkey % 3 <> 0 as named from last
+    ), r as (select *, report and not coalesce(lag(case when report then page end) over (partition by case_id order by page) = page - 1, false) as run from p)
+    select case_id, page, named and first as listed, (run and not first) or (first and not named) as unresolved from r where report and ((named and first) or (run and not first) or (first and not named))""")
+def toc_report_starts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report pages of each case that have an entry in its contents, and the starts that lack a name or a first page."""
+    return contents.report_entries(classified_pages(spark, sf_dir))
