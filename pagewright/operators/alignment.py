@@ -5,8 +5,7 @@ and pages are intervals of one scale, and alignment is an interval join in cells
 only the pieces of lines that it shows. What differs is reported, not guessed: places are never searched for.
 
 Defined results: a null source or page has no content; lines without anything but white space are left out; a page without content
-takes the line of the content before it, or 0; repeated page numbers of a document are kept apart only by their texts, so they should be
-unique; documents without pages and pages without a document are reported by `issues`.
+takes the line of the content before it, or 0; page numbers of a document should be unique: `issues` has a row for each that isn't; documents without pages and pages without a document are reported by `issues`.
 """
 
 from __future__ import annotations
@@ -85,9 +84,9 @@ def quotations(sources: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def placed_pages(pages: DataFrame, key: str, page: str, text: str) -> DataFrame:
-    """(key, page, text, content, first, after): each page's place in the content of its document."""
-    rows = pages.select(F.col(key).cast("long").alias(key), F.col(page).cast("long").alias(page), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    rows = rows.withColumn("content", printable.content_of(F.col("text"))).withColumn("n", F.length("content").cast("long"))
+    """(key, page, first, after): each page's place in the content of its document. Texts stay behind: only their sizes are shuffled."""
+    n = F.length(printable.content_of(F.coalesce(F.col(text), F.lit("")))).cast("long")
+    rows = pages.select(F.col(key).cast("long").alias(key), F.col(page).cast("long").alias(page), n.alias("n"))
     return running(rows, key, page, "n", "first").withColumn("after", F.col("first") + F.col("n")).drop("n")
 
 
@@ -160,7 +159,8 @@ def align(sources: DataFrame, pages: DataFrame, key: str = "doc_id", page: str =
     narrow = at.where("after > first").select(key, page, "first", "after").withColumn("cell", cells(F.col("first"), F.col("after")))
     q = q.join(narrow, [key, "cell"]).where("q_start < after and first < q_end").where(f"cell = floor(greatest(q_start, first) / {CELL})")
     q = q.groupBy(key, page).agg(F.sort_array(F.collect_list(F.struct("quote", F.col("q_start").alias("start"), F.col("q_end").alias("end"), "phrase"))).alias("quotes"))
-    rows = at.join(shown, [key, page], "left").join(q, [key, page], "left")
+    texts = pages.select(F.col(key).cast("long").alias(key), F.col(page).cast("long").alias(page), F.coalesce(F.col(page_text), F.lit("")).alias("text"))
+    rows = at.join(shown, [key, page], "left").join(q, [key, page], "left").join(texts, [key, page]).withColumn("content", printable.content_of(F.col("text")))
     rows = rows.withColumn("source", F.when(F.col("after") > F.col("first"), F.coalesce(F.array_join("shown.piece", ""), F.lit(""))).otherwise(""))
     rows = rows.withColumn("equal", F.col("source") == F.col("content"))
     return rows.select(
@@ -182,7 +182,7 @@ def issues(sources: DataFrame, pages: DataFrame, aligned: DataFrame, key: str =
     """(key, page, rule, place): what forbids the use of an alignment; nothing if there is no row.
 
     count: source and pages have different amounts of content (place: the difference); content: a page shows something else (its first place);
-    no_source: pages of a document that isn't there.
+    no_source: pages of a document that isn't there; repeated: a page number that several pages have (place: how many).
     """
     have = pieces(sources, key, text).groupBy(key).agg(F.sum(F.length("piece")).alias("held"))
     have = sources.select(F.col(key).cast("long").alias(key)).distinct().join(have, key, "left").withColumn("known", F.lit(True))
@@ -191,6 +191,8 @@ def issues(sources: DataFrame, pages: DataFrame, aligned: DataFrame, key: str =
     gap = F.coalesce("printed", F.lit(0)) - F.coalesce("held", F.lit(0))
     rule = F.when(F.col("known").isNull(), "no_source").when(gap != 0, "count")
     docs = both.select(key, F.lit(None).cast("long").alias(page), rule.alias("rule"), gap.cast("long").alias("place")).where("rule is not null")
+    again = pages.groupBy(F.col(key).cast("long").alias(key), F.col(page).cast("long").alias(page)).agg(F.count("*").alias("n")).where("n > 1")
+    docs = docs.unionAll(again.select(key, page, F.lit("repeated"), "n"))
     return docs.unionAll(aligned.where("not equal").select(key, page, F.lit("content"), "differs_at"))
 
 
