@@ -87,3 +87,13 @@ def quote_place(quote: Column, text: Column) -> Column:
         return rows.astype({"start": "Int32", "end": "Int32"})
 
     return run(quote, text)
+
+
+def normalised_each(texts: Column) -> Column:
+    """Each text of an array as normal has it; null arrays and null texts stay null."""
+
+    @pandas_udf("array<string>")
+    def run(t: pd.Series) -> pd.Series:
+        return pd.Series([None if x is None else [None if y is None else normal_text(y) for y in x] for x in t], dtype=object)
+
+    return run(texts)
