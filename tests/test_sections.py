@@ -50,7 +50,7 @@ def test_texts(got):
 def test_flags(got):
     found, remarks = got
     want = {
-        "a": ["fallback_section:a"], "b": ["empty_section_fallback:b", "paragraph_string_kept:b", "repeated_passage:b:0"][:2], "c": ["empty_section_fallback:c", "malformed_paragraphs_fallback:c"], "d": [],
+        "a": ["fallback_section:a"], "b": ["empty_section_fallback:b", "paragraph_string_kept:b"], "c": ["empty_section_fallback:c", "malformed_paragraphs_fallback:c"], "d": [],
         "e": ["duplicate_quote_use:e:q1", "quote_length_out_of_range:e:q1:3", "quote_terminal_punctuation:e:q1", "technical_metadata_in_narrative:e:hash_label", "typed_quotation_marks:e", "unverified_quote_used:e:q1"],
         "f": ["unknown_placeholder:f:2", "unknown_placeholder_fallback:f"], "g": [], "h": ["quote_capitalization_rejected:h", "quote_selection_rejected:h"], "i": ["quote_selection_rejected:i"],
         "j": ["repeated_passage:j:2"], "k": ["repeated_passage:k:1"], "n": ["paragraphs_for_all_null_document:n"], "o": ["paragraph_string_kept:o", "unknown_placeholder:o:1", "unknown_placeholder_fallback:o"],
