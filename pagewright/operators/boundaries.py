@@ -14,9 +14,18 @@ def source_page(x: Column) -> Column:
     return F.when(n >= 1, n)
 
 
+def said_page(entries: DataFrame, key: str, second: str) -> Column:
+    """The page under key, or under the second name where key is missing, null, empty or the number nought."""
+    empty = {c: F.col(c).cast("string").isin("", *([] if entries.schema[c].dataType.simpleString() == "string" else ["0"])) for c in (key, second) if c in entries.columns}
+    return F.coalesce(*(F.when(~e, F.col(c).cast("string")) for c, e in empty.items()))
+
+
 def structure_issues(entries: DataFrame) -> DataFrame:
-    """(case_id, entry_id, rule) of saved boundaries (case_id, entry_id, start, end): malformed, reversed, or overlapping the one before."""
-    rows = entries.select("case_id", "entry_id", source_page(F.col("start")).alias("s"), source_page(F.col("end")).alias("e"))
+    """(case_id, entry_id, rule) of saved boundaries: malformed, reversed, or overlapping the one before.
+
+    entries: case_id, entry_id, and start_page and end_page or, by their second names, start and end.
+    """
+    rows = entries.select("case_id", "entry_id", source_page(said_page(entries, "start_page", "start")).alias("s"), source_page(said_page(entries, "end_page", "end")).alias("e"))
     w = Window.partitionBy("case_id").orderBy("s", "e", "entry_id").rowsBetween(Window.unboundedPreceding, -1)
     fine = F.col("s") <= F.col("e")
     earlier = F.max(F.when(fine, F.col("e"))).over(w)
@@ -40,6 +49,19 @@ def omission_lines(omitted: DataFrame, size: int = 20) -> DataFrame:
     return rows.groupBy("case_id", "batch").agg(F.array_join(F.sort_array(F.collect_list("x"))["t"], ", ").alias("ranges"))
 
 
+#: Why minute orders are left out, and what is said about it.
+NO_DATE = "minute_date_unresolved"
+COUNTED = " minute candidates omitted: {}. Source pages remain available; missing dates do not prove misclassification."
+LISTED = "Omitted minute source-page ranges: "
+
+
+def omission_messages(omitted: DataFrame, size: int = 20) -> DataFrame:
+    """(case_id, nth, message): message 0 counts the omitted ranges of a case, the others list them, size a message."""
+    counts = omitted.groupBy("case_id").agg(F.lit(0).alias("nth"), F.concat(F.count("*").cast("string"), F.lit(COUNTED.format(NO_DATE))).alias("message"))
+    lines = omission_lines(omitted, size)
+    return counts.unionByName(lines.select("case_id", (F.col("batch") + 1).alias("nth"), F.concat(F.lit(LISTED), "ranges", F.lit(".")).alias("message")))
+
+
 def retained(entries: DataFrame) -> DataFrame:
     """entries (kind, name, date, naming_status) with keep and reason: hearings need a date, reports and motions a name that is not unresolved,
     minute orders a date that is recognised."""

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pagewright.operators.blocks import running_max
+
 #: The types of pages by category, the headings by category, their order, what is shown for one, and the identity of a category.
 TYPES = {"hearing": "rt_body", "report": "ct_report", "motion": "ct_motion", "minute_order": "ct_minute_order", "form": "ct_form"}
 HEADINGS = {"hearings": "hearing", "reports": "report", "motions": "motion", "minute orders": "minute_order", "forms": "form", "procedural filings": "form"}
@@ -76,15 +78,10 @@ def page_categories(pages: DataFrame, typed: DataFrame, ranges: DataFrame, liste
     earlier blocks reach is carried on block by block, so no case is one task. Repeated pages give one row.
     """
     known = pages.select("case_id", "page").where("page > 0").distinct()
-    block = F.floor(F.col("page") / BLOCK)
-    w = Window.partitionBy("case_id", "category", "block").orderBy("page", "is_page").rowsBetween(Window.unboundedPreceding, 0)
-    before = Window.partitionBy("case_id", "category").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     of = ranges.where("start_page <= end_page").select("case_id", "category", F.col("start_page").alias("page"), F.lit(0).alias("is_page"), F.col("end_page").alias("reach"))
     kinds = of.select("case_id", "category").distinct()
     asked = known.join(kinds, "case_id").select("case_id", "category", "page", F.lit(1).alias("is_page"), F.lit(None).cast(of.schema["reach"].dataType).alias("reach"))
-    rows = of.unionByName(asked).withColumn("block", block)
-    came = rows.groupBy("case_id", "category", "block").agg(F.max("reach").alias("came")).withColumn("came", F.max("came").over(before))
-    rows = rows.join(came, ["case_id", "category", "block"]).withColumn("reach", F.greatest(F.max("reach").over(w), "came"))
+    rows = running_max(of.unionByName(asked), ["case_id", "category"], ["page", "is_page"], ["reach"], BLOCK)
     inside = rows.where("is_page = 1 and page <= reach")
 
     row = lambda df, tier, ids: df.select("case_id", "page", tier.cast("int").alias("tier"), "category", ids.alias("ids"))

@@ -92,3 +92,14 @@ def test_keyed_batches_add_each_key_once(spark, tmp_path):
         live.upsert_batches(stream, out, ["k"]).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
         got = sorted((r.k, r.v) for r in spark.read.parquet(out).collect())
         assert got == [(1, "a"), (2, "b"), (3, "d")][: 2 + i]
+
+
+def test_second_names_and_omission_messages(spark):
+    rows = [(1, 1, None, "3", "0004.txt", ""), (1, 2, "", "x", "7", "9"), (1, 3, "9", "1", None, "8"), (1, 4, "10", "5", "12", None), (1, 5, None, None, "3", "4")]
+    df = spark.createDataFrame(rows, "case_id long, entry_id long, start_page string, start string, end_page string, `end` string")
+    assert sorted((r.entry_id, r.rule) for r in boundaries.structure_issues(df).collect()) == [(2, "malformed"), (3, "reversed"), (5, "malformed")]
+    numbers = spark.createDataFrame([(1, 1, 0, 5), (1, 2, 0, 0)], "case_id long, entry_id long, start_page int, start int").withColumn("end", F.lit(6))
+    assert [(r.entry_id, r.rule) for r in boundaries.structure_issues(numbers).collect()] == [(2, "malformed")]
+    omitted = spark.createDataFrame([(1, 4, 4), (1, 2, 3), (1, 9, 12)], "case_id long, start_page int, end_page int")
+    got = sorted((r.nth, r.message) for r in boundaries.omission_messages(omitted, 2).collect())
+    assert [n for n, _ in got] == [0, 1, 2] and got[0][1].startswith("3 minute candidates omitted: minute_date_unresolved. ") and got[1][1] == "Omitted minute source-page ranges: 0002-0003, 0004."
