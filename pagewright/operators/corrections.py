@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 
 from pagewright.functions.dates import long_date, recognized
 from pagewright.operators.blocks import running_max
@@ -176,15 +177,17 @@ def effective(pages: DataFrame, changes: DataFrame) -> DataFrame:
     firsts = [F.min_by(c, "page").alias(c) for c in (*three, *(f"new_{c}" for c in three), "nth")]
     runs = rows.groupBy("case_id", "piece", "run").agg(F.max("page").alias("end"), *firsts)
 
-    def judge(piece: pd.DataFrame) -> pd.DataFrame:
-        piece = piece.sort_values("run")
-        old, now = (list(zip(*(piece[p + c] for c in three))) for p in ("", "new_"))
-        nth = [None if pd.isna(n) else n for n in piece["nth"]]
-        kept = kept_in(list(zip(piece["run"].tolist(), piece["end"].tolist(), nth, old, now)))
-        out = pd.DataFrame({"case_id": piece["case_id"], "page": piece["run"], "kept": kept})
-        return out[[n is not None for n in nth]]
+    page = pages.schema["page"].dataType.simpleString()
+    held = F.sort_array(F.collect_list(F.struct("run", "end", F.struct(*three).alias("old"), F.struct(*(f"new_{c}" for c in three)).alias("new"), "nth")))
 
-    types = {f.name: f.dataType.simpleString() for f in pages.schema}
-    judged = runs.groupBy("case_id", "piece").applyInPandas(judge, f"case_id {types['case_id']}, page {types['page']}, kept boolean")
+    @pandas_udf(f"array<struct<page:{page},kept:boolean>>")
+    def judge(pieces: pd.Series) -> pd.Series:
+        out = []
+        for piece in pieces:
+            kept = kept_in([(r["run"], r["end"], r["nth"], tuple(r["old"].values()), tuple(r["new"].values())) for r in piece])
+            out.append([{"page": r["run"], "kept": k} for r, k in zip(piece, kept) if r["nth"] is not None])
+        return pd.Series(out)
+
+    judged = runs.groupBy("case_id", "piece").agg(held.alias("held")).select("case_id", F.inline(judge("held")))
     found = changes.select("case_id", "page", "nth").join(judged, ["case_id", "page"], "left")
     return found.withColumn("kept", F.coalesce("kept", F.lit(False)))

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pagewright.operators import categories, motion_groups, ranges, sections
-from pagewright.plans import registry
+from pagewright.operators import categories, corrections, motion_groups, ranges, sections, stages
+from pagewright.plans import boundaries, registry
 from pagewright.sources.tables import classified_pages, read
 
 QUERIES: dict = {}
@@ -179,3 +179,32 @@ def page_category_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     spans = found.select("case_id", "start_page", "end_page", F.lit("report").alias("category")).unionAll(found.select("case_id", F.col("start_page") + 2, F.col("end_page") + 1, F.lit("motion")))
     listed = pages.where(part % 4 < 2).select("case_id", "page", F.when(part % 4 == 0, "Procedural filings").otherwise(" HEARINGS").alias("title"))
     return categories.page_categories(pages, typed, spans, listed)
+
+
+CHANGED = boundaries.ALL_KINDS.replace(boundaries.RECORD, boundaries.RECORD.replace("rec as (", "rec0 as (") + """, rec as (select r.case_id, r.page, named, case when u.page is not null then case part % 4 when 0 then 'report' when 1 then 'report_first' when 2 then 'minute_body' else page_type end else page_type end as page_type
+    from (select rec0.*, part from rec0 join pages using (case_id, page)) r left join (select case_id, min(page) as page from pages where part % 3 = 0 group by 1) u on u.case_id = r.case_id and u.page = r.page)""")
+
+
+@query(f"""with a as (with {boundaries.ALL_KINDS} select * from docs), b as (with {CHANGED} select * from docs), x as ((select * from a except select * from b) union all (select * from b except select * from a)),
+    {registry.LAST}, u as (select case_id, min(page) as page from pages where part % 3 = 0 group by 1) select case_id, page, case_id in (select case_id from x) as kept from u""")
+def correction_effects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which of the corrections, here one of each case's first unnamed page, change any selected document."""
+    names = {"report_first": "CT_report_first_page", "report": "CT_report", "motion_first": "CT_motion_first_page", "motion": "CT_motion", "minute_start": "CT_minute_order_first_page", "minute_body": "CT_minute_order", "hearing_start": "RT_body_first_page", "hearing_body": "RT_body", "form_first": "CT_form_first_page", "other": "CT_other"}
+    kind = lambda c: categories.looked_up(c, names)
+    part = F.col("part")
+    pages = boundaries.record_pages(spark, sf_dir).select("case_id", "page", kind(F.col("page_type")).alias("page_type"), F.when(F.col("named"), "n").otherwise("").alias("name"), F.lit("").alias("date"))
+    first = classified_pages(spark, sf_dir).where("not named").groupBy("case_id").agg(F.min("page").alias("page"), F.min_by("part", "page").alias("part"))
+    new = F.when(part % 4 == 0, "CT_report").when(part % 4 == 1, "CT_report_first_page").when(part % 4 == 2, "CT_minute_order").otherwise(F.col("page_type"))
+    changes = first.join(pages, ["case_id", "page"]).select("case_id", "page", F.lit(1).alias("nth"), new.alias("page_type"), "name", "date")
+    return corrections.effective(pages, changes).drop("nth")
+
+
+@query("""select source, lang, count(*) as n_docs, count(distinct text) as n_texts, sum(n_chars) as chars from documents group by all""")
+def kept_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of sources from a kept stage: computed once for the same rows, read from the shared folder afterwards."""
+    rows = read(spark, sf_dir, "documents").select("source", "lang", F.sha2("text", 256).alias("text"), "n_chars")
+
+    def build(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("source", "lang").agg(F.count("*").alias("n_docs"), F.count_distinct("text").alias("n_texts"), F.sum("n_chars").alias("chars"))
+
+    return stages.stage("source_counts", {"rows": rows}, {}, build)[0]

@@ -178,3 +178,11 @@ def page_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = F.when(key % 4 == 0, (key % 1000).cast("string")).when(key % 4 == 1, F.concat(F.lit(" "), (key % 1000).cast("string"), F.lit(" "))).when(key % 4 == 2, F.concat(F.lit("x"), key.cast("string"))).otherwise("\u0007")
     body = F.concat(F.lit("a\n  ![scan"), key.cast("string"), F.lit("](p.png) \nb"))
     return read(spark, sf_dir, "events").select("event_id", text.positive_page(raw).alias("page"), text.bounded_text(raw, 1024, "?").alias("shown"), text.without_images(body).alias("body"))
+
+
+@query(f"""with {RECORD}, {started('minu', 'minute_start', 'minute_body')}, o as (select *, row_number() over (partition by case_id order by start_page, end_page) - 1 as rn from minu)
+    select case_id, 0 as nth, count(*) || ' minute candidates omitted: minute_date_unresolved. Source pages remain available; missing dates do not prove misclassification.' as message from minu group by case_id
+    union all select case_id, cast(rn // 2 as int) + 1, 'Omitted minute source-page ranges: ' || string_agg(case when start_page = end_page then printf('%04d', start_page) else printf('%04d-%04d', start_page, end_page) end, ', ' order by start_page, end_page) || '.' from o group by case_id, rn // 2""")
+def omission_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is said about minute ranges that are left out, with their number, here two a message."""
+    return boundaries.omission_messages(ranges.started_ranges(record_pages(spark, sf_dir)), 2)
