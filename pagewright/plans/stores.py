@@ -1,4 +1,4 @@
-"""Named queries of stored digests, and their SQL."""
+"""Named queries of stored digests and of minute orders, and their SQL."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagewright.operators import digest_store as store
+from pagewright.operators import minutes
 from pagewright.sources.tables import read
 
 QUERIES: dict = {}
@@ -107,3 +108,49 @@ def digest_migration(spark: SparkSession, sf_dir: str) -> DataFrame:
     moved = store.rows_of(store.from_old_lines(FORM, files))
     kept = docs.join(moved.select("doc_id").distinct(), "doc_id", "left_semi")
     return as_read(store.rows_of(store.blocks(FORM, store.written(FORM, kept, moved))))
+
+
+def minute_orders(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(items, pages, sent): twenty texts are the pages of a case, two successive ones a minute order, and each page a person of its candidate.
+
+    By doc_id % 5 the evidence is the page's first letters, something that it doesn't say, on a page of another order, of a person in an odd state, or without a role;
+    of seven orders one has another artifact and one nothing.
+    """
+    docs = read(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    page, k = (F.pmod("doc_id", F.lit(20)) + 1).cast("int"), F.pmod("doc_id", F.lit(5))
+    pages = docs.select(F.floor(F.col("doc_id") / 20).alias("case_id"), page.alias("page"), "text", k.alias("k"))
+    said, n = F.regexp_extract("text", "[A-Za-z]+", 0), F.floor((F.col("page") - 1) / 2)
+    evidence = F.array(F.struct((F.col("page") + F.when(F.col("k") == 2, 2).otherwise(0)).alias("file_page"), F.when(F.col("k") == 1, F.concat(F.lit("Xq9Zz "), said)).otherwise(said).alias("text")))
+    person = F.struct(F.concat(F.lit("P"), F.col("page").cast("string")).alias("person"), F.when(F.col("k") < 4, "Clerk").alias("role_label"), F.when(F.col("k") == 3, "odd").otherwise("present").alias("status"), evidence.alias("evidence"))
+    people = pages.select("case_id", n.alias("n"), F.struct("page", person.alias("p")).alias("x")).groupBy("case_id", "n").agg(F.array_sort(F.collect_list("x"))["p"].alias("appearances"))
+    item = F.concat(F.lit("minute:"), (F.col("n") * 2 + 1).cast("string"))
+    items = people.select("case_id", item.alias("item_id"), F.sha2(F.concat_ws(":", "case_id", "n"), 256).alias("fingerprint"), (F.col("n") * 2 + 1).cast("int").alias("start_page"), (F.col("n") * 2 + 2).cast("int").alias("end_page"))
+    artifact = F.when(F.col("n") % 7 == 3, "other").otherwise(minutes.ARTIFACT)
+    payload = F.to_json(F.struct(artifact.alias("artifact"), F.lit(" In  court ").alias("hearing"), F.lit("So ordered").alias("orders"), F.when(F.col("n") % 2 == 0, "May 1").alias("next_hearing"), "appearances"))
+    return items, pages.select("case_id", "page", "text"), people.where("n % 7 <> 5").select("case_id", item.alias("item_id"), payload.alias("payload"))
+
+
+MINUTES = """p as (select doc_id // 20 as case_id, cast(doc_id % 20 + 1 as int) as page, (doc_id % 20) // 2 as n, doc_id % 5 as k, regexp_extract(coalesce(text, ''), '[A-Za-z]+') <> '' as speaks from documents),
+    a as (select *, 'minute:' || (2 * n + 1) as item_id, 'P' || page as person, speaks and k in (0, 3, 4) as held from p where n % 7 not in (3, 5)),
+    i as (select case_id, item_id, array_to_string(list_filter([case when bool_or(k <> 3 and not held) then 'appearance_evidence_unverified' end, case when n % 2 = 1 then 'next_hearing_unusable' end, case when bool_or(k = 4) then 'unresolved_role' end], lambda f: f is not null), ',') as flags from a group by case_id, item_id, n)"""
+
+
+@query(f"with {MINUTES} select case_id, item_id, person, case k when 4 then 'Unknown' else 'Clerk' end as role_label, case when held and k <> 3 then 'present' else 'unclear' end as status, cast(held as int) as n_evidence, flags from a join i using (case_id, item_id)")
+def minute_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Who appeared by which evidence, for candidates over all texts; rejected candidates give no row."""
+    rows, _ = minutes.candidates(*minute_orders(spark, sf_dir))
+    each = rows.select("case_id", "item_id", F.array_join("quality_flags", ",").alias("flags"), F.explode("appearances").alias("a"))
+    return each.select("case_id", "item_id", "a.person", "a.role_label", "a.status", F.size("a.evidence").alias("n_evidence"), "flags")
+
+
+@query(f"""with {MINUTES}, o as (select distinct case_id, 'minute:' || (2 * n + 1) as item_id, n from p)
+    select case_id, item_id, case when n % 7 in (3, 5) then 'missing' when n = 1 then 'unsound' when n = 2 then 'version' when n = 4 then 'changed' end as why from o where n in (1, 2, 4) or n % 7 in (3, 5)""")
+def minute_rows_due(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which minute orders a rerun makes anew, and why: of ten in a case one was altered, one is of an older version, one has another source now, and two were never accepted."""
+    items, pages, sent = minute_orders(spark, sf_dir)
+    stored = minutes.checkpointed(minutes.candidates(items, pages, sent)[0], "contract-1")
+    of = lambda n: F.col("item_id") == f"minute:{2 * n + 1}"
+    stored = stored.withColumn("version", F.when(of(2), 4).otherwise(F.col("version")))
+    stored = stored.withColumn("row_sha256", minutes.row_hash(F.col("version"), F.col("contract"), stored)).withColumn("orders", F.when(of(1), "Denied").otherwise(F.col("orders")))
+    now = items.withColumn("fingerprint", F.when(of(4), "new").otherwise(F.col("fingerprint")))
+    return minutes.due(now, stored, "contract-1")[1].select("case_id", "item_id", "why")
