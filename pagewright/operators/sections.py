@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pagewright.functions.locate import normalised_each
 from pagewright.functions.text import quote_flags
 from pagewright.operators.digests import METADATA
+from pagewright.operators.stages import written_once
 
 #: Placeholders, links to pages, marks that should be placeholders, words of a passage that counts as repeated.
 PLACEHOLDER = r"\{\{quote:([^}]+)\}\}"
@@ -108,6 +109,14 @@ def repeated_passages(sections: DataFrame) -> DataFrame:
     return later.groupBy("case_id", "item_id").agg(F.count_distinct("nth").alias("n"))
 
 
+def remarks_of(rows: DataFrame, payloads: DataFrame) -> DataFrame:
+    """(case_id, flag) of what belongs to no item: unusable payloads, entries that are no objects, unknown items; see normalised_sections."""
+    unusable = payloads.where(~F.expr("coalesce(schema_of_variant(try_parse_json(payload)) like 'ARRAY%', false)")).select("case_id", F.lit("candidate_unusable:all_fallback").alias("flag"))
+    loose = submissions(payloads).join(rows.select("case_id", "item_id").distinct(), ["case_id", "item_id"], "left_anti")
+    shown = F.when(F.col("item_id").isNull(), "malformed_section_ignored:1").otherwise(F.concat(F.lit("unknown_section_ignored:"), F.when(F.col("item_id") == "", "unlabeled").otherwise(F.col("item_id"))))
+    return unusable.unionByName(loose.select("case_id", shown.alias("flag"))).distinct()
+
+
 def normalised_sections(rows: DataFrame, payloads: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(sections, remarks) of digest rows and what was submitted for them.
 
@@ -120,6 +129,7 @@ def normalised_sections(rows: DataFrame, payloads: DataFrame) -> tuple[DataFrame
     labels. Selections and capitals are kept where they are valid for a quotation that is used. flags are distinct and sorted.
     remarks: (case_id, flag) of what belongs to no item: unusable payloads, entries that are no objects, unknown items.
 
+    Sections are made when this is called and written once, as they are used both as results and to find repeated passages.
     Rows that repeat an item get the same submission each; rows with a null case or item meet none. An empty table gives empty results.
     """
     seen = submissions(payloads).withColumn("sent", F.lit(True))
@@ -183,12 +193,10 @@ def normalised_sections(rows: DataFrame, payloads: DataFrame) -> tuple[DataFrame
         "case_id", "item_id", "ordinal", "kind", "paragraphs", changed("chosen", quote).alias("selections"),
         changed("cased", lambda q: F.coalesce(F.element_at("chosen", q), quote(q))).alias("capitals"), F.filter(many, lambda f: f.isNotNull()).alias("flags"),
     )
+    sections = written_once(sections)
     again = repeated_passages(sections)
     sections = sections.join(again, ["case_id", "item_id"], "left")
     passage = F.when(F.col("n").isNotNull(), F.array(F.concat_ws(":", F.lit("repeated_passage"), item, F.col("n").cast("string")))).otherwise(none)
     sections = sections.withColumn("flags", F.array_sort(F.array_distinct(F.concat("flags", passage)))).drop("n")
 
-    unusable = payloads.where(~F.expr("coalesce(schema_of_variant(try_parse_json(payload)) like 'ARRAY%', false)")).select("case_id", F.lit("candidate_unusable:all_fallback").alias("flag"))
-    loose = seen.join(rows.select("case_id", "item_id").distinct(), ["case_id", "item_id"], "left_anti")
-    shown = F.when(F.col("item_id").isNull(), "malformed_section_ignored:1").otherwise(F.concat(F.lit("unknown_section_ignored:"), F.when(F.col("item_id") == "", "unlabeled").otherwise(F.col("item_id"))))
-    return sections, unusable.unionByName(loose.select("case_id", shown.alias("flag"))).distinct()
+    return sections, remarks_of(rows, payloads)

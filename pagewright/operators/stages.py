@@ -25,6 +25,13 @@ def shared_folder(spark: SparkSession) -> str:
     return found or tempfile.mkdtemp(prefix="pagewright-")
 
 
+def written_once(df: DataFrame) -> DataFrame:
+    """df written as Parquet to the shared folder and read from there, for what is used more than once; a lost executor costs only its own tasks."""
+    path = f"{shared_folder(df.sparkSession)}/written-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def content_digest(df: DataFrame) -> DataFrame:
     """One row (schema, n, h1, h2): the same for the same rows in any order and partitioning. Nulls differ from all values, repeated rows count.
 

@@ -78,8 +78,7 @@ def section_normalisation(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""select distinct conv_id, unnest(case when conv_id % 10 = 9 then ['candidate_unusable:all_fallback'] when conv_id % 4 = 0 then ['malformed_section_ignored:1', 'unknown_section_ignored:zz'] else [] end) as flag from conversations""")
 def section_remarks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the submissions of a case hold that belongs to none of its items."""
-    _, remarks = sections.normalised_sections(*sections_of_turns(spark, sf_dir))
-    return remarks.withColumnRenamed("case_id", "conv_id")
+    return sections.remarks_of(*sections_of_turns(spark, sf_dir)).withColumnRenamed("case_id", "conv_id")
 
 
 MOTION_PAPERS = rf"""{registry.MOTIONS}, p as (select case_id, printf('motion:%04d', start_page) as paper_id, lead_page as packet, start_page, end_page, 'Motion ' || start_page as title, case when start_page % 2 = 0 then '' else 'May ' || start_page end as date, 'filed' as basis, case_id % 16 as k from papers),
