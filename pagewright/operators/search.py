@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from collections import defaultdict
+
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -11,6 +15,7 @@ from pagewright.functions import gutters, locate, phrases
 from pagewright.functions.contained import Contained
 
 BLOCK = 20_000  # quotations that are sent to the pages at once; more go in further blocks
+ROWS = 100_000  # rows of hits that are held at once, but for those of one page
 
 
 def blocks(quotes: DataFrame):
@@ -39,10 +44,14 @@ def finder(quotes: list[str], mode: str, whole_words: bool):
     known = [i for i, q in enumerate(wanted) if q.strip()]
     search = Contained([phrases.skeleton(wanted[i]) for i in known])
     patterns = [phrases.pattern(wanted[i], whole_words) for i in known]
+    # A phrase that stands in the text as it is needs no pattern, unless the letters around it must be judged.
+    plain = [None if whole_words else re.sub(r"\s+", " ", wanted[i].strip()) for i in known]
 
     def find(t: str) -> list[int]:
         t = phrases.search_text(t)
-        return [known[k] for k in search.find(phrases.skeleton(t)) if patterns[k].search(t)]
+        maybe = search.find(phrases.skeleton(t))
+        flat = phrases.spaced(t) if maybe else ""
+        return [known[k] for k in maybe if (plain[k] and plain[k] in flat) or patterns[k].search(t)]
 
     return find
 
@@ -51,14 +60,12 @@ def quote_hits(quotes: DataFrame, pages: DataFrame, mode: str = "exact", whole_w
     """(quote_id, page_id) where a page holds a quote: exact (as written), relaxed (phrases.relaxed), phrase (word pattern)
     or placed (wherever locate.place has a place for it; then with its columns start, end, ambiguous).
 
-    The quotes are a stated query set. They go to the pages in blocks, by one path at any number of them; each row of quotes that
+    The quotes are a stated query set. They go to the pages in blocks, by one path at any number of them, and equal texts of a block are looked for once; each row of quotes that
     meets a row of pages is one row, so repeated rows stay. whole_words: a phrase may not begin or end inside a longer word.
     transcripts: the pages are hearing transcripts; printed line numbers are taken out before the search, and places count from the text without them.
     """
     q = quotes.select("quote_id", F.col("text").alias("q")).where("trim(q) <> ''")
     p = pages.select("page_id", F.col("text").alias("t")).where("t is not null")
-    if transcripts:
-        p = p.select("page_id", gutters.projection(F.col("t"))["text"].alias("t"))
     out = quotes.sparkSession.createDataFrame([], q.select("quote_id").schema).join(p.select("page_id").limit(0))
     if mode == "placed":
         out = out.selectExpr("quote_id", "page_id", "int(null) as start", "int(null) as `end`", "boolean(null) as ambiguous")
@@ -67,17 +74,36 @@ def quote_hits(quotes: DataFrame, pages: DataFrame, mode: str = "exact", whole_w
         shared = quotes.sparkSession.sparkContext.broadcast(block)
 
         def run(batches, shared=shared):
-            ids, wanted = [x for x, _ in shared.value], [x for _, x in shared.value]
+            of_text = defaultdict(list)  # quotes of one text are looked for once and written out one by one
+            for x, q in shared.value:
+                of_text[q].append(x)
+            wanted, ids = list(of_text), [pa.array(x, kind) for x in of_text.values()]
             find = finder(wanted, mode, whole_words)
-            for batch in batches:
-                texts = batch.column(1).to_pylist()
-                found = [(i, k) for i, t in enumerate(texts) for k in find(t)]
-                cols = {"quote_id": pa.array([ids[k] for _, k in found], kind), "page_id": batch.column(0).take(pa.array([i for i, _ in found], pa.int64()))}
+
+            def rows(batch, texts, found):
+                cols = {
+                    "quote_id": pa.concat_arrays([ids[k] for _, k in found]) if found else pa.array([], kind),
+                    "page_id": batch.column(0).take(pa.array(np.repeat([i for i, _ in found], [len(ids[k]) for _, k in found]).astype("int64"))),
+                }
                 if mode == "placed":
-                    places = [locate.place(wanted[k], texts[i]) for i, k in found]
+                    places = [p for i, k in found for p in [locate.place(wanted[k], texts[i])] * len(ids[k])]
                     for name, c, x in zip(("start", "end", "ambiguous"), range(3), (pa.int32(), pa.int32(), pa.bool_())):
                         cols[name] = pa.array([p[c] for p in places], x)
-                yield pa.RecordBatch.from_pydict(cols)
+                return pa.RecordBatch.from_pydict(cols)
+
+            for batch in batches:
+                texts = batch.column(1).to_pylist()
+                if transcripts:
+                    texts = [gutters.text_of(t) for t in texts]
+                found, n = [], 0
+                for i, t in enumerate(texts):
+                    for k in find(t):
+                        found.append((i, k))
+                        n += len(ids[k])
+                    if n >= ROWS:
+                        yield rows(batch, texts, found)
+                        found, n = [], 0
+                yield rows(batch, texts, found)
 
         out = out.unionAll(p.mapInArrow(run, out.schema))
     return out

@@ -118,3 +118,22 @@ def test_quotations_are_placed_where_normal_text_holds_them(spark, tmp_path):
     assert [x[:2] for x in want] == [(0, 0), (0, 3), (1, 1), (2, 2), (5, 4), (5, 5)]
     best = sorted(tuple(r) for r in records.quote_best_page(spark, str(tmp_path)).collect())
     assert best == [(0, 0, True), (1, 1, True), (2, 2, True), (3, None, False), (4, None, False), (5, 5, True), (6, None, False)]
+
+
+def test_phrases_that_stand_as_they_are_need_no_pattern(monkeypatch):
+    class Never:
+        def search(self, t):
+            raise AssertionError("a pattern was tried")
+
+    monkeypatch.setattr(phrases, "pattern", lambda *_: Never())
+    find = search.finder(["one  two", "so forth"], "phrase", False)
+    assert find("zero one \n two, and so\n\nforth") == [0, 1] and find("nothing") == []
+
+
+def test_equal_quotations_give_a_row_each(spark, monkeypatch):
+    monkeypatch.setattr(search, "ROWS", 2)
+    quotes, pages = [(i, "so forth" if i % 2 else "and so") for i in range(9)], [(k, "and so forth") for k in range(4)]
+    for mode in ("exact", "phrase"):
+        assert hits(spark, quotes, pages, mode, False) == sorted((i, k) for i in range(9) for k in range(4))
+    placed = [r[:2] for r in hits(spark, quotes, pages, "placed")]
+    assert placed == sorted((i, k) for i in range(9) for k in range(4))
