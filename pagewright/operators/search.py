@@ -7,7 +7,7 @@ from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
@@ -119,13 +119,17 @@ def best_page(hits: DataFrame, reported: DataFrame) -> DataFrame:
 def repeated_shingles(rows: DataFrame, item: str, ordinal: str, text: str, words: int = 15) -> DataFrame:
     """(item, n_repeated): words-word shingles of an item that an earlier item (by ordinal) already has; own repeats don't count.
 
-    A shingle is told apart by two 64-bit hashes over the hashes of its words, which are hashed once; no shingle is written out. Each item
-    sends each of its shingles once; what comes back to an item is a count. Hot shingles combine map-side and are joined as skewed keys.
+    A shingle is told apart by two 64-bit hashes over the hashes of its words, which are hashed once; no shingle is written out. All
+    shingles are shuffled once; one pass in the order of items tells which item has each first and passes over own repeats. What comes
+    back to an item is a count.
     """
     w = F.filter(F.split(F.lower(F.col(text)), r"[^\p{L}\p{N}]+"), lambda x: x != "")
     lists = rows.select(item, ordinal, F.transform(w, lambda x: F.xxhash64(x)).alias("w")).where(F.size("w") >= words)
     shingle = lambda i: F.slice("w", i, words)
-    each = lists.select(item, ordinal, F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - words + 1), lambda i: F.struct(F.xxhash64(shingle(i)).alias("s"), F.xxhash64(shingle(i), F.lit(words)).alias("s2")))).alias("k"))
-    each = each.select(item, ordinal, "k.s", "k.s2").distinct()
-    owner = each.groupBy("s", "s2").agg(F.min(ordinal).alias("first"), F.max(ordinal).alias("last")).where("first < last")
-    return each.join(owner, ["s", "s2"]).where(F.col("first") < F.col(ordinal)).groupBy(item).agg(F.count("*").alias("n_repeated"))
+    own = F.transform(F.sequence(F.lit(1), F.size("w") - words + 1), lambda i: F.struct(F.xxhash64(shingle(i)).alias("s"), F.xxhash64(shingle(i), F.lit(words)).alias("s2")))
+    each = lists.select(F.col(item).alias("__item"), F.col(ordinal).alias("__at"), F.explode(own).alias("k")).select("__item", "__at", "k.s", "k.s2")
+    in_order = Window.partitionBy("s", "s2").orderBy("__at", "__item")
+    again = F.lag("__at").over(in_order).eqNullSafe(F.col("__at")) & F.lag("__item").over(in_order).eqNullSafe(F.col("__item"))
+    first = F.min("__at").over(in_order.rowsBetween(Window.unboundedPreceding, 0))
+    seen = each.select("__item", "__at", first.alias("first"), again.alias("again")).where((F.col("first") < F.col("__at")) & ~F.col("again"))
+    return seen.groupBy(F.col("__item").alias(item)).agg(F.count("*").alias("n_repeated"))

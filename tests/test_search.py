@@ -137,3 +137,12 @@ def test_equal_quotations_give_a_row_each(spark, monkeypatch):
         assert hits(spark, quotes, pages, mode, False) == sorted((i, k) for i in range(9) for k in range(4))
     placed = [r[:2] for r in hits(spark, quotes, pages, "placed")]
     assert placed == sorted((i, k) for i in range(9) for k in range(4))
+
+
+def test_shingles_are_shuffled_once_and_own_repeats_do_not_count(spark):
+    texts = [(1, 5, "a b c d e"), (1, 5, "a b c d e"), (2, 6, "x b c d b c d"), (2, 6, "b c d"), (3, 7, None), (4, None, "a b c"), (5, 8, "c d e, C D E. b c d"), (6, 9, "a b")]
+    rows = spark.createDataFrame(texts, "item int, at int, text string")
+    found = search.repeated_shingles(rows, "item", "at", "text", 3)
+    assert sorted(tuple(r) for r in found.collect()) == [(2, 1), (5, 2)]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2  # shingles, and counts by item
