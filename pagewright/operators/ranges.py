@@ -77,19 +77,25 @@ def motion_boundaries(pages: DataFrame) -> DataFrame:
 
 
 def all_documents(pages: DataFrame) -> DataFrame:
-    """(case_id, kind, start_page, end_page) of pages (case_id, page, page_type, named): named reports and motions, all minute orders and
-    hearings, named forms. An unnamed first page still ends the range before it."""
-    named = pages.where("named").select("case_id", F.col("page").alias("start_page"))
-    forms = pages.where("page_type = 'form_first'").select("case_id", F.col("page").alias("start_page"), F.col("page").alias("end_page"))
-    kinds = {
-        "report": report_ranges(pages).where("start_detected").join(named, ["case_id", "start_page"], "left_semi"), "motion": motion_boundaries(pages),
-        "minute_order": started_ranges(pages), "hearing": started_ranges(pages, "hearing_start", "hearing_body"), "form": forms.join(named, ["case_id", "start_page"], "left_semi"),
-    }
-    out = None
-    for kind, found in kinds.items():
-        part = found.select("case_id", F.lit(kind).alias("kind"), "start_page", "end_page")
-        out = part if out is None else out.unionByName(part)
-    return out
+    """(case_id, kind, start_page, end_page) of pages (case_id, page, page_type, named), one row a page: named reports and motions, all minute
+    orders and hearings, named forms. An unnamed first page still ends the range before it.
+
+    What report_ranges and started_ranges give for each kind, in one pass over the pages of a case: a page belongs to one kind.
+    """
+    first = {"report": "report_first", "motion": "motion_first", "minute_order": "minute_start", "hearing": "hearing_start", "form": "form_first"}
+    body = {"report": "report", "motion": "motion", "minute_order": "minute_body", "hearing": "hearing_body"}
+    kinds = [F.when(F.col("page_type").isin(t, *([body[k]] if k in body else [])), k) for k, t in first.items()]
+    rows = pages.select("case_id", "page", F.coalesce(*kinds).alias("kind"), F.col("page_type").isin(*first.values()).alias("first"), F.coalesce("named", F.lit(False)).alias("named"))
+    rows = rows.where("kind is not null and page is not null and (kind = 'form' or page > 0)")
+    w = Window.partitionBy("case_id", "kind").orderBy("page")
+    gap = F.coalesce(F.col("page") != F.lag("page").over(w) + 1, F.lit(True))
+    rows = rows.withColumn("opens", F.col("first") | gap)
+    rows = rows.withColumn("r", F.sum(F.col("opens").cast("int")).over(w))
+    found = rows.groupBy("case_id", "kind", "r").agg(
+        F.min("page").alias("start_page"), F.max("page").alias("end_page"), F.bool_or("first").alias("detected"), F.bool_or(F.col("first") & F.col("named")).alias("named")
+    )
+    found = found.where("detected and (named or kind in ('minute_order', 'hearing'))")
+    return found.select("case_id", "kind", "start_page", "end_page")
 
 
 def same_date_starts(starts: DataFrame) -> DataFrame:

@@ -75,3 +75,25 @@ def test_categories_and_freshness(spark):
     a = spark.createDataFrame([(1, "x"), (2, "y"), (3, "z")], "item_id int, fingerprint string")
     b = spark.createDataFrame([(1, "x"), (2, "q"), (4, "z")], "item_id int, fingerprint string")
     assert got(reconcile.freshness(a, b), "item_id", "status") == [(1, "current"), (2, "stale"), (3, "missing"), (4, "orphan")]
+
+
+def test_all_documents_take_one_pass_and_equal_the_ranges_of_each_kind(spark):
+    import random
+
+    from pagewright.operators import ranges
+
+    r = random.Random(5)
+    types = ["report_first", "report", "motion_first", "motion", "minute_start", "minute_body", "hearing_start", "hearing_body", "form_first", "other"]
+    made = [(c, p, r.choice(types[(c % 5) * 2 :][:3] or types), r.choice([True, False, None])) for c in range(60) for p in range(0, 40) if r.random() < 0.9]
+    pages = spark.createDataFrame(made, "case_id int, page int, page_type string, named boolean")
+    named = pages.where("named").selectExpr("case_id", "page as start_page")
+    parts = {
+        "report": ranges.report_ranges(pages).where("start_detected").join(named, ["case_id", "start_page"], "left_semi"), "motion": ranges.motion_boundaries(pages),
+        "minute_order": ranges.started_ranges(pages), "hearing": ranges.started_ranges(pages, "hearing_start", "hearing_body"),
+        "form": named.join(pages.where("page_type = 'form_first'"), ["case_id"]).where("page = start_page").selectExpr("case_id", "start_page", "page as end_page"),
+    }
+    want = sorted((x.case_id, k, x.start_page, x.end_page) for k, d in parts.items() for x in d.collect())
+    found = ranges.all_documents(pages)
+    assert sorted(tuple(x) for x in found.collect()) == want and len({k for _, k, _, _ in want}) == 5
+    plan = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    assert plan.count("Exchange hashpartitioning") <= 2 and "Join" not in plan

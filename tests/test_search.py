@@ -144,5 +144,5 @@ def test_shingles_are_shuffled_once_and_own_repeats_do_not_count(spark):
     rows = spark.createDataFrame(texts, "item int, at int, text string")
     found = search.repeated_shingles(rows, "item", "at", "text", 3)
     assert sorted(tuple(r) for r in found.collect()) == [(2, 1), (5, 2)]
-    plan = found._jdf.queryExecution().executedPlan().toString()
+    plan = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
     assert plan.count("Exchange hashpartitioning") == 2  # shingles, and counts by item
