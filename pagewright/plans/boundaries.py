@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pagewright.functions import text
 from pagewright.operators import boundaries, digests, ranges
+from pagewright.operators.stages import written_once
 from pagewright.plans import registry
 from pagewright.sources.tables import classified_pages, expected_pages, read
 
@@ -130,7 +131,8 @@ def boundary_retention(spark: SparkSession, sf_dir: str) -> DataFrame:
     case when ordinal is null then 'orphan' when i.start_page <= b then 'overlap' when n is null then 'unmatched' when n > 1 then 'repeated' end as issue from items i full join people p on p.case_id = i.case_id and p.start_page = i.start_page and p.end_page = i.end_page""")
 def hearing_work_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hearings with the participant records of just their pages; some records are missing, repeated or belong to no hearing."""
-    found = ranges.started_ranges(record_pages(spark, sf_dir), "hearing_start", "hearing_body").select("case_id", "start_page", "end_page")
+    # The ranges are used four times: written once, they are not made again in the task that joins them.
+    found = written_once(ranges.started_ranges(record_pages(spark, sf_dir), "hearing_start", "hearing_body").select("case_id", "start_page", "end_page"))
     odd = found.where("start_page = 2").withColumn("end_page", F.col("end_page") + 50)
     people = found.where("start_page % 3 > 0").unionAll(found.where("start_page % 3 = 1")).unionAll(odd)
     return boundaries.work_items(found, people.withColumn("n_people", (F.col("start_page") + 1).cast("int")))

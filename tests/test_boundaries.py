@@ -103,3 +103,10 @@ def test_second_names_and_omission_messages(spark):
     omitted = spark.createDataFrame([(1, 4, 4), (1, 2, 3), (1, 9, 12)], "case_id long, start_page int, end_page int")
     got = sorted((r.nth, r.message) for r in boundaries.omission_messages(omitted, 2).collect())
     assert [n for n, _ in got] == [0, 1, 2] and got[0][1].startswith("3 minute candidates omitted: minute_date_unresolved. ") and got[1][1] == "Omitted minute source-page ranges: 0002-0003, 0004."
+
+
+def test_hearing_ranges_are_made_once_for_their_work_items(spark):
+    from pagewright.plans import boundaries as plans
+
+    found = plans.hearing_work_items(spark, "/root/testdata/sf0.001")
+    assert found.count() > 0 and "l_shipdate" not in found._jdf.queryExecution().optimizedPlan().toString()
