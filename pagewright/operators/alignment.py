@@ -10,6 +10,8 @@ takes the line of the content before it, or 0; page numbers of a document should
 
 from __future__ import annotations
 
+from os.path import commonprefix
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -17,10 +19,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagewright.functions import printable
+from pagewright.operators.stages import written_once
 
-CELL = 512  # places of content; a piece of a line never crosses a cell
+CELL = 2048  # places of content; a piece of a line never crosses a cell
 BLOCK = 256  # pages whose places are summed at once
-ROWS = 4096
+ROWS, BYTES = 4096, 1 << 20  # of a batch that a Python worker gives back
 
 
 def running(rows: DataFrame, key: str, order: str, value: str, out: str) -> DataFrame:
@@ -33,60 +36,60 @@ def running(rows: DataFrame, key: str, order: str, value: str, out: str) -> Data
     return rows.withColumn(out, inside).join(before, [key, "__block"]).withColumn(out, (F.col(out) + F.col("__before")).cast("long")).drop("__block", "__before")
 
 
-def pieces(sources: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, line, start, piece): the content of each printable line, cut at the cells; start is its place in the document's content."""
+def batches_of(rows, kinds: dict):
+    """Arrow batches of at most ROWS tuples and about BYTES of their texts."""
+    held, size = [], 0
+    out = lambda: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), kinds.values())], names=[*kinds])
+    for row in rows:
+        held.append(row)
+        size += sum(len(x) for x in row if isinstance(x, str))
+        if len(held) >= ROWS or size >= BYTES:
+            yield out()
+            held, size = [], 0
+    if held:
+        yield out()
 
-    def run(batches):
-        def out(rows):
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.int64(), pa.string()))], names=[key, "line", "start", "piece"])
 
-        for batch in batches:
-            rows = []
-            for k, t in zip(batch.column(0).to_pylist(), batch.column(1)):
-                at = 0
-                for n, shown, _ in printable.shown_lines(t.as_py() or ""):
-                    held = printable.content(shown)
-                    lo = 0
-                    while lo < len(held):
-                        hi = min(len(held), lo + CELL - at % CELL)
-                        rows.append((k, n, at, held[lo:hi]))
-                        at += hi - lo
-                        lo = hi
-                    if len(rows) >= ROWS:
-                        yield out(rows)
-                        rows = []
-            if rows:
-                yield out(rows)
-
-    return sources.select(F.col(key).cast("long").alias(key), F.col(text).alias("t")).mapInArrow(run, f"{key} long, line int, start long, piece string")
-
-
-def quotations(sources: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, line, quote, start, end, phrase): places of each recognised quotation in the document's content."""
+def parts(sources: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, cell, start, end, line, piece, quote, phrase): what the documents' content holds, each line read once.
+
+    Rows with a piece are the content of each printable line, cut at the cells; rows with a quote are the places of each recognised
+    quotation, one row for each cell that it meets. start and end are places in the document's content.
+    """
+    kinds = {key: pa.int64(), "cell": pa.int64(), "start": pa.int64(), "end": pa.int64(), "line": pa.int32(), "piece": pa.string(), "quote": pa.int32(), "phrase": pa.string()}
+
+    def rows(batch):
+        for k, t in zip(batch.column(0).to_pylist(), batch.column(1)):
+            at = quote = 0
+            for n, shown, quotes in printable.shown_lines(t.as_py() or ""):
+                read, place = 0, at
+                for s, e, phrase in quotes:
+                    first = place + len(printable.content(shown[read:s]))
+                    read, place = e, first + len(printable.content(shown[s:e]))
+                    for cell in range(first // CELL, (place - 1) // CELL + 1):
+                        yield k, cell, first, place, n, None, quote, phrase
+                    quote += 1
+                held, lo = printable.content(shown), 0
+                while lo < len(held):
+                    hi = min(len(held), lo + CELL - at % CELL)
+                    yield k, at // CELL, at, at + hi - lo, n, held[lo:hi], None, None
+                    at += hi - lo
+                    lo = hi
 
     def run(batches):
         for batch in batches:
-            rows = []
-            for k, t in zip(batch.column(0).to_pylist(), batch.column(1)):
-                at = quote = 0
-                for n, shown, quotes in printable.shown_lines(t.as_py() or ""):
-                    for s, e, phrase in quotes:
-                        first = at + len(printable.content(shown[:s]))
-                        rows.append((k, n, quote, first, first + len(printable.content(shown[s:e])), phrase))
-                        quote += 1
-                    at += len(printable.content(shown))
-            if rows:
-                kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.string())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=[key, "line", "quote", "start", "end", "phrase"])
-
-    schema = f"{key} long, line int, quote int, start long, end long, phrase string"
-    return sources.select(F.col(key).cast("long").alias(key), F.col(text).alias("t")).mapInArrow(run, schema)
+            yield from batches_of(rows(batch), kinds)
+
+    return sources.select(F.col(key).cast("long").alias(key), F.col(text).alias("t")).mapInArrow(run, f"{key} long, cell long, start long, end long, line int, piece string, quote int, phrase string")
 
 
 def placed_pages(pages: DataFrame, key: str, page: str, text: str) -> DataFrame:
-    """(key, page, first, after): each page's place in the content of its document. Texts stay behind: only their sizes are shuffled."""
+    """(key, page, first, after): each page's place in the content of its document. Texts stay behind: only their sizes are shuffled.
+
+    Sizes are taken when this is called and written once, as they are summed by block and within it, and the places are used twice.
+    """
     n = F.length(printable.content_of(F.coalesce(F.col(text), F.lit("")))).cast("long")
-    rows = pages.select(F.col(key).cast("long").alias(key), F.col(page).cast("long").alias(page), n.alias("n"))
+    rows = written_once(pages.select(F.col(key).cast("long").alias(key), F.col(page).cast("long").alias(page), n.alias("n")))
     return running(rows, key, page, "n", "first").withColumn("after", F.col("first") + F.col("n")).drop("n")
 
 
@@ -94,51 +97,56 @@ def cells(first: Column, after: Column) -> Column:
     return F.explode(F.sequence(F.floor(first / CELL), F.floor((F.greatest(after, first + 1) - 1) / CELL)))
 
 
-def lines_of_pages(found: DataFrame, at: DataFrame, key: str, page: str) -> DataFrame:
-    """(key, page, shown): for each page the (start, end, line, piece) of what it shows of each line, in order."""
+def parts_of_pages(found: DataFrame, at: DataFrame, key: str, page: str) -> DataFrame:
+    """(key, page, shown, quotes): for each page the (start, end, line, piece) of what it shows of each line, in order, and its quotations."""
     # A page without content looks at the place before it.
     look = F.when(F.col("after") > F.col("first"), F.col("first")).otherwise(F.greatest(F.col("first") - 1, F.lit(0)))
-    narrow = at.select(key, page, look.alias("look"), F.col("after").alias("until"))  # without content, after is first
-    narrow = narrow.where("until > 0").withColumn("cell", cells(F.col("look"), F.col("until")))
-    end = F.col("start") + F.length("piece")
-    rows = found.withColumn("cell", F.floor(F.col("start") / CELL)).withColumn("end", end).join(narrow, [key, "cell"])
-    rows = rows.where("start < until and look < `end`")
-    s, e = F.greatest("start", "look"), F.least("end", "until")
+    narrow = at.where("after > 0").select(key, page, "first", "after", look.alias("look"))  # without content, after is first
+    narrow = narrow.withColumn("cell", cells(F.col("look"), F.col("after")))
+    counted = F.col("piece").isNotNull() | ((F.col("after") > F.col("first")) & (F.col("cell") == F.floor(F.greatest("start", "first") / CELL)))
+    rows = found.join(narrow, [key, "cell"]).where(F.expr("start < after and look < `end`") & counted)
+    s, e = F.greatest("start", "look"), F.least("end", "after")
     shown = F.struct(s.alias("start"), e.alias("end"), "line", F.substr("piece", (s - F.col("start") + 1).cast("int"), (e - s).cast("int")).alias("piece"))
-    return rows.groupBy(key, page).agg(F.sort_array(F.collect_list(shown)).alias("shown"))
+    quote = F.struct("quote", "start", "end", "phrase")
+    return rows.groupBy(key, page).agg(
+        F.sort_array(F.collect_list(F.when(F.col("piece").isNotNull(), shown))).alias("shown"), F.sort_array(F.collect_list(F.when(F.col("piece").isNull(), quote))).alias("quotes")
+    )
 
 
-def page_view(text: Column, first: Column, shown: Column, quotes: Column) -> Column:
-    """breaks (start, end, mark), restored and spans (start, end, label, phrase) of each page.
+def page_view(text: Column, first: Column, source: Column, shown: Column, quotes: Column) -> Column:
+    """equal, alike, breaks (start, end, mark), restored and spans (start, end, label, phrase) of each page.
 
-    breaks: what of the page's text stands between two lines of the source and the line ends that replace it in restored.
+    equal: the content of the page's text is source, else alike characters of both are the same at the beginning; breaks: what of the page's text
+    stands between two lines of the source and the line ends that replace it in restored.
     """
     from pyspark.sql.functions import pandas_udf
 
-    @pandas_udf("breaks array<struct<start:int,end:int,mark:string>>, restored string, spans array<struct<start:int,end:int,label:string,phrase:string>>")
-    def run(texts: pd.Series, firsts: pd.Series, shown: pd.Series, quotes: pd.Series) -> pd.DataFrame:
+    @pandas_udf("equal boolean, alike long, breaks array<struct<start:int,end:int,mark:string>>, restored string, spans array<struct<start:int,end:int,label:string,phrase:string>>")
+    def run(texts: pd.Series, firsts: pd.Series, sources: pd.Series, starts: pd.Series, lines: pd.Series, froms: pd.Series, tos: pd.Series, phrases: pd.Series) -> pd.DataFrame:
         out = []
-        for t, c, lines, held in zip(texts, firsts, shown, quotes):
-            sizes = [len(printable.CONTENT[ord(x)]) for x in t]
-            raw = np.repeat(np.arange(len(t)), sizes)  # where each character of the content comes from
+        for t, c, source, begin, line, lo_of, hi_of, said in zip(texts, firsts, sources, starts, lines, froms, tos, phrases):
+            held = printable.content(t)
+            equal = held == source
+            raw = np.repeat(np.arange(len(t)), printable.content_sizes(t))  # where each character of the content comes from
             breaks, parts, done = [], [], 0
-            for a, b in zip(lines, lines[1:]) if lines is not None else ():
-                k = b["start"] - c
-                if b["line"] != a["line"] and 0 < k < len(raw) and raw[k - 1] + 1 <= raw[k]:
-                    start, end, mark = int(raw[k - 1]) + 1, int(raw[k]), "\n" if b["line"] == a["line"] + 1 else "\n\n"
-                    breaks.append((start, end, mark))
-                    parts += [t[done:start], mark]
-                    done = end
+            if begin is not None and len(begin) > 1:
+                for k, a, b in zip((begin[1:] - c).tolist(), line[:-1].tolist(), line[1:].tolist()):
+                    if b != a and 0 < k < len(raw) and raw[k - 1] + 1 <= raw[k]:
+                        start, end, mark = int(raw[k - 1]) + 1, int(raw[k]), "\n" if b == a + 1 else "\n\n"
+                        breaks.append((start, end, mark))
+                        parts += [t[done:start], mark]
+                        done = end
             spans = []
-            for q in held if held is not None else ():
-                lo, hi = max(q["start"] - c, 0), min(q["end"] - c, len(raw))
+            for q, (a, b) in enumerate(zip(lo_of, hi_of) if lo_of is not None else ()):
+                lo, hi = max(a - c, 0), min(b - c, len(raw))
                 if lo < hi:
                     start, end = int(raw[lo]), int(raw[hi - 1]) + 1
-                    spans.append((start, end, t[start:end], q["phrase"]))
-            out.append((breaks, "".join([*parts, t[done:]]), spans))
-        return pd.DataFrame(out, columns=["breaks", "restored", "spans"])
+                    spans.append((start, end, t[start:end], said[q]))
+            out.append((equal, None if equal else len(commonprefix([held, source])), breaks, "".join([*parts, t[done:]]), spans))
+        return pd.DataFrame(out, columns=["equal", "alike", "breaks", "restored", "spans"]).astype({"alike": "Int64"})
 
-    return run(text, first, shown, quotes)
+    field = lambda c, f: F.transform(c, lambda x: x[f])
+    return run(text, first, source, field(shown, "start"), field(shown, "line"), field(quotes, "start"), field(quotes, "end"), field(quotes, "phrase"))
 
 
 def rebased(offset: Column, breaks: Column) -> Column:
@@ -154,28 +162,15 @@ def align(sources: DataFrame, pages: DataFrame, key: str = "doc_id", page: str =
     equal: the page shows what its place in the source holds; differs_at: the first place of the document's content at which it doesn't.
     """
     at = placed_pages(pages, key, page, page_text)
-    shown = lines_of_pages(pieces(sources, key, text), at, key, page)
-    q = quotations(sources, key, text).withColumnRenamed("end", "q_end").withColumnRenamed("start", "q_start").withColumn("cell", cells(F.col("q_start"), F.col("q_end")))
-    narrow = at.where("after > first").select(key, page, "first", "after").withColumn("cell", cells(F.col("first"), F.col("after")))
-    q = q.join(narrow, [key, "cell"]).where("q_start < after and first < q_end").where(f"cell = floor(greatest(q_start, first) / {CELL})")
-    q = q.groupBy(key, page).agg(F.sort_array(F.collect_list(F.struct("quote", F.col("q_start").alias("start"), F.col("q_end").alias("end"), "phrase"))).alias("quotes"))
+    found = parts_of_pages(parts(sources, key, text), at, key, page)
     texts = pages.select(F.col(key).cast("long").alias(key), F.col(page).cast("long").alias(page), F.coalesce(F.col(page_text), F.lit("")).alias("text"))
-    rows = at.join(shown, [key, page], "left").join(q, [key, page], "left").join(texts, [key, page]).withColumn("content", printable.content_of(F.col("text")))
-    rows = rows.withColumn("source", F.when(F.col("after") > F.col("first"), F.coalesce(F.array_join("shown.piece", ""), F.lit(""))).otherwise(""))
-    rows = rows.withColumn("equal", F.col("source") == F.col("content"))
-    return rows.select(
-        key, page,
-        F.coalesce(F.get("shown", F.lit(0))["line"], F.lit(0)).alias("first_line"), F.coalesce(F.element_at("shown", -1)["line"], F.lit(0)).alias("last_line"),
-        "equal", F.when(~F.col("equal"), F.col("first") + common_prefix(F.col("source"), F.col("content"))).alias("differs_at"),
-        page_view(F.col("text"), F.col("first"), F.transform("shown", lambda x: F.struct(x["start"].alias("start"), x["line"].alias("line"))), F.col("quotes")).alias("view"),
-    ).select(key, page, "first_line", "last_line", "equal", "differs_at", "view.restored", "view.breaks", "view.spans")
-
-
-def common_prefix(a: Column, b: Column) -> Column:
-    """Characters that two texts begin with alike."""
-    same = F.zip_with(F.split(a, ""), F.split(b, ""), lambda x, y: x.eqNullSafe(y))
-    first = F.array_position(same, F.lit(False))
-    return F.when(first > 0, first - 1).otherwise(F.least(F.length(a), F.length(b)).cast("long"))
+    rows = at.join(found, [key, page], "left").join(texts, [key, page])
+    source = F.when(F.col("after") > F.col("first"), F.coalesce(F.array_join("shown.piece", ""), F.lit(""))).otherwise("")
+    rows = rows.select(
+        key, page, "first", F.coalesce(F.get("shown", F.lit(0))["line"], F.lit(0)).alias("first_line"), F.coalesce(F.try_element_at("shown", F.lit(-1))["line"], F.lit(0)).alias("last_line"),
+        page_view(F.col("text"), F.col("first"), source, F.col("shown"), F.col("quotes")).alias("view"),
+    )
+    return rows.select(key, page, "first_line", "last_line", "view.equal", (F.col("first") + F.col("view.alike")).alias("differs_at"), "view.restored", "view.breaks", "view.spans")
 
 
 def issues(sources: DataFrame, pages: DataFrame, aligned: DataFrame, key: str = "doc_id", page: str = "page_no", text: str = "text", page_text: str = "text") -> DataFrame:
@@ -184,7 +179,7 @@ def issues(sources: DataFrame, pages: DataFrame, aligned: DataFrame, key: str =
     count: source and pages have different amounts of content (place: the difference); content: a page shows something else (its first place);
     no_source: pages of a document that isn't there; repeated: a page number that several pages have (place: how many).
     """
-    have = pieces(sources, key, text).groupBy(key).agg(F.sum(F.length("piece")).alias("held"))
+    have = parts(sources, key, text).groupBy(key).agg(F.sum(F.length("piece")).alias("held"))
     have = sources.select(F.col(key).cast("long").alias(key)).distinct().join(have, key, "left").withColumn("known", F.lit(True))
     show = pages.groupBy(F.col(key).cast("long").alias(key)).agg(F.sum(F.length(printable.content_of(F.coalesce(F.col(page_text), F.lit(""))))).alias("printed"))
     both = have.join(show, key, "full")

@@ -104,3 +104,26 @@ def test_a_long_text_in_pieces(spark):
         first = body[: k].count("line ") if body[k - 1 : k] == " " or not k else None
         lines.append(first)
     assert got[0] and got[2] == 100_000 and got[3] == len(lines)
+
+
+def test_each_source_is_read_once(spark):
+    sources = spark.createDataFrame([(1, 'a "b" c')], "doc_id long, text string")
+    pages = spark.createDataFrame([(1, 1, "a b c")], "doc_id long, page_no long, text string")
+    plan = alignment.align(sources, pages)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+
+
+def test_content_and_its_sizes_by_character():
+    r = random.Random(3)
+    for alphabet in ("ab \t", "é東 x　", "ﬁ½­\u0000 a", "ﷺ\U0001d400\x1f b", ""):
+        text = "".join(r.choices(alphabet, k=200)) if alphabet else ""
+        assert printable.content(text) == "".join(c for c, _ in coverage(text))
+        assert printable.content_sizes(text).tolist() == [len(coverage(c)) for c in text]
+
+
+def test_a_quotation_over_many_cells_is_told_once_a_page(spark, monkeypatch):
+    monkeypatch.setattr(alignment, "CELL", 4)
+    sources = spark.createDataFrame([(1, '"abcdefghijklmnopqrstuvwxyz"')], "doc_id long, text string")
+    pages = spark.createDataFrame([(1, 1, "abcdefghijk"), (1, 2, "lmnopqrstuvwxyz")], "doc_id long, page_no long, text string")
+    got = sorted((x.page_no, [(s.start, s.end) for s in x.spans]) for x in alignment.align(sources, pages).collect())
+    assert got == [(1, [(0, 11)]), (2, [(0, 15)])]
