@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagewright.operators import alignment, contents
+from pagewright.operators.stages import written_once
 from pagewright.sources.tables import classified_pages, read
 
 QUERIES: dict = {}
@@ -90,7 +91,7 @@ def edition_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 def edition_quote_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quotation spans by the alignment against declared ones, of which the first of each page was left out, shifted or joined by one too many."""
     sources, pages = printed(spark, sf_dir)
-    spans = alignment.align(sources, pages).select("doc_id", "page_no", F.posexplode("spans").alias("nth", "s")).select("doc_id", "page_no", "nth", "s.*")
+    spans = written_once(alignment.align(sources, pages).select("doc_id", "page_no", F.posexplode("spans").alias("nth", "s")).select("doc_id", "page_no", "nth", "s.*"))
     kind = (F.col("doc_id") + F.col("page_no")) % 3
     moved = F.when((F.col("nth") == 0) & (kind == 1), 1).otherwise(0)
     kept = spans.where(~((F.col("nth") == 0) & (kind == 0)))
