@@ -15,6 +15,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pagewright.operators.stages import written_once
+
 # Words, marks and patterns of the stored form.
 KINDS = {"hearings": "hearing", "reports": "report", "motions": "motion"}
 NOTHING = "No material content."
@@ -305,9 +307,13 @@ def blocks(form: Form, texts: DataFrame) -> DataFrame:
 
 
 def issues(parts: DataFrame) -> DataFrame:
-    """(doc_id, block, rule) of blocks; rule duplicate_item, at the first of them, for an item that a document has twice."""
+    """(doc_id, block, rule) of blocks; rule duplicate_item, at the first of them, for an item that a document has twice.
+
+    The ids and issues of parts are written once when this is called, as parts is costly to read twice.
+    """
+    parts = written_once(parts.select("doc_id", "block", F.when(F.col("block") > 0, F.col("row.item_id")).alias("item_id"), "issues"))
     each = parts.select("doc_id", "block", F.explode("issues").alias("rule"))
-    items = parts.where("block > 0 and row.item_id <> ''").groupBy("doc_id", F.col("row.item_id").alias("item_id")).agg(F.count("*").alias("n"), F.min("block").alias("block"))
+    items = parts.where("item_id <> ''").groupBy("doc_id", "item_id").agg(F.count("*").alias("n"), F.min("block").alias("block"))
     return each.unionByName(items.where("n > 1").select("doc_id", "block", F.lit("duplicate_item").alias("rule")))
 
 

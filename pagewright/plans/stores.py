@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pagewright.operators import digest_store as store
 from pagewright.operators import minutes
+from pagewright.operators.stages import written_once
 from pagewright.sources.tables import read
 
 QUERIES: dict = {}
@@ -77,7 +78,7 @@ def as_read(rows: DataFrame) -> DataFrame:
 def digest_store_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All turns written as stored digests of three versions and read back."""
     docs, rows = stored(spark, sf_dir)
-    return as_read(store.rows_of(store.blocks(FORM, store.written(FORM, docs, rows))))
+    return as_read(store.rows_of(store.blocks(FORM, written_once(store.written(FORM, docs, rows)))))
 
 
 @query(f"""with {TURNS}, k as (select *, conv_id % 8 as k from t), c as (select distinct conv_id, k, n from k)
@@ -92,6 +93,7 @@ def digest_store_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     spoilt = spoilt.when(k == 4, F.regexp_replace(text, r'"input_sha256": "\w+"', '"input_sha256": ""')).when(k == 6, F.replace(text, F.lit("\n### Rest (rest)\n"), F.lit("\n### Rest (more)\n")))
     spoilt = spoilt.when(k == 7, F.regexp_replace(text, r"\n\z", "")).otherwise(text)
     texts = store.written(FORM, *stored(spark, sf_dir)).withColumns({"markdown": spoilt, "case_stem": F.when(k == 5, "other").otherwise(F.col("case_stem"))})
+    texts = written_once(texts)  # stored, not made again for each thing that is asked of a text
     return store.issues(store.blocks(FORM, texts)).withColumnRenamed("doc_id", "conv_id")
 
 
@@ -107,7 +109,7 @@ def digest_migration(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = files.select("doc_id", "kind", text.alias("text"), F.when(k == 1, "0").when(k < 4, F.sha2(text, 256)).alias("stored_sha256"))
     moved = store.rows_of(store.from_old_lines(FORM, files))
     kept = docs.join(moved.select("doc_id").distinct(), "doc_id", "left_semi")
-    return as_read(store.rows_of(store.blocks(FORM, store.written(FORM, kept, moved))))
+    return as_read(store.rows_of(store.blocks(FORM, written_once(store.written(FORM, kept, moved)))))
 
 
 def minute_orders(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:

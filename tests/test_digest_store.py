@@ -154,3 +154,14 @@ def test_old_lines(spark):
     d, _ = frames(spark, [(0, "reports", "c", 1, None)], [])
     straight, through = (store.written(FORM, d, x).first().markdown for x in (r, moved))
     assert straight == through
+
+
+def test_stored_texts_are_not_made_again_for_each_use(spark, tmp_path):
+    from pagewright.plans import stores
+
+    turns = [(c, t, "user", f"turn {t} of *{c}* says it") for c in range(16) for t in range(3)]
+    spark.createDataFrame(turns, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    found = stores.digest_store_issues(spark, str(tmp_path))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "regexp_" not in plan and "conversations.parquet" not in plan
+    assert {r.rule for r in found.where("conv_id < 8").collect()} == {"final_newline", "not_canonical", "row_pages", "duplicate_item", "fingerprint", "case_stem", "categories"}
