@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pagewright.operators.stages import written_once
+
 #: Bases of a date, roles in a group, the note that every group bears, and what is said where saved groups aren't used.
 BASES = ("filed", "document", "unknown")
 LEAD, CONTINUATION, ALONE = "lead", "continuation", "unresolved"
@@ -67,8 +69,10 @@ def group_issues(inventory: DataFrame, groups: DataFrame, members: DataFrame) ->
     isn't there twice, and doesn't begin right after the end of another (split_continuity). A member without a group is unknown_group.
 
     Nulls break the rule that asks for them. Groups and members meet the inventory by (case_id, paper_id), so a case of any size is
-    spread over tasks except for the two windows in page order over papers and groups, whose rows are numbers and short texts.
+    spread over tasks except for the two windows in page order over papers and groups, whose rows are numbers and short texts. The three sides
+    are written once when this is called, as each is met several times.
     """
+    inventory, groups, members = map(written_once, (inventory, groups, members))
     ids = inventory.groupBy("case_id", "paper_id").agg(F.min_by(F.struct("start_page", "end_page", "title", "date", "date_basis"), F.struct("start_page", "end_page")).alias("p"))
     named = groups.select("case_id", "group_id").distinct().withColumn("grouped", F.lit(True))
     held = members.groupBy("case_id", "paper_id").agg(F.count("*").alias("n"))
@@ -102,11 +106,21 @@ def group_issues(inventory: DataFrame, groups: DataFrame, members: DataFrame) ->
     return papers.where("rule is not null").unionByName(of_members).unionByName(of_groups).unionByName(inventory_issues(inventory)).distinct()
 
 
-def set_digest(rows: DataFrame, name: str) -> DataFrame:
-    """(case_id, name): count and sums of two hashes of a case's papers, the same in any order; nulls differ from all values."""
+def papers_told(sides: list[DataFrame]) -> DataFrame:
+    """(case_id, n0, a0, b0, n1, ...) of several sides with papers: count and sums of two hashes of a case's papers of each side, in one aggregation.
+
+    They are the same in any order; nulls differ from all values. A side without the columns of INVENTORY is only counted.
+    """
     told = [*map(F.col, INVENTORY), *(F.col(c).isNull() for c in INVENTORY)]
-    sums = (F.sum(F.xxhash64(*told, F.lit(n)).cast("decimal(20,0)")).alias(f"h{n}") for n in (1, 2))
-    return rows.groupBy("case_id").agg(F.count("*").alias("n"), *sums).select("case_id", F.struct("n", "h1", "h2").alias(name))
+    none = F.lit(None).cast("decimal(20,0)")
+    rows = None
+    for side, df in enumerate(sides):
+        marks = [F.xxhash64(*told, F.lit(n)).cast("decimal(20,0)") if set(INVENTORY) <= {*df.columns} else none for n in (1, 2)]
+        each = df.select("case_id", F.lit(side).alias("side"), marks[0].alias("a"), marks[1].alias("b"))
+        rows = each if rows is None else rows.unionAll(each)
+    of = lambda side, c: F.when(F.col("side") == side, F.col(c))
+    sums = [x for s in range(len(sides)) for x in (F.count(of(s, "side")).alias(f"n{s}"), F.sum(of(s, "a")).alias(f"a{s}"), F.sum(of(s, "b")).alias(f"b{s}"))]
+    return rows.groupBy("case_id").agg(*sums)
 
 
 def current_groups(candidate: DataFrame, inventory: DataFrame, members: DataFrame) -> DataFrame:
@@ -116,9 +130,9 @@ def current_groups(candidate: DataFrame, inventory: DataFrame, members: DataFram
     in any order and without sending a paper; else the candidate's papers that have a title stand alone, with a warning whether there
     were no saved groups or stale ones. Cases that only the saved side has are left out.
     """
-    saved = members.groupBy("case_id").agg(F.lit(True).alias("saved"))
-    cases = set_digest(candidate, "now").join(set_digest(inventory, "then"), "case_id", "left").join(saved, "case_id", "left")
-    warning = F.when(F.col("saved").isNull(), NO_GROUPS).when(not_sure(F.col("now") == F.col("then")), STALE_GROUPS).otherwise("")
+    cases = papers_told([candidate, inventory, members]).where("n0 > 0")
+    same = (F.col("n0") == F.col("n1")) & (F.col("a0") == F.col("a1")) & (F.col("b0") == F.col("b1"))
+    warning = F.when(F.col("n2") == 0, NO_GROUPS).when(not_sure(same), STALE_GROUPS).otherwise("")
     cases = cases.select("case_id", warning.alias("warning"))
     kept = members.join(cases.where("warning = ''"), "case_id").select("case_id", "group_id", "paper_id", "role", "start_page", "end_page", "warning")
     alone = candidate.where("title <> ''").join(cases.where("warning <> ''"), "case_id")
