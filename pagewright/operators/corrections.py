@@ -9,6 +9,7 @@ from pyspark.sql.functions import pandas_udf
 
 from pagewright.functions.dates import long_date, recognized
 from pagewright.operators.blocks import running_max
+from pagewright.operators.stages import written_once
 
 #: Fields that may change, types of pages of each side, families of documents by type, fields and bases of motions.
 FIELDS = ("page_type", "report_first_page", "motion_first_page", "name", "date", "date_basis", "naming_rule_id")
@@ -155,6 +156,8 @@ def effective(pages: DataFrame, changes: DataFrame) -> DataFrame:
     two pages that mend one gap together stay together. Changes of unknown pages aren't kept. Nulls are empty texts.
 
     No document reaches over a page that begins one before and after, nor from one page to another of a family that the first can't have.
+    Pages are written before and after the running values, as each is used twice.
+
     A case is cut there, and pieces are judged by themselves. In a piece unchanged pages of one type are one row, so what a task holds
     grows with the changes of a piece, not with the length of a case or document.
     """
@@ -172,7 +175,7 @@ def effective(pages: DataFrame, changes: DataFrame) -> DataFrame:
     cut = begins | ~F.coalesce(F.arrays_overlap("families", "__f"), F.lit(False))
     run = cut | begins | F.col("changed") | F.coalesce(F.col("__c") | (F.col("__t") != F.col("page_type")), F.lit(True))
     rows = rows.withColumn("piece", F.when(cut, F.col("page"))).withColumn("run", F.when(run, F.col("page"))).drop("__f", "__t", "__c", "families")
-    rows = running_max(rows, ["case_id"], ["page"], ["piece", "run"])
+    rows = written_once(running_max(written_once(rows), ["case_id"], ["page"], ["piece", "run"]))
     rows = rows.join(rows.where("changed").select("case_id", "piece").distinct(), ["case_id", "piece"], "left_semi")
     firsts = [F.min_by(c, "page").alias(c) for c in (*three, *(f"new_{c}" for c in three), "nth")]
     runs = rows.groupBy("case_id", "piece", "run").agg(F.max("page").alias("end"), *firsts)

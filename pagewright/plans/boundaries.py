@@ -30,8 +30,13 @@ def query(sql: str | None = None):
 
 def record_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(case_id, page, page_type, named) with all kinds of pages."""
+    return record_kinds(classified_pages(spark, sf_dir))
+
+
+def record_kinds(pages: DataFrame) -> DataFrame:
+    """Classified pages as those of a record, with all kinds."""
     kind = F.element_at(F.array(*map(F.lit, TYPES)), (F.col("part") % len(TYPES) + 1).cast("int"))
-    return classified_pages(spark, sf_dir).select("case_id", "page", kind.alias("page_type"), "named")
+    return pages.select("case_id", "page", kind.alias("page_type"), "named")
 
 
 def islands(name: str, types: str, first: str | None) -> str:
