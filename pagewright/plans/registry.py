@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pagewright.functions import dates, locate, text
 from pagewright.operators import dedupe, intervals, ranges, reconcile, search
+from pagewright.operators.stages import written_once
 from pagewright.sources.tables import WRITTEN, classified_pages, event_pages, read
 
 QUERIES: dict = {}
@@ -103,7 +104,7 @@ def interval_page_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""with {REPORTS} select p.case_id, p.page, r.start_page, r.end_page from pages p
     left join reports r on r.case_id = p.case_id and p.page between r.start_page and r.end_page""")
 def page_to_interval_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = classified_pages(spark, sf_dir)
+    pages = written_once(classified_pages(spark, sf_dir, by_case=True).select("case_id", "page", "page_type"))
     return intervals.containing(pages, ranges.report_ranges(pages))
 
 

@@ -69,9 +69,14 @@ def page_type(flag, status):
     )
 
 
-def classified_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(case_id, page, page_type, part, named): one row per page of each order, the last written row of a page wins."""
+def classified_pages(spark: SparkSession, sf_dir: str, by_case: bool = False) -> DataFrame:
+    """(case_id, page, page_type, part, named): one row per page of each order, the last written row of a page wins.
+
+    by_case: for those who read each case in page order anyway. Rows are dealt by case before they are deduped, so one shuffle and one sort
+    serve both, and nothing is sorted where it is read.
+    """
     rows = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", *WRITTEN)  # no column travels that isn't asked for
+    rows = rows.repartition("l_orderkey") if by_case else rows
     last = last_wins(rows, ["l_orderkey", "l_linenumber"], WRITTEN)
     return last.select(
         F.col("l_orderkey").alias("case_id"), F.col("l_linenumber").alias("page"), page_type(F.col("l_returnflag"), F.col("l_linestatus")).alias("page_type"),
