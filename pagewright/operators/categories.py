@@ -88,22 +88,22 @@ def page_categories(pages: DataFrame, typed: DataFrame, ranges: DataFrame, liste
     none = F.array().cast("array<string>")
     heads = listed.select("case_id", "page", heading_category(F.col("title")).alias("category")).where(F.col("category") != UNKNOWN)
     said = row(typed, F.col("tier"), F.col("ids")).unionByName(row(inside, F.lit(2), none)).unionByName(row(heads, F.lit(3), none))
-    all_ids = F.array_sort(F.array_distinct(F.flatten(F.collect_set("ids"))))
-    sets = [F.array_sort(F.collect_set(F.when(F.col("tier") == t, F.col("category")))).alias(f"t{t}") for t in range(4)]
-    rows = known.join(said.groupBy("case_id", "page").agg(*sets, all_ids.alias("ids")), ["case_id", "page"], "left")
-
-    some = lambda t: F.coalesce(F.size(f"t{t}") > 0, F.lit(False))
-    names = F.when(some(0), "transcript").when(some(1), "source_map").when(some(2), "boundary")
-    several = F.coalesce(F.size("ids") > 1, F.lit(False))
-    names = F.coalesce(names, F.when(some(3) & ~several, "toc"), F.lit("none"))
+    # Of each set only the least and the greatest are kept: they tell whether it is empty, has one or several, and which.
+    ends = [f(F.when(F.col("tier") == t, F.col("category"))).alias(f"{n}{t}") for t in range(4) for n, f in (("lo", F.min), ("hi", F.max))]
+    ends += [F.min(F.array_min("ids")).alias("lo_id"), F.max(F.array_max("ids")).alias("hi_id")]
+    rows = known.join(said.groupBy("case_id", "page").agg(*ends), ["case_id", "page"], "left")
+
+    names = F.when(F.col("lo0").isNotNull(), "transcript").when(F.col("lo1").isNotNull(), "source_map").when(F.col("lo2").isNotNull(), "boundary")
+    several = F.coalesce(F.col("lo_id") != F.col("hi_id"), F.lit(False))
+    names = F.coalesce(names, F.when(F.col("lo3").isNotNull() & ~several, "toc"), F.lit("none"))
     rows = rows.withColumn("provenance", names)
-    best = F.when(names == "transcript", F.col("t0")).when(names == "source_map", F.col("t1")).when(names == "boundary", F.col("t2")).when(names == "toc", F.col("t3"))
-    every = F.when(names == "toc", F.col("t3")).otherwise(F.array_distinct(F.concat("t0", "t1", "t2")))
-    rows = rows.withColumn("cats", F.coalesce(every if agreement else best, none)).withColumn("ids", F.coalesce("ids", none))
-    one = F.when(F.size("cats") == 1, F.get("cats", F.lit(0)))
+    of = lambda n: F.when(names == "transcript", F.col(f"{n}0")).when(names == "source_map", F.col(f"{n}1")).when(names == "boundary", F.col(f"{n}2")).when(names == "toc", F.col(f"{n}3"))
+    every = lambda n, f: F.when(names == "toc", F.col(f"{n}3")).otherwise(f(*(f"{n}{t}" for t in range(3))))
+    rows = rows.withColumns({"lo": every("lo", F.least) if agreement else of("lo"), "hi": every("hi", F.greatest) if agreement else of("hi")})
+    one = F.when(F.col("lo") == F.col("hi"), F.col("lo"))
     expected = F.when(one == "hearing", "RT").when(one != UNKNOWN, "CT")
-    clash = (F.size("cats") > 1) | (F.size("ids") > 1) | F.coalesce(~F.array_contains("ids", expected) & (F.size("ids") > 0), F.lit(False))
+    clash = F.coalesce(F.col("lo") != F.col("hi"), F.lit(False)) | several | F.coalesce(F.col("lo_id") != expected, F.lit(False))
     status = F.when(clash, "conflict").when(F.coalesce(one, F.lit(UNKNOWN)) != UNKNOWN, "classified").otherwise(UNKNOWN)
     category = F.when(status == "classified", one).otherwise(UNKNOWN)
-    identity = F.when(F.size("ids") == 1, F.get("ids", F.lit(0))).otherwise("")
+    identity = F.when(F.col("lo_id") == F.col("hi_id"), F.col("lo_id")).otherwise("")
     return rows.select("case_id", "page", category.alias("category"), "provenance", status.alias("status"), identity.alias("record_type"))
