@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pagewright.operators import categories, corrections, motion_groups, ranges, sections, stages
+from pagewright.operators.stages import written_once
 from pagewright.plans import boundaries, registry
 from pagewright.sources.tables import classified_pages, read
 
@@ -93,10 +94,10 @@ MOTION_PAPERS = rf"""{registry.MOTIONS}, p as (select case_id, printf('motion:%0
 def motion_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """(papers, inventory, groups, members) of motion packets; in fifteen of sixteen cases some rule is broken on purpose."""
     start, k = F.col("start_page"), F.col("case_id") % 16
-    papers = ranges.motion_packets(classified_pages(spark, sf_dir)).select(
+    papers = written_once(ranges.motion_packets(classified_pages(spark, sf_dir, by_case=True)).select(  # what follows uses them many times
         "case_id", "packet_page", "paper_id", "start_page", "end_page", F.concat(F.lit("Motion "), start.cast("string")).alias("title"),
         F.when(start % 2 == 0, "").otherwise(F.concat(F.lit("May "), start.cast("string"))).alias("date"), F.lit("filed").alias("date_basis"),
-    )
+    ))
     inventory = papers.select(
         "case_id", F.when((k == 3) & (start % 2 == 1), F.concat(F.lit("paper:"), start.cast("string"))).otherwise(F.col("paper_id")).alias("paper_id"), "start_page", "end_page",
         F.when((k == 1) & (start == F.col("packet_page")), "").when(k == 13, F.concat("title", F.lit(" "))).otherwise(F.col("title")).alias("title"), "date", F.when(k == 2, "soon").otherwise(F.col("date_basis")).alias("date_basis"),
@@ -161,7 +162,7 @@ def motion_groups_current(spark: SparkSession, sf_dir: str) -> DataFrame:
     case when clash then 'conflict' when n = 1 and cats[1] <> 'unknown' then 'classified' else 'unknown' end as status, case when len(ids) = 1 then ids[1] else '' end as record_type from c""")
 def page_category_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Categories of all pages from two tables of page types with their series, from ranges of two categories, and from headings."""
-    pages = classified_pages(spark, sf_dir)
+    pages = written_once(classified_pages(spark, sf_dir, by_case=True).select("case_id", "page", "page_type", "part"))
     part = F.col("part")
     texts = lambda n, *names: F.element_at(F.array(*map(F.lit, names)), F.when(part % n < len(names), part % n + 1).otherwise(len(names)).cast("int"))
     ids = (F.when(part % 2 == 1, F.concat(F.lit("s"), (part % 3).cast("string"))).otherwise("").alias("citation_series_id"), F.lit(None).cast("string").alias("series_id"), F.concat(F.lit("s"), (part % 4).cast("string")).alias("sequence_id"))
@@ -170,10 +171,8 @@ def page_category_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     one = lambda n, sid, rec: F.struct(F.lit(n).alias("ordinal"), F.lit(sid).alias("series_id"), F.lit(None).cast("string").alias("sequence_id"), rec.alias("record_type"))
     series = F.array(one(0, "s0", F.lit("rt ")), one(1, "s1", F.lit("CT")), one(2, "s0", F.when(key % 3 == 0, "ct").otherwise("RT")))
     series = read(spark, sf_dir, "orders").select(key.alias("case_id"), F.inline(series))
-    typed = None
-    for tier, kind in enumerate(kinds):
-        rows = categories.with_series(pages.select("case_id", "page", kind.alias("page_type"), texts(5, "rt", "CT", None).alias("record_type"), *ids), series).withColumn("tier", F.lit(tier))
-        typed = rows if typed is None else typed.unionByName(rows)
+    types = F.inline(F.array(*(F.struct(F.lit(tier).alias("tier"), kind.alias("page_type")) for tier, kind in enumerate(kinds))))
+    typed = categories.with_series(pages.select("case_id", "page", texts(5, "rt", "CT", None).alias("record_type"), *ids, types), series)
     found = ranges.report_ranges(pages)
     spans = found.select("case_id", "start_page", "end_page", F.lit("report").alias("category")).unionAll(found.select("case_id", F.col("start_page") + 2, F.col("end_page") + 1, F.lit("motion")))
     listed = pages.where(part % 4 < 2).select("case_id", "page", F.when(part % 4 == 0, "Procedural filings").otherwise(" HEARINGS").alias("title"))
@@ -191,10 +190,11 @@ def correction_effects(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = {"report_first": "CT_report_first_page", "report": "CT_report", "motion_first": "CT_motion_first_page", "motion": "CT_motion", "minute_start": "CT_minute_order_first_page", "minute_body": "CT_minute_order", "hearing_start": "RT_body_first_page", "hearing_body": "RT_body", "form_first": "CT_form_first_page", "other": "CT_other"}
     kind = lambda c: categories.looked_up(c, names)
     part = F.col("part")
-    pages = boundaries.record_pages(spark, sf_dir).select("case_id", "page", kind(F.col("page_type")).alias("page_type"), F.when(F.col("named"), "n").otherwise("").alias("name"), F.lit("").alias("date"))
-    first = classified_pages(spark, sf_dir).where("not named").groupBy("case_id").agg(F.min("page").alias("page"), F.min_by("part", "page").alias("part"))
+    last = written_once(classified_pages(spark, sf_dir).select("case_id", "page", "part", "named"))
+    pages = boundaries.record_kinds(last).select("case_id", "page", kind(F.col("page_type")).alias("page_type"), F.when(F.col("named"), "n").otherwise("").alias("name"), F.lit("").alias("date"))
+    first = last.where("not named").groupBy("case_id").agg(F.min("page").alias("page"), F.min_by("part", "page").alias("part"))
     new = F.when(part % 4 == 0, "CT_report").when(part % 4 == 1, "CT_report_first_page").when(part % 4 == 2, "CT_minute_order").otherwise(F.col("page_type"))
-    changes = first.join(pages, ["case_id", "page"]).select("case_id", "page", F.lit(1).alias("nth"), new.alias("page_type"), "name", "date")
+    changes = written_once(first.join(pages, ["case_id", "page"]).select("case_id", "page", F.lit(1).alias("nth"), new.alias("page_type"), "name", "date"))
     return corrections.effective(pages, changes).drop("nth")
 
 
