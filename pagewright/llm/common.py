@@ -10,10 +10,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pagewright.functions.batches import bounded_batches  # noqa: F401
+
 #: Graphs of at most this many counted links (16 bytes each) are settled in one task; larger ones in distributed rounds.
 TASK_LINKS = 1_000_000
-#: Of one Arrow batch that goes to a Python worker.
-BATCH_BYTES, BATCH_ROWS = 4 << 20, 2000
 FILES_PER_CORE = 8
 #: Sides of at most this many narrow rows (a few longs each) may be broadcast; larger ones go through a shuffle join.
 BROADCAST_ROWS = 200_000
@@ -52,19 +52,6 @@ def discard(*frames: DataFrame) -> None:
         path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def bounded_batches(df: DataFrame) -> DataFrame:
-    """df, in a session whose Arrow batches hold at most BATCH_BYTES, so that what a Python worker holds doesn't grow with the texts.
-
-    Both are limits of the session: they hold for every later query of it, and lower ones that are set already stay.
-    """
-    conf = df.sparkSession.conf
-    for key, most in (("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES), ("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)):
-        now = int(conf.get(key).rstrip("b"))
-        if now <= 0 or now > most:
-            conf.set(key, str(most))
-    return df
-
-
 def small(df: DataFrame, n_rows: int) -> DataFrame:
     """df with a broadcast hint only if its counted rows are within BROADCAST_ROWS."""
     return F.broadcast(df) if n_rows <= BROADCAST_ROWS else df

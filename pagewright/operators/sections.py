@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pagewright.functions.batches import bounded_batches
 from pagewright.functions.locate import normalised_each
 from pagewright.functions.text import quote_flags
 from pagewright.operators.digests import METADATA
@@ -96,12 +97,15 @@ def submissions(payloads: DataFrame) -> DataFrame:
 def repeated_passages(sections: DataFrame) -> DataFrame:
     """(case_id, item_id, n): reports' paragraphs with PASSAGE_WORDS words in a row that an earlier report of the case has.
 
+    sections: case_id, item_id, ordinal, kind, paragraphs, bare (each paragraph without placeholders, as normal text has it; null where
+    that is the paragraph itself).
+
     Only hashes of word runs travel, each once a paragraph; what comes first is found with a combine before the shuffle, so a run that
     every report has is no hot task; the join back is left to AQE's splitting of skewed keys.
     """
-    bare = F.transform("paragraphs", lambda p: F.regexp_replace(p, PLACEHOLDER, " "))
-    rows = sections.where("kind = 'reports'").select("case_id", "item_id", F.struct("ordinal", "item_id").alias("owner"), normalised_each(bare).alias("p"))
-    rows = rows.select("case_id", "item_id", "owner", F.posexplode("p").alias("nth", "t")).withColumn("w", F.filter(F.split("t", " "), lambda w: w != ""))
+    bare = F.zip_with("paragraphs", "bare", lambda p, b: F.coalesce(b, p))
+    rows = sections.where("kind = 'reports'").select("case_id", "item_id", F.struct("ordinal", "item_id").alias("owner"), F.posexplode(bare).alias("nth", "t"))
+    rows = rows.withColumn("w", F.filter(F.split("t", " "), lambda w: w != ""))
     runs = F.transform(F.sequence(F.lit(1), F.size("w") - PASSAGE_WORDS + 1), lambda i: F.struct(F.xxhash64(F.slice("w", i, PASSAGE_WORDS)).alias("a"), F.xxhash64(F.slice("w", i, PASSAGE_WORDS), F.lit(1)).alias("b")))
     rows = rows.where(F.size("w") >= PASSAGE_WORDS).select("case_id", "item_id", "owner", "nth", F.explode(F.array_distinct(runs)).alias("run"))
     first = rows.groupBy("case_id", "run").agg(F.min("owner").alias("first"))
@@ -129,11 +133,12 @@ def normalised_sections(rows: DataFrame, payloads: DataFrame) -> tuple[DataFrame
     labels. Selections and capitals are kept where they are valid for a quotation that is used. flags are distinct and sorted.
     remarks: (case_id, flag) of what belongs to no item: unusable payloads, entries that are no objects, unknown items.
 
-    Sections are made when this is called and written once, as they are used both as results and to find repeated passages.
+    Sections are made when this is called and written once, as they are used both as results and to find repeated passages. All texts
+    go to Python in that one pass, in bounded batches; normal text that differs is written with a report, as passages are read twice.
     Rows that repeat an item get the same submission each; rows with a null case or item meet none. An empty table gives empty results.
     """
     seen = submissions(payloads).withColumn("sent", F.lit(True))
-    known = rows.withColumn("known", F.lit(True))
+    known = bounded_batches(rows).withColumn("known", F.lit(True))
     both = known.join(seen, ["case_id", "item_id"], "left")
 
     item = F.coalesce("item_id", F.lit(""))
@@ -166,7 +171,8 @@ def normalised_sections(rows: DataFrame, payloads: DataFrame) -> tuple[DataFrame
     times = lambda q: F.size(F.filter("used", lambda u: u == q))
     each = F.filter("evidence", lambda e: F.array_contains(F.col("used"), e["quote_id"]))
     both = both.withColumn("first", F.filter(F.transform(ids, lambda q: F.get(F.filter(each, lambda e: e["quote_id"] == q), F.lit(0))), lambda e: e.isNotNull()))
-    both = both.withColumn("plain", normalised_each(F.transform("first", lambda e: e["text"])))
+    bare = F.when(F.col("kind") == "reports", F.transform("paragraphs", lambda p: F.regexp_replace(p, PLACEHOLDER, " ")))
+    both = both.withColumns({"plain": normalised_each(F.transform("first", lambda e: e["text"])), "bare": normalised_each(bare)})
     words = lambda n: F.size(F.filter(F.split(n, " "), lambda w: w != ""))
     names = {"length": "quote_length_out_of_range", "ellipsis": "quote_ellipsis", "terminal": "quote_terminal_punctuation"}
 
@@ -192,11 +198,12 @@ def normalised_sections(rows: DataFrame, payloads: DataFrame) -> tuple[DataFrame
     sections = both.select(
         "case_id", "item_id", "ordinal", "kind", "paragraphs", changed("chosen", quote).alias("selections"),
         changed("cased", lambda q: F.coalesce(F.element_at("chosen", q), quote(q))).alias("capitals"), F.filter(many, lambda f: f.isNotNull()).alias("flags"),
+        F.zip_with("paragraphs", "bare", lambda p, b: F.when(b != p, b)).alias("bare"),
     )
     sections = written_once(sections)
     again = repeated_passages(sections)
     sections = sections.join(again, ["case_id", "item_id"], "left")
     passage = F.when(F.col("n").isNotNull(), F.array(F.concat_ws(":", F.lit("repeated_passage"), item, F.col("n").cast("string")))).otherwise(none)
-    sections = sections.withColumn("flags", F.array_sort(F.array_distinct(F.concat("flags", passage)))).drop("n")
+    sections = sections.withColumn("flags", F.array_sort(F.array_distinct(F.concat("flags", passage)))).drop("n", "bare")
 
     return sections, remarks_of(rows, payloads)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pagewright.functions import dates, locate, text
+from pagewright.functions.batches import bounded_batches
 from pagewright.operators import dedupe, intervals, ranges, reconcile, search
 from pagewright.operators.stages import written_once
 from pagewright.sources.tables import WRITTEN, classified_pages, event_pages, read
@@ -320,13 +321,13 @@ NORMAL = "trim(regexp_replace(regexp_replace(text, '-\\s+', '', 'g'), '\\s+', '
 @query(f"""with r as (select role, {NORMAL} as norm, turn from conversations), g as (select role, norm, list_sort(list(distinct turn)) as t from r group by all)
     select role, norm, array_to_string(t, ',') as ordinals from g where len(t) > 1""")
 def recurrence_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = read(spark, sf_dir, "conversations").select("role", locate.normalised(F.col("text")).alias("norm"), "turn")
+    rows = bounded_batches(read(spark, sf_dir, "conversations")).select("role", locate.normalised(F.col("text")).alias("norm"), "turn")
     return reconcile.recurrence(rows, ["role", "norm"], "turn").select("role", "norm", F.array_join(F.transform("ordinals", lambda x: x.cast("string")), ",").alias("ordinals"))
 
 
 @query(f"""select conv_id, turn, role, text is null or min(turn) over (partition by conv_id, role, {NORMAL}) < turn as carried from conversations""")
 def carry_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", locate.normalised(F.col("text")).alias("norm"))
+    rows = bounded_batches(read(spark, sf_dir, "conversations")).select("conv_id", "turn", "role", locate.normalised(F.col("text")).alias("norm"))
     return reconcile.carried_forward(rows, ["conv_id", "role", "norm"], "turn").select("conv_id", "turn", "role", "carried")
 
 
@@ -342,7 +343,7 @@ def shingle_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     case when regexp_matches(text, '\\.\\s*\\.\\s*\\.|…') then 'ellipsis' end, case when regexp_matches(text, '[.!?][”"]?\\s*$') then 'terminal' end], lambda x: x is not null), ',') as flags from benchmark""")
 def quote_convention_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     flags = text.quote_flags(F.col("text"), locate.normalised(F.col("text")))
-    return read(spark, sf_dir, "benchmark").select("item_id", F.array_join(flags, ",").alias("flags"))
+    return bounded_batches(read(spark, sf_dir, "benchmark")).select("item_id", F.array_join(flags, ",").alias("flags"))
 
 
 @query("""with h as (select source, doc_id, sha256(coalesce(text, '')) as h from documents),

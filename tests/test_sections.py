@@ -74,3 +74,15 @@ def test_selections_and_capitals(spark):
 def test_empty_tables(spark):
     rows, payloads = spark.createDataFrame([], ROWS), spark.createDataFrame([], "case_id long, payload string")
     assert [d.count() for d in sections.normalised_sections(rows, payloads)] == [0, 0]
+
+
+def test_texts_go_to_python_once_in_bounded_batches(spark):
+    limits = [f"spark.sql.execution.arrow.{k}" for k in ("maxBytesPerBatch", "maxRecordsPerBatch")]
+    for key in limits:
+        spark.conf.unset(key)
+    rows = spark.createDataFrame([(1, "a", 1, "reports", quotes(GOOD)), (1, "b", 2, "reports", quotes(GOOD))], ROWS)
+    payload = json.dumps([{"item_id": "a", "paragraphs": [LONG]}, {"item_id": "b", "paragraphs": [LONG + " {{quote:q2}}"]}])
+    found, _ = sections.normalised_sections(rows, spark.createDataFrame([(1, payload)], "case_id long, payload string"))
+    assert [int(spark.conf.get(k)) for k in limits] == [4 << 20, 2000]
+    assert "ArrowEvalPython" not in found._jdf.queryExecution().executedPlan().toString()
+    assert {r.item_id: r.flags for r in found.collect()} == {"a": [], "b": ["repeated_passage:b:1"]}
