@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagewright.operators.blocks import running_max
+from pagewright.operators.stages import written_once
 
 #: The types of pages by category, the headings by category, their order, what is shown for one, and the identity of a category.
 TYPES = {"hearing": "rt_body", "report": "ct_report", "motion": "ct_motion", "minute_order": "ct_minute_order", "form": "ct_form"}
@@ -76,9 +77,11 @@ def page_categories(pages: DataFrame, typed: DataFrame, ranges: DataFrame, liste
 
     A page lies in a range if the greatest end of the starts up to it reaches it. That is found within blocks of BLOCK pages, and what
     earlier blocks reach is carried on block by block, so no case is one task. Repeated pages give one row.
+    Ranges are written once: they are used four times, and Spark fails where a union of rows dealt by case meets others of the case
+    without a new shuffle and its sides are then coalesced.
     """
     known = pages.select("case_id", "page").where("page > 0").distinct()
-    of = ranges.where("start_page <= end_page").select("case_id", "category", F.col("start_page").alias("page"), F.lit(0).alias("is_page"), F.col("end_page").alias("reach"))
+    of = written_once(ranges.where("start_page <= end_page").select("case_id", "category", F.col("start_page").alias("page"), F.lit(0).alias("is_page"), F.col("end_page").alias("reach")))
     kinds = of.select("case_id", "category").distinct()
     asked = known.join(kinds, "case_id").select("case_id", "category", "page", F.lit(1).alias("is_page"), F.lit(None).cast(of.schema["reach"].dataType).alias("reach"))
     rows = running_max(of.unionByName(asked), ["case_id", "category"], ["page", "is_page"], ["reach"], BLOCK)

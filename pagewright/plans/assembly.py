@@ -173,8 +173,9 @@ def page_category_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     series = read(spark, sf_dir, "orders").select(key.alias("case_id"), F.inline(series))
     types = F.inline(F.array(*(F.struct(F.lit(tier).alias("tier"), kind.alias("page_type")) for tier, kind in enumerate(kinds))))
     typed = categories.with_series(pages.select("case_id", "page", texts(5, "rt", "CT", None).alias("record_type"), *ids, types), series)
-    found = ranges.report_ranges(pages)
-    spans = found.select("case_id", "start_page", "end_page", F.lit("report").alias("category")).unionAll(found.select("case_id", F.col("start_page") + 2, F.col("end_page") + 1, F.lit("motion")))
+    span = lambda start, end, kind: F.struct(start.alias("start_page"), end.alias("end_page"), F.lit(kind).alias("category"))
+    start, end = F.col("start_page"), F.col("end_page")
+    spans = ranges.report_ranges(pages).select("case_id", F.inline(F.array(span(start, end, "report"), span(start + 2, end + 1, "motion"))))
     listed = pages.where(part % 4 < 2).select("case_id", "page", F.when(part % 4 == 0, "Procedural filings").otherwise(" HEARINGS").alias("title"))
     return categories.page_categories(pages, typed, spans, listed)
 

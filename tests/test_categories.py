@@ -68,3 +68,28 @@ def test_headings(spark):
     df = spark.createDataFrame([("Forms",), (" procedural FILINGS",), ("Minute Orders",), ("Index",), (None,)], "t string")
     got = df.select(categories.display_heading(df.t), categories.heading_rank(df.t)).collect()
     assert list(map(tuple, got)) == [("PROC. FILINGS", 0), ("PROC. FILINGS", 0), ("Minute Orders", 4), ("Index", 5), (None, 5)]
+
+
+def test_ranges_may_come_from_a_union_of_rows_dealt_by_case(spark):
+    from pyspark.sql import functions as F
+
+    from pagewright.operators import ranges
+    from pagewright.operators.stages import written_once
+
+    conf = {"spark.sql.shuffle.partitions": "20", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4k", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "1k"}
+    kept = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        pages = spark.range(5000).select((F.col("id") % 500).alias("case_id"), (F.col("id") / 500 + 1).cast("int").alias("page"))
+        pages = written_once(pages.withColumn("page_type", F.when(F.col("page") == 1, "report_first").when(F.col("page") < 4, "report").otherwise("other")))
+        found = ranges.report_ranges(pages)
+        spans = found.select("case_id", "start_page", "end_page", F.lit("report").alias("category")).unionAll(found.select("case_id", F.col("start_page") + 2, F.col("end_page") + 1, F.lit("motion")))
+        none = spark.createDataFrame([], "case_id long, page int, tier int, category string, ids array<string>")
+        listed = pages.where("page = 4").select("case_id", "page", F.lit("Forms").alias("title"))
+        rows = categories.page_categories(pages, none, spans, listed).groupBy("page", "category", "provenance", "status").count().collect()
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    want = [(1, "report", "boundary", "classified"), (2, "report", "boundary", "classified"), (3, "unknown", "boundary", "conflict"), (4, "motion", "boundary", "classified")]
+    assert sorted(map(tuple, rows)) == [(*w, 500) for w in want + [(p, "unknown", "none", "unknown") for p in range(5, 11)]]
